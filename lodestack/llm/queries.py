@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .additive_quality import op5_additive_quality
 from .histogram_shard import op8_histogram_shard
+from .language_mixture import op6_language_mixture
 
 QUERIES = {
+    "op5_additive_quality": op5_additive_quality,
+    "op6_language_mixture": op6_language_mixture,
     "op8_histogram_shard": op8_histogram_shard,
 }
 
