@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .additive_quality import op5_additive_quality
+from .cover_tree import op10_cover_tree
 from .histogram_shard import op8_histogram_shard
 from .language_mixture import op6_language_mixture
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op5_additive_quality": op5_additive_quality,
     "op6_language_mixture": op6_language_mixture,
     "op8_histogram_shard": op8_histogram_shard,
+    "op10_cover_tree": op10_cover_tree,
 }
 
 #: None of the results below is within plain SQL's reach at a bearable cost; tests/llm holds them against brute force.
