@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .additive_quality import op5_additive_quality
+from .conflict_packing import op9_conflict_packing
 from .cover_tree import op10_cover_tree
 from .histogram_shard import op8_histogram_shard
 from .language_mixture import op6_language_mixture
@@ -11,6 +12,7 @@ QUERIES = {
     "op5_additive_quality": op5_additive_quality,
     "op6_language_mixture": op6_language_mixture,
     "op8_histogram_shard": op8_histogram_shard,
+    "op9_conflict_packing": op9_conflict_packing,
     "op10_cover_tree": op10_cover_tree,
 }
 
