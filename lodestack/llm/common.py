@@ -58,3 +58,15 @@ def id_crc(column: str | Column = "doc_id") -> Column:
     """crc32 of an id written as text; a null id counts as empty text."""
     column = F.col(column) if isinstance(column, str) else column
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
+
+
+def interval_of(column: Column, bounds: list) -> Column:
+    """Number of bounds (sorted) at or below the value, by a balanced tree of comparisons that stays in generated code."""
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(column < F.lit(bounds[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
+
+    return tree(0, len(bounds))

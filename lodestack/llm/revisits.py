@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import interval_of
+
 # Headers that a not-modified response may update (RFC 9111, section 3.2 leaves out those of the payload).
 PERMITTED_HEADERS = ["cache-control", "date", "etag", "expires", "last-modified", "vary"]
 # Query parameters that identify a visit and not a resource.
@@ -44,10 +46,9 @@ def resolve_revisits(captures: DataFrame, slice_rows: int = 50_000) -> DataFrame
         "is_revisit": F.coalesce(F.col("status") == 304, F.lit(False)),
         "is_full": F.coalesce(F.col("status").between(200, 299), F.lit(False)),
     })
-    bounds = captures.agg(F.min("seen"), F.max("seen"), F.count("*")).first()
-    slices = max(1, -(-(bounds[2] or 1) // slice_rows))
-    low, span = bounds[0] or 0, max(1, (bounds[1] or 0) - (bounds[0] or 0) + 1)
-    rows = rows.withColumn("slice", F.floor((F.col("seen") - low) * float(slices) / span).cast("int"))
+    slices = min(256, max(1, -(-captures.count() // slice_rows)))
+    cuts = captures.approxQuantile("seen", [i / slices for i in range(1, slices)], 0.2 / slices) if slices > 1 else []
+    rows = rows.withColumn("slice", interval_of(F.col("seen"), sorted({int(c) for c in cuts})))
     stored = F.when(F.col("is_full") & F.col("canonical").isNotNull() & F.col("seen").isNotNull(), F.struct("seen", "record_id", "digest", "length", "headers"))
     key = F.struct("seen", "record_id")
     # A null url would be one hot key of rows that find nothing: they get keys of their own.
