@@ -8,10 +8,12 @@ from .cover_tree import op10_cover_tree
 from .histogram_shard import op8_histogram_shard
 from .language_mixture import op6_language_mixture
 from .revisits import OP7_SQL, op7_revisit_resolution
+from .template_decontamination import op3_template_decontamination
 from .token_rollup import op1_token_rollup
 
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
+    "op3_template_decontamination": op3_template_decontamination,
     "op5_additive_quality": op5_additive_quality,
     "op6_language_mixture": op6_language_mixture,
     "op7_revisit_resolution": op7_revisit_resolution,
