@@ -70,3 +70,29 @@ def interval_of(column: Column, bounds: list) -> Column:
         return F.when(column < F.lit(bounds[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
 
     return tree(0, len(bounds))
+
+
+def matched(rows: DataFrame, ids: DataFrame, key: str, how: str, most: int = 1_000_000) -> DataFrame:
+    """rows left_semi or left_anti joined with a one-column table of ids: broadcast up to `most` ids (8 MB), shuffled beyond."""
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Connected components of edges (a, b): node, label (the least node reachable).
+
+    Every round takes the least label among neighbours and then jumps to the label's label, so long chains shrink by halves;
+    each round is staged, and nothing but a count of changes reaches the driver."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    both = staged(both, "cc-edges")
+    labels = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "cc-labels")
+    for _ in range(most_rounds):
+        far = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        stepped = labels.join(far.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jumped = stepped.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
+        new = staged(jumped, "cc-labels")
+        changed = new.filter("old <> label").limit(1).count()
+        release(labels)
+        labels = new.select("node", "label")
+        if not changed:
+            return labels
+    raise RuntimeError("components did not settle")

@@ -7,6 +7,7 @@ from .conflict_packing import op9_conflict_packing
 from .cover_tree import op10_cover_tree
 from .histogram_shard import op8_histogram_shard
 from .language_mixture import op6_language_mixture
+from .ngram_join import op4_ngram_join
 from .revisits import OP7_SQL, op7_revisit_resolution
 from .template_decontamination import op3_template_decontamination
 from .token_rollup import op1_token_rollup
@@ -14,6 +15,7 @@ from .token_rollup import op1_token_rollup
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
     "op3_template_decontamination": op3_template_decontamination,
+    "op4_ngram_join": op4_ngram_join,
     "op5_additive_quality": op5_additive_quality,
     "op6_language_mixture": op6_language_mixture,
     "op7_revisit_resolution": op7_revisit_resolution,
