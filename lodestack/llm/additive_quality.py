@@ -195,10 +195,14 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, rate: f
 def train(feats: DataFrame, labels: DataFrame, label: str = "quality", most: int = 40_000) -> AdditiveModel | None:
     """Fit on labelled rows (doc_id, label 0 or 1; other labels are left out). None if there are none.
 
-    most: bound on the labelled rows that are fitted. Beyond it, the rows with the smallest hashed ids are taken; at 19
-    numbers a row the driver holds 6 MB at the default."""
+    most: bound on the labelled rows that are fitted (to about 1 %). Beyond it, the rows whose hashed id falls into the matching
+    share are taken; at 19 numbers a row the driver holds 6 MB at the default."""
     known = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
-    rows = feats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES, "label").limit(most).drop("doc_id").toPandas()
+    rows = feats.join(known.hint("merge"), "doc_id")
+    there = rows.count()
+    if there > most:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / there * (1 << 30)))
+    rows = rows.drop("doc_id").toPandas().sort_values([*FEATURES, "label"])
     if rows.empty:
         return None
     return fit(rows[FEATURES].to_numpy(dtype=float), rows["label"].to_numpy(dtype=float))

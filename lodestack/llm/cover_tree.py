@@ -208,7 +208,7 @@ def dual_tree_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, sample:
 
     vectors, queries: (vec_id, v), see usable(). Components are floor(1024 x). Repeated query ids count once, with the least
     vector; a repeated data row takes a rank of its own; rows with the query's id are its own. Fewer than k others give
-    fewer rows, none give none. sample: rows that the pivots are fitted on (the smallest hashed ids)."""
+    fewer rows, none give none. sample: about so many rows, by hashed id, are what the pivots are fitted on."""
     spark = vectors.sparkSession
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     size = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
@@ -216,7 +216,8 @@ def dual_tree_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, sample:
     dim = int(max(size[1] or 0, asked[1] or 0))
     if not size[0] or not asked[0] or not dim:
         dim = max(dim, 1)
-    seen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
+    share = int(min(1.0, sample / max(1, size[0])) * (1 << 30))
+    seen = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).select("v").toArrow()
     fitted = _quantised(seen.column("v"), dim).astype(np.float64) if seen.num_rows else np.zeros((1, dim))
     data = _blocks(vectors, _pivots(fitted, int(min(256, max(1, -(-size[0] // data_block))))), dim, data_block, "tree-data")
     asks = _blocks(queries, _pivots(fitted, int(min(256, max(1, -(-asked[0] // query_block))))), dim, query_block, "tree-queries")

@@ -126,7 +126,7 @@ def op1_token_rollup(spark, sf_dir: str) -> DataFrame:
     store.commit("load", load)
     store.commit("load", load)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    judged = store.current().join(labels.filter("toxic = 1 OR quality = 0"), "doc_id")
+    judged = store.current().join(labels.filter("toxic = 1 OR quality = 0").hint("merge"), "doc_id")
     low = F.when(F.coalesce(F.col("quality") == 0, F.lit(False)), F.lit("low")).otherwise(F.col("lang"))
     store.commit("labels", judged.select("doc_id", "source", low.alias("lang"), "tokenizer", "tokens", (F.coalesce(F.col("toxic"), F.lit(0)) != 1).alias("live")))
     return store.totals()
