@@ -9,11 +9,13 @@ from .histogram_shard import op8_histogram_shard
 from .language_mixture import op6_language_mixture
 from .ngram_join import op4_ngram_join
 from .revisits import OP7_SQL, op7_revisit_resolution
+from .suffix_dedup import op2_suffix_dedup
 from .template_decontamination import op3_template_decontamination
 from .token_rollup import op1_token_rollup
 
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_template_decontamination": op3_template_decontamination,
     "op4_ngram_join": op4_ngram_join,
     "op5_additive_quality": op5_additive_quality,
