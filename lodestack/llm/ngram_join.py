@@ -93,7 +93,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(own)
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], ["kind", "doc_id", "n", "key", "check", "shingle", "seen"])
-        if size > 4_000_000:
+        if size > 1_000_000:
             yield common()
             pending, size, known = [], 0, set()
     yield common()
@@ -192,19 +192,16 @@ def _tally(a: np.ndarray, b: np.ndarray, post: np.ndarray) -> np.ndarray:
     return out
 
 
-PAIR = "a long, b long, need int, shared int"
-BUCKET = "kind byte, a long, b long, need int, shared int, level byte, chosen byte"
+BUCKET = "kind byte, a long, b long, need int, shared int"
 
 
-def _bucket_batch(kind: int, a, b, need, shared, level=None, chosen=None) -> pa.RecordBatch:
-    n = len(a)
-    some = lambda x: pa.nulls(n, pa.int8()) if x is None else pa.array(x.astype(np.int8))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(need, pa.int32()), pa.array(shared, pa.int32()), some(level), some(chosen)], ["kind", "a", "b", "need", "shared", "level", "chosen"])
+def _bucket_batch(kind: int, a: np.ndarray, b: np.ndarray, need: np.ndarray | None, shared: np.ndarray | None) -> pa.RecordBatch:
+    some = lambda x: pa.nulls(len(a), pa.int32()) if x is None else pa.array(x, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), some(need), some(shared)], ["kind", "a", "b", "need", "shared"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: postings of shared shingles that stand in a large bucket (a: token, b: class, need: n, shared: bucket size);
-    kind 1: candidate pairs with partial counts."""
+    """kind 0: classes of large buckets (a: token, b: class); kind 1: candidate pairs with partial counts."""
     blobs = [x.as_py() for batch in batches for x in batch.column("posts")]
     if not blobs:
         return
@@ -228,7 +225,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         big = post[wide]
         for k in range(0, len(big), 1 << 18):
             p = big[k : k + (1 << 18)]
-            yield _bucket_batch(0, p["token"].view(np.int64), p["key"], p["n"], span[wide][k : k + (1 << 18)], p["level"], p["chosen"])
+            yield _bucket_batch(0, p["token"].astype(np.uint64).view(np.int64), p["key"], None, None)
     left, right = [], []
     for back in range(1, SMALL):
         ok = (at - back >= of) & ~wide
@@ -252,46 +249,56 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _bucket_batch(1, out["a"], out["b"], out["need"], out["shared"])
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within a bucket, from rows sorted by token: (a, b, need, shared)."""
-    held: list[pa.RecordBatch] = []
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        n = rows.num_rows
-        post = np.empty(n, dtype=_POST)
-        post["token"], post["key"] = rows.column("a").to_numpy().view(np.uint64), rows.column("b").to_numpy()
-        post["n"], post["level"], post["chosen"] = rows.column("need").to_numpy(), rows.column("level").to_numpy(), rows.column("chosen").to_numpy()
-        label = rows.column("label").to_numpy()
-        start = np.flatnonzero(np.append(True, post["token"][1:] != post["token"][:-1]))
-        left, right, waiting = [], [], 0
-        for s, e in zip(start, np.append(start[1:], n), strict=True):
-            for i in range(s + 1, e):
-                j = s + np.flatnonzero(label[s:i] != label[i])
-                if len(j):
-                    left.append(j), right.append(np.full(len(j), i))
-                    waiting += len(j)
-                if waiting > 1 << 20:
-                    out = _tally(np.concatenate(left), np.concatenate(right), post)
-                    yield pa.RecordBatch.from_arrays([pa.array(out[c]) for c in ("a", "b", "need", "shared")], ["a", "b", "need", "shared"])
-                    left, right, waiting = [], [], 0
-        if waiting:
-            out = _tally(np.concatenate(left), np.concatenate(right), post)
-            yield pa.RecordBatch.from_arrays([pa.array(out[c]) for c in ("a", "b", "need", "shared")], ["a", "b", "need", "shared"])
+def _cell_links(a: list[np.ndarray], b: list[np.ndarray], label_a: np.ndarray, label_b: np.ndarray, same: bool, width: int = 4096) -> list[tuple[int, int]]:
+    """Links between sets of two blocks (or within one), as few as join their components: rows of a and b.
+
+    Intersections are counted by products of 0/1 matrices over the shingles that at least two of the sets hold, `width`
+    shingles at a time."""
+    sets = a if same else [*a, *b]
+    size = np.array([len(x) for x in sets])
+    shingle, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = seen > 1
+    column = np.where(often, np.cumsum(often) - 1, -1)[at]
+    row = np.repeat(np.arange(len(sets)), size)[column >= 0]
+    column = column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left, right = len(a), 0 if same else len(a)
+    shared = np.zeros((left, len(sets) - right), dtype=np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, [low, low + width]))
+        bits = np.zeros((len(sets), width), dtype=np.float32)
+        bits[row[part], column[part] - low] = 1
+        shared += bits[:left] @ bits[right:].T
+    n, m = size[:left, None], size[None, right:]
+    linked = BASE * shared.astype(np.int64) >= SHARE * (n + m - shared.astype(np.int64))
+    linked &= label_a[:, None] != (label_a if same else label_b)[None, :]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    other = label_a if same else label_b
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = root(int(label_a[i])), root(int(other[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(i), int(j)))
+    return out
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        token = batch.column("a")
-        if held and held[-1].column("a")[-1] != token[0]:
-            yield from pairs(pa.Table.from_batches(held))
-            held = []
-        last = int(np.searchsorted(token.to_numpy(), token[-1].as_py()))
-        if last:
-            yield from pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield from pairs(pa.Table.from_batches(held))
+
+def _cell(table: pa.Table) -> pa.Table:
+    key, label = table.column("key").to_numpy(), table.column("label").to_numpy()
+    right = table.column("side").to_numpy()
+    own = [np.frombuffer(x.as_buffer(), _U) for x in table.column("own").combine_chunks()]
+    both = table.column("same")[0].as_py()
+    a, b = np.flatnonzero(right == 0), np.flatnonzero(right == 1)
+    found = _cell_links([own[i] for i in a], [own[i] for i in b], label[a], label[b], both) if len(a) and (both or len(b)) else []
+    b = a if both else b
+    return pa.table({"a": pa.array([int(key[a[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(key[b[j]]) for _, j in found], pa.int64())})
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,29 +316,64 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(good, pa.int64())), batch.column("b").take(pa.array(good, pa.int64()))], ["a", "b"])
 
 
+def _fetched(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The whole sets of classes: key, own (sorted hashes)."""
+    ids = staged(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "join-ids")
+    sets = matched(docs, ids, "doc_id", "left_semi").mapInArrow(_set_rows, "key long, own binary")
+    return staged(sets, "join-sets").dropDuplicates(["key"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs of classes whose whole sets are similar."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = staged(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "join-ids")
-    sets = matched(docs, ids, "doc_id", "left_semi").mapInArrow(_set_rows, "key long, own binary")
-    sets = staged(sets, "join-sets").dropDuplicates(["key"])
+    sets = _fetched(keys, docs, classes)
     right = pairs.join(sets.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
     both = right.join(sets.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a")
     return both.select("a", "b", "own_a", "own_b").mapInArrow(_verify, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_000) -> DataFrame:
+def _bridged(large: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """Components after all links across components that large buckets still hold.
+
+    Classes that meet in such buckets form areas. The classes of an area are dealt into blocks, and any two blocks meet in one
+    cell, where the intersections of all their sets are counted at once; a cell returns only links that join components, so
+    neither pairs nor links of a group are listed, however large it is."""
+    known = large.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    open_ = known.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("first")).filter("low <> high").select("a", "first")
+    meets = staged(known.join(open_, "a").select("key", "label", "first").distinct(), "join-meets")
+    if meets.isEmpty():
+        return labels
+    areas = components(meets.select(F.col("first").alias("a"), F.col("key").alias("b"))).select(F.col("node").alias("key"), F.col("label").alias("area"))
+    members = staged(meets.select("key", "label").distinct().join(areas, "key"), "join-members")
+    size = members.groupBy("area").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(size, "area").withColumn("own_block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", "label", "area", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"), F.when(F.col("own_block") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("own_block") == F.col("other")).alias("same"))
+    cells = cells.join(_fetched(members.select("key"), docs, classes), "key")
+    extra = cells.groupBy("area", "i", "j").applyInArrow(_cell, "a long, b long")
+    return components(staged(links.unionByName(extra), "join-links"))
+
+
+def jaccard_components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_000, block: int = 1024) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
-    docs: doc_id, text. cell: sets of one frequent shingle that meet in one task at most; rows_a_part: postings of a task.
+    docs: doc_id, text. cell: sets of one frequent shingle that meet in one task at most; rows_a_part: postings of a task;
+    block: classes of an area compared at once.
     A document without words (or a null text) has no shingles and is linked with nothing. Copies and repeated rows are one
     class; a null doc_id takes part in links, but names a component only if it has no other member (then null). An empty
     table gives no rows. Sets are compared by 64-bit shingle hashes, classes by 128 bits."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = staged(docs.mapInArrow(_survey, DOC), "join-survey")
     own = survey.filter("kind = 0").select("doc_id", "n", "key", "check")
-    often = survey.filter("kind = 1").groupBy("shingle").agg(F.sum("seen").alias("seen")).filter("seen >= 6")
-    often = often.orderBy(F.desc("seen"), "shingle").limit(HEAVY).toArrow()
+    often = staged(survey.filter("kind = 1").groupBy("shingle").agg(F.sum("seen").alias("seen")).filter("seen >= 6"), "join-often")
+    steps = {r["step"]: r["count"] for r in often.groupBy(F.floor(F.log2("seen") * 8).alias("step")).count().collect()}  # under 300 rows
+    least, room = 1 << 62, HEAVY
+    for step in sorted(steps, reverse=True):
+        room -= steps[step]
+        if room < 0:
+            break
+        least = step
+    often = often.filter(F.floor(F.log2("seen") * 8) >= least).toArrow()  # at most HEAVY rows
     heavy, seen = often.column("shingle").to_numpy().view(np.uint64), often.column("seen").to_numpy()
     order = np.argsort(heavy)
     table = docs.sparkSession.sparkContext.broadcast((heavy[order], seen[order]))  # at most HEAVY entries, 8 MB
@@ -349,19 +391,9 @@ def jaccard_components(docs: DataFrame, cell: int = 200_000, rows_a_part: int =
     classes = staged(classes, "join-classes")
     links = staged(_verified(tried, docs, classes), "join-links")
     labels = components(links)
-    large = found.filter("kind = 0").select("a", "b", "need", "level", "chosen")
+    large = found.filter("kind = 0").select("a", F.col("b").alias("key"))
     if not large.isEmpty():
-        known = large.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-        # Only buckets that still hold several components are paired, and only across components.
-        open_ = known.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("a")
-        rows = known.join(open_, "a", "left_semi").repartition(shuffle_parts(docs.sparkSession), "a").sortWithinPartitions("a", "need", "b")
-        across = rows.select("a", "b", "need", "level", "chosen", "label").mapInArrow(_crossing, PAIR)
-        # Shared shingles of small buckets were counted with the first pairs.
-        more = staged(counted(across.unionByName(found.filter("kind = 1").select("a", "b", "need", "shared"))).join(tried, ["a", "b"], "left_anti"), "join-more")
-        if not more.isEmpty():
-            extra = _verified(more, docs, classes)
-            links = staged(links.unionByName(extra), "join-links")
-            labels = components(links)
+        labels = staged(_bridged(large, links, labels, docs, classes, block), "join-labels")
     named = classes.join(labels.withColumnRenamed("node", "key"), "key", "left")
     least = named.filter("label is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
     special = named.filter("members > 1 or label is not null").join(least, "label", "left").select("key", "check", "n", F.coalesce("component_id", "rep").alias("component_id"))
