@@ -1,6 +1,582 @@
-"""Queries of the retrieval engine by name, with the SQL that checks them."""
+"""Queries of the retrieval engine over the driver's tables, by name, with the DuckDB SQL that checks them.
+
+documents stand for a corpus, benchmark items for labelled queries (relevant: documents that hold their text), embeddings
+for vectors, conversations for agent sessions, events for metrics by condition."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestack.functions import text as tx
+from lodestack.functions.html import html_text
+from lodestack.operators import chunking, evaluation, retrieval, sessions
+from lodestack.session import table
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+# Identity and statistics -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, substr(sha256(concat(coalesce(lang, ''), chr(31), coalesce(source, ''), chr(31), CAST(doc_id AS VARCHAR))), 1, 16) AS id FROM documents")
+def stable_id(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.stable_id(F.col("lang"), F.col("source"), F.col("doc_id")).alias("id"))
+
+
+@query("SELECT doc_id, greatest(1, CAST(floor(length(text) / 4) AS BIGINT)) AS tokens FROM documents WHERE text IS NOT NULL")
+def approx_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", tx.approx_tokens(F.col("text")).alias("tokens"))
+
+
+@query("""SELECT lang, source, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""")
+def corpus_stats(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("lang", "source", F.length("text").alias("n"))
+    return docs.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("docs"), F.sum("n").alias("chars"))
+
+
+@query("""SELECT lang, count(*) AS n, min(t) AS least, CAST(floor(sum(t) / count(*)) AS BIGINT) AS mean, max(t) AS most
+FROM (SELECT lang, greatest(1, CAST(floor(length(text) / 4) AS BIGINT)) AS t FROM documents WHERE text IS NOT NULL) GROUP BY lang""")
+def chunk_stats(spark, sf_dir):
+    rows = _docs(spark, sf_dir).filter("text IS NOT NULL").select("lang", tx.approx_tokens(F.col("text")).alias("t"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("t").alias("least"), F.floor(F.sum("t") / F.count("*")).alias("mean"), F.max("t").alias("most"))
+
+
+@query("SELECT CASE WHEN text LIKE '%licensed under%' THEN 'licensed' ELSE '?' END AS status, count(*) AS n FROM documents GROUP BY 1")
+def status_counts(spark, sf_dir):
+    status = F.when(F.contains("text", F.lit("licensed under")), "licensed")
+    return _docs(spark, sf_dir).groupBy(F.coalesce(status, F.lit("?")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
+def dedup_first(spark, sf_dir):
+    """The first document of each text. Grouping by digest keeps whole texts out of the keys; the text itself is the payload of a minimum."""
+    docs = _docs(spark, sf_dir)
+    first = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return docs.join(first, "doc_id", "left_semi").select("doc_id", "text")
+
+
+# Chunking ---------------------------------------------------------------------------------------------------------------
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """Documents as Markdown: the language is the top heading, and every further line stands under a heading of its own."""
+    body = F.regexp_replace("text", "\n", "\n## part\n")
+    return docs.filter("text IS NOT NULL").select("doc_id", F.concat(F.lit("# "), F.col("lang"), F.lit("\n"), body).alias("text"))
+
+
+_LINES_SQL = r"""SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL"""
+
+
+@query(rf"""SELECT doc_id, CASE WHEN n = 1 THEN lang ELSE lang || ' > part' END AS trail, regexp_replace(line, '^\s+|\s+$', '', 'g') AS body, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos
+FROM ({_LINES_SQL}) WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''""")
+def sections(spark, sf_dir):
+    rows = _marked(_docs(spark, sf_dir)).select("doc_id", F.posexplode(chunking.sections(F.col("text"))).alias("pos", "s"))
+    return rows.select("doc_id", F.array_join("s.path", " > ").alias("trail"), F.col("s.body").alias("body"), F.col("pos").cast("long").alias("pos"))
+
+
+_HARD_SQL = """
+WITH RECURSIVE cut AS (
+  SELECT doc_id, CAST(-1 AS BIGINT) AS pos, '' AS piece, text AS rest FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, pos + 1, trim(substr(rest, 1, cutat), {ws}) AS piece, trim(substr(rest, cutat + 1), {ws}) AS rest
+  FROM (SELECT *, CASE WHEN length(rest) <= {b} THEN length(rest) WHEN p IS NULL OR {b} - p <= 0 THEN {b} ELSE {b} - p END AS cutat
+        FROM (SELECT *, nullif(instr(reverse(substr(rest, 1, {b})), ' '), 0) AS p FROM cut WHERE rest <> ''))
+)
+SELECT doc_id, pos, piece FROM cut WHERE pos >= 0 AND piece <> ''
+"""
+
+
+@query(_HARD_SQL.format(b=500, ws="' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"))
+def hard_split(spark, sf_dir):
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL")
+    return docs.select("doc_id", F.posexplode(chunking.hard_split(F.col("text"), 500)).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(r"""
+WITH RECURSIVE paras AS (
+  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND length(x) <= 800) AS ps FROM documents WHERE text IS NOT NULL
+), fold AS (
+  SELECT doc_id, ps, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS cur FROM paras
+  UNION ALL
+  SELECT doc_id, ps, i + 1, CASE WHEN over THEN list_append(done, cur) ELSE done END,
+    CASE WHEN over THEN (CASE WHEN ltrim(right(cur, 100), ' ' || chr(10)) <> '' THEN ltrim(right(cur, 100), ' ' || chr(10)) || chr(10) || chr(10) || ps[i + 1] ELSE ps[i + 1] END) WHEN cur = '' THEN ps[i + 1] ELSE cur || chr(10) || chr(10) || ps[i + 1] END
+  FROM (SELECT *, cur <> '' AND length(cur) + 2 + length(ps[i + 1]) > 800 AS over FROM fold WHERE i < len(ps))
+), packed AS (SELECT doc_id, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS chunks FROM fold WHERE i = len(ps))
+SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(chunks, lambda c: length(trim(c)) >= 64) AS chunks FROM packed)
+""")
+def pack_chunks(spark, sf_dir):
+    """Lines as paragraphs (those over the budget left out, so that the fold is seen alone), filled up to 800 characters."""
+    paras = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: (p != "") & (F.length(p) <= 800))
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.array_join(paras, "\n\n").alias("body"))
+    return docs.select("doc_id", F.posexplode(chunking.pack_section(F.array().cast("array<string>"), F.col("body"), 800, 100, 64)).alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(r"""
+WITH RECURSIVE fold AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS cur, length(text) AS total, text FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, ls, i + 1, list_concat(CASE WHEN over THEN list_append(done, cur) ELSE done END, list_transform(range(0, cuts), lambda k: substr(nxt, CAST(k * 300 + 1 AS BIGINT), 300))), substr(nxt, CAST(cuts * 300 + 1 AS BIGINT)), total, text
+  FROM (SELECT *, greatest(0, CAST(floor((length(nxt) - 1) / 300.0) AS BIGINT)) AS cuts FROM (
+    SELECT *, cur <> '' AND length(cur) + length(line) > 300 AS over, CASE WHEN cur <> '' AND length(cur) + length(line) > 300 THEN line ELSE cur || line END AS nxt
+    FROM (SELECT *, ls[i + 1] || CASE WHEN i + 1 < len(ls) THEN chr(10) ELSE '' END AS line FROM fold WHERE i < len(ls))))
+), cut AS (SELECT doc_id, CASE WHEN total <= 300 THEN [text] WHEN trim(cur, ' ' || chr(10) || chr(9) || chr(13)) <> '' THEN list_append(done, cur) ELSE done END AS ws FROM fold WHERE i = len(ls))
+SELECT doc_id, unnest(ws) AS part, generate_subscripts(ws, 1) - 1 AS pos FROM cut
+""")
+def code_windows(spark, sf_dir):
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL")
+    return docs.select("doc_id", F.posexplode(chunking.code_windows(F.col("text"), 300)).alias("pos", "part")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(r"""SELECT doc_id, 0 AS chunk_index, substr(sha256(concat(CAST(doc_id AS VARCHAR), chr(31), '0', chr(31), regexp_replace(text, '^\s+|\s+$', '', 'g'))), 1, 16) AS id
+FROM documents WHERE length(text) <= 2048 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 64 AND NOT regexp_matches(text, '(^|\n)#{1,6}\s') AND NOT contains(text, '#')""")
+def chunk_ids(spark, sf_dir):
+    """Ids of the chunks of documents that fit one chunk."""
+    docs = _docs(spark, sf_dir).filter((F.length("text") <= 2048) & ~F.contains("text", F.lit("#")))
+    return chunking.chunk_markdown(docs.select("doc_id", "text")).select("doc_id", "chunk_index", "id")
+
+
+@query(r"""SELECT lang AS kind, CAST(count(*) AS BIGINT) AS docs FROM documents WHERE lang IN ('de', 'fr', 'en', 'es') AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 64 GROUP BY lang""")
+def routed_chunks(spark, sf_dir):
+    """Documents with at least one chunk, by kind: German as code, French as API pages, the rest as prose."""
+    kind = F.when(F.col("lang") == "de", "code").when(F.col("lang") == "fr", "api").otherwise("manual")
+    docs = _docs(spark, sf_dir).filter(F.col("lang").isin("de", "fr", "en", "es") & (F.length(tx.strip(F.col("text"))) >= 64)).select("doc_id", "lang", "text", kind.alias("source_type"))
+    chunked = chunking.chunk_corpus(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.join(chunked, "doc_id").groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("docs"))
+
+
+# Search -----------------------------------------------------------------------------------------------------------------
+
+_BM25_SQL = """
+tokens AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tokens),
+terms AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark),
+wanted AS (SELECT DISTINCT term FROM terms),
+tf AS (SELECT doc_id, lang, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, lang, len(w) AS dl, unnest(w) AS term FROM tokens) SEMI JOIN wanted USING (term) GROUP BY doc_id, lang, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT query_id, doc_id, any_value(lang) AS lang, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM terms JOIN df USING (term) JOIN tf USING (term), stats GROUP BY query_id, doc_id)
+"""
+
+
+def _queries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query(f"WITH {_BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")
+def bm25_top10(spark, sf_dir):
+    found = retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 10)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_BM25_SQL} SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE lang = 'en') WHERE rank <= 5")
+def where_filter(spark, sf_dir):
+    """The filter comes before the cut, the statistics stay those of the whole table."""
+    found = retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 5, where=F.col("lang") == "en")
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+_RELEVANT = "SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
+
+
+def _relevant(spark, sf_dir) -> DataFrame:
+    """query_id, doc_id of the documents that hold a query's text, among candidates that share its first words.
+
+    The equi-join on a run of five words replaces comparing every pair; contains() then decides."""
+    items = _queries(spark, sf_dir).withColumn("key", F.xxhash64(F.slice(tx.words(F.col("query")), 2, 4)))
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", tx.words(F.col("text")).alias("w")).filter(F.size("w") >= 4)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.xxhash64(F.slice("w", i, 4)))
+    docs = docs.select("doc_id", F.explode(runs).alias("key"))
+    found = docs.select("doc_id", "key").join(retrieval.small(items.select("query_id", "key")), "key").select("query_id", "doc_id").distinct()
+    checked = found.join(retrieval.small(items.select("query_id", "query")), "query_id").join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return checked.filter(F.contains("text", F.col("query"))).select("query_id", "doc_id")
+
+
+def _per_query(spark, sf_dir, k: int = 5) -> DataFrame:
+    relevant = _relevant(spark, sf_dir)
+    hits = retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 10)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, "a").when(F.col("item_id") % 3 == 1, "b").alias("type"))
+    expects = relevant.groupBy("query_id").agg(F.count("*").alias("n_expect"))
+    asked = asked.join(expects, "query_id", "left").withColumn("n_expect", F.coalesce("n_expect", F.lit(0)))
+    matches = hits.join(relevant, ["query_id", "doc_id"]).select("query_id", "rank", F.col("doc_id").alias("expect_no"))
+    return evaluation.query_metrics(asked, matches, k)
+
+
+_PER_QUERY_SQL = f"""WITH {_BM25_SQL}, hits AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10),
+relevant AS ({_RELEVANT}),
+best AS (SELECT query_id, min(rank) AS first_rank, count(DISTINCT CASE WHEN rank <= 5 THEN doc_id END) AS found FROM hits JOIN relevant USING (query_id, doc_id) GROUP BY query_id),
+n AS (SELECT query_id, count(*) AS n_expect FROM relevant GROUP BY query_id),
+per AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS type,
+  CASE WHEN n_expect > 0 AND first_rank <= 5 THEN 1.0 ELSE 0.0 END AS hit, CASE WHEN n_expect > 0 THEN coalesce(found, 0) / n_expect ELSE 0.0 END AS recall,
+  CASE WHEN first_rank IS NOT NULL THEN 1.0 / first_rank ELSE 0.0 END AS rr, first_rank
+  FROM benchmark b LEFT JOIN n ON n.query_id = b.item_id LEFT JOIN best ON best.query_id = b.item_id)
+"""
+
+
+@query(_PER_QUERY_SQL + "SELECT round(CAST(avg(hit) AS DOUBLE), 6) AS hit_at_k, round(avg(recall), 6) AS recall_at_k, round(CAST(avg(rr) AS DOUBLE), 6) AS mrr, count(*) AS n FROM per")
+def retrieval_metrics(spark, sf_dir):
+    m = evaluation.macro(_per_query(spark, sf_dir))
+    return m.select(F.round("hit_at_k", 6).alias("hit_at_k"), F.round("recall_at_k", 6).alias("recall_at_k"), F.round("mrr", 6).alias("mrr"), "n")
+
+
+@query(_PER_QUERY_SQL + "SELECT coalesce(t, '(all)') AS type, round(CAST(avg(hit) AS DOUBLE), 6) AS hit_at_k, round(avg(recall), 6) AS recall_at_k, round(CAST(avg(rr) AS DOUBLE), 6) AS mrr, count(*) AS n FROM (SELECT *, coalesce(type, '?') AS t FROM per) GROUP BY ROLLUP (t)")
+def metrics_by_type(spark, sf_dir):
+    m = evaluation.macro(_per_query(spark, sf_dir), by_type=True)
+    return m.select("type", F.round("hit_at_k", 6).alias("hit_at_k"), F.round("recall_at_k", 6).alias("recall_at_k"), F.round("mrr", 6).alias("mrr"), "n")
+
+
+@query(_PER_QUERY_SQL + "SELECT query_id, first_rank FROM per")
+def first_match_rank(spark, sf_dir):
+    return _per_query(spark, sf_dir).select("query_id", F.col("first_rank").cast("long").alias("first_rank"))
+
+
+@query(_PER_QUERY_SQL + "SELECT query_id, type FROM per WHERE hit = 0")
+def miss_list(spark, sf_dir):
+    return evaluation.misses(_per_query(spark, sf_dir))
+
+
+@query("""SELECT i.item_id AS query_id, d.doc_id FROM documents d, benchmark i WHERE contains(lower(concat_ws(' ', coalesce(lang, 'None'), coalesce(source, 'None'))), 'src' || (i.item_id % 20))""")
+def expectation_matches(spark, sf_dir):
+    """Substring expectations over joined fields. The expected text is a whole field or its start, so words of the fields are joined by prefix."""
+    want = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("expect"))
+    docs = _docs(spark, sf_dir).select("doc_id", F.lower(F.concat_ws(" ", evaluation.text_of(F.col("lang")), evaluation.text_of(F.col("source")))).alias("hay"))
+    # Few distinct haystacks: expectations are matched against those, documents join by equality.
+    kinds = docs.select("hay").distinct().withColumn("g", F.lit(0)).join(want.select("expect").distinct().withColumn("g", F.lit(0)), "g").filter(F.contains("hay", F.lower(F.col("expect")))).select("hay", "expect")
+    return docs.join(kinds, "hay").join(want, "expect").select("query_id", "doc_id")
+
+
+_KNN_SQL = """
+q AS (SELECT vec_id AS query_id, label AS q_label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
+t AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (SELECT query_id, id, q_label, label, list_cosine_similarity(v, e) AS score FROM q, t)
+"""
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return rows.filter(F.col("id") % 50 == 0).withColumnRenamed("id", "query_id"), rows
+
+
+@query(f"WITH {_KNN_SQL} SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM near) WHERE rank <= 40")
+def knn_cosine(spark, sf_dir):
+    q, rows = _vectors(spark, sf_dir)
+    return retrieval.knn(q, rows, 40).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_KNN_SQL} SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM near WHERE label = q_label) WHERE rank <= 10")
+def knn_prefiltered(spark, sf_dir):
+    q, rows = _vectors(spark, sf_dir)
+    return retrieval.knn(q, rows, 10, group="label").select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_KNN_SQL} SELECT query_id, id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM near) WHERE rank <= 5")
+def vector_only(spark, sf_dir):
+    q, rows = _vectors(spark, sf_dir)
+    return retrieval.knn(q, rows, 5).select("query_id", "id").join(rows.select("id", "label"), "id").select("query_id", "id", "label")
+
+
+# Two ranked lists over the same ids: BM25 by text, and closeness of length (a stand-in for a dense list).
+_LISTS_SQL = f"""{_BM25_SQL},
+lexical AS (SELECT query_id, doc_id AS id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 40),
+near AS (SELECT item_id AS query_id, doc_id AS id, abs(length(d.text) - length(b.text)) AS gap FROM benchmark b, documents d),
+dense AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gap, id) AS rank FROM near) WHERE rank <= 40),
+merged AS (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.id, l.id) AS id, d.rank AS rd, l.rank AS rl FROM dense d FULL JOIN lexical l ON d.query_id = l.query_id AND d.id = l.id),
+fused AS (SELECT *, 0.0 + coalesce(CAST(1.0 AS DOUBLE) / (60 + rd), 0.0) + coalesce(CAST(1.0 AS DOUBLE) / (60 + rl), 0.0) AS score, coalesce(rd, 1000000 + rl) AS first_seen FROM merged)
+"""
+
+
+def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    lexical = retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 40).select("query_id", F.col("doc_id").alias("id"), "rank")
+    # One number a document is the one-dimensional vector of the stand-in; the few queries go to the documents.
+    q = retrieval.small(_queries(spark, sf_dir).select("query_id", F.length("query").alias("n")))
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("text").alias("m"))
+    order = Window.partitionBy("query_id").orderBy(F.abs(F.col("m") - F.col("n")), "id")
+    dense = rows.crossJoin(q).withColumn("rank", F.row_number().over(order)).filter("rank <= 40").select("query_id", "id", "rank")
+    return dense, lexical
+
+
+@query(f"WITH {_LISTS_SQL} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM fused")
+def rrf_fuse(spark, sf_dir):
+    return retrieval.fuse(list(_lists(spark, sf_dir))).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_LISTS_SQL} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM fused) WHERE rank <= 6")
+def hybrid(spark, sf_dir):
+    dense, lexical = _lists(spark, sf_dir)
+    return retrieval.hybrid(dense, lexical).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_SYMBOL_SQL = f"""{_LISTS_SQL},
+rows AS (SELECT doc_id AS id, 'lib.' || replace(substr(text, 1, 20), ' ', '_') AS symbol FROM documents),
+leaf AS (SELECT f.query_id, f.id, first_seen, list_distinct(regexp_extract_all(lower(replace(string_split(symbol, '.')[-1], '_', ' ')), '[a-z0-9]+')) AS l, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS q
+  FROM fused f JOIN rows USING (id) JOIN benchmark b ON b.item_id = f.query_id),
+symbols AS (SELECT query_id, id, score AS symbol_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM
+  (SELECT *, CASE WHEN len(l) > 0 THEN len(list_intersect(l, q)) / len(l) ELSE 0.0 END AS score FROM leaf) WHERE score > 0),
+boosted AS (SELECT f.query_id, f.id, f.score + coalesce(CAST(1.0 AS DOUBLE) / (60 + s.rank), 0.0) AS score, first_seen FROM fused f LEFT JOIN symbols s ON s.query_id = f.query_id AND s.id = f.id)
+"""
+
+
+def _symbols(spark, sf_dir) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat(F.lit("lib."), F.replace(F.substring("text", 1, 20), F.lit(" "), F.lit("_"))).alias("symbol"), F.lit("").alias("title"))
+
+
+@query(f"WITH {_SYMBOL_SQL} SELECT query_id, id, round(symbol_score, 6) AS symbol_score, rank AS symbol_rank FROM symbols")
+def symbol_rank(spark, sf_dir):
+    pool = retrieval.fuse(list(_lists(spark, sf_dir))).select("query_id", "id", "first_seen")
+    named = pool.join(_symbols(spark, sf_dir), "id").join(retrieval.small(_queries(spark, sf_dir)), "query_id")
+    return retrieval.symbol_rank(named).select("query_id", "id", F.round("symbol_score", 6).alias("symbol_score"), F.col("symbol_rank").cast("long").alias("symbol_rank"))
+
+
+@query(f"WITH {_SYMBOL_SQL} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM boosted) WHERE rank <= 6")
+def hybrid_symbol(spark, sf_dir):
+    dense, lexical = _lists(spark, sf_dir)
+    found = retrieval.hybrid(dense, lexical, _symbols(spark, sf_dir), _queries(spark, sf_dir))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_LISTS_SQL}, pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM fused)
+SELECT query_id, id, rerank_score, new_rank FROM (SELECT query_id, id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS new_rank FROM
+  (SELECT p.*, round(CAST((id * 7919 % 101) AS DOUBLE) / 101, 6) AS rerank_score FROM pool p WHERE rank <= 40)) WHERE new_rank <= 5""")
+def rerank_apply(spark, sf_dir):
+    """Reranking with a score that is a rule of the id, so that SQL can follow."""
+    pool = retrieval.fuse(list(_lists(spark, sf_dir))).filter("rank <= 40")
+    out = retrieval.rerank(pool, (F.col("id") * 7919 % 101).cast("double") / 101, 5)
+    return out.select("query_id", "id", "rerank_score", F.col("new_rank").cast("long").alias("new_rank"))
+
+
+_CONFIG_SQL = f"""WITH {_LISTS_SQL}, relevant AS ({_RELEVANT}),
+fusedrank AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM fused),
+alls AS (SELECT 'dense' AS config, query_id, id, rank FROM dense UNION ALL SELECT 'hybrid', query_id, id, rank FROM fusedrank UNION ALL SELECT 'lexical', query_id, id, rank FROM lexical),
+best AS (SELECT config, alls.query_id, min(rank) AS r FROM alls JOIN relevant ON alls.query_id = relevant.query_id AND alls.id = relevant.doc_id WHERE rank <= 5 GROUP BY ALL),
+asked AS (SELECT DISTINCT query_id FROM relevant), configs AS (SELECT unnest(['dense', 'hybrid', 'lexical']) AS config)
+SELECT config, round(CAST(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END) AS DOUBLE), 6) AS hit_at_5, round(CAST(avg(coalesce(1.0 / r, 0.0)) AS DOUBLE), 6) AS mrr FROM (SELECT * FROM configs, asked) LEFT JOIN best USING (config, query_id) GROUP BY config"""
+
+
+@query(_CONFIG_SQL)
+def config_comparison(spark, sf_dir):
+    """hit@5 and MRR of three ways to search, over the queries that have a relevant document."""
+    dense, lexical = _lists(spark, sf_dir)
+    lists = {"dense": dense, "lexical": lexical, "hybrid": retrieval.fuse([dense, lexical]).select("query_id", "id", "rank")}
+    relevant = _relevant(spark, sf_dir)
+    all_ = None
+    for name, ranked in lists.items():
+        own = ranked.filter("rank <= 5").withColumn("config", F.lit(name))
+        all_ = own if all_ is None else all_.unionByName(own)
+    best = all_.join(relevant.select("query_id", F.col("doc_id").alias("id")), ["query_id", "id"]).groupBy("config", "query_id").agg(F.min("rank").alias("r"))
+    asked = relevant.select("query_id").distinct().select("query_id", F.explode(F.array(*[F.lit(n) for n in lists])).alias("config"))
+    scored = asked.join(best, ["config", "query_id"], "left")
+    return scored.groupBy("config").agg(F.round(F.avg(F.when(F.col("r").isNull(), 0.0).otherwise(1.0)), 6).alias("hit_at_5"), F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
+
+
+# Design-only ranking ----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, round((1.0 / (61 + doc_id)) * CASE source WHEN 'src1' THEN 1.1 ELSE 1.0 END * CASE WHEN doc_id % 3 = 0 THEN 1.0 WHEN doc_id % 3 = 1 THEN 0.8 ELSE 0.5 END * (0.6 + 0.4 * greatest(0.0, least(1.0, ((2017 + doc_id % 10) - 2019) / 7.0))), 9) AS score FROM documents""")
+def trust_weighted(spark, sf_dir):
+    status = F.when(F.col("doc_id") % 3 == 0, "current").when(F.col("doc_id") % 3 == 1, "dated_valid").otherwise("stale")
+    year = 2017 + F.col("doc_id") % 10
+    weight = retrieval.trust_weight(1.0 / (61 + F.col("doc_id")), F.when(F.col("source") == "src1", 1.1), status, year, F.lit(None).cast("double"), F.lit(None).cast("double"), 2026)
+    return _docs(spark, sf_dir).select("doc_id", F.round(weight, 9).alias("score"))
+
+
+@query("""SELECT build, count(*) AS docs FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'gpl-3.0' WHEN 1 THEN 'mit' WHEN 2 THEN 'cc-by-sa-4.0' ELSE 'unknown' END AS license, CASE WHEN doc_id % 2 = 0 THEN 'technical' ELSE 'creative' END AS tier FROM documents)
+JOIN (SELECT * FROM (VALUES ('open', 'gpl-3.0'), ('open', 'mit'), ('open', 'cc-by-sa-4.0'), ('closed', 'mit')) v(build, license)) USING (license) WHERE tier = 'technical' OR build = 'open' GROUP BY build""")
+def license_build_filter(spark, sf_dir):
+    """Documents that each build may hold, by a small table of license classes."""
+    classes = spark.createDataFrame([("open", "gpl-3.0"), ("open", "mit"), ("open", "cc-by-sa-4.0"), ("closed", "mit")], "build string, license string")
+    license_ = F.element_at(F.array(F.lit("gpl-3.0"), F.lit("mit"), F.lit("cc-by-sa-4.0"), F.lit("unknown")), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = _docs(spark, sf_dir).select(license_.alias("license"), F.when(F.col("doc_id") % 2 == 0, "technical").otherwise("creative").alias("tier"))
+    return docs.join(F.broadcast(classes), "license").filter("tier = 'technical' OR build = 'open'").groupBy("build").agg(F.count("*").alias("docs"))
+
+
+@query("""SELECT item_id AS query_id, CASE WHEN regexp_matches(text, '^(The|Is|To)\\b') THEN 'technical' WHEN item_id % 5 = 0 THEN 'creative' ELSE 'technical' END AS tier FROM benchmark""".replace("\\\\", "\\"))
+def tier_routing(spark, sf_dir):
+    """Queries that name a symbol are technical, others follow their wish, technical without one."""
+    names = F.col("text").rlike(r"^(The|Is|To)\b")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(names, "technical").when(F.col("item_id") % 5 == 0, "creative").otherwise("technical").alias("tier"))
+
+
+# Sessions ---------------------------------------------------------------------------------------------------------------
+
+_CODE = "CASE WHEN turn % 5 = 1 THEN 'scene.render.engine = ''BLENDER_EEVEE_NEXT'' # NISHITA' WHEN turn % 5 = 3 THEN 'import bgl' || chr(10) || 'node.glare_type' ELSE 'ok = 1 # bgl.x' END"
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    """Conversations as events: user turns are queries, assistant turns are code runs."""
+    turn = F.col("turn")
+    code = F.when(turn % 5 == 1, "scene.render.engine = 'BLENDER_EEVEE_NEXT' # NISHITA").when(turn % 5 == 3, "import bgl\nnode.glare_type").otherwise("ok = 1 # bgl.x")
+    run = F.col("role") == "assistant"
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(run, sessions.EXEC).otherwise(sessions.QUERY).alias("type"), F.when(~run, F.col("text")).alias("query"), F.when(run, code).alias("code"), (F.length("text") % 3 != 0).alias("ok"))
+
+
+def _sessions(spark, sf_dir) -> DataFrame:
+    """One row a conversation; the condition is the parity of its id, the task its remainder by 7."""
+    event = F.struct("type", "query", F.lit(None).cast("string").alias("source_type"), F.lit(None).cast("int").alias("top_k"), F.lit(None).cast("int").alias("n_hits"), "code", "ok", F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error_message"))
+    rows = _events(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", event.alias("e")))), lambda x: x["e"]).alias("events"))
+    scene = F.struct(*[(F.col("conv_id") % k).cast("int").alias(n) for k, n in ((5, "objects"), (3, "meshes"), (4, "materials"), (6, "material_nodes"), (2, "lights"))])
+    return rows.select(
+        F.concat(F.lit("task"), (F.col("conv_id") % 7).cast("string")).alias("task_id"), (F.col("conv_id") % 2 == 0).alias("rag_enabled"), F.col("conv_id").cast("int").alias("run_index"),
+        "events", scene.alias("final_scene"), (F.col("conv_id") % 3 != 0).alias("completed"), F.array(F.lit("eevee_next"), F.lit("NOT THERE"), F.lit("BGL")).alias("success_hints"),
+    )
+
+
+_SESSION_SQL = f"""WITH ev AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'code_exec' ELSE 'rag_query' END AS type, CASE WHEN role = 'assistant' THEN {_CODE} END AS code, length(text) % 3 <> 0 AS ok FROM conversations),
+led AS (SELECT *, lag(type) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM ev),
+per AS (SELECT conv_id, count(*) FILTER (type = 'code_exec') AS n, count(*) FILTER (type = 'code_exec' AND NOT ok) AS bad, count(*) FILTER (type = 'rag_query') AS q, count(*) AS its,
+  count(*) FILTER (type = 'code_exec' AND before = 'rag_query') AS led, coalesce(sum(CASE WHEN type = 'code_exec' THEN CASE turn % 5 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END END), 0) AS lints, lower(string_agg(code, chr(10) ORDER BY turn)) AS code FROM led GROUP BY conv_id),
+scored AS (SELECT 'task' || (conv_id % 7) AS task_id, conv_id % 2 = 0 AS rag_enabled, CAST(conv_id AS INTEGER) AS run_index, CASE WHEN n > 0 THEN bad / n ELSE 0.0 END AS error_rate, n > 0 AND bad = 0 AS clean_run, CASE WHEN n > 0 THEN led / n ELSE 0.0 END AS query_before_call_rate,
+  CAST(lints AS INTEGER) AS gotcha_hits, (CASE WHEN contains(coalesce(code, ''), 'eevee_next') THEN 1 ELSE 0 END + CASE WHEN contains(coalesce(code, ''), 'bgl') THEN 1 ELSE 0 END) / 3 AS task_signal_rate,
+  CAST(conv_id % 5 + conv_id % 3 + conv_id % 4 + conv_id % 6 + conv_id % 2 AS INTEGER) AS scene_total, conv_id % 3 <> 0 AS completed, CAST(n AS INTEGER) AS code_executions, CAST(bad AS INTEGER) AS code_errors, CAST(q AS INTEGER) AS rag_queries, CAST(its AS INTEGER) AS iterations FROM per)
+"""
+
+
+@query(_SESSION_SQL + "SELECT * REPLACE (round(error_rate, 9) AS error_rate, round(query_before_call_rate, 9) AS query_before_call_rate, round(task_signal_rate, 9) AS task_signal_rate) FROM scored")
+def session_score(spark, sf_dir):
+    return sessions.score(_sessions(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("error_rate", "query_before_call_rate", "task_signal_rate")})
+
+
+@query(_SESSION_SQL + "SELECT run_index, round(query_before_call_rate, 9) AS rate FROM scored")
+def query_before_call_rate(spark, sf_dir):
+    return _sessions(spark, sf_dir).select("run_index", F.round(sessions.query_before_call_rate(F.col("events")), 9).alias("rate"))
+
+
+@query(_SESSION_SQL + "SELECT run_index, round(task_signal_rate, 9) AS rate FROM scored")
+def task_signal_rate(spark, sf_dir):
+    return _sessions(spark, sf_dir).select("run_index", F.round(sessions.task_signal_rate(F.col("events"), F.col("success_hints")), 9).alias("rate"))
+
+
+@query("""SELECT conv_id, turn, unnest(CASE turn % 5 WHEN 1 THEN ['eevee_next_engine_id'] WHEN 3 THEN ['glare_type_attribute', 'bgl_module_removed'] ELSE [] END) AS rule_id,
+  unnest(CASE turn % 5 WHEN 1 THEN ['BLENDER_EEVEE_NEXT'] WHEN 3 THEN ['.glare_type', 'import bgl'] ELSE [] END) AS match FROM conversations WHERE role = 'assistant'""")
+def lint_hits(spark, sf_dir):
+    rows = _events(spark, sf_dir).filter(F.col("type") == sessions.EXEC)
+    return rows.select("conv_id", "turn", F.explode(sessions.lint(F.col("code"))).alias("h")).select("conv_id", "turn", "h.rule_id", "h.match")
+
+
+@query("SELECT conv_id, CAST(sum(CASE turn % 5 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END) AS BIGINT) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def lint_counts(spark, sf_dir):
+    rows = _events(spark, sf_dir).filter(F.col("type") == sessions.EXEC)
+    return rows.groupBy("conv_id").agg(F.sum(F.size(sessions.lint(F.col("code")))).alias("n"))
+
+
+@query("""SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS least, max(value) AS most, round(stddev_pop(value), 6) AS stdev FROM events GROUP BY event_type""")
+def summary_stats(spark, sf_dir):
+    out = sessions.summaries(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], ["value"])
+    return out.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.col("min").alias("least"), F.col("max").alias("most"), F.round("stdev", 6).alias("stdev"))
+
+
+_VALUES = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in sessions.METRICS)
+_SUMMARY_SQL = _SESSION_SQL + f""", longer AS (UNPIVOT (SELECT task_id, rag_enabled, {_VALUES} FROM scored) ON {', '.join(sessions.METRICS)} INTO NAME metric VALUE value),
+summed AS (SELECT task_id, rag_enabled, metric, count(*) AS n, avg(value) AS mean, median(value) AS median, stddev_pop(value) AS stdev FROM longer GROUP BY ALL),
+delta AS (SELECT task_id, metric, max(mean) FILTER (rag_enabled) - max(mean) FILTER (NOT rag_enabled) AS delta FROM summed GROUP BY ALL HAVING count(DISTINCT rag_enabled) = 2)
+"""
+
+
+@query(_SUMMARY_SQL + "SELECT task_id, rag_enabled, metric, n, round(mean, 6) AS mean, round(median, 6) AS median, round(stdev, 6) AS stdev FROM summed")
+def condition_summary(spark, sf_dir):
+    out = sessions.summaries(sessions.score(_sessions(spark, sf_dir)).withColumns({c: F.col(c).cast("int") for c in ("clean_run", "completed")}), ["task_id", "rag_enabled"], sessions.METRICS)
+    return out.select("task_id", "rag_enabled", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev")])
+
+
+def _deltas(spark, sf_dir) -> DataFrame:
+    scored = sessions.score(_sessions(spark, sf_dir)).withColumns({c: F.col(c).cast("int") for c in ("clean_run", "completed")})
+    return sessions.deltas(sessions.summaries(scored, ["task_id", "rag_enabled"], sessions.METRICS))
+
+
+@query(_SUMMARY_SQL + "SELECT task_id, metric, round(delta, 6) AS delta FROM delta")
+def ablation_deltas(spark, sf_dir):
+    return _deltas(spark, sf_dir).select("task_id", "metric", F.round("delta", 6).alias("delta"))
+
+
+@query(_SUMMARY_SQL + """, marked AS (SELECT task_id, CASE WHEN abs(delta) < 1e-9 THEN 0 ELSE sign(delta) * CASE WHEN metric IN ('error_rate', 'gotcha_hits') THEN -1 ELSE 1 END END AS b FROM delta WHERE metric IN ('error_rate', 'gotcha_hits', 'task_signal_rate', 'query_before_call_rate'))
+SELECT task_id, count(*) FILTER (b > 0) AS good, count(*) FILTER (b < 0) AS bad, count(*) FILTER (b > 0) > count(*) FILTER (b < 0) AS helped FROM marked GROUP BY task_id""")
+def helped_verdict(spark, sf_dir):
+    return sessions.verdicts(_deltas(spark, sf_dir))
+
+
+@query(_SESSION_SQL + "SELECT rag_enabled, round(CASE WHEN sum(code_executions) > 0 THEN sum(code_errors) / sum(code_executions) ELSE 0.0 END, 9) AS pooled_error_rate FROM scored GROUP BY rag_enabled")
+def pooled_error_rate(spark, sf_dir):
+    out = sessions.pooled_error_rate(sessions.score(_sessions(spark, sf_dir)), ["rag_enabled"])
+    return out.select("rag_enabled", F.round("pooled_error_rate", 9).alias("pooled_error_rate"))
+
+
+# Sources ----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
+
+
+@query()
+def html_texts(spark, sf_dir):
+    """The text of every page, by the HTML parser; SQL has none."""
+    return table(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
+
+
+def _posts(spark, sf_dir) -> DataFrame:
+    """Documents as posts: ids divisible by 4 are questions, the others answer the question that the id's half points to."""
+    d = F.col("doc_id")
+    return _docs(spark, sf_dir).select(d.alias("pos"), d.alias("id"), (d % 4 == 0).alias("is_question"), (F.floor(d * 37 / 40) * 4 % 1000).alias("parent"), F.col("source").alias("title"))
+
+
+_POSTS_SQL = "WITH posts AS (SELECT doc_id AS pos, doc_id AS id, doc_id % 4 = 0 AS is_question, CAST(floor(doc_id * 37 / 40) AS BIGINT) * 4 % 1000 AS parent, source AS title FROM documents)"
+
+
+@query(_POSTS_SQL + " SELECT a.id, coalesce(q.title, 'untitled') AS title FROM posts a LEFT JOIN posts q ON q.is_question AND q.id = a.parent WHERE NOT a.is_question")
+def qa_pairing(spark, sf_dir):
+    posts = _posts(spark, sf_dir)
+    asked = posts.filter("is_question").select(F.col("id").alias("parent"), F.col("title").alias("q_title"))
+    return posts.filter("NOT is_question").join(asked, "parent", "left").select("id", F.coalesce("q_title", F.lit("untitled")).alias("title"))
+
+
+@query(_POSTS_SQL + " SELECT a.id, coalesce(q.title, 'untitled') AS title FROM posts a LEFT JOIN posts q ON q.is_question AND q.id = a.parent AND q.pos < a.pos WHERE NOT a.is_question")
+def qa_pairing_asof(spark, sf_dir):
+    """As qa_pairing, but an answer sees only questions that stand before it."""
+    posts = _posts(spark, sf_dir)
+    asked = posts.filter("is_question").select(F.col("id").alias("parent"), F.col("title").alias("q_title"), F.col("pos").alias("q_pos"))
+    joined = posts.filter("NOT is_question").join(asked, "parent", "left")
+    return joined.select("id", F.coalesce(F.when(F.col("q_pos") < F.col("pos"), F.col("q_title")), F.lit("untitled")).alias("title"))
+
+
+@query("""SELECT event_id, CASE WHEN y >= 2024 THEN 'current' WHEN y >= 2021 THEN 'dated_valid' ELSE 'stale' END AS answer, CASE WHEN y >= 2024 THEN 'current' ELSE 'dated_valid' END AS post FROM (SELECT event_id, 2017 + event_id % 10 AS y FROM events)""")
+def version_status(spark, sf_dir):
+    y = tx.year_of(F.concat((2017 + F.col("event_id") % 10).cast("string"), F.lit("-05-01")))
+    return table(spark, sf_dir, "events").select("event_id", tx.answer_status(y).alias("answer"), tx.post_status(y).alias("post"))
+
+
+@query("SELECT event_id, CASE WHEN year(ts) >= 2018 THEN 'cc-by-sa-4.0' ELSE 'cc-by-sa-3.0' END AS license FROM events")
+def license_year(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", tx.license_of_year(F.year("ts")).alias("license"))
+
+
+@query("""SELECT l.doc_id, CASE WHEN l.quality = 1 THEN coalesce(substr(d.text, 1, 40), 'none') || chr(10) || chr(10) || 'chunk' ELSE 'chunk' END AS embedded FROM labels l LEFT JOIN documents d USING (doc_id)""")
+def context_join(spark, sf_dir):
+    """Chunks with the context of their parent document, where the scope asks for one."""
+    joined = table(spark, sf_dir, "labels").join(_docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 40).alias("head")), "doc_id", "left")
+    context = F.when(F.col("quality") == 1, F.coalesce("head", F.lit("none")))
+    return joined.select("doc_id", F.when(context.isNotNull(), F.concat(context, F.lit("\n\nchunk"))).otherwise("chunk").alias("embedded"))
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def json_roundtrip(spark, sf_dir):
+    """Rows through JSON text and back."""
+    schema = "doc_id long, lang string, source string, n_chars long"
+    lines = _docs(spark, sf_dir).select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("j"))
+    return lines.select(F.from_json("j", schema).alias("r")).select("r.*")
