@@ -115,7 +115,7 @@ def _bucket(points: list[tuple[int, int]]) -> Column:
         hi, lo = points[mid]
         if hi >= 1 << 64:
             return tree(low, mid)
-        left = (F.col("hi") < _signed(hi)) | ((F.col("hi") == _signed(hi)) & (F.col("lo") < _signed(lo))) if lo else F.col("hi") < _signed(hi)
+        left = (F.col("__hi") < _signed(hi)) | ((F.col("__hi") == _signed(hi)) & (F.col("__lo") < _signed(lo))) if lo else F.col("__hi") < _signed(hi)
         return F.when(left, tree(low, mid)).otherwise(tree(mid + 1, high))
 
     return tree(0, len(points))
@@ -135,25 +135,24 @@ def histogram_shard(
     Nulls: a null group, id or size counts as empty text, the least id and 0. Rows alike in group and id always share a
     piece, in either order. An empty table gives an empty result. Other columns pass through; own columns named shard,
     slot or size are replaced."""
-    spark = df.sparkSession
     work = df.drop("shard", "slot", "size").withColumns({
         "size": F.coalesce(size, F.lit(0)).cast("long"),
-        "hi": F.xxhash64(F.coalesce(group, F.lit(""))),
-        "lo": F.coalesce(F.col(row_id).cast("long"), F.lit(_LOW)),
+        "__hi": F.xxhash64(F.coalesce(group, F.lit(""))),
+        "__lo": F.coalesce(F.col(row_id).cast("long"), F.lit(_LOW)),
     })
-    keys = staged(work.select("hi", "lo", "size"), "shard-keys")
+    keys = staged(work.select(F.col("__hi").alias("hi"), F.col("__lo").alias("lo"), "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     pieces = int(min(max_pieces, max(1, -(-total // (shards * piece_bytes)))))
     points, _, below = split_points(keys, shards, pieces, tolerance, group_tolerance) if total else ([(0, 0)] * (shards * pieces - 1), [], [0] * (shards * pieces - 1))
     starts = [0, *below]
-    base = F.element_at(F.array(*[F.lit(starts[j] - starts[j // pieces * pieces]).cast("long") for j in range(len(starts))]), F.col("bucket") + 1)
-    order = Window.partitionBy("bucket").orderBy("hi", "lo")
+    base = F.element_at(F.array(*[F.lit(starts[j] - starts[j // pieces * pieces]).cast("long") for j in range(len(starts))]), F.col("__bucket") + 1)
+    order = Window.partitionBy("__bucket").orderBy("__hi", "__lo")
     return (
-        work.withColumn("bucket", _bucket(points))
-        .repartitionById(shards * pieces, F.col("bucket"))
+        work.withColumn("__bucket", _bucket(points))
+        .repartitionById(shards * pieces, F.col("__bucket"))
         .withColumn("slot", F.row_number().over(order).cast("long") - 1 + base)
-        .withColumn("shard", F.floor(F.col("bucket") / pieces).cast("int"))
-        .drop("hi", "lo", "bucket")
+        .withColumn("shard", F.floor(F.col("__bucket") / pieces).cast("int"))
+        .drop("__hi", "__lo", "__bucket")
     )
 
 

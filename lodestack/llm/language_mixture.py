@@ -171,10 +171,10 @@ PREDICTION = T.StructType([
 ])
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
     """Language columns for every row: lang_pred, score, languages, proportions (largest first; ties by name).
 
-    keep: further columns to carry along. score is the proportion of lang_pred. A text that is null or has no letter, and
+    keep: further columns to carry along; prefix: before the names of the new columns, where keep has such names. score is the proportion of lang_pred. A text that is null or has no letter, and
     any text where the model knows no language, is `und` with score 0 and empty lists. A text is read whole, in pieces of
     1 MB; repeated rows get equal answers."""
     names, logp = model.names, model.logp
@@ -210,9 +210,9 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
                     preds.append(names[order[0]]), scores.append(float(min(1.0, share[k][order[0]])))
                     sets.append([names[x] for x in order]), shares.append([float(share[k][x]) for x in order])
             out = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], [*keep, *PREDICTION.names])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], [*keep, *[prefix + c for c in PREDICTION.names]])
 
-    schema = T.StructType([docs.schema[c] for c in keep] + PREDICTION.fields)
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(prefix + f.name, f.dataType) for f in PREDICTION.fields])
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
@@ -231,4 +231,4 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without any letter go. The columns stay those of docs."""
     model = train(_learnable(docs))
     columns = docs.columns
-    return identify(docs, model, columns).filter(F.col("lang_pred") != UNKNOWN).select(*columns)
+    return identify(docs, model, columns, prefix="__").filter(F.col("__lang_pred") != UNKNOWN).select(*columns)

@@ -380,17 +380,17 @@ def _cut(own: bytes, data: bytes | None) -> tuple[bytes, np.ndarray]:
     return b"".join(kept), np.stack([low, high], axis=1)
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], want: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """keep columns of docs and the wanted columns of KEPT: sizes, spans, digest and bytes left of each document.
+def remove_repeats(docs: DataFrame, keep: list[str], want: list[str], doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
+    """keep columns of docs and the wanted columns of KEPT (with prefix before their names): sizes, spans, digest and bytes left of each document.
 
     A null text is empty; a text under SPAN bytes keeps all. A null id comes before all others. Rows alike in id and text get
     the same result; rows that share an id count as one document, so ids of different texts should differ. An empty table
     gives no rows. Texts are UTF-8 bytes throughout; what is left of a text may cut characters."""
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID))
     covers = repeated_covers(docs.select(key.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    rows = docs.select(*keep, key.alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.join(covers.select(F.col("doc").alias("_doc"), F.col("data").alias("_data")).hint("merge"), "_doc", "left")
-    fields = [KEPT[c] for c in want]
+    rows = docs.select(*keep, key.alias("__doc"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = rows.join(covers.select(F.col("doc").alias("__doc"), F.col("data").alias("__data")).hint("merge"), "__doc", "left")
+    fields = [T.StructField(prefix + c, KEPT[c].dataType) for c in want]
     make = {
         "n_bytes": lambda own, kept, spans: len(own),
         "n_removed": lambda own, kept, spans: len(own) - len(kept),
@@ -404,14 +404,14 @@ def remove_repeats(docs: DataFrame, keep: list[str], want: list[str], doc_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: dict[str, list] = {c: [] for c in want}
-            raw, off = text_array(batch.column("_text"))
-            data = batch.column("_data")
+            raw, off = text_array(batch.column("__text"))
+            data = batch.column("__data")
             for k in range(batch.num_rows):
                 own = raw[off[k] : off[k + 1]].tobytes()
                 kept, spans = _cut(own, data[k].as_py())
                 for c in want:
                     made[c].append(make[c](own, kept, spans))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(made[c], _ARROW[c]) for c in want]], [*keep, *want])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(made[c], _ARROW[c]) for c in want]], [*keep, *[prefix + c for c in want]])
 
     return rows.mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], *fields]))
 
@@ -429,6 +429,6 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     that was cut go too. A null text becomes empty."""
     columns = docs.columns
     own = [c for c in columns if c not in ("text", "n_chars")]
-    found = remove_repeats(docs, own, ["n_removed", "kept_text"]).filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    found = remove_repeats(docs, own, ["n_removed", "kept_text"], prefix="__").filter((F.col("__n_removed") == 0) | F.col("__kept_text").rlike(r"\S"))
+    new = {"text": F.col("__kept_text"), "n_chars": F.length("__kept_text").cast("long")}
     return found.select(*[new[c].alias(c) if c in new else c for c in columns])
