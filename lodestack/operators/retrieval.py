@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestack.functions.text import words
 
@@ -28,24 +32,64 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return tokens.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, where: Column | None = None, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, where: Column | None = None, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text", block: int = 4096) -> DataFrame:
     """query_id, doc_id, score, rank (from 1) of the k best documents of each query; ties to the smaller id.
 
-    Statistics are those of the whole table; `where` limits only the candidates. Only the queries' terms leave the scan: they
-    are filtered before anything is counted or shuffled, and the counts are per document, so map-side sums do most of the work."""
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(words(F.col(query)))).alias("term"))
-    wanted = small(terms.select("term").distinct())
-    ok = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w"), ok.alias("ok")).withColumn("dl", F.size("w"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = tokens.select("doc_id", "dl", "ok", F.explode("w").alias("term")).join(wanted, "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("ok").alias("ok"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
-    scored = tf.filter("ok").join(small(weighted), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    Statistics are those of the whole table; `where` limits only the candidates. Common words pair nearly every document with
+    nearly every query, so pairs are never rows: the stated queries travel to the documents in blocks, an Arrow batch scores
+    its documents by one matrix product, and only its own k best for each query leave it. Document frequencies are one
+    count by term, over the queries' terms alone."""
+    spark = docs.sparkSession
+    asked = queries.select(F.col(query_id).alias("q"), F.array_distinct(words(F.coalesce(F.col(query), F.lit("")))).alias("w")).toPandas()
+    asked = asked[asked["w"].map(len) > 0]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("ok"))
+    tokens = rows.select(words(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
+    n, avgdl = tokens.agg(F.count("*"), F.avg("dl")).first()
+    ids = queries.schema[query_id].dataType
+    schema = T.StructType([T.StructField("query_id", ids), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
+    out = None
+    for low in range(0, len(asked), block):
+        part = asked.iloc[low : low + block]
+        vocabulary = sorted({w for own in part["w"] for w in own})
+        wanted = small(spark.createDataFrame([(w,) for w in vocabulary], "term string"))
+        df = dict(tokens.select(F.explode(F.array_distinct("w")).alias("term")).join(wanted, "term").groupBy("term").count().collect())
+        found = rows.filter("ok").mapInArrow(_scored(part, vocabulary, df, n, avgdl or 1.0, k, ids), schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _scored(asked, vocabulary: list[str], df: dict[str, int], n: int, avgdl: float, k: int, id_type: T.DataType):
+    """A batch function: the k best documents of the batch for each query (more where scores tie)."""
+    column = {w: i for i, w in enumerate(vocabulary)}
+    weight = np.zeros((len(vocabulary), len(asked)))
+    for j, own in enumerate(asked["w"]):
+        for w in own:
+            count = df.get(w, 0)
+            weight[column[w], j] = np.log(1 + (n - count + 0.5) / (count + 0.5))
+    ids, kind = asked["q"].tolist(), to_arrow_type(id_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                tf = np.zeros((part.num_rows, len(vocabulary)))
+                for i, doc in enumerate(part.column("text").to_pylist()):
+                    found = re.findall("[a-z0-9]+", doc.lower())
+                    for w, count in Counter(found).items():
+                        if w in column:
+                            tf[i, column[w]] = count * (K1 + 1) / (count + K1 * (1 - B + B * len(found) / avgdl))
+                score = (tf @ weight).T
+                if score.shape[1] > k:
+                    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                    q, d = np.nonzero((score >= least - 1e-9) & (score > 0))
+                else:
+                    q, d = np.nonzero(score > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q], kind), part.column("doc_id").take(pa.array(d)), pa.array(score[q, d])], ["query_id", "doc_id", "score"])
+
+    return run
 
 
 def knn(queries: DataFrame, table: DataFrame, k: int = 40, group: str | None = None, block: int = 4096) -> DataFrame:

@@ -292,11 +292,11 @@ def vector_only(spark, sf_dir):
     return retrieval.knn(q, rows, 5).select("query_id", "id").join(rows.select("id", "label"), "id").select("query_id", "id", "label")
 
 
-# Two ranked lists over the same ids: BM25 by text, and closeness of length (a stand-in for a dense list).
+# Two ranked lists over the same ids: BM25 by text, and cosine of plane vectors whose angle follows the length (a stand-in for an encoder).
 _LISTS_SQL = f"""{_BM25_SQL},
 lexical AS (SELECT query_id, doc_id AS id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 40),
-near AS (SELECT item_id AS query_id, doc_id AS id, abs(length(d.text) - length(b.text)) AS gap FROM benchmark b, documents d),
-dense AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gap, id) AS rank FROM near) WHERE rank <= 40),
+near AS (SELECT item_id AS query_id, doc_id AS id, cos((length(d.text) % 997) * pi() / 997 - (length(b.text) % 997) * pi() / 997) AS score FROM benchmark b, documents d),
+dense AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM near) WHERE rank <= 40),
 merged AS (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.id, l.id) AS id, d.rank AS rd, l.rank AS rl FROM dense d FULL JOIN lexical l ON d.query_id = l.query_id AND d.id = l.id),
 fused AS (SELECT *, 0.0 + coalesce(CAST(1.0 AS DOUBLE) / (60 + rd), 0.0) + coalesce(CAST(1.0 AS DOUBLE) / (60 + rl), 0.0) AS score, coalesce(rd, 1000000 + rl) AS first_seen FROM merged)
 """
@@ -304,11 +304,10 @@ fused AS (SELECT *, 0.0 + coalesce(CAST(1.0 AS DOUBLE) / (60 + rd), 0.0) + coale
 
 def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     lexical = retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 40).select("query_id", F.col("doc_id").alias("id"), "rank")
-    # One number a document is the one-dimensional vector of the stand-in; the few queries go to the documents.
-    q = retrieval.small(_queries(spark, sf_dir).select("query_id", F.length("query").alias("n")))
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("text").alias("m"))
-    order = Window.partitionBy("query_id").orderBy(F.abs(F.col("m") - F.col("n")), "id")
-    dense = rows.crossJoin(q).withColumn("rank", F.row_number().over(order)).filter("rank <= 40").select("query_id", "id", "rank")
+    angle = lambda c: F.length(c) % 997 * F.pi() / 997
+    plane = lambda c: F.array(F.cos(angle(c)), F.sin(angle(c)))
+    rows = _docs(spark, sf_dir).filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), plane("text").alias("vector"))
+    dense = retrieval.knn(_queries(spark, sf_dir).select("query_id", plane("query").alias("vector")), rows, 40).select("query_id", "id", "rank")
     return dense, lexical
 
 
