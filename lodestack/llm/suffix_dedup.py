@@ -11,6 +11,10 @@ on the string alone. Strings that are equal therefore meet at equal minimisers,
    string of a run are repeats;
 3. merge the repeats of each document and cut them out.
 
+A minimiser in more than HOT neighbourhoods (a line that very many texts share, each going on in its own way) would make one
+shard grow with the corpus. Its strings are dealt one by one instead: each string of SPAN bytes around it goes to a partition
+of its own hash, where all but the first are repeats.
+
 Equal neighbourhoods are settled within a task before anything is shuffled, so a task sends each of them at most once."""
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .textbytes import BYTE, chunks, mix, series, text_array
 SPAN, CORE = 100, 32
 #: Bytes that a string around a minimiser can hold before it, and from its start on.
 REACH = SPAN - CORE
+#: Neighbourhoods of one minimiser that are brought to one shard at most.
+HOT = 1024
 #: Text of one suffix array.
 SHARD_BYTES = 2 << 20
 _U = np.uint64
@@ -42,7 +48,8 @@ _NULL_ID = -(1 << 63)
 
 ANCHOR = np.dtype([("core", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 COVER = np.dtype([("doc", "<i8"), ("low", "<u4"), ("high", "<u4")])
-ASK = np.dtype([("doc", "<i8"), ("core", "<u8"), ("at", "<u4")])
+ASK = np.dtype([("doc", "<i8"), ("core", "<u8"), ("at", "<u4"), ("hot", "u1")])
+STRING = np.dtype([("around", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 
 
 def _doubled(h: np.ndarray, step: int, k: int) -> np.ndarray:
@@ -139,7 +146,7 @@ def _dealt(rows: np.ndarray, by: str, kind: int, parts: int) -> pa.RecordBatch:
 
 
 DEALT = "part int, kind byte, data binary"
-IS_ANCHOR, IS_COVER, IS_ASK = 0, 1, 2
+IS_ANCHOR, IS_COVER, IS_ASK, IS_STRING, IS_NEAR = 0, 1, 2, 3, 4
 
 
 def _covers(doc: np.ndarray, at: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -235,8 +242,10 @@ def _met(parts: int):
         first = first[~(fresh & np.append(fresh[1:], True))]
         if len(first):
             asks = np.empty(len(first), dtype=ASK)
-            for f in ASK.names:
+            for f in ("doc", "core", "at"):
                 asks[f] = first[f]
+            fresh = np.append(True, first["core"][1:] != first["core"][:-1])
+            asks["hot"] = np.bincount(np.cumsum(fresh) - 1)[np.cumsum(fresh) - 1] > HOT
             yield _dealt(asks, "doc", IS_ASK, parts)
 
     return run
@@ -260,29 +269,73 @@ def _by_doc(kind: np.dtype):
     return run
 
 
-def _answered(parts: int):
-    """Neighbourhoods that were asked for, dealt by minimiser: part, core, doc, low, text."""
+def _strings(own: bytes, at: np.ndarray, doc: int) -> np.ndarray:
+    """The strings of SPAN bytes around minimisers of one text, by hash and place."""
+    buf = np.frombuffer(own, dtype=np.uint8)
+    low, high = np.maximum(at.astype(np.int64) - REACH, 0), np.minimum(at.astype(np.int64) + SPAN, len(buf))
+    out = []
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        hs = [BYTE[buf[a:b]]]
+        for k in range(5):
+            hs.append(_doubled(hs[-1], 1 << k, k))
+        n = b - a - SPAN + 1
+        h = np.zeros(n, dtype=_U)
+        for k in range(3):
+            h = mix(h * _STEP[21] + hs[5][32 * k : 32 * k + n])
+        one = np.empty(n, dtype=STRING)
+        one["around"], one["doc"], one["at"] = mix(h * _STEP[21] + hs[2][96 : 96 + n]), doc, a + np.arange(n)
+        out.append(one)
+    return np.concatenate(out)
+
+
+NEAR = "part int, kind byte, core long, doc long, low long, near binary"
+
+
+def _near(part: np.ndarray, kind: int, core: np.ndarray, doc: np.ndarray, low: np.ndarray, near: list) -> pa.RecordBatch:
+    n = len(part)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.full(n, kind, np.int8)), pa.array(np.ascontiguousarray(core).view(np.int64)), pa.array(doc, pa.int64()), pa.array(low, pa.int64()), pa.array(near, pa.binary())], ["part", "kind", "core", "doc", "low", "near"])
+
+
+def _answered(parts: int, most: int = 1 << 18):
+    """Neighbourhoods that were asked for, dealt by minimiser, and packed strings of hot minimisers, dealt by their own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        count = 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            first, later = _firsts(np.concatenate(held))
+            sent = _dealt(first, "around", IS_STRING, parts)
+            none = np.zeros(sent.num_rows, dtype=_U)
+            yield _near(sent.column("part").to_numpy(), IS_STRING, none, none.astype(np.int64), none.astype(np.int64), sent.column("data").to_pylist())
+            if len(later):
+                sent = _dealt(_covers(later["doc"], later["at"], 0, SPAN), "doc", IS_COVER, parts)
+                none = np.zeros(sent.num_rows, dtype=_U)
+                yield _near(sent.column("part").to_numpy(), IS_COVER, none, none.astype(np.int64), none.astype(np.int64), sent.column("data").to_pylist())
+
         for batch in batches:
             raw, off = text_array(batch.column("text"))
             ids = batch.column("doc").to_numpy()
             for k in range(batch.num_rows):
                 asks = _unpacked(batch.column("data")[k].as_py(), ASK)
-                low = np.maximum(asks["at"].astype(np.int64) - REACH, 0)
                 own = raw[off[k] : off[k + 1]].tobytes()
-                part = (mix(asks["core"]) % _U(parts)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(part, pa.int32()), pa.array(np.ascontiguousarray(asks["core"]).view(np.int64)), pa.array(np.full(len(asks), ids[k]), pa.int64()), pa.array(low, pa.int64()),
-                    pa.array([own[a : b + SPAN] for a, b in zip(low.tolist(), asks["at"].tolist(), strict=True)], pa.binary()),
-                ], ["part", "core", "doc", "low", "near"])
+                if asks["hot"].any():
+                    held.append(_strings(own, asks["at"][asks["hot"] == 1], int(ids[k])))
+                    count += len(held[-1])
+                    asks = asks[asks["hot"] == 0]
+                if len(asks):
+                    low = np.maximum(asks["at"].astype(np.int64) - REACH, 0)
+                    part = (mix(asks["core"]) % _U(parts)).astype(np.int64)
+                    yield _near(part, IS_NEAR, asks["core"], np.full(len(asks), ids[k]), low, [own[a : b + SPAN] for a, b in zip(low.tolist(), asks["at"].tolist(), strict=True)])
+                if count > most:
+                    yield from settle()
+                    held, count = [], 0
+        if held:
+            yield from settle()
 
     return run
 
 
-NEAR = "part int, core long, doc long, low long, near binary"
-
-
 def repeats(texts: list[bytes], doc: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Covers of the strings of SPAN bytes in texts that also start earlier; texts[i] begins at byte low[i] of document doc[i]."""
     s = joined(texts)
@@ -309,10 +362,21 @@ def repeats(texts: list[bytes], doc: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _induced(parts: int):
-    """Suffix arrays over runs of whole minimisers of a partition."""
+    """Suffix arrays over runs of whole minimisers of a partition, and the strings of hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        held, strings = [], []
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            for k in np.flatnonzero(kind == IS_COVER):
+                yield pa.RecordBatch.from_arrays([batch.column("part").slice(k, 1), batch.column("kind").slice(k, 1), batch.column("near").slice(k, 1)], ["part", "kind", "data"])
+            strings += [_unpacked(x.as_py(), STRING) for x in batch.column("near").filter(pa.array(kind == IS_STRING))]
+            if (kind == IS_NEAR).any():
+                held.append(pa.Table.from_batches([batch.filter(pa.array(kind == IS_NEAR))]))
+        if strings:
+            _, later = _firsts(np.concatenate(strings))
+            if len(later):
+                yield _dealt(_covers(later["doc"], later["at"], 0, SPAN), "doc", IS_COVER, parts)
         if not held:
             return
         rows = pa.concat_tables(held)
