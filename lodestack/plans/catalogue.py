@@ -579,3 +579,117 @@ def json_roundtrip(spark, sf_dir):
     schema = "doc_id long, lang string, source string, n_chars long"
     lines = _docs(spark, sf_dir).select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("j"))
     return lines.select(F.from_json("j", schema).alias("r")).select("r.*")
+
+
+# Further expressions of the inventory -----------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, coalesce(nullif(trim(regexp_extract('# ' || replace(substr(text, 1, 30), chr(10), ' ') || chr(10) || 'x', '^# (.*)', 1)), ''), source) AS title FROM documents WHERE text IS NOT NULL""")
+def markdown_titles(spark, sf_dir):
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").withColumn("md", F.concat(F.lit("# "), F.replace(F.substring("text", 1, 30), F.lit("\n"), F.lit(" ")), F.lit("\nx")))
+    return docs.select("doc_id", tx.markdown_title(F.col("md"), F.col("source")).alias("title"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace('<' || lang || '><' || source || '>', '^[<>]+|[<>]+$', '', 'g'), '><'), lambda t: t <> ''), ' ') AS tags FROM documents""")
+def tag_clean(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.clean_tags(F.concat(F.lit("<"), F.col("lang"), F.lit("><"), F.col("source"), F.lit(">"))).alias("tags"))
+
+
+@query(r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'see link x and `code`' WHEN 1 THEN 'shown text' ELSE 'plain' END AS clean FROM documents""")
+def inline_clean(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 3 == 0, "see `link x <http://y>`__ and ``code``").when(F.col("doc_id") % 3 == 1, ":ref:`shown text <target>`").otherwise("plain")
+    return _docs(spark, sf_dir).select("doc_id", tx.clean_rst_inline(raw).alias("clean"))
+
+
+@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'x = 1 ' WHEN 1 THEN 's = ''#a'' ' ELSE 'no comment' END || chr(10) || 'y' AS code FROM conversations""")
+def comment_strip(spark, sf_dir):
+    turn = F.col("turn")
+    raw = F.when(turn % 3 == 0, "x = 1 # NISHITA").when(turn % 3 == 1, "s = '#a' # b").otherwise("no comment")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sessions.strip_comments(F.concat(raw, F.lit("\ny"))).alias("code"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'KeyError' ELSE 'RuntimeError' END AS error_type, event_id % 3 = 1 AS ok FROM events""")
+def exec_outcomes(spark, sf_dir):
+    n = F.col("event_id") % 3
+    said = F.when(n == 0, "Traceback: KeyError: 'x'").when(n == 1, "fine").otherwise("odd")
+    rows = table(spark, sf_dir, "events").select("event_id", tx.exec_outcome(n == 2, said).alias("o"), tx.error_type(said).alias("error_type"))
+    return rows.select("event_id", "error_type", F.col("o.ok").alias("ok"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 0 ELSE 2 END AS objects, CASE WHEN event_id % 4 = 3 THEN 0 ELSE 1 END AS meshes, CASE WHEN event_id % 4 = 3 THEN 0 ELSE CAST(event_id % 5 AS INTEGER) END AS materials FROM events""")
+def scene_snapshots(spark, sf_dir):
+    made = F.concat(F.lit('{"objects":[{"type":"MESH"},{"type":"LIGHT"}],"'), F.when(F.col("event_id") % 2 == 0, "materials_count").otherwise("material_count"), F.lit('":'), (F.col("event_id") % 5).cast("string"), F.lit("}"))
+    rows = table(spark, sf_dir, "events").select("event_id", tx.snapshot(F.when(F.col("event_id") % 4 == 3, "bad json").otherwise(made)).alias("s"))
+    return rows.select("event_id", "s.objects", "s.meshes", "s.materials")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(2000 + event_id % 30 AS INTEGER) ELSE 0 END AS year FROM events""")
+def feed_years(spark, sf_dir):
+    when = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Wed, 14 May "), (2000 + F.col("event_id") % 30).cast("string"), F.lit(" 10:00:00 +0000"))).otherwise("14 May 25")
+    return table(spark, sf_dir, "events").select("event_id", tx.feed_year(when).alias("year"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || chr(10) || chr(10) || source ELSE source END AS embed_text FROM documents""")
+def embed_texts(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.embed_text(F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("source")).alias("embed_text"))
+
+
+@query("""SELECT doc_id, '<document>' || chr(10) || substr(text, 1, 6000) || chr(10) || '</document>' || chr(10) || chr(10) || 'Here is a chunk taken from the document above:' || chr(10) || '<chunk>' || chr(10) || substr(text, 1, 20) || chr(10) || '</chunk>' || chr(10) || chr(10) || 'Write ONE short sentence that situates this chunk within the document to improve' || chr(10) || 'search retrieval. Answer with only the sentence, no preamble.' AS prompt FROM documents WHERE text IS NOT NULL""")
+def context_prompts(spark, sf_dir):
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL")
+    return docs.select("doc_id", tx.context_prompt(F.col("text"), F.substring("text", 1, 20)).alias("prompt"))
+
+
+@query("""SELECT doc_id, 'repo/' || (doc_id % 7) || '/blob/main/src' AS base FROM documents""")
+def web_bases(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.web_base(F.concat(F.lit("repo/"), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 2 == 0, ".git").otherwise("")), "/blob/main/src").alias("base"))
+
+
+@query(f"WITH {_LISTS_SQL} SELECT query_id, id, first_seen FROM fused")
+def candidate_union(spark, sf_dir):
+    """Candidates of both lists, once each, in the order of first sight."""
+    return retrieval.fuse(list(_lists(spark, sf_dir))).select("query_id", "id", F.col("first_seen").cast("long").alias("first_seen"))
+
+
+@query(f"WITH {_LISTS_SQL} SELECT f.query_id, f.id, rank, round(score, 6) AS score, d.source AS title, substr(d.text, 1, 600) AS text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM fused) f JOIN documents d ON d.doc_id = f.id WHERE rank <= 6")
+def hit_rows(spark, sf_dir):
+    """Results with the fields that a client sees."""
+    dense, lexical = _lists(spark, sf_dir)
+    found = retrieval.hybrid(dense, lexical)
+    return found.join(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.substring("text", 1, 600).alias("text")), "id").select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "title", "text")
+
+
+@query("""SELECT 'task' || t.range AS task_id, r.range AS run_index, c AS rag_enabled FROM range(3) t, range(4) r, (SELECT unnest([true, false]) AS c)""")
+def task_grid(spark, sf_dir):
+    """Every task, condition and run of an ablation."""
+    tasks = spark.range(3).select(F.concat(F.lit("task"), F.col("id").cast("string")).alias("task_id"))
+    return tasks.withColumn("run_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn("rag_enabled", F.explode(F.array(F.lit(True), F.lit(False))))
+
+
+@query(_SESSION_SQL + ", sums AS (SELECT task_id, rag_enabled, avg(error_rate) AS m FROM scored GROUP BY ALL) SELECT coalesce(a.task_id, b.task_id) AS task_id, round(a.m, 9) AS on_mean, round(b.m, 9) AS off_mean FROM (SELECT * FROM sums WHERE rag_enabled) a FULL JOIN (SELECT * FROM sums WHERE NOT rag_enabled) b USING (task_id)")
+def condition_pairs(spark, sf_dir):
+    """Each task's mean with and without retrieval, side by side."""
+    rows = sessions.score(_sessions(spark, sf_dir)).groupBy("task_id").agg(F.avg(F.when(F.col("rag_enabled"), F.col("error_rate"))).alias("on_mean"), F.avg(F.when(~F.col("rag_enabled"), F.col("error_rate"))).alias("off_mean"))
+    return rows.select("task_id", F.round("on_mean", 9).alias("on_mean"), F.round("off_mean", 9).alias("off_mean"))
+
+
+@query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number FROM conversations""")
+def transcript_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    return rows.select("conv_id", F.posexplode("turns").alias("p", "turn")).select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("number"))
+
+
+@query("""SELECT doc_id, substr(sha256(concat('stackexchange', chr(31), 'http://x/a/', CAST(doc_id AS VARCHAR), chr(31), CASE WHEN parent % 8 = 0 THEN 'Question ' || parent ELSE 'An answer' END)), 1, 16) AS id, CASE WHEN y >= 2024 THEN 'current' WHEN y >= 2021 THEN 'dated_valid' ELSE 'stale' END AS status, CAST(doc_id % 9 AS INTEGER) AS score
+FROM (SELECT doc_id, doc_id - doc_id % 4 AS parent, 2018 + doc_id % 8 AS y FROM documents WHERE doc_id % 4 <> 0) WHERE doc_id % 9 >= 3 AND y >= 2019""")
+def answer_documents(spark, sf_dir):
+    """Documents as a question-and-answer dump: every fourth is a question, those not divisible by 8 have no title."""
+    from lodestack.sources.documents import answers
+
+    d, parent = F.col("doc_id"), F.col("doc_id") - F.col("doc_id") % 4
+    asked = d % 4 == 0
+    posts = _docs(spark, sf_dir).select(
+        d.cast("string").alias("Id"), F.when(asked, "1").otherwise("2").alias("PostTypeId"), F.when(~asked, parent.cast("string")).alias("ParentId"), (d % 9).cast("string").alias("Score"), F.lit("u").alias("OwnerUserId"),
+        F.concat((2018 + d % 8).cast("string"), F.lit("-03-01T00:00")).alias("CreationDate"), F.lit("<p>body</p>").alias("Body"), F.when(asked & (d % 8 == 0), F.concat(F.lit("Question "), d.cast("string"))).alias("Title"), F.lit("<a>").alias("Tags"),
+    )
+    made = answers(posts, "http://x/a", "An answer")
+    return made.select(F.element_at(F.split("source_url", "/"), -1).cast("long").alias("doc_id"), "id", F.col("extra.version_status").alias("status"), F.col("extra.score").alias("score"))
