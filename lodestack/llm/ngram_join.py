@@ -340,7 +340,10 @@ def _bridged(large: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFr
     neither pairs nor links of a group are listed, however large it is."""
     known = large.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     open_ = known.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("first")).filter("low <> high").select("a", "first")
-    meets = staged(known.join(open_, "a").select("key", "label", "first").distinct(), "join-meets")
+    open_ = staged(open_, "join-open")
+    # Few buckets stay open as a rule; broadcast, they leave the rows of a hot bucket where they are.
+    met = known.join(F.broadcast(open_) if open_.count() <= 1_000_000 else open_, "a")
+    meets = staged(met.select("key", "label", "first").distinct(), "join-meets")
     if meets.isEmpty():
         return labels
     areas = components(meets.select(F.col("first").alias("a"), F.col("key").alias("b"))).select(F.col("node").alias("key"), F.col("label").alias("area"))
