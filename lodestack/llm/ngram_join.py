@@ -357,7 +357,7 @@ def _bridged(large: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFr
     return components(staged(links.unionByName(extra), "join-links"))
 
 
-def jaccard_components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_000, block: int = 1024) -> DataFrame:
+def jaccard_components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_000, block: int = 512) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
     docs: doc_id, text. cell: sets of one frequent shingle that meet in one task at most; rows_a_part: postings of a task;
