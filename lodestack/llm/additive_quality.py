@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import id_crc, staged
-from .textbytes import SPACE, chunks, mix, word_bounds, word_hashes
+from .textbytes import chunks, mix, word_bounds, word_hashes
 
 FEATURES = [
     "log_bytes", "log_words", "word_length", "long_words", "short_words", "upper", "digits", "marks", "symbols", "non_ascii",
