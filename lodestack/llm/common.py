@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestack-")
+        folder = tempfile.mkdtemp(prefix="lodestack-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = f"file://{folder}"
     return _own[app]
 
 
