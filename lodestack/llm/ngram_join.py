@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, matched, shuffle_parts, staged
+from .common import components, matched, shuffle_parts, small_batches, staged
 from .textbytes import chunks, mix, sequence_hash, shingle_hashes, word_hashes
 
 WORDS = 5
@@ -93,7 +93,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(own)
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], ["kind", "doc_id", "n", "key", "check", "shingle", "seen"])
-        if size > 1_000_000:
+        if size > 4_000_000:
             yield common()
             pending, size, known = [], 0, set()
     yield common()
@@ -320,7 +320,10 @@ def _fetched(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The whole sets of classes: key, own (sorted hashes)."""
     ids = staged(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "join-ids")
     sets = matched(docs, ids, "doc_id", "left_semi").mapInArrow(_set_rows, "key long, own binary")
-    return staged(sets, "join-sets").dropDuplicates(["key"])
+    sets = staged(sets, "join-sets")
+    # Only rows that share an id can repeat a key. Without them the table stays as it is, so that joins with it can be split.
+    n, different = sets.agg(F.count("*"), F.countDistinct("key")).first()
+    return sets if n == different else staged(sets.dropDuplicates(["key"]), "join-sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -357,7 +360,13 @@ def _bridged(large: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFr
     return components(staged(links.unionByName(extra), "join-links"))
 
 
-def jaccard_components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_000, block: int = 512) -> DataFrame:
+def jaccard_components(docs: DataFrame, **limits: int) -> DataFrame:
+    """See _components; all passes over texts and sets run in small Arrow batches."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, **limits)
+
+
+def _components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_000, block: int = 512) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
     docs: doc_id, text. cell: sets of one frequent shingle that meet in one task at most; rows_a_part: postings of a task;
