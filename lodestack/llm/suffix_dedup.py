@@ -13,7 +13,8 @@ on the string alone. Strings that are equal therefore meet at equal minimisers,
 
 A minimiser in more than HOT neighbourhoods (a line that very many texts share, each going on in its own way) would make one
 shard grow with the corpus. Its strings are dealt one by one instead: each string of SPAN bytes around it goes to a partition
-of its own hash, where all but the first are repeats.
+of its own hash, where all but the first are repeats. A task that meets a minimiser in more than LOOSE neighbourhoods already
+deals them by neighbourhood and only leaves a mark with the minimiser's partition, which then treats the rest alike.
 
 Equal neighbourhoods are settled within a task before anything is shuffled, so a task sends each of them at most once."""
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import matched, shuffle_parts, staged
+from .common import matched, shuffle_parts, small_batches, staged
 from .induced_sort import joined, permuted_lcp, suffix_array
 from .textbytes import BYTE, chunks, mix, series, text_array
 
@@ -38,6 +39,7 @@ SPAN, CORE = 100, 32
 REACH = SPAN - CORE
 #: Neighbourhoods of one minimiser that are brought to one shard at most.
 HOT = 1024
+LOOSE = 128
 #: Text of one suffix array.
 SHARD_BYTES = 2 << 20
 _U = np.uint64
@@ -146,7 +148,8 @@ def _dealt(rows: np.ndarray, by: str, kind: int, parts: int) -> pa.RecordBatch:
 
 
 DEALT = "part int, kind byte, data binary"
-IS_ANCHOR, IS_COVER, IS_ASK, IS_STRING, IS_NEAR = 0, 1, 2, 3, 4
+IS_ANCHOR, IS_COVER, IS_ASK, IS_STRING, IS_NEAR, IS_LOOSE, IS_MARK = range(7)
+MARK = np.dtype([("core", "<u8")])
 
 
 def _covers(doc: np.ndarray, at: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -193,6 +196,14 @@ def _scan(parts: int, most: int = 1 << 19):
 
         def settle() -> Iterator[pa.RecordBatch]:
             first, later = _firsts(np.concatenate(held))
+            core, of, count = np.unique(first["core"], return_inverse=True, return_counts=True)
+            loose = count > LOOSE
+            if loose.any():
+                marks = np.empty(int(loose.sum()), dtype=MARK)
+                marks["core"] = core[loose]
+                yield _dealt(marks, "core", IS_MARK, parts)
+                yield _dealt(first[loose[of]], "around", IS_LOOSE, parts)
+                first = first[~loose[of]]
             yield _dealt(first, "core", IS_ANCHOR, parts)
             if len(later):
                 yield _dealt(_covers(later["doc"], later["at"], REACH, SPAN), "doc", IS_COVER, parts)
@@ -214,24 +225,36 @@ def _scan(parts: int, most: int = 1 << 19):
     return run
 
 
+def _asked(first: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    asks = np.empty(len(first), dtype=ASK)
+    for f in ("doc", "core", "at"):
+        asks[f] = first[f]
+    asks["hot"] = hot
+    return asks
+
+
 def _met(parts: int):
     """Partitions of anchors: repeats of whole neighbourhoods, and questions for minimisers with several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: list[bytes] = []
+        blobs: dict[int, list[bytes]] = {IS_ANCHOR: [], IS_LOOSE: [], IS_MARK: []}
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             if (kind == IS_COVER).any():
                 yield batch.filter(pa.array(kind == IS_COVER))
-            blobs += [x.as_py() for x in batch.column("data").filter(pa.array(kind == IS_ANCHOR))]
-        if not blobs:
-            return
-        rows = np.concatenate([_unpacked(x, ANCHOR) for x in blobs])
-        del blobs
-        order = np.argsort(rows["core"])
-        rows = rows[order]
-        fresh = np.append(True, rows["core"][1:] != rows["core"][:-1])
-        rows = rows[~(fresh & np.append(fresh[1:], True))]
+            for k, held in blobs.items():
+                held += [x.as_py() for x in batch.column("data").filter(pa.array(kind == k))]
+        loose = np.concatenate([np.zeros(0, ANCHOR), *[_unpacked(x, ANCHOR) for x in blobs.pop(IS_LOOSE)]])
+        if len(loose):
+            first, later = _firsts(loose)
+            if len(later):
+                yield _dealt(_covers(later["doc"], later["at"], REACH, SPAN), "doc", IS_COVER, parts)
+            yield _dealt(_asked(first, np.ones(len(first), bool)), "doc", IS_ASK, parts)
+        marks = np.unique(np.concatenate([np.zeros(0, _U), *[_unpacked(x, MARK)["core"] for x in blobs.pop(IS_MARK)]]))
+        rows = np.concatenate([np.zeros(0, ANCHOR), *[_unpacked(x, ANCHOR) for x in blobs.pop(IS_ANCHOR)]])
+        rows = rows[np.argsort(rows["core"])]
+        fresh = np.append(True, rows["core"][1:] != rows["core"][:-1])[: len(rows)]
+        rows = rows[~(fresh & np.append(fresh[1:], True)[: len(rows)]) | np.isin(rows["core"], marks)]
         if not len(rows):
             return
         first, later = _firsts(rows)
@@ -239,14 +262,11 @@ def _met(parts: int):
             yield _dealt(_covers(later["doc"], later["at"], REACH, SPAN), "doc", IS_COVER, parts)
         first = first[np.argsort(first["core"], kind="stable")]
         fresh = np.append(True, first["core"][1:] != first["core"][:-1])
-        first = first[~(fresh & np.append(fresh[1:], True))]
-        if len(first):
-            asks = np.empty(len(first), dtype=ASK)
-            for f in ("doc", "core", "at"):
-                asks[f] = first[f]
-            fresh = np.append(True, first["core"][1:] != first["core"][:-1])
-            asks["hot"] = np.bincount(np.cumsum(fresh) - 1)[np.cumsum(fresh) - 1] > HOT
-            yield _dealt(asks, "doc", IS_ASK, parts)
+        count = np.bincount(np.cumsum(fresh) - 1)[np.cumsum(fresh) - 1]
+        marked = np.isin(first["core"], marks)
+        wanted = marked | (count > 1)
+        if wanted.any():
+            yield _dealt(_asked(first[wanted], (marked | (count > HOT))[wanted]), "doc", IS_ASK, parts)
 
     return run
 
@@ -451,7 +471,8 @@ def remove_repeats(docs: DataFrame, keep: list[str], want: list[str], doc_id: st
     the same result; rows that share an id count as one document, so ids of different texts should differ. An empty table
     gives no rows. Texts are UTF-8 bytes throughout; what is left of a text may cut characters."""
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID))
-    covers = repeated_covers(docs.select(key.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    with small_batches(docs.sparkSession):
+        covers = repeated_covers(docs.select(key.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     rows = docs.select(*keep, key.alias("__doc"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     rows = rows.join(covers.select(F.col("doc").alias("__doc"), F.col("data").alias("__data")).hint("merge"), "__doc", "left")
     fields = [T.StructField(prefix + c, KEPT[c].dataType) for c in want]

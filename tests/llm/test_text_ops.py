@@ -55,9 +55,10 @@ def repeat_cases():
     return docs
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1, 3])
-def test_repeats_are_those_of_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,loose", [(suffix_dedup.HOT, suffix_dedup.LOOSE), (1, 1), (3, 100), (100, 2)])
+def test_repeats_are_those_of_brute_force(spark, monkeypatch, hot, loose):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "LOOSE", loose)
     docs = repeat_cases()
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, kept string, __n int").repartition(3)
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame, ["doc_id", "kept"], ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"], prefix="new_").collect()}
