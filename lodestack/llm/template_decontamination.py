@@ -2,12 +2,13 @@
 
 Numbers, names and units become typed placeholders, so that a question with other numbers or names has the same template.
 Windows of template words of every document meet those of the benchmark in a hash join; a document is contaminated by an
-item when it holds enough of the item's windows, and, for items with placeholders, when the slots are filled consistently:
-on one alignment, one value of the item never stands for two values of the document, nor two for one."""
+item when it holds enough of the item's windows, and, for items with placeholders, when some alignment fills the slots
+consistently: within its matched windows, one value of the item never stands for two values of the document. Two values may
+fall together in the document. Alignments that alone meet the coverage are judged; if none does, all of the pair's are."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -72,9 +73,9 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, coverage: flo
         own = words.select("doc", F.posexplode(windows(F.col("w"), n)).alias("pos", "h")).withColumn("len", F.lit(n))
         probes = own if probes is None else probes.unionByName(own)
     side = F.broadcast(index) if index.count() <= broadcast_rows else index
-    met = probes.join(side, ["len", "h"]).select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "h")
-    # A shift is an alignment of document and item; its windows are summed before anything meets by key.
-    met = staged(met.groupBy("doc", "item", "shift", "h").agg(F.count("*").alias("n")), "bench-met")
+    met = probes.join(side, ["len", "h"]).select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "len", "h")
+    # A shift is an alignment of document and item; its windows are made distinct before anything meets by key.
+    met = staged(met.distinct(), "bench-met")
     total = index.groupBy("item").agg(F.countDistinct("h").alias("n_item_windows"))
     found = met.groupBy("doc", "item").agg(F.countDistinct("h").alias("n_windows")).join(total, "item").withColumn("coverage", F.col("n_windows") / F.col("n_item_windows")).filter(F.col("coverage") >= coverage)
     found = staged(found, "bench-found")
@@ -82,15 +83,22 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, coverage: flo
     slotted = staged(found.join(marked.select("item"), "item", "left_semi").select("doc", "item"), "bench-slotted")
     out = found.withColumn("n_slots", F.lit(0).cast("long"))
     if not slotted.isEmpty():
-        shifts = met.join(slotted, ["doc", "item"], "left_semi").groupBy("doc", "item", "shift").agg(F.count("*").alias("n"))
-        best = shifts.groupBy("doc", "item").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
-        sides = best.join(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("doc_text")), "doc").join(marked.select("item", "item_text"), "item")
-        pairs = sides.select("doc", "item", "shift", slots(F.col("doc_text")).alias("d"), F.posexplode(slots(F.col("item_text"))).alias("at", "want"))
-        pairs = pairs.filter(F.substring("want", 1, 1).isin(NUMBER, UNIT, NAME)).withColumn("got", F.get("d", F.col("at") + F.col("shift"))).filter(F.substring("got", 1, 1) == F.substring("want", 1, 1))
-        to, back = Window.partitionBy("doc", "item", "want"), Window.partitionBy("doc", "item", "got")
-        varied = pairs.select("doc", "item", "at", "want", "got", (F.min("got").over(to) != F.max("got").over(to)).alias("a"), (F.min("want").over(back) != F.max("want").over(back)).alias("b"))
-        judged = varied.groupBy("doc", "item").agg(F.countDistinct("at").alias("n"), F.max(F.col("a") | F.col("b")).alias("torn"))
-        out = found.join(judged, ["doc", "item"], "left").filter(~F.coalesce("torn", F.lit(False))).select(*found.columns, F.coalesce("n", F.lit(0)).cast("long").alias("n_slots"))
+        shifts = met.join(slotted, ["doc", "item"], "left_semi").groupBy("doc", "item", "shift").agg(F.size(F.collect_set("h")).alias("n"), F.collect_set(F.struct("item_pos", "len")).alias("held"))
+        shifts = shifts.join(total, "item").withColumn("enough", F.col("n") / F.col("n_item_windows") >= coverage)
+        tries = shifts.groupBy("doc", "item").agg(F.collect_list(F.struct("shift", "n", "held", "enough")).alias("t"))
+        judged = F.when(F.exists("t", lambda x: x["enough"]), F.filter("t", lambda x: x["enough"])).otherwise(F.col("t"))
+        tries = staged(tries.select("doc", "item", judged.alias("t")), "bench-tries")
+        sides = tries.join(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("doc_text")), "doc").join(marked.select("item", "item_text"), "item")
+        sides = sides.select("doc", "item", slots(F.col("doc_text")).alias("d"), slots(F.col("item_text")).alias("i"), F.explode("t").alias("t"))
+        pairs = sides.select("doc", "item", "t.shift", "t.held", "d", F.posexplode("i").alias("at", "want"))
+        inside = F.exists("held", lambda x: (x["item_pos"] <= F.col("at")) & (F.col("at") < x["item_pos"] + x["len"]))
+        pairs = pairs.filter(F.substring("want", 1, 1).isin(NUMBER, UNIT, NAME)).filter(inside).withColumn("got", F.get("d", F.col("at") + F.col("shift"))).filter(F.substring("got", 1, 1) == F.substring("want", 1, 1))
+        values = pairs.groupBy("doc", "item", "shift", "want").agg((F.min("got") != F.max("got")).alias("torn"), F.size(F.collect_set("at")).alias("n_slots"))
+        filled = values.groupBy("doc", "item", "shift").agg(F.max("torn").alias("torn"), F.sum("n_slots").alias("n_slots"))
+        each = tries.select("doc", "item", F.explode("t").alias("t")).select("doc", "item", "t.shift", "t.n").join(filled, ["doc", "item", "shift"], "left")
+        whole = ~F.coalesce("torn", F.lit(False))
+        verdict = each.groupBy("doc", "item").agg(F.max(whole).alias("whole"), F.max_by(F.coalesce("n_slots", F.lit(0)), F.struct(whole, "n", -F.col("shift"))).alias("n_slots_held"))
+        out = found.join(verdict, ["doc", "item"], "left").filter(F.coalesce("whole", F.lit(True))).select(*found.columns, F.coalesce("n_slots_held", F.lit(0)).cast("long").alias("n_slots"))
     return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_windows", "n_item_windows", "coverage", "n_slots")
 
 

@@ -147,6 +147,21 @@ def test_reparameterised_questions_are_found(spark):
     assert template_decontamination.contaminated(frame.limit(0), bench).count() == 0
 
 
+def test_a_question_is_found_on_any_consistent_alignment(spark):
+    bakery = "The baker sells 12 loaves and 30 rolls each morning before the shop opens, says the old man at the door."
+    torn = QUESTION.replace("Anna", "Bertha").replace("for 12", "for 17")
+    part = QUESTION[: QUESTION.index(" at home")]
+    docs = [
+        (0, bakery.replace("12", "15").replace("30", "15")),  # two values of the item fall together
+        (1, part.replace("for 12", "quietly") + " 99 of them were seen there by us near the very old mill, 12 of which Anna took."),  # other values outside the matched windows
+        (2, torn + " " + "filler " * 20 + QUESTION),  # the later of two alignments is consistent
+        (3, torn),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(70, QUESTION), (71, bakery)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in template_decontamination.contaminated(frame, bench).collect()} == {(0, 71), (1, 70), (2, 70)}
+
+
 def test_templates_line_up_with_slots(spark):
     frame = spark.createDataFrame([(QUESTION,), ("In 1,200.5 kg of it, Bob-like 3-4 cm, 7.",), ("end 12. Next 5,6,7 x",), ("",)], "t string")
     for r in frame.select(template_decontamination.template(F.col("t")).alias("a"), template_decontamination.slots(F.col("t")).alias("b")).collect():
