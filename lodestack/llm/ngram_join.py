@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, matched, shuffle_parts, small_batches, staged
 from .textbytes import chunks, mix, sequence_hash, shingle_hashes, word_hashes
@@ -318,10 +319,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetched(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The whole sets of classes: key, own (sorted hashes)."""
-    ids = staged(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "join-ids")
-    sets = matched(docs, ids, "doc_id", "left_semi").mapInArrow(_set_rows, "key long, own binary")
+    wanted = staged(classes.join(keys, "key", "left_semi").select("rep", "key").distinct(), "join-ids")
+    # A class is read from the rows of its smallest id; a class of null ids only, from the rows without an id.
+    own = docs.filter(F.col("doc_id").isNotNull())
+    sets = matched(own, wanted.filter(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_rows, "key long, own binary")
+    bare = wanted.filter(F.col("rep").isNull()).select("key")
+    if not bare.isEmpty():
+        sets = sets.unionByName(matched(docs.filter(F.col("doc_id").isNull()).mapInArrow(_set_rows, "key long, own binary"), bare, "key", "left_semi"))
     sets = staged(sets, "join-sets")
-    # Only rows that share an id can repeat a key. Without them the table stays as it is, so that joins with it can be split.
+    # Only rows that share an id, or have none, can repeat a key. Without them the table stays as it is, so that joins with it can be split.
     n, different = sets.agg(F.count("*"), F.countDistinct("key")).first()
     return sets if n == different else staged(sets.dropDuplicates(["key"]), "join-sets")
 
@@ -363,11 +369,12 @@ def _bridged(large: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFr
 def jaccard_components(docs: DataFrame, **limits: int) -> DataFrame:
     """See _components; all passes over texts and sets run in small Arrow batches."""
     with small_batches(docs.sparkSession):
-        return _components(docs, **limits)
+        return _components(docs, **limits).select("doc_id", "n_shingles", "component_id")
 
 
 def _components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_000, block: int = 512) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
+    """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included),
+    and the class and component behind it: key, check, label (null without links).
 
     docs: doc_id, text. cell: sets of one frequent shingle that meet in one task at most; rows_a_part: postings of a task;
     block: classes of an area compared at once.
@@ -408,9 +415,9 @@ def _components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_0
         labels = staged(_bridged(large, links, labels, docs, classes, block), "join-labels")
     named = classes.join(labels.withColumnRenamed("node", "key"), "key", "left")
     least = named.filter("label is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
-    special = named.filter("members > 1 or label is not null").join(least, "label", "left").select("key", "check", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    special = named.filter("members > 1 or label is not null").join(least, "label", "left").select("key", "check", "n", F.coalesce("component_id", "rep").alias("component_id"), "label")
     out = own.join(special, ["key", "check", "n"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key", "check", "label")
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
@@ -418,10 +425,30 @@ def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [class_key(own) for own in _sets(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, "__key", "__check"])
+
+
 def near_copy_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest id; the columns stay those of docs."""
-    found = staged(jaccard_components(docs.select("doc_id", "text")), "join-components")
-    gone = staged(found.filter("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
-    kept = matched(docs, gone, "doc_id", "left_anti")
-    again = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One document of each component, the one with the smallest id; the columns stay those of docs.
+
+    Rows that share an id are told apart by their sets: those of other components stay, of one component one row does (the
+    least by set and text). A row without an id goes if its component has a document with one; all others without stay."""
+    with small_batches(spark):
+        found = staged(_components(docs.select("doc_id", "text")), "join-components")
+        gone = staged(found.filter("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
+        again = staged(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "join-again")
+        if again.isEmpty() and found.filter("doc_id is null").isEmpty():
+            return matched(docs, gone, "doc_id", "left_anti")
+        known = docs.filter("doc_id is not null")
+        kept = matched(known, gone.unionByName(again).distinct(), "doc_id", "left_anti")
+        apart = matched(known, again, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+        schema = T.StructType([*apart.schema.fields, T.StructField("__key", T.LongType()), T.StructField("__check", T.LongType())])
+        heads = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("check").alias("__c"), F.col("label").alias("__label")).distinct()
+        rows = apart.mapInArrow(_keyed, schema).join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")) & (F.col("__check") == F.col("__c")))
+        rows = staged(rows, "join-apart")
+        group = [F.col("doc_id").alias("__id"), F.coalesce("__label", "__key").alias("__g"), F.when(F.col("__label").isNull(), F.col("__check")).alias("__c")]
+        one = rows.filter("doc_id is not null").groupBy(*group).agg(F.min_by(F.struct(*docs.columns), F.struct("__key", "__check", "text")).alias("__row")).select("__row.*")
+        return kept.select(*docs.columns).unionByName(one).unionByName(rows.filter("doc_id is null").select(*docs.columns))

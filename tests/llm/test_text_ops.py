@@ -118,6 +118,21 @@ def test_components_of_repeated_rows_null_ids_and_empty_tables(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_copy_stage_tells_rows_of_one_id_and_without_one_apart(spark):
+    rng = random.Random(3)
+    base, *other = [[f"{k}w{rng.randrange(900)}" for _ in range(60)] for k in range(6)]
+    near, far = [*base[:10], "new", *base[11:]], [*base[:10], "new", *base[11:40], "more", *base[41:]]
+    docs = [(5, base), (None, near), (None, far), (7, other[0]), (7, other[0]), (8, other[1]), (8, other[2]), (8, near), (None, other[3]), (None, other[4])]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    text = lambda w: " ".join(w)
+    named = {(r.text, r.component_id) for r in frame.join(ngram_join.jaccard_components(frame), "doc_id").filter("doc_id = 5").collect()}
+    assert named == {(text(base), 5)}
+    assert sorted(r.n for r in ngram_join.jaccard_components(frame).filter("doc_id is null").groupBy("component_id").agg(F.count("*").alias("n")).collect()) == [2, 2]
+    got = sorted((r.doc_id or -1, r.text) for r in ngram_join.near_copy_stage(spark, frame, "").collect())
+    assert got == sorted([(5, text(base)), (7, text(other[0])), (8, text(other[1])), (8, text(other[2])), (-1, text(other[3])), (-1, text(other[4]))])
+
+
 def test_prefix_grows_only_where_it_is_cheap():
     own = np.arange(1, 101, dtype=np.uint64)
     token, level, chosen, _ = ngram_join.prefix(own, np.zeros(0, np.uint64), np.zeros(0, np.int64))
