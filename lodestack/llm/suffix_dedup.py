@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -464,16 +464,35 @@ def _cut(own: bytes, data: bytes | None) -> tuple[bytes, np.ndarray]:
     return b"".join(kept), np.stack([low, high], axis=1)
 
 
+def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with __doc, a number ordered as the ids are (null first) that only rows alike in id and text share.
+
+    Where no id occurs twice it is the id itself, otherwise the rank of (id, digest of the text), counted over ranges."""
+    rows = docs.withColumn("__doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)))
+    if rows.groupBy("__doc").count().filter("count > 1").isEmpty():
+        return rows
+    marked = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__digest", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    ranged = marked.select("__id", "__digest").distinct().repartitionByRange(_parts(docs), "__id", "__digest")
+    ranged = staged(ranged.withColumn("__range", F.spark_partition_id()), "dedup-ids")
+    counts = sorted((r["__range"], r["count"]) for r in ranged.groupBy("__range").count().collect())  # a row for each partition
+    before = np.cumsum([0, *[n for _, n in counts]]).tolist()
+    starts = docs.sparkSession.createDataFrame([(k, b) for (k, _), b in zip(counts, before, strict=False)], "__range int, __before long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("__id", "__digest"))
+    ranks = ranged.withColumn("__at", place).join(F.broadcast(starts), "__range").select(F.col("__id").alias("__i"), F.col("__digest").alias("__d"), (F.col("__before") + F.col("__at") - 1).alias("__doc"))
+    named = marked.join(ranks, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d")))
+    return staged(named.select(*docs.columns, "__doc"), "dedup-rows")
+
+
 def remove_repeats(docs: DataFrame, keep: list[str], want: list[str], doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
     """keep columns of docs and the wanted columns of KEPT (with prefix before their names): sizes, spans, digest and bytes left of each document.
 
     A null text is empty; a text under SPAN bytes keeps all. A null id comes before all others. Rows alike in id and text get
-    the same result; rows that share an id count as one document, so ids of different texts should differ. An empty table
-    gives no rows. Texts are UTF-8 bytes throughout; what is left of a text may cut characters."""
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID))
+    the same result; rows of one id (or without one) and different texts are documents of their own, ordered by digest. An
+    empty table gives no rows. Texts are UTF-8 bytes throughout; what is left of a text may cut characters."""
+    docs = _identified(docs, doc_id, text)
     with small_batches(docs.sparkSession):
-        covers = repeated_covers(docs.select(key.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    rows = docs.select(*keep, key.alias("__doc"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+        covers = repeated_covers(docs.select(F.col("__doc").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    rows = docs.select(*keep, "__doc", F.coalesce(F.col(text), F.lit("")).alias("__text"))
     rows = rows.join(covers.select(F.col("doc").alias("__doc"), F.col("data").alias("__data")).hint("merge"), "__doc", "left")
     fields = [T.StructField(prefix + c, KEPT[c].dataType) for c in want]
     make = {

@@ -76,6 +76,18 @@ def test_repeats_of_repeated_rows_nulls_and_empty_tables(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"], ["n_removed"]).count() == 0
 
 
+def test_rows_of_one_id_and_without_one_have_covers_of_their_own(spark):
+    rng = random.Random(6)
+    base, *other = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(5)]
+    docs = [(None, other[0] + base), (None, other[1]), (3, other[2]), (3, other[3] + base[:200]), (3, other[2]), (4, base)]
+    order = sorted({(-1 if i is None else i, suffix_dedup.hashlib.sha256(t.encode()).hexdigest(), t) for i, t in docs})
+    want = {(i, t): cut for (i, _, t), cut in zip(order, brute.repeats([(k, t) for k, (_, _, t) in enumerate(order)]).values(), strict=True)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(frame, ["doc_id", "text"], ["n_removed", "kept"]).collect()
+    key = lambda i, t: (-1 if i is None else i, t)
+    assert sorted((*key(r.doc_id, r.text), r.n_removed, bytes(r.kept)) for r in got) == sorted((*key(i, t), want[key(i, t)][1], want[key(i, t)][3]) for i, t in docs)
+
+
 def test_long_text_in_pieces_has_the_same_minimisers():
     rng = np.random.default_rng(1)
     buf = rng.integers(97, 101, 5000).astype(np.uint8)
