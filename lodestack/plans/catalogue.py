@@ -153,6 +153,12 @@ def chunk_ids(spark, sf_dir):
     return chunking.chunk_markdown(docs.select("doc_id", "text")).select("doc_id", "chunk_index", "id")
 
 
+@query()
+def chunk_rows(spark, sf_dir):
+    """Every chunk of every document as Markdown."""
+    return chunking.chunk_markdown(_docs(spark, sf_dir).select("doc_id", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
 @query(r"""SELECT lang AS kind, CAST(count(*) AS BIGINT) AS docs FROM documents WHERE lang IN ('de', 'fr', 'en', 'es') AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 64 GROUP BY lang""")
 def routed_chunks(spark, sf_dir):
     """Documents with at least one chunk, by kind: German as code, French as API pages, the rest as prose."""
