@@ -129,6 +129,14 @@ def pack_chunks(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(chunking.pack_section(F.array().cast("array<string>"), F.col("body"), 800, 100, 64)).alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query()
+def pack_texts(spark, sf_dir):
+    """All lines as paragraphs, those over the budget split, filled up to 800 characters."""
+    paras = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: p != "")
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.array_join(paras, "\n\n").alias("body"))
+    return docs.select("doc_id", F.posexplode(chunking.pack_section(F.array().cast("array<string>"), F.col("body"), 800, 100, 64)).alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query(r"""
 WITH RECURSIVE fold AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS cur, length(text) AS total, text FROM documents WHERE text IS NOT NULL
