@@ -38,11 +38,14 @@ def _folded(buf: np.ndarray) -> np.ndarray:
     return low
 
 
-def _trigrams(low: np.ndarray) -> np.ndarray:
-    """Bin of the trigram centred on each byte."""
-    padded = np.full(len(low) + 2, 0x20, dtype=np.uint32)
-    padded[1:-1] = low
-    code = (padded[:-2] * np.uint32(0x9E3779B1)) ^ (padded[1:-1] * np.uint32(0x85EBCA6B)) ^ (padded[2:] * np.uint32(0xC2B2AE35))
+def _trigrams(low: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Bin of the trigram centred on each byte; before and after a text stands a blank, whatever its neighbours are."""
+    mid = low.astype(np.uint32)
+    before, after = np.full(len(low), 0x20, dtype=np.uint32), np.full(len(low), 0x20, dtype=np.uint32)
+    before[1:], after[:-1] = mid[:-1], mid[1:]
+    some = np.diff(off) > 0
+    before[off[:-1][some]], after[off[1:][some] - 1] = 0x20, 0x20
+    code = (before * np.uint32(0x9E3779B1)) ^ (mid * np.uint32(0x85EBCA6B)) ^ (after * np.uint32(0xC2B2AE35))
     return ((code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(17)
 
 
@@ -58,7 +61,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, buf, off in chunks(batch.column("text")):
             low = _folded(buf)
             letter = low != 0x20
-            key = (np.repeat(own[i:j], np.diff(off)) * BINS + _trigrams(low))[letter]
+            key = (np.repeat(own[i:j], np.diff(off)) * BINS + _trigrams(low, off))[letter]
             seen = np.bincount(key, minlength=totals.size) if len(key) * 4 > totals.size else None
             if seen is None:
                 bins, n = np.unique(key, return_counts=True)
@@ -90,11 +93,13 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> LanguageModel:
     return LanguageModel(names, np.log(counts / counts.sum(axis=0)).astype(np.float32) if names else counts.astype(np.float32))
 
 
-def _sums(values: np.ndarray, first: np.ndarray, total: int) -> np.ndarray:
-    """Row sums of runs; first: where each run begins (runs may be empty)."""
-    run = np.zeros((total + 1, values.shape[1]))
-    np.cumsum(values, axis=0, out=run[1:])
-    return run[np.append(first[1:], total)] - run[first]
+def _sums(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of runs of `rows` values each (runs may be empty); a run's sum depends on its own values alone."""
+    out = np.zeros((len(rows), *values.shape[1:]))
+    some = rows > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(rows) - rows)[some], axis=0)
+    return out
 
 
 def _word_logs(low: np.ndarray, off: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,49 +114,66 @@ def _word_logs(low: np.ndarray, off: np.ndarray, logp: np.ndarray) -> tuple[np.n
     if not len(starts):
         return np.zeros((0, logp.shape[1]), np.float32), rows
     at = np.flatnonzero(letter)
-    return np.add.reduceat(logp[_trigrams(low)[at]], np.searchsorted(at, starts), axis=0), rows
+    return np.add.reduceat(logp[_trigrams(low, off)[at]], np.searchsorted(at, starts), axis=0), rows
+
+
+def _fit(like: np.ndarray, rows: np.ndarray, allowed: np.ndarray, near: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM for each run of words over its allowed languages: (proportions, log-likelihood, what the maximum is above it at most).
+
+    The log-likelihood is concave in the proportions, so with g the mean over words of like / mixture, the maximum is at most
+    words * (max g - 1) above the current value. A document is done when that is below `near`, or after `rounds` rounds."""
+    share = allowed / allowed.sum(axis=1, keepdims=True)
+    value, gap = np.zeros(len(rows)), np.zeros(len(rows))
+    open_ = np.flatnonzero(rows)
+    like = like[np.repeat(rows > 0, rows)]
+    for turn in range(rounds):
+        own, words = share[open_], rows[open_]
+        mixed = (like * np.repeat(own, words, axis=0)).sum(axis=1, keepdims=True)
+        mixed = np.maximum(mixed, 1e-300)
+        g = _sums(like / mixed, words) / words[:, None]
+        value[open_] = _sums(np.log(mixed[:, 0]), words)
+        gap[open_] = words * np.maximum((g * allowed[open_]).max(axis=1) - 1, 0)
+        done = gap[open_] < near
+        if turn == rounds - 1 or done.all():
+            break
+        new = own * g
+        share[open_[~done]] = (new / new.sum(axis=1, keepdims=True))[~done]
+        if done.any():
+            like = like[np.repeat(~done, words)]
+            open_ = open_[~done]
+    return share, value, gap
 
 
-def infer(logs: np.ndarray, rows: np.ndarray, rounds: int = 8, penalty: float = 3.0) -> np.ndarray:
-    """Language proportions [rows, languages] of runs of words; zero outside the chosen language set.
+def infer(logs: np.ndarray, rows: np.ndarray, penalty: float = 3.0, near: float = 0.05, rounds: int = 200) -> np.ndarray:
+    """Language proportions [documents, languages] of runs of words (rows: words of each); zero outside the chosen language set.
 
     Each document first gets EM over all languages; languages ranked by proportion give nested sets, EM is run again within
-    each set, and the set with the largest log-likelihood - penalty * size * ln(words + 1) / 2 stays."""
+    each set, and the set with the largest log-likelihood - penalty * size * ln(words + 1) / 2 stays (the smaller one on
+    ties). Sets that cannot win, because even the maximum over all languages less their penalty is below the best one so far,
+    are skipped; nothing else is. near, rounds: see _fit()."""
     n, count = logs.shape[1], len(rows)
-    first = np.cumsum(rows) - rows
-    total = int(rows.sum())
-    top = logs.max(axis=1, keepdims=True) if total else logs
+    if not n:
+        return np.zeros((count, 0))
+    top = logs.max(axis=1, keepdims=True) if len(logs) else logs
     like = np.exp((logs - top).astype(np.float64))
-    doc = np.repeat(np.arange(count), rows)
-    words = np.maximum(rows, 1)[:, None]
-
-    def em(allowed: np.ndarray, like: np.ndarray, doc: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        share = allowed / allowed.sum(axis=1, keepdims=True)
-        for _ in range(rounds):
-            part = like * share[doc]
-            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-            share = _sums(part, first, len(doc)) / words
-            norm = share.sum(axis=1, keepdims=True)
-            share = np.where(norm > 0, share / np.maximum(norm, 1e-300), allowed / allowed.sum(axis=1, keepdims=True))
-        fit = np.log(np.maximum((like * share[doc]).sum(axis=1, keepdims=True), 1e-300))
-        return share, _sums(fit, first, len(doc))[:, 0]
-
-    full, _ = em(np.ones((count, n)), like, doc, first, words)
+    full, value, gap = _fit(like, rows, np.ones((count, n)), near, rounds)
     order = np.argsort(-full, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
-    single = np.take_along_axis(_sums(np.log(np.maximum(like, 1e-300)), first, total), order[:, :1], axis=1)[:, 0]
     cost = penalty * np.log(rows + 1) / 2
+    single = np.take_along_axis(_sums(np.log(np.maximum(like, 1e-300)), rows), order[:, :1], axis=1)[:, 0]
     best, chosen = single - cost, (rank == 0).astype(float)
     for size in range(2, n + 1):
-        open_ = np.flatnonzero(np.take_along_axis(full, order[:, size - 1 : size], axis=1)[:, 0] > 0.02)
+        open_ = np.flatnonzero((rows > 0) & (value + gap - size * cost > best))
         if not len(open_):
-            break
-        of = np.isin(doc, open_)
-        share, fit = em((rank[open_] < size).astype(float), like[of], np.searchsorted(open_, doc[of]), np.cumsum(rows[open_]) - rows[open_], words[open_])
+            break  # larger sets cost more
+        of = np.zeros(count, dtype=bool)
+        of[open_] = True
+        share, fit, _ = _fit(like[np.repeat(of, rows)], rows[open_], (rank[open_] < size).astype(float), near, rounds)
         score = fit - size * cost[open_]
         better = score > best[open_]
         best[open_[better]] = score[better]
         chosen[open_[better]] = share[better]
+    chosen[rows == 0] = 0
     return chosen
 
 
@@ -174,9 +196,13 @@ PREDICTION = T.StructType([
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
     """Language columns for every row: lang_pred, score, languages, proportions (largest first; ties by name).
 
-    keep: further columns to carry along; prefix: before the names of the new columns, where keep has such names. score is the proportion of lang_pred. A text that is null or has no letter, and
-    any text where the model knows no language, is `und` with score 0 and empty lists. A text is read whole, in pieces of
-    1 MB; repeated rows get equal answers."""
+    keep: further columns to carry along; prefix: before the names of the new columns, which keep must not have. score is the
+    proportion of lang_pred. A text that is null or has no letter, and any text where the model knows no language, is `und`
+    with score 0 and empty lists. A text is read whole, one of over 2 MB in pieces of 1 MB that end at blanks. An answer
+    depends on the text alone, not on the rows beside it, so repeated rows get equal answers. An empty table gives no rows."""
+    clash = [prefix + c for c in PREDICTION.names if prefix + c in keep]
+    if clash:
+        raise ValueError(f"columns {clash} of the table clash with the new ones; name a prefix")
     names, logp = model.names, model.logp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +254,13 @@ def op6_language_mixture(spark, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without any letter go. The columns stay those of docs."""
+    """Documents with a language, which becomes their `lang`; those that no language is found for go.
+
+    The columns stay those of docs. Nulls and repeated rows are treated as in identify()."""
     model = train(_learnable(docs))
     columns = docs.columns
-    return identify(docs, model, columns, prefix="__").filter(F.col("__lang_pred") != UNKNOWN).select(*columns)
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    found = identify(docs, model, columns, prefix=prefix).filter(F.col(f"{prefix}lang_pred") != UNKNOWN)
+    return found.select(*[F.col(f"{prefix}lang_pred").alias("lang") if c == "lang" else c for c in columns])

@@ -37,6 +37,99 @@ def test_languages_and_mixtures(spark, tmp_path):
     assert kept.columns == docs.columns and kept.count() == len(language_docs()) - 3
 
 
+def test_answers_do_not_depend_on_order_batches_or_partitions(spark):
+    texts = [t for _, t, _ in language_docs() if t and len(t) < 5000] + ["la", "sur", "xx", "a", "", "of", "été", "x" * 40, "le the", None]
+    schema = "doc_id long, text string, lang string"
+    rows = [(i, t, ("en", "fr", None)[i % 3]) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, schema)
+    model = language_mixture.train(frame.repartition(1))
+    again = language_mixture.train(spark.createDataFrame(rows[::-1], schema).repartition(5))
+    assert model.names == again.names and (model.logp == again.logp).all()
+    answers = lambda f: {r.doc_id: tuple(map(str, r)) for r in language_mixture.identify(f, model, ["doc_id"]).collect()}
+    want = answers(frame.coalesce(1))
+    assert answers(spark.createDataFrame(rows[::-1], schema).coalesce(1)) == want
+    assert answers(frame.repartition(len(rows))) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert answers(frame.repartition(2)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def plain_trigrams(text):
+    low = [32, *[c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()], 32]
+    mask = (1 << 32) - 1
+    out = []
+    for a, b, c in zip(low, low[1:], low[2:], strict=False):
+        code = (a * 0x9E3779B1 & mask) ^ (b * 0x85EBCA6B & mask) ^ (c * 0xC2B2AE35 & mask)
+        out.append(((code ^ code >> 15) * 0x2C1B3C6D & mask) >> 17 if b != 32 else None)
+    return out
+
+
+def plain_mixture(text, logp, penalty=3.0):
+    """EM, word by word, over every nested language set."""
+    words, run = [], []
+    for t in [*plain_trigrams(text), None]:
+        if t is None:
+            words, run = words + [run] if run else words, []
+        else:
+            run.append(t)
+    logs = np.array([logp[w].astype(np.float64).sum(axis=0) for w in words])
+    like = np.exp(logs - logs.max(axis=1, keepdims=True))
+
+    def em(allowed):
+        share = allowed / allowed.sum()
+        for _ in range(3000):
+            part = like * share
+            share = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+        return share, np.log((like * share).sum(axis=1)).sum()
+
+    full, _ = em(np.ones(logp.shape[1]))
+    order = np.argsort(-full)
+    fits = []
+    for size in range(1, len(full) + 1):
+        allowed = np.zeros(len(full))
+        allowed[order[:size]] = 1
+        share, fit = em(allowed)
+        fits.append((fit - size * penalty * np.log(len(words) + 1) / 2, -size, share))
+    return max(fits, key=lambda f: f[:2])[2]
+
+
+def test_mixtures_are_those_of_plain_expectation_maximisation():
+    rng = np.random.default_rng(3)
+    spanish = "el los una por con para como pero todo esta muy hasta donde cuando ellos".split()
+    texts = [sample(ENGLISH, 30, 1), sample(FRENCH, 8, 2), sample(ENGLISH, 40, 3) + " " + sample(FRENCH, 25, 4), sample(ENGLISH, 9, 5) + " " + sample(spanish, 60, 6) + " " + sample(FRENCH, 30, 7), "of", "Où?"]
+    import pyarrow as pa
+
+    counts = np.zeros((language_mixture.BINS, 3))
+    rows = pa.RecordBatch.from_pydict({"text": [sample(w, 400, k) for k, w in enumerate((ENGLISH, spanish, FRENCH))], "lang": ["0", "1", "2"]})
+    for out in language_mixture._count(iter([rows])):
+        counts[out.column("bin").to_numpy(), int(out.column("lang")[0].as_py())] = out.column("n").to_numpy()
+    for k, text in enumerate(rows.column("text").to_pylist()):
+        assert counts[:, k].sum() == sum(t is not None for t in plain_trigrams(text))
+    counts += 0.5 + 0.01 * rng.random(counts.shape)
+    logp = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    raw = [t.encode() for t in texts]
+    off = np.cumsum([0, *map(len, raw)])
+    buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    logs, words = language_mixture._word_logs(language_mixture._folded(buf), off, logp)
+    got = language_mixture.infer(logs, words)
+    for own, text in zip(got, texts, strict=True):
+        want = plain_mixture(text, logp)
+        assert ((own > 0) == (want > 1e-6)).all() and np.abs(own - want).max() < 0.03
+
+
+def test_stage_sets_the_language_it_found(spark):
+    rows = [(i, t, lang, 0.5) for i, t, lang in language_docs() if i < 400] + [(500, sample(FRENCH, 30, 77), "en", 0.5), (501, sample(ENGLISH, 30, 78), None, 0.5), (502, "12 !", "en", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __score double")
+    kept = language_mixture.language_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    by = {r.doc_id: r.lang for r in kept.collect()}
+    assert by[500] == "fr" and by[501] == "en" and 502 not in by and len(by) == len(rows) - 1
+    with pytest.raises(ValueError):
+        language_mixture.identify(docs.withColumn("score", F.lit(1)), language_mixture.train(docs), ["score"])
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     model = language_mixture.train(docs)
