@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import matched, staged
 
 # Placeholders are private-use characters, which no letter class holds.
 NUMBER, UNIT, NAME = "", "", ""
@@ -28,78 +28,123 @@ _NAME = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+"
 _SPLIT = rf"[^\p{{L}}{NUMBER}{UNIT}{NAME}]+"
 
 
+def _bare(text: Column) -> Column:
+    """The text with blanks for characters that would pass for placeholders."""
+    return F.translate(text, NUMBER + UNIT + NAME, "   ")
+
+
 def template(text: Column) -> Column:
     """The words of the text's template."""
-    plain = F.regexp_replace(text, _NAME, f" {NAME} ")
+    plain = F.regexp_replace(_bare(text), _NAME, f" {NAME} ")
     plain = F.regexp_replace(F.regexp_replace(plain, _NUM_UNIT, f" {NUMBER} {UNIT} "), _NUM, f" {NUMBER} ")
     return F.filter(F.split(F.lower(plain), _SPLIT), lambda w: w != "")
 
 
 def slots(text: Column) -> Column:
     """Template words with the value after the placeholder, one to one with template()."""
-    plain = F.regexp_replace(text, _NAME, f" {NAME}$0 ")
+    plain = F.regexp_replace(_bare(text), _NAME, f" {NAME}$0 ")
     plain = F.regexp_replace(F.regexp_replace(plain, _NUM_UNIT, f" {NUMBER}$1 {UNIT}$2 "), rf"(?<![\d{NUMBER}.,]){_NUM}", f" {NUMBER}$0 ")
     return F.filter(F.split(F.lower(plain), rf"(?:(?![{NUMBER}{UNIT}{NAME}\d.,])[^\p{{L}}])+|[.,]+(?!\d)|(?<!\d)[.,]+"), lambda w: w != "")
 
 
-def windows(words: Column, size: int) -> Column:
-    """Hash of each run of `size` words, by position."""
-    last = F.size(words) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, size))))
+def _window(words: Column, at: Column, size: Column | int) -> Column:
+    """Hash of the run of `size` word hashes that begins at place `at` (from 0)."""
+    return F.xxhash64(F.slice(words, at + 1, size))
+
+
+def _hashed(text: Column) -> Column:
+    return F.transform(template(text), lambda w: F.xxhash64(w))
+
+
+def _places(words: Column, size: Column | int, whole: Column | bool) -> Column:
+    """Where windows of `size` words begin; whole: only a text of exactly so many words has one."""
+    size, whole = F.lit(size) if isinstance(size, int) else size, F.lit(whole) if isinstance(whole, bool) else whole
+    there = F.when(whole, F.size(words) == size).otherwise(F.size(words) >= size)
+    return F.when(there, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+
+
+def _row_key(row_id: str, text: str) -> Column:
+    """A row's own name, never null: rows share it if they are alike in id and text."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), F.col(row_id).cast("string")), F.lit("-")), F.lit(":"), F.md5(F.col(text).cast("binary")))
+
+
+def _flags(index: DataFrame, rows: int) -> tuple[bytes, int]:
+    """(a byte for each value of the leading bits of a hash, 1 where a window has it; number of bits)."""
+    bits = min(22, max(14, (16 * rows).bit_length()))
+    out = bytearray(1 << bits)
+    for r in index.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("k")).distinct().collect():  # at most `rows`
+        out[r["k"]] = 1
+    return bytes(out), bits
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, coverage: float = 0.3, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+def contaminated(
+    docs: DataFrame, items: DataFrame, size: int = 8, coverage: float = 0.3, least: int = 4, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", broadcast_rows: int = 200_000,
+) -> DataFrame:
     """Pairs (doc_id, item_id, n_windows, n_item_windows, coverage, n_slots) of documents and the items that they hold.
 
-    size: words of a window; an item with fewer template words is one window of its own length. coverage: least share of an
-    item's distinct windows. broadcast_rows: the benchmark's windows are broadcast up to so many; beyond, both sides are
-    shuffled by window. Documents are read whole.
-
-    Nulls: a null or empty text, on either side, matches nothing; a null id is kept as a value. Repeated rows give their
-    pairs once. An item without letters and numbers has no window. Empty tables give no rows."""
-    items = items.filter(F.col(text).isNotNull()).select(F.col(item_id).alias("item"), template(F.col(text)).alias("w"), F.col(text).alias("item_text")).filter(F.size("w") > 0)
-    wide = items.withColumn("len", F.least(F.lit(size), F.size("w")))
-    lengths = sorted(r[0] for r in wide.select("len").distinct().collect())  # at most `size` values
-    index = None
-    for n in lengths:
-        own = wide.filter(F.col("len") == n).select("item", F.posexplode(windows(F.col("w"), n)).alias("item_pos", "h")).withColumn("len", F.lit(n))
-        index = own if index is None else index.unionByName(own)
-    if index is None:
-        return docs.sparkSession.createDataFrame([], f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema['item'].dataType.simpleString()}, n_windows long, n_item_windows long, coverage double, n_slots long")
-    index = staged(index, "bench-windows")
-    words = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), template(F.col(text)).alias("w"))
-    probes = None
-    for n in lengths:
-        own = words.select("doc", F.posexplode(windows(F.col("w"), n)).alias("pos", "h")).withColumn("len", F.lit(n))
-        probes = own if probes is None else probes.unionByName(own)
-    side = F.broadcast(index) if index.count() <= broadcast_rows else index
-    met = probes.join(side, ["len", "h"]).select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "len", "h")
+    size: words of a window; an item with fewer template words is one window of its own length. least: an item with fewer
+    template words than this is no passage, and is found only in a document whose whole template is the item's. coverage:
+    least share of an item's distinct windows. broadcast_rows: up to so many windows of the benchmark are broadcast, and a
+    document drops its other windows before any becomes a row; beyond, both sides are shuffled by window. Documents are read
+    once, and whole.
+
+    Nulls: a null or empty text, on either side, matches nothing; a null id is kept as a value. Rows of one id (or without
+    one) and different texts are judged apart; of a pair of ids the verdict with the largest coverage is reported, and
+    repeated rows give their pairs once. An item without letters and numbers has no window. Characters of a text that would
+    pass for placeholders count as blanks. Columns besides id and text are not read. Empty tables give no rows."""
+    own = items.filter(F.col(text).isNotNull()).select(F.col(item_id).alias("item"), _row_key(item_id, text).alias("ik"), F.col(text).alias("item_text")).dropDuplicates(["ik"])
+    own = staged(own.withColumn("w", _hashed(F.col("item_text"))).filter(F.size("w") > 0).withColumn("len", F.least(F.lit(size), F.size("w"))), "bench-items")
+    index = own.select("ik", "len", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("item_pos"))
+    index = staged(index.select("ik", "len", "item_pos", _window(F.col("w"), F.col("item_pos"), F.col("len")).alias("h")), "bench-windows")
+    lengths = sorted(r[0] for r in index.select("len").distinct().collect())  # at most `size` values
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}, n_windows long, n_item_windows long, coverage double, n_slots long")
+    rows = index.count()
+    few = rows <= broadcast_rows
+    flags, bits = _flags(index, rows) if few else (b"", 0)
+    words = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), _row_key(doc_id, text).alias("dk"), _hashed(F.col(text)).alias("w"))
+
+    def probes(n: int) -> Column:
+        places = _places(F.col("w"), n, n < least)
+        if few:
+            held = lambda h: F.substring(F.lit(flags), F.shiftrightunsigned(h, 64 - bits).cast("int") + 1, F.lit(1)) == F.lit(b"\1")
+            places = F.filter(places, lambda i: held(_window(F.col("w"), i, n)))
+        return F.transform(places, lambda i: F.struct(F.lit(n).alias("len"), i.alias("pos"), _window(F.col("w"), i, n).alias("h")))
+
+    # The outer form keeps the optimizer from testing the array in a filter, which would compute it twice.
+    hits = words.select("doc", "dk", F.explode_outer(F.concat(*[probes(n) for n in lengths])).alias("x")).filter(F.col("x").isNotNull()).select("doc", "dk", "x.*")
+    met = hits.join(F.broadcast(index) if few else index, ["len", "h"]).select("doc", "dk", "ik", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "len", "h")
     # A shift is an alignment of document and item; its windows are made distinct before anything meets by key.
     met = staged(met.distinct(), "bench-met")
-    total = index.groupBy("item").agg(F.countDistinct("h").alias("n_item_windows"))
-    found = met.groupBy("doc", "item").agg(F.countDistinct("h").alias("n_windows")).join(total, "item").withColumn("coverage", F.col("n_windows") / F.col("n_item_windows")).filter(F.col("coverage") >= coverage)
+    total = index.groupBy("ik").agg(F.countDistinct("h").alias("n_item_windows"))
+    total = F.broadcast(total) if few else total
+    found = met.groupBy("dk", "ik").agg(F.countDistinct("h").alias("n_windows"), F.first("doc").alias("doc")).join(total, "ik").withColumn("coverage", F.col("n_windows") / F.col("n_item_windows")).filter(F.col("coverage") >= coverage)
     found = staged(found, "bench-found")
-    marked = items.filter(F.exists("w", lambda x: x.isin(NUMBER, UNIT, NAME)))
-    slotted = staged(found.join(marked.select("item"), "item", "left_semi").select("doc", "item"), "bench-slotted")
+    marked = own.filter(F.exists(template(F.col("item_text")), lambda x: x.isin(NUMBER, UNIT, NAME))).select("ik", "item_text")
+    slotted = staged(found.join(marked.select("ik"), "ik", "left_semi").select("dk", "ik"), "bench-slotted")
     out = found.withColumn("n_slots", F.lit(0).cast("long"))
     if not slotted.isEmpty():
-        shifts = met.join(slotted, ["doc", "item"], "left_semi").groupBy("doc", "item", "shift").agg(F.size(F.collect_set("h")).alias("n"), F.collect_set(F.struct("item_pos", "len")).alias("held"))
-        shifts = shifts.join(total, "item").withColumn("enough", F.col("n") / F.col("n_item_windows") >= coverage)
-        tries = shifts.groupBy("doc", "item").agg(F.collect_list(F.struct("shift", "n", "held", "enough")).alias("t"))
+        shifts = met.join(slotted, ["dk", "ik"], "left_semi").groupBy("dk", "ik", "shift").agg(F.size(F.collect_set("h")).alias("n"), F.collect_set(F.struct("item_pos", "len")).alias("held"))
+        shifts = shifts.join(total, "ik").withColumn("enough", F.col("n") / F.col("n_item_windows") >= coverage)
+        tries = shifts.groupBy("dk", "ik").agg(F.collect_list(F.struct("shift", "n", "held", "enough")).alias("t"))
         judged = F.when(F.exists("t", lambda x: x["enough"]), F.filter("t", lambda x: x["enough"])).otherwise(F.col("t"))
-        tries = staged(tries.select("doc", "item", judged.alias("t")), "bench-tries")
-        sides = tries.join(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("doc_text")), "doc").join(marked.select("item", "item_text"), "item")
-        sides = sides.select("doc", "item", slots(F.col("doc_text")).alias("d"), slots(F.col("item_text")).alias("i"), F.explode("t").alias("t"))
-        pairs = sides.select("doc", "item", "t.shift", "t.held", "d", F.posexplode("i").alias("at", "want"))
+        tries = staged(tries.select("dk", "ik", judged.alias("t")), "bench-tries")
+        texts = docs.filter(F.col(text).isNotNull()).select(_row_key(doc_id, text).alias("dk"), F.col(text).alias("doc_text"))
+        texts = matched(texts, tries.select("dk").distinct(), "dk", "left_semi").dropDuplicates(["dk"])
+        sides = tries.join(texts, "dk").join(marked, "ik")
+        sides = sides.select("dk", "ik", slots(F.col("doc_text")).alias("d"), slots(F.col("item_text")).alias("i"), F.explode("t").alias("t"))
+        pairs = sides.select("dk", "ik", "t.shift", "t.held", "d", F.posexplode("i").alias("at", "want"))
         inside = F.exists("held", lambda x: (x["item_pos"] <= F.col("at")) & (F.col("at") < x["item_pos"] + x["len"]))
         pairs = pairs.filter(F.substring("want", 1, 1).isin(NUMBER, UNIT, NAME)).filter(inside).withColumn("got", F.get("d", F.col("at") + F.col("shift"))).filter(F.substring("got", 1, 1) == F.substring("want", 1, 1))
-        values = pairs.groupBy("doc", "item", "shift", "want").agg((F.min("got") != F.max("got")).alias("torn"), F.size(F.collect_set("at")).alias("n_slots"))
-        filled = values.groupBy("doc", "item", "shift").agg(F.max("torn").alias("torn"), F.sum("n_slots").alias("n_slots"))
-        each = tries.select("doc", "item", F.explode("t").alias("t")).select("doc", "item", "t.shift", "t.n").join(filled, ["doc", "item", "shift"], "left")
+        values = pairs.groupBy("dk", "ik", "shift", "want").agg((F.min("got") != F.max("got")).alias("torn"), F.size(F.collect_set("at")).alias("n_slots"))
+        filled = values.groupBy("dk", "ik", "shift").agg(F.max("torn").alias("torn"), F.sum("n_slots").alias("n_slots"))
+        each = tries.select("dk", "ik", F.explode("t").alias("t")).select("dk", "ik", "t.shift", "t.n").join(filled, ["dk", "ik", "shift"], "left")
         whole = ~F.coalesce("torn", F.lit(False))
-        verdict = each.groupBy("doc", "item").agg(F.max(whole).alias("whole"), F.max_by(F.coalesce("n_slots", F.lit(0)), F.struct(whole, "n", -F.col("shift"))).alias("n_slots_held"))
-        out = found.join(verdict, ["doc", "item"], "left").filter(F.coalesce("whole", F.lit(True))).select(*found.columns, F.coalesce("n_slots_held", F.lit(0)).cast("long").alias("n_slots"))
-    return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_windows", "n_item_windows", "coverage", "n_slots")
+        verdict = each.groupBy("dk", "ik").agg(F.max(whole).alias("whole"), F.max_by(F.coalesce("n_slots", F.lit(0)), F.struct(whole, "n", -F.col("shift"))).alias("n_slots_held"))
+        out = found.join(verdict, ["dk", "ik"], "left").filter(F.coalesce("whole", F.lit(True))).select(*found.columns, F.coalesce("n_slots_held", F.lit(0)).cast("long").alias("n_slots"))
+    named = out.join(own.select("ik", "item"), "ik")
+    best = named.groupBy("doc", "item").agg(F.max(F.struct("coverage", "n_windows", "n_item_windows", "n_slots", "dk")).alias("x"))
+    return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "x.n_windows", "x.n_item_windows", "x.coverage", "x.n_slots")
 
 
 def op3_template_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -109,7 +154,17 @@ def op3_template_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; the columns stay those of docs."""
-    pairs = contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = staged(pairs.select("doc_id").distinct(), "bench-gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """Documents that hold no benchmark item; the columns stay those of docs.
+
+    Rows are judged by id and text: a row without an id, or one that shares its id with other texts, goes only if its own
+    text holds an item."""
+    columns = docs.columns
+    named = docs.select("doc_id", "text").withColumn("row", _row_key("doc_id", "text"))
+    pairs = contaminated(named.select("row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="row")
+    gone = staged(pairs.select(F.col("row").alias("__row")).distinct(), "bench-gone")
+    there = gone.count()
+    if not there:
+        return docs
+    key = F.coalesce(_row_key("doc_id", "text"), F.lit(""))
+    side = F.broadcast(gone) if there <= 1_000_000 else gone
+    return docs.join(side, key == gone["__row"], "left_anti").select(*columns)

@@ -45,3 +45,58 @@ def repeats(docs):
 
 def digest(raw):
     return hashlib.sha256(raw).hexdigest()
+
+
+def template_words(text):
+    """[(template word, value)] of a text; a word that is no placeholder is its own value."""
+    import regex
+
+    from lodestack.llm import template_decontamination as t
+
+    num = r"[0-9](?:[0-9.,]*[0-9])?"
+    units = "|".join(sorted(t.UNITS, key=lambda u: -len(u)))
+    text = regex.sub(f"[{t.NUMBER}{t.UNIT}{t.NAME}]", " ", text)
+    names = regex.findall(r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+", text)
+    plain = regex.sub(r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+", f" {t.NAME} ", text)
+    held = {t.NAME: names, t.NUMBER: [], t.UNIT: []}
+
+    def mark(m):
+        held[t.NUMBER].append(m[1] or m[3])
+        if m[1]:
+            held[t.UNIT].append(m[2])
+        return f" {t.NUMBER} {t.UNIT} " if m[1] else f" {t.NUMBER} "
+
+    plain = regex.sub(rf"({num})[ -]?((?i:{units}))(?![\p{{L}}\p{{N}}])|({num})", mark, plain)
+    words = [w for w in regex.split(rf"[^\p{{L}}{t.NUMBER}{t.UNIT}{t.NAME}]+", plain.lower()) if w]
+    left = {k: iter(v) for k, v in held.items()}
+    return [(w, next(left[w]).lower() if w in left else w) for w in words]
+
+
+def holds(doc, item, size=8, coverage=0.3, least=4):
+    """Whether a document holds an item of a benchmark: enough windows, and an alignment without a torn slot."""
+    d, q = template_words(doc or ""), template_words(item or "")
+    n = min(size, len(q))
+    if not n or n < least and len(d) != n:
+        return False
+    at = {}
+    for k in range(len(d) - n + 1):
+        at.setdefault(tuple(w for w, _ in d[k : k + n]), []).append(k)
+    own = {k: tuple(w for w, _ in q[k : k + n]) for k in range(len(q) - n + 1)}
+    total = len(set(own.values()))
+    met = {}
+    for k, w in own.items():
+        for place in at.get(w, []):
+            met.setdefault(place - k, []).append(k)
+    if len({own[k] for ks in met.values() for k in ks}) / total < coverage:
+        return False
+    if all(w == v for w, v in q):
+        return True
+    enough = [s for s, ks in met.items() if len({own[k] for k in ks}) / total >= coverage] or list(met)
+    for shift in enough:
+        values = {}
+        for k in {k + j for k in met[shift] for j in range(n)}:
+            if q[k][0] != q[k][1] or ord(q[k][0][0]) >= 0xE000:
+                values.setdefault(q[k], set()).add(d[k + shift][1])
+        if all(len(v) == 1 for v in values.values()):
+            return True
+    return False

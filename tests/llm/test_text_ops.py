@@ -194,3 +194,50 @@ def test_templates_line_up_with_slots(spark):
     for r in frame.select(template_decontamination.template(F.col("t")).alias("a"), template_decontamination.slots(F.col("t")).alias("b")).collect():
         marks = (template_decontamination.NUMBER, template_decontamination.UNIT, template_decontamination.NAME)
         assert [w[0] if w[0] in marks else w for w in r.b] == r.a
+
+
+def template_cases():
+    rng = random.Random(11)
+    words = "walks river mill bread along under house takes the of and then from old stone bridge rests each morning".split()
+    names, units = ["Anna", "Bertha", "Carl", "Dora"], ["km", "minutes", "kg", "euros"]
+
+    def question(k):
+        own = random.Random(k)
+        return [own.choice(words) if own.random() < 0.8 else own.choice([f"{{n{own.randrange(3)}}}", f"{{a{own.randrange(2)}}} {{u{own.randrange(2)}}}", f"{{a{own.randrange(2)}}}"]) for _ in range(14 + k)]
+
+    def filled(q, torn=False):
+        values = {f"n{k}": n for k, n in enumerate(rng.sample(names, 3))} | {f"a{k}": str(rng.randrange(2, 99)) for k in range(2)} | {f"u{k}": u for k, u in enumerate(rng.sample(units, 2))}
+        out = []
+        for w in q:
+            if torn and "{" in w and rng.random() < 0.5:
+                values = dict(values, **{f"a{k}": str(rng.randrange(2, 99)) for k in range(2)}, n0=rng.choice(names))
+            out.append(w.format(**values))
+        return "So " + " ".join(out)
+
+    questions = [question(k) for k in range(12)]
+    items = [(k, filled(q)) for k, q in enumerate(questions)] + [(100, "river"), (101, "the old stone"), (102, "bread and the bridge"), (103, None), (104, "..."), (None, filled(questions[3])), (5, filled(questions[5]))]
+    docs = []
+    for k in range(90):
+        q = questions[k % 12]
+        cut = q[rng.randrange(6) :] if k % 3 == 0 else q
+        docs.append((k, " ".join(rng.choice(words) for _ in range(rng.randrange(20))) + ". " + filled(cut, torn=k % 4 == 1) + (". " + filled(q, torn=k % 5 == 0) if k % 7 == 0 else "")))
+    docs += [(200, "River!"), (201, "THE old stone."), (202, "x bread and the bridge y"), (203, None), (204, ""), (None, filled(questions[3])), (None, filled(questions[4], torn=True)), (7, filled(questions[2])), (205, f"a {template_decontamination.NAME}b{template_decontamination.NUMBER} 7 bread and the bridge")]
+    return docs, items
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination_is_that_of_brute_force(spark, most):
+    docs, items = template_cases()
+    want = {(i, j) for i, t in docs for j, q in items if t and q and brute.holds(t, q)}
+    assert {(200, 100), (201, 101), (202, 102), (205, 102)} <= want and any(i is None for i, _ in want) and any(j is None for _, j in want)
+    frame = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, item string").repartition(3)
+    got = [(r.doc_id, r.item_id) for r in template_decontamination.contaminated(frame, spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=most).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_decontamination_stage_judges_rows_without_an_id_by_their_own_text(spark, tmp_path):
+    spark.createDataFrame([(None, QUESTION)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(None, QUESTION), (None, "clean text"), (None, None), (3, QUESTION), (3, "other clean text"), (3, QUESTION.replace("Anna", "Bertha").replace("for 12", "for 17"))]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, __row int")
+    kept = template_decontamination.decontamination_stage(spark, frame, str(tmp_path))
+    assert kept.columns == frame.columns and sorted(r["__row"] for r in kept.collect()) == [1, 2, 4, 5]
