@@ -16,10 +16,12 @@ _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; a temporary folder only where that is unset and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         folder = tempfile.mkdtemp(prefix="lodestack-")
@@ -33,12 +35,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+def staged(df: DataFrame, name: str, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    spent: staged tables that no later step reads; they are deleted once df is written. What a result still reads stays, as
+    results are lazy; whoever names the shared folder clears it after use."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    (df.coalesce(parts) if parts else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    for table in spent:
+        release(table)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
 
 
 @contextmanager
@@ -61,11 +70,10 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 def release(df: DataFrame) -> None:
-    """Delete the staged table that df reads, once no later step needs it."""
-    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for path in paths:
-        if "/lodestack/" in path:
-            dropped(df.sparkSession, path)
+    """Delete a staged table, once no later step needs it; other tables are left alone."""
+    path = getattr(df, "_staged_at", None)
+    if path:
+        dropped(df.sparkSession, path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -95,22 +103,20 @@ def matched(rows: DataFrame, ids: DataFrame, key: str, how: str, most: int = 1_0
     return rows.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): node, label (the least node reachable).
 
     Every round takes the least label among neighbours and then jumps to the label's label, so long chains shrink by halves;
-    each round is staged, and nothing but a count of changes reaches the driver."""
+    each round is staged, and nothing but a test for changes reaches the driver. Labels only fall, so the rounds end."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = staged(both, "cc-edges")
-    labels = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "cc-labels")
-    for _ in range(most_rounds):
+    held = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "cc-labels")
+    while True:
+        labels = held.select("node", "label")
         far = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         stepped = labels.join(far.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jumped = stepped.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
-        new = staged(jumped, "cc-labels")
-        changed = new.filter("old <> label").limit(1).count()
-        release(labels)
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+        held = staged(jumped, "cc-labels", spent=(held,))
+        if held.filter("old <> label").isEmpty():
+            release(both)
+            return held.select("node", "label")

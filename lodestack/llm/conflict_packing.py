@@ -1,21 +1,26 @@
-"""Conflict-constrained best-fit packing of documents into fixed-length sequences.
+"""Conflict-constrained best-fit packing of documents into fixed-length token sequences.
 
-Items are dealt into sections by hashed id and packed section by section, largest first. Open bins are ordered by residual;
-the successor search starts at the first residual that holds the item and goes on to larger ones until the bin's bitmaps
-have no conflict: one bitmap for duplicate clusters, and one for each allowed document of a source (plane j has the bit
-of a source once the bin holds more than j of its documents)."""
+Items are dealt into sections and packed section by section, largest first. Open bins are ordered by residual; the successor
+search starts at the first residual that holds the item and goes on to larger ones until the bin's bitmaps have no conflict:
+one bitmap for duplicate clusters, and one for each allowed document of a source (plane j has the bit of a source once the
+bin holds more than j of its documents). Items of bins that stay under half full are dealt and packed once more, across
+sections."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import small_batches, staged
+from .ngram_join import class_key, shingle_sets
+from .token_rollup import PATTERN, VOCABULARY, encoding_of, token_ids, vocabulary_bytes
 
 PIECE = T.StructType([
     T.StructField("bin_id", T.LongType()),
@@ -63,82 +68,118 @@ def pack(docs: DataFrame, row_id: str, size: Column, source: Column, cluster: Co
     """Pieces of all documents in bins: row_id, bin_id, position, start, length, residual (room left in the bin).
 
     A document longer than capacity is cut: its full pieces fill bins of their own, the rest is an item. No bin holds two
-    documents of a cluster, nor more than per_source of one source. section: rows packed together; more rows mean more
-    sections, never larger ones, so a hot source or cluster is spread over all of them by hashed id.
-
-    Nulls: a null size counts as 0; an item of size 0 takes a place, but no room. A null source is a source of its own; a
-    null cluster conflicts with nothing. Repeated rows are items of their own. An empty table gives no rows."""
-    items = docs.select(F.col(row_id), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("_size"), F.coalesce(F.xxhash64(source), F.lit(0)).alias("_source"), F.when(cluster.isNotNull(), F.xxhash64(cluster)).alias("_cluster"))
+    documents of a cluster, nor more than per_source of one source. section: rows packed together, about; more rows mean more
+    sections, never larger ones. A row's section follows from its place in the table that the items are staged in, so that a
+    hot source, cluster, id or size, and any number of equal rows, spread over all sections. Within a section items stand by
+    falling size, then by id as text (none first), source and cluster, so ties do not depend on the order of rows.
+
+    Nulls: a null id is kept; a null size counts as 0, and an item of size 0 takes a place, but no room. A null source is a
+    source of its own; a null cluster conflicts with nothing. Repeated rows are items of their own. Other columns are not
+    read. An empty table gives no rows."""
+    capacity_ = F.lit(capacity).cast("long")
+    items = docs.select(F.col(row_id).alias("_id"), F.greatest(F.coalesce(size.cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long")).alias("_size"), F.coalesce(F.xxhash64(source), F.lit(0)).alias("_source"), F.when(cluster.isNotNull(), F.xxhash64(cluster)).alias("_cluster"))
+    whole = F.when(F.col("_size") > 0, F.floor((F.col("_size") - 1) / capacity_)).otherwise(0).cast("long")
+    items = items.withColumn("_whole", whole).select("_id", "_source", "_cluster", "_whole", (F.col("_whole") * capacity_).alias("_start"), (F.col("_size") - F.col("_whole") * capacity_).alias("_rest"))
     items = staged(items, "pack-items")
-    parts = max(1, -(-items.count() // section))
-    keyed = items.withColumn("_section", F.pmod(F.xxhash64(F.col(row_id), F.col("_size"), F.lit(7)), F.lit(parts)).cast("long"))
-    kind = T.StructType([docs.schema[row_id], *PIECE.fields])
+    rows = items.count()
+    parts = max(1, -(-rows // section))
+    first = _sections(items, 0, parts, capacity, per_source)
+    named = lambda p: p.select(F.col("_id").alias(row_id), *PIECE.names)
+    if parts == 1:
+        return named(first)
+    first = staged(first, "pack-first", spent=(items,))
+    loose = F.col("residual") * 2 > capacity
+    again = staged(first.filter(loose).select("_id", "_source", "_cluster", F.lit(0).cast("long").alias("_whole"), F.col("start").alias("_start"), F.col("length").alias("_rest")), "pack-loose")
+    second = _sections(again, parts, max(1, -(-again.count() // section)), capacity, per_source)
+    return named(first.filter(~loose)).unionByName(named(second))
+
+
+def _sections(items: DataFrame, base: int, parts: int, capacity: int, per_source: int) -> DataFrame:
+    """Pieces of a staged table of items, section by section; sections are numbered from base."""
+    # Part number and row number in the part's file name a row; they do not change once the table is written.
+    place = [F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1), F.col("_metadata.row_index")]
+    keyed = items.select("*", (F.pmod(F.xxhash64(*place), F.lit(parts)) + base).cast("long").alias("_section"))
+    kind = T.StructType([items.schema["_id"], items.schema["_source"], items.schema["_cluster"], *PIECE.fields])
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column(row_id).combine_chunks()
-        size = table.column("_size").to_numpy()
-        section_id = table.column("_section")[0].as_py()
-        rest = size % capacity
-        full = size // capacity
-        rest = np.where((full > 0) & (rest == 0), capacity, rest)
-        full = full - ((full > 0) & (size % capacity == 0))
+        table = table.combine_chunks()
+        start, rest, whole = (table.column(c).to_numpy() for c in ("_start", "_rest", "_whole"))
         _, source = np.unique(table.column("_source").to_numpy(), return_inverse=True)
-        known = ~table.column("_cluster").is_null().to_numpy()
-        cluster = np.full(len(size), -1, dtype=np.int64)
-        _, label, count = np.unique(table.column("_cluster").fill_null(0).to_numpy()[known], return_inverse=True, return_counts=True)
+        own = table.column("_cluster")
+        known = ~own.is_null().to_numpy()
+        digest = own.fill_null(0).to_numpy()
+        cluster = np.full(len(rest), -1, dtype=np.int64)
+        _, label, count = np.unique(digest[known], return_inverse=True, return_counts=True)
         renumber = np.cumsum(count > 1) - 1
         cluster[known] = np.where(count[label] > 1, renumber[label], -1)
-        text = np.array([str(x) for x in ids.to_pylist()])
-        falling = np.lexsort((text, -rest))
+        text = np.array(["" if x is None else f"={x}" for x in table.column("_id").to_pylist()])
+        falling = np.lexsort((start, digest, table.column("_source").to_numpy(), text, -rest))
         bins, room = best_fit(rest[falling], source[falling], cluster[falling], capacity, per_source)
         row, number = falling, bins
-        position = np.zeros(len(row), dtype=np.int64)
-        if len(row):
-            by_bin = np.argsort(bins, kind="stable")
-            first = np.flatnonzero(np.diff(np.append(-1, bins[by_bin])))
-            position[by_bin] = np.arange(len(bins)) - np.repeat(first, np.diff(np.append(first, len(bins))))
-        start, length, left = full[row] * capacity, rest[row], room[bins]
-        whole = np.repeat(np.arange(len(size)), full)
-        if len(whole):
-            nth = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
-            row, number = np.concatenate([row, whole]), np.concatenate([number, len(room) + np.arange(len(whole))])
-            position = np.concatenate([position, np.zeros(len(whole), np.int64)])
-            start, length = np.concatenate([start, nth * capacity]), np.concatenate([length, np.full(len(whole), capacity)])
-            left = np.concatenate([left, np.zeros(len(whole), np.int64)])
-        return pa.table([ids.take(pa.array(row)), pa.array(section_id * (1 << 32) + number, pa.int64()), pa.array(position, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(left, pa.int64())], names=[row_id, *PIECE.names])
+        by_bin = np.argsort(bins, kind="stable")
+        first = np.flatnonzero(np.diff(np.append(-1, bins[by_bin])))
+        position = np.empty(len(row), dtype=np.int64)
+        position[by_bin] = np.arange(len(bins)) - np.repeat(first, np.diff(np.append(first, len(bins))))
+        start, length, left = start[row], rest[row], room[bins]
+        full = np.repeat(np.arange(len(rest)), whole)
+        if len(full):
+            nth = np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole)
+            row, number = np.concatenate([row, full]), np.concatenate([number, len(room) + np.arange(len(full))])
+            position = np.concatenate([position, np.zeros(len(full), np.int64)])
+            start, length = np.concatenate([start, nth * capacity]), np.concatenate([length, np.full(len(full), capacity)])
+            left = np.concatenate([left, np.zeros(len(full), np.int64)])
+        section = table.column("_section")[0].as_py()
+        kept = [table.column(c).take(pa.array(row)) for c in ("_id", "_source", "_cluster")]
+        return pa.table([*kept, pa.array(section * (1 << 32) + number, pa.int64()), pa.array(position, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(left, pa.int64())], names=["_id", "_source", "_cluster", *PIECE.names])
 
     return keyed.groupBy("_section").applyInArrow(run, kind)
 
 
-def token_estimate(text: str = "text") -> Column:
-    """A quarter of the characters, at least 1."""
-    return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(F.col(text), F.lit(""))) / 4)).cast("long")
+def measured(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """keep columns, `_tokens` (length of each whole text in tokens, 0 for null and empty) and `_copies` (the class of texts
+    with the same set of word shingles, as the n-gram join has it; null for a text without words), in one pass over texts."""
+    ranks = vocabulary_bytes(docs.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = encoding_of(ranks.value, pattern)
+        for batch in batches:
+            tokens = [len(token_ids(encoding, t.as_py())) for t in pc.fill_null(batch.column(text), "")]
+            keys = ["%d:%d" % class_key(own) if len(own) else None for own in shingle_sets(batch.column(text))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(tokens, pa.int64()), pa.array(keys, pa.string())], [*keep, "_tokens", "_copies"])
+
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_tokens", T.LongType()), T.StructField("_copies", T.StringType())])
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
+def packed_tokens(docs: DataFrame, pieces: DataFrame, row_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """Each bin's sequence: bin_id, tokens (of its pieces, in order of position). Ids must be unique and not null.
 
+    A document is encoded once, whatever the number of its pieces; a bin gathers at most capacity tokens."""
+    ranks = vocabulary_bytes(docs.sparkSession, vocabulary)
+    cuts = pieces.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("start", "length", "bin_id", "position"))).alias("_cuts"))
 
-def copy_cluster(text: str = "text") -> Column:
-    """What copies share: the text in lower case with single blanks; null for a text without any."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    return F.when(F.length(plain) > 0, F.md5(plain.cast("binary")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = encoding_of(ranks.value, pattern)
+        for batch in batches:
+            for t, own in zip(pc.fill_null(batch.column("_text"), ""), batch.column("_cuts"), strict=True):
+                ids, own = token_ids(encoding, t.as_py()), own.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([c["bin_id"] for c in own], pa.int64()), pa.array([c["position"] for c in own], pa.int32()), pa.array([ids[c["start"] : c["start"] + c["length"]] for c in own], pa.list_(pa.int32()))], ["bin_id", "position", "tokens"])
 
+    rows = cuts.join(docs.select(row_id, F.col(text).alias("_text")), row_id).select("_text", "_cuts")
+    parts = rows.mapInArrow(run, "bin_id long, position int, tokens array<int>")
+    return parts.groupBy("bin_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("position", "tokens"))), lambda p: p["tokens"])).alias("tokens"))
 
-def packed_texts(docs: DataFrame, pieces: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each bin's text: bin_id, text (pieces in order of position, joined by a line feed).
 
-    Pieces of token_estimate() lengths are cut at four characters a unit; the last piece takes what is left."""
-    from_ = F.col("start") * 4 + 1
-    last = F.max("start").over(Window.partitionBy(row_id)) == F.col("start")
-    cut = pieces.withColumn("_last", last).join(docs.select(row_id, F.coalesce(text, F.lit("")).alias("_text")), row_id)
-    part = F.when(F.col("_last"), F.substring("_text", from_, F.length("_text"))).otherwise(F.substring("_text", from_, F.col("length") * 4))
-    own = cut.select("bin_id", F.struct("position", F.col(row_id).alias("id"), part.alias("part")).alias("p"))
-    return own.groupBy("bin_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["part"]), "\n").alias("text"))
+def _packed(docs: DataFrame) -> DataFrame:
+    with small_batches(docs.sparkSession):
+        return pack(measured(docs, ["doc_id", "source"]), "doc_id", F.col("_tokens"), F.col("source"), F.col("_copies"))
 
 
 def op9_conflict_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents into sequences of 2048 estimated tokens."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return pack(docs, "doc_id", token_estimate(), F.col("source"), copy_cluster())
+    """All documents into sequences of 2048 tokens; no two of a class of copies and at most four of a source share one."""
+    return _packed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: one row for each piece of each document."""
-    return pack(docs, "doc_id", token_estimate(), F.col("source"), copy_cluster())
+    """The last stage: one row for each piece of each document; rows without an id, or that share one, are items of their own."""
+    return _packed(docs.select("doc_id", "text", "source"))

@@ -37,7 +37,7 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.array([sequence_hash(words)], dtype=_U) if len(words) else np.zeros(0, _U)
 
 
-def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     for _, _, buf, off in chunks(column):
         hashes, _, rows = word_hashes(buf, off)
         at = 0
@@ -85,7 +85,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         keys, checks, counts = [], [], []
-        for own in _sets(batch.column("text")):
+        for own in shingle_sets(batch.column("text")):
             key = class_key(own)
             keys.append(key[0]), checks.append(key[1]), counts.append(len(own))
             if key not in known:
@@ -129,7 +129,7 @@ def _postings(heavy: np.ndarray, seen: np.ndarray, parts: int, cell: int):
         known: set = set()
         for batch in batches:
             found = []
-            for own in _sets(batch.column("text")):
+            for own in shingle_sets(batch.column("text")):
                 key = class_key(own)
                 if not len(own) or key in known:
                     continue
@@ -305,7 +305,7 @@ def _cell(table: pa.Table) -> pa.Table:
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, blobs = [], []
-        for own in _sets(batch.column("text")):
+        for own in shingle_sets(batch.column("text")):
             keys.append(class_key(own)[0]), blobs.append(own.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "own"])
 
@@ -427,7 +427,7 @@ def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [class_key(own) for own in _sets(batch.column("text"))]
+        keys = [class_key(own) for own in shingle_sets(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, "__key", "__check"])
 
 

@@ -1,132 +1,244 @@
 """Token counts kept as delta-maintained rollups.
 
-A store holds, for each committed batch, its change rows (the ledger) and their signed sums by source, language and
-tokenizer version. Totals are sums of committed deltas; nothing is recounted. A batch is written under its own id and
-becomes visible with a marker file that is created last, so a repeated or retried batch changes nothing."""
+A store holds, for each batch, its change rows (the ledger) and their signed sums by source, language and tokenizer version.
+Totals are sums of committed deltas; nothing is recounted. Batches have numbers: the entry of a number is published by
+creating one file that must not exist yet. Of two writers that start from the same state one gets the number; the other
+works out its delta again, against what the first has committed. A batch that is known by name changes nothing."""
 
 from __future__ import annotations
 
 import base64
+import json
+import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch
+from .common import dropped, scratch
 
-#: Where the public vocabularies lie, unless a caller names another place.
+#: Where the public vocabularies lie on the driver, unless a caller names another place.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space that the encoder's pattern may not get through; the separators 1C to 1F are no white space to it.
+_BLANKS = re.compile(r"[^\S\x1c-\x1f]{1000,}")
 
 LEDGER = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()),
+    T.StructField("doc_key", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("tokenizer", T.StringType()), T.StructField("tokens", T.LongType()), T.StructField("live", T.BooleanType()),
 ])
 KEYS = ["source", "lang", "tokenizer"]
 DELTA = T.StructType([*(LEDGER[k] for k in KEYS), T.StructField("docs", T.LongType()), T.StructField("tokens", T.LongType())])
 
 
+def encoding_of(ranks: bytes, pattern: str = PATTERN):
+    """The encoding of a vocabulary file's content."""
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+    return tiktoken.Encoding("lodestack", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
+def vocabulary_bytes(spark: SparkSession, vocabulary: str = VOCABULARY):
+    """A vocabulary file (about 1 MB), read on the driver and broadcast."""
+    with open(vocabulary, "rb") as lines:
+        return spark.sparkContext.broadcast(lines.read())
+
+
+def token_ids(encoding, text: str) -> list[int]:
+    """Tokens of a text. The encoder gives up on very long runs of white space; such a run, less its last character where a
+    word follows, is one piece by the pattern, and is encoded as such."""
+    try:
+        return encoding.encode_ordinary(text)
+    except BaseException as failed:
+        if type(failed).__name__ != "PanicException":
+            raise
+    ids, at = [], 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()]) + encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def counted(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, pattern: str = PATTERN, text: str = "text") -> DataFrame:
     """keep columns and `tokens`, the length of each whole text in byte-level BPE tokens (0 for null and empty).
 
-    The vocabulary (about 1 MB) is read on the driver and broadcast; special tokens' strings are ordinary text."""
-    spark = docs.sparkSession
-    with open(vocabulary, "rb") as lines:
-        ranks = spark.sparkContext.broadcast(lines.read())
+    Special tokens' strings are ordinary text. keep must not hold a column `tokens`. An empty table gives no rows, repeated
+    rows are counted each."""
+    if "tokens" in keep:
+        raise ValueError("keep has a column `tokens` already")
+    ranks = vocabulary_bytes(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.value.splitlines() if line)}
-        encoding = tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        encoding = encoding_of(ranks.value, pattern)
         for batch in batches:
-            texts = pc.fill_null(batch.column(text), "")
-            tokens = [len(encoding.encode_ordinary(t.as_py())) for t in texts]
+            tokens = [len(token_ids(encoding, t.as_py())) for t in pc.fill_null(batch.column(text), "")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(tokens, pa.int64())], [*keep, "tokens"])
 
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("tokens", T.LongType())])
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
+def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells documents apart: the id, or for a row without one a digest of its text."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+
+
 class RollupStore:
-    """A folder on a shared filesystem: ledger/<batch>, delta/<batch> and commit/<batch>."""
+    """A folder on a shared filesystem: log/<number> (one small file a batch), ledger/attempt=<id>, delta/attempt=<id>.
+
+    A log entry appears whole and only if its number is free: through a hard link on local filesystems, elsewhere through a
+    rename, which must not replace a file (as in HDFS). Data of attempts that no entry names are never read."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._entries: list[dict] = []
 
-    def _path(self, kind: str, batch: str = ""):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}/{batch}".rstrip("/"))
+    def _path(self, place: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{place}")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[str]:
-        """Ids of the committed batches, in order of commit (one marker a batch)."""
-        path, fs = self._path("commit")
-        if not fs.exists(path):
-            return []
-        return sorted(f.getPath().getName() for f in fs.listStatus(path))
+    def _log(self) -> list[dict]:
+        """All entries in order; those seen before are not read again."""
+        while True:
+            path, fs = self._path(f"log/{len(self._entries):08d}")
+            if not fs.exists(path):
+                return list(self._entries)
+            stream = fs.open(path)
+            try:
+                self._entries.append(json.loads(bytes(stream.readAllBytes()).decode()))
+            finally:
+                stream.close()
+
+    def _publish(self, number: int, entry: dict) -> bool:
+        """Create the entry of a number; False if another writer has it."""
+        target, fs = self._path(f"log/{number:08d}")
+        own, _ = self._path(f"try/{uuid.uuid4().hex}")
+        fs.mkdirs(target.getParent())
+        stream = fs.create(own, False)
+        try:
+            stream.write(json.dumps(entry).encode())
+        finally:
+            stream.close()
+        if fs.getUri().getScheme() == "file":
+            jvm = self.spark.sparkContext._jvm
+            local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            try:
+                jvm.java.nio.file.Files.createLink(local(target), local(own))
+            except Exception as taken:
+                if "FileAlreadyExistsException" not in str(taken):
+                    raise
+                return False
+            finally:
+                fs.delete(own, False)
+            return True
+        done = not fs.exists(target) and fs.rename(own, target)
+        if not done:
+            fs.delete(own, False)
+        return bool(done)
 
-    def _read(self, kind: str, schema: T.StructType) -> DataFrame:
-        paths = [f"{self.root}/{kind}/{b}" for b in self.committed()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def committed(self) -> list[str]:
+        """Names of the committed batches, in order of commit."""
+        return [e["batch"] for e in self._log() if e["batch"] is not None]
+
+    def _since_base(self, log: list[dict]) -> list[dict]:
+        last = max((k for k, e in enumerate(log) if e["batch"] is None), default=0)
+        return log[last:]
+
+    def _read(self, kind: str, schema: T.StructType, log: list[dict]) -> DataFrame:
+        """Rows of the batches since the last compaction, with their turn `at`; one scan, however many batches there are."""
+        own = self._since_base(log)
+        if not own:
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("at", T.IntegerType())]))
+        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("attempt", T.StringType())])).option("basePath", f"{self.root}/{kind}").parquet(*[f"{self.root}/{kind}/attempt={e[kind]}" for e in own])
+        turns = self.spark.createDataFrame([(e[kind], k) for k, e in enumerate(own)], "attempt string, at int")  # a row for each batch since the last compaction
+        return rows.join(F.broadcast(turns), "attempt").drop("attempt")
+
+    def _current(self, log: list[dict], touched: DataFrame | None = None) -> DataFrame:
+        """The latest ledger row of each document and tokenizer, or of the touched ones (k, t)."""
+        rows = self._read("ledger", LEDGER, log)
+        if touched is not None:
+            rows = rows.join(touched, rows["doc_key"].eqNullSafe(touched["k"]) & rows["tokenizer"].eqNullSafe(touched["t"]), "left_semi")
+        own = [c for c in LEDGER.names if c not in ("doc_key", "tokenizer")]
+        latest = rows.groupBy("doc_key", "tokenizer").agg(F.max_by(F.struct(*own), "at").alias("x"))
+        return latest.select(*[F.col(c) if c in ("doc_key", "tokenizer") else F.col(f"x.{c}") for c in LEDGER.names])
 
     def current(self) -> DataFrame:
-        """The latest ledger row of each document and tokenizer."""
-        done = self.committed()
-        if not done:
-            return self.spark.createDataFrame([], LEDGER)
-        parts = [self.spark.read.schema(LEDGER).parquet(f"{self.root}/ledger/{b}").withColumn("at", F.lit(i)) for i, b in enumerate(done)]
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        latest = rows.groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "tokens", "live"), "at").alias("x"))
-        return latest.select("doc_id", "x.source", "x.lang", "tokenizer", "x.tokens", "x.live")
+        return self._current(self._log())
+
+    def _write(self, kind: str, rows: DataFrame, schema: T.StructType) -> str:
+        attempt = uuid.uuid4().hex
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(f"{self.root}/{kind}/attempt={attempt}")
+        return attempt
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch of LEDGER rows (live false: a deletion); False if it was committed before.
 
-        Within a batch the greatest row of a document and tokenizer counts (live over deleted, then more tokens), so
-        repeated rows count once. A null id is a key like any other; a deletion of an unknown document changes nothing. An
-        empty batch commits with no effect. A batch that failed half-way is written anew."""
-        number = len(self.committed())
-        if any(b.split("-", 1)[1] == batch for b in self.committed()):
+        changes may lack doc_key; the id as text takes its place. Within a batch the greatest row of a key and tokenizer
+        counts (live over deleted, then more tokens, then source and language), so repeated rows count once, and of rows that
+        differ one decides. A null key is a key like any other, null tokens are 0, other columns are not read. A deletion of
+        an unknown document changes nothing. An empty batch commits with no effect. A batch that failed half-way leaves data
+        that no entry names, and is written anew."""
+        if any(e["batch"] == batch for e in self._log()):
             return False
-        name = f"{number:08d}-{batch}"
-        latest = changes.groupBy("doc_id", "tokenizer").agg(F.max(F.struct(F.coalesce("live", F.lit(True)).alias("live"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source", "lang")).alias("x"))
-        latest.select(F.col("doc_id").cast("long").alias("doc_id"), "x.source", "x.lang", "tokenizer", "x.tokens", "x.live").write.mode("overwrite").parquet(f"{self.root}/ledger/{name}")
-        new = self.spark.read.schema(LEDGER).parquet(f"{self.root}/ledger/{name}")
-        signed = new.filter("live").select(*KEYS, F.lit(1).alias("sign"), "tokens")
-        if number:
-            touched = new.select(F.col("doc_id").alias("d"), F.col("tokenizer").alias("t"))
-            now = self.current()
-            old = now.join(touched, now["doc_id"].eqNullSafe(touched["d"]) & now["tokenizer"].eqNullSafe(touched["t"]), "left_semi").filter("live")
-            signed = signed.unionByName(old.select(*KEYS, F.lit(-1).alias("sign"), "tokens"))
-        sums = signed.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.root}/delta/{name}")
-        path, fs = self._path("commit", name)
-        return bool(fs.createNewFile(path))
+        if "doc_key" not in changes.columns:
+            changes = changes.withColumn("doc_key", F.col("doc_id").cast("string"))
+        ranked = F.struct(F.coalesce("live", F.lit(True)).alias("live"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source", "lang", F.col("doc_id").cast("long").alias("doc_id"))
+        latest = changes.groupBy("doc_key", "tokenizer").agg(F.max(ranked).alias("x")).select("doc_key", "tokenizer", "x.*")
+        ledger = self._write("ledger", latest, LEDGER)
+        new = self.spark.read.schema(LEDGER).parquet(f"{self.root}/ledger/attempt={ledger}")
+        while True:
+            log = self._log()
+            if any(e["batch"] == batch for e in log):
+                dropped(self.spark, f"{self.root}/ledger/attempt={ledger}")
+                return False
+            signed = new.filter("live").select(*KEYS, F.lit(1).alias("sign"), "tokens")
+            if log:
+                old = self._current(log, new.select(F.col("doc_key").alias("k"), F.col("tokenizer").alias("t"))).filter("live")
+                signed = signed.unionByName(old.select(*KEYS, F.lit(-1).alias("sign"), "tokens"))
+            sums = signed.groupBy(*KEYS).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
+            delta = self._write("delta", sums, DELTA)
+            if self._publish(len(log), {"batch": batch, "ledger": ledger, "delta": delta}):
+                return True
+            dropped(self.spark, f"{self.root}/delta/attempt={delta}")
+
+    def compact(self) -> None:
+        """Publish the present state as one entry, from which reading begins; totals and names of batches stay as they are."""
+        while log := self._log():
+            ledger, delta = self._write("ledger", self._current(log).filter("live"), LEDGER), self._write("delta", self._sums(log), DELTA)
+            if self._publish(len(log), {"batch": None, "ledger": ledger, "delta": delta}):
+                return
+            dropped(self.spark, f"{self.root}/ledger/attempt={ledger}")
+            dropped(self.spark, f"{self.root}/delta/attempt={delta}")
+
+    def _sums(self, log: list[dict]) -> DataFrame:
+        sums = self._read("delta", DELTA, log).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return sums.filter((F.col("docs") != 0) | (F.col("tokens") != 0))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over the committed batches; groups that fell to nothing are left out."""
-        sums = self._read("delta", DELTA).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.filter((F.col("docs") != 0) | (F.col("tokens") != 0))
+        return self._sums(self._log())
 
 
 def op1_token_rollup(spark, sf_dir: str) -> DataFrame:
     """Totals after three deliveries: all documents, the same again (no effect), and a revision by labels.
 
-    The revision deletes toxic documents and moves those of quality 0 to the language `low`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    The revision deletes toxic documents and moves those of quality 0 to the language `low`; of several labels of a document
+    one toxic one and one of quality 0 are enough. Rows without an id are told apart by their texts and have no labels."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(doc_key().alias("doc_key"), "doc_id", "source", "lang", "text")
     store = RollupStore(spark, scratch(spark, "token-rollup"))
-    counts = counted(docs, ["doc_id", "source", "lang"])
-    load = counts.select("doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "tokens", F.lit(True).alias("live"))
+    counts = counted(docs, ["doc_key", "doc_id", "source", "lang"])
+    load = counts.select("doc_key", "doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "tokens", F.lit(True).alias("live"))
     store.commit("load", load)
     store.commit("load", load)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     judged = store.current().join(labels.filter("toxic = 1 OR quality = 0").hint("merge"), "doc_id")
     low = F.when(F.coalesce(F.col("quality") == 0, F.lit(False)), F.lit("low")).otherwise(F.col("lang"))
-    store.commit("labels", judged.select("doc_id", "source", low.alias("lang"), "tokenizer", "tokens", (F.coalesce(F.col("toxic"), F.lit(0)) != 1).alias("live")))
+    store.commit("labels", judged.select("doc_key", "doc_id", "source", low.alias("lang"), "tokenizer", "tokens", (F.coalesce(F.col("toxic"), F.lit(0)) != 1).alias("live")))
     return store.totals()

@@ -1,11 +1,16 @@
 """Sharding, packing, token rollups and revisits on small tables."""
 
+import base64
+import random
 import zlib
 
+import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from lodestack.llm import conflict_packing, histogram_shard, revisits, token_rollup
 from lodestack.llm.common import scratch
+from tests.llm import brute
 
 DOCS = "doc_id long, text string, source string, hi string, bucket int"
 
@@ -50,13 +55,16 @@ def test_query_columns(spark, tmp_path):
 
 def packed(spark, data, **kw):
     docs = spark.createDataFrame(data, DOCS)
-    return docs.toPandas(), conflict_packing.pack(docs, "doc_id", conflict_packing.token_estimate(), F.col("source"), conflict_packing.copy_cluster(), **kw).toPandas()
+    size = F.greatest(F.lit(1), F.floor(F.length(F.coalesce("text", F.lit(""))) / 4)).cast("long")
+    return docs.toPandas(), conflict_packing.pack(docs, "doc_id", size, F.col("source"), F.when(F.length("text") > 0, F.lower("text")), **kw).toPandas()
 
 
-def test_bins_respect_capacity_sources_and_clusters(spark):
-    docs, got = packed(spark, rows(), capacity=256, per_source=2, section=64)
+@pytest.mark.parametrize("section", [64, 100_000])
+def test_bins_respect_capacity_sources_and_clusters(spark, section):
+    docs, got = packed(spark, rows(), capacity=256, per_source=2, section=section)
     size = got.groupby("bin_id")["length"].sum()
     assert size.max() <= 256 and (size + got.groupby("bin_id")["residual"].first() == 256).all()
+    assert (got.groupby("bin_id")["position"].max() + 1 == got.groupby("bin_id").size()).all() and not got.duplicated(["bin_id", "position"]).any()
     want = docs["text"].fillna("").map(lambda t: max(1, len(t) // 4)).sum()
     assert got["length"].sum() == want
     one = docs.drop_duplicates("doc_id").set_index("doc_id")
@@ -66,13 +74,88 @@ def test_bins_respect_capacity_sources_and_clusters(spark):
     assert copies.groupby("bin_id").size().max() == 1
 
 
-def test_long_documents_are_cut_and_texts_come_back(spark):
-    docs = spark.createDataFrame([(1, "abcd" * 700 + "xyz", "s", "", 0), (2, "q" * 40, "s", "", 0)], DOCS)
-    pieces = conflict_packing.pack(docs, "doc_id", conflict_packing.token_estimate(), F.col("source"), conflict_packing.copy_cluster(), capacity=256)
+def plain_packing(items, capacity, per_source):
+    """[(id, source, cluster, size)] into bins, item by item: the bin with the least room, but some, that holds it and has no conflict."""
+    bins, out = [], []
+    rest = [(i, s, c, n - max(0, -(-n // capacity) - 1) * capacity) for i, s, c, n in items]
+    for i, s, c, n in sorted(rest, key=lambda x: (-x[3], "" if x[0] is None else f"={x[0]}")):
+        fits = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= max(n, 1) and b["sources"].count(s) < per_source and (c is None or c not in b["clusters"])]
+        k = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append({"room": capacity, "sources": [], "clusters": []})
+        bins[k]["room"] -= n
+        bins[k]["sources"].append(s), bins[k]["clusters"].append(c)
+        out.append((i, k))
+    return out
+
+
+def grouped(pairs):
+    by = {}
+    for i, k in pairs:
+        by.setdefault(k, []).append(i)
+    return sorted(sorted(map(str, v)) for v in by.values())
+
+
+def test_one_section_is_packed_as_by_the_plain_rule(spark):
+    rng = random.Random(8)
+    items = [(k, f"s{rng.choice([0, 0, 0, 1, 2])}", rng.choice([None, None, "a", "b", "c"]), rng.randrange(0, 700)) for k in range(300)] + [(None, None, None, 10)]
+    frame = spark.createDataFrame(items, "doc_id long, s string, c string, n long").repartition(4)
+    for _ in range(2):
+        got = conflict_packing.pack(frame, "doc_id", F.col("n"), F.col("s"), F.col("c"), capacity=256, per_source=3).collect()
+        last = {}
+        for r in got:
+            if r.start >= last.get(r.doc_id, (-1, 0))[0]:
+                last[r.doc_id] = (r.start, r.bin_id)
+        assert grouped((i, k) for i, (_, k) in last.items()) == grouped(plain_packing(items, 256, 3))
+        frame = frame.orderBy("n")
+
+
+def test_equal_rows_spread_over_sections(spark):
+    frame = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(100).alias("n"), F.lit("s").alias("s"))
+    got = conflict_packing.pack(frame, "doc_id", F.col("n"), F.col("s"), F.lit(None).cast("string"), capacity=256, per_source=4, section=1000).toPandas()
+    assert len(got) == 3000 and got["length"].sum() == 300_000
+    sections = (got["bin_id"] // (1 << 32)).value_counts()
+    assert len(sections) >= 3 and sections.max() < 1300
+
+
+def test_items_of_loose_bins_are_packed_again_across_sections(spark):
+    frame = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(20).alias("n"), F.col("id").cast("string").alias("s"))
+    got = conflict_packing.pack(frame, "doc_id", F.col("n"), F.col("s"), F.lit(None).cast("string"), capacity=1000, section=10).toPandas()
+    assert len(got) == 400 and got.groupby("bin_id")["length"].sum().max() <= 1000 and not got.duplicated("doc_id").any()
+
+
+def test_long_documents_are_cut_and_tokens_come_back(spark):
+    enc = encoder()
+    texts = {1: "some words and ünïcödé " * 700, 2: "q" * 40, 3: "", 4: None}
+    docs = spark.createDataFrame([(i, t, "s", "", 0) for i, t in texts.items()], DOCS)
+    sized = conflict_packing.measured(docs, ["doc_id", "source"])
+    pieces = conflict_packing.pack(sized, "doc_id", F.col("_tokens"), F.col("source"), F.col("_copies"), capacity=256)
+    want = {i: enc.encode_ordinary(t or "") for i, t in texts.items()}
     own = sorted((r.start, r.length) for r in pieces.filter("doc_id = 1").collect())
-    assert own == [(0, 256), (256, 256), (512, 188)]
-    texts = "".join(r.text for r in conflict_packing.packed_texts(docs, pieces).collect())
-    assert texts.count("abcd") == 700 and "xyz" in texts
+    assert [a for a, _ in own] == list(range(0, len(want[1]), 256)) and sum(n for _, n in own) == len(want[1])
+    bins = {r.bin_id: r.tokens for r in conflict_packing.packed_tokens(docs, pieces).collect()}
+    places = {}
+    for r in pieces.collect():
+        places.setdefault(r.bin_id, {})[r.position] = r
+    back = {i: {} for i in texts}
+    for b, own in places.items():
+        at = 0
+        for _, r in sorted(own.items()):
+            back[r.doc_id][r.start] = bins[b][at : at + r.length]
+            at += r.length
+        assert at == len(bins[b])
+    assert {i: [t for _, part in sorted(parts.items()) for t in part] for i, parts in back.items()} == want
+
+
+def test_packing_query_is_the_plain_rule_over_tokens_and_classes(spark, tmp_path):
+    enc, rng = encoder(), random.Random(4)
+    texts = [" ".join(rng.choice("alpha beta gamma delta river stone".split()) for _ in range(rng.randrange(1, 900))) for _ in range(60)]
+    docs = [(k, rng.choice(texts), f"s{k % 3}") for k in range(150)] + [(200, None, "s0"), (201, "", None), (None, "no id here", "s1")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = conflict_packing.op9_conflict_packing(spark, str(tmp_path)).collect()
+    items = [(i, s, brute.shingles(t) or None, len(enc.encode_ordinary(t or ""))) for i, t, s in docs]
+    assert sum(r.length for r in got) == sum(n for *_, n in items)
+    assert grouped((r.doc_id, r.bin_id) for r in got) == grouped(plain_packing(items, 2048, 4))
 
 
 def test_packing_of_empty_table(spark):
@@ -104,26 +187,122 @@ def test_rollups_are_signed_and_idempotent(spark):
     assert got == {("a", "fr", "v1"): (1, 12), (None, None, "v1"): (1, 7), ("b", "en", "v1"): (1, 0), ("a", "en", "v2"): (1, 99)}
 
 
-def test_half_written_batch_is_written_anew(spark):
+def plain_totals(batches):
+    """Totals of batches of LEDGER rows (with a key in front), counted from scratch."""
+    state = {}
+    for rows in batches:
+        best = {}
+        for key, source, lang, tokenizer, tokens, live in rows:
+            best[key, tokenizer] = max(best.get((key, tokenizer), (False, -1, "", "")), (live, tokens, source, lang))
+        state |= best
+    out = {}
+    for (_, tokenizer), (live, tokens, source, lang) in state.items():
+        if live:
+            docs, sum_ = out.get((source, lang, tokenizer), (0, 0))
+            out[source, lang, tokenizer] = (docs + 1, sum_ + tokens)
+    return out
+
+
+def test_totals_are_those_of_a_recount_and_survive_compaction(spark):
+    rng = random.Random(2)
+    row = lambda: (rng.randrange(30), f"s{rng.randrange(3)}", rng.choice(["en", "fr"]), f"v{rng.randrange(2)}", rng.randrange(50), rng.random() < 0.7)
+    batches = [[row() for _ in range(25)] for _ in range(4)]
+    store = token_rollup.RollupStore(spark, scratch(spark, "rollup-test"))
+    for k, rows in enumerate(batches):
+        assert store.commit(f"b{k}", spark.createDataFrame(rows, LEDGER))
+        if k % 2:
+            store.compact()
+        got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in token_rollup.RollupStore(spark, store.root).totals().collect()}
+        assert got == plain_totals(batches[: k + 1])
+    assert not store.commit("b0", spark.createDataFrame(batches[0], LEDGER)) and store.committed() == ["b0", "b1", "b2", "b3"]
+
+
+def test_two_writers_of_one_state_do_not_count_a_document_twice(spark, monkeypatch):
+    store = token_rollup.RollupStore(spark, scratch(spark, "rollup-test"))
+    other = token_rollup.RollupStore(spark, store.root)
+    frame = lambda *rows: spark.createDataFrame(list(rows), LEDGER)
+    store.commit("load", frame((1, "a", "en", "v1", 10, True)))
+    publish, met = store._publish, []
+
+    def late(number, entry):
+        if not met:
+            met.append(number)
+            assert other.commit("theirs", frame((1, "a", "en", "v1", 99, False)))
+        return publish(number, entry)
+
+    monkeypatch.setattr(store, "_publish", late)
+    assert store.commit("ours", frame((1, "a", "en", "v1", 12, True)))
+    assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(1, 12)] and store.committed() == ["load", "theirs", "ours"]
+    assert not publish(0, {"batch": "x", "ledger": "x", "delta": "x"})
+
+
+def test_half_written_batch_is_written_anew(spark, monkeypatch):
     store = token_rollup.RollupStore(spark, scratch(spark, "rollup-test"))
     row = spark.createDataFrame([(1, "a", "en", "v1", 10, True)], LEDGER)
-    row.write.parquet(f"{store.root}/ledger/00000000-one")
-    assert store.totals().count() == 0 and store.commit("one", row)
-    assert store.totals().first()["tokens"] == 10
 
+    def lost(number, entry):
+        raise RuntimeError("lost")
 
-def test_token_counts_are_those_of_whole_texts(spark):
-    import base64
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(store, "_publish", lost)
+        store.commit("one", row)
+    assert store.totals().count() == 0 and store.commit("one", row)
+    assert store.totals().first()["tokens"] == 10
 
-    import tiktoken
 
+def encoder():
     with open(token_rollup.VOCABULARY, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("t", pat_str=token_rollup.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = ["", None, "Hello, world! <|endoftext|>", "é" * 300, "a b " * 20_000]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.tokens for r in token_rollup.counted(docs, ["doc_id"]).collect()}
+    return tiktoken.Encoding("t", pat_str=token_rollup.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_token_counts_are_those_of_whole_texts(spark):
+    enc = encoder()
+    texts = ["", None, "Hello, world! <|endoftext|>", "é" * 300, "a b " * 20_000, "abcdefghij" * 50_000, "!" * 300_000]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, doc_key string")
+    got = {r.doc_id: r.tokens for r in token_rollup.counted(docs, ["doc_id", "doc_key"]).collect()}
     assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    with pytest.raises(ValueError):
+        token_rollup.counted(docs.withColumn("tokens", F.lit(1)), ["tokens"])
+
+
+def test_very_long_white_space_is_counted_in_pieces():
+    enc = encoder()
+
+    class Weak:
+        _encode_single_piece = staticmethod(enc._encode_single_piece)
+
+        class PanicException(BaseException):
+            pass
+
+        def encode_ordinary(self, text):
+            if " " * 1000 in text or "\n" * 1000 in text:
+                raise self.PanicException
+            return enc.encode_ordinary(text)
+
+    for text in (" " * 5000 + "word", "a" + " " * 5000, "one" + "\n" * 2000 + "two " + "\t \u3000" * 700 + " three " + " " * 1500, " " * 1200):
+        assert token_rollup.token_ids(Weak(), text) == enc.encode_ordinary(text)
+    assert len(token_rollup.token_ids(enc, "x" + " " * 2_000_000 + "y")) == 2 + len(enc._encode_single_piece(" " * 1_999_999))
+
+
+def test_rollup_query_is_a_recount(spark, tmp_path):
+    enc = encoder()
+    docs = [(i, f"word {i} " * (i % 7), f"s{i % 3}", ("en", "fr", None)[i % 3]) for i in range(40)] + [(None, "no id", "s1", "en"), (None, "no id at all", "s1", "en"), (None, "no id", "s1", "en"), (50, None, None, None), (3, f"word {3} " * 3, "s0", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(20)] + [(7, 0, 0), (900, 0, 1), (None, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    load = [(i if i is not None else t, s, lang, "byte_bpe_50k", len(enc.encode_ordinary(t or "")), True) for i, t, s, lang in docs]
+    toxic, low = {i for i, _, t in labels if t}, {i for i, q, _ in labels if q == 0}
+    best = {}
+    for r in load:
+        best[r[0]] = max(best.get(r[0], r), r, key=lambda x: (x[4], x[1] or "", x[2] or ""))
+    want = {}
+    for key, source, lang, tokenizer, tokens, _ in best.values():
+        if key not in toxic:
+            group = (source, "low" if key in low else lang, tokenizer)
+            want[group] = (want.get(group, (0, 0))[0] + 1, want.get(group, (0, 0))[1] + tokens)
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in token_rollup.op1_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == want
 
 
 CAPTURE = "record_id long, url string, seen long, status int, headers map<string,string>, digest string, length long"
