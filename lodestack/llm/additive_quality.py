@@ -84,7 +84,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
-    """doc_id and FEATURES of every row; a null text counts as empty."""
+    """doc_id and FEATURES of every row; a null text counts as empty, a text of any length is read whole. Other columns, also
+    such as are named like a feature, are not read."""
     kind = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.FloatType()) for c in FEATURES]])
     return docs.select("doc_id", "text").mapInArrow(_featured, kind)
 
@@ -195,9 +196,11 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, rate: f
 def train(feats: DataFrame, labels: DataFrame, label: str = "quality", most: int = 40_000) -> AdditiveModel | None:
     """Fit on labelled rows (doc_id, label 0 or 1; other labels are left out). None if there are none.
 
+    A document labelled twice alike counts once, one with both labels not at all; rows without an id have no label.
+
     most: bound on the labelled rows that are fitted (to about 1 %). Beyond it, the rows whose hashed id falls into the matching
     share are taken; at 19 numbers a row the driver holds 6 MB at the default."""
-    known = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
+    known = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"), F.max(label).alias("other")).filter("label = other").drop("other")
     rows = feats.join(known.hint("merge"), "doc_id")
     there = rows.count()
     if there > most:

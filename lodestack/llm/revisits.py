@@ -1,16 +1,17 @@
 """Resolution of not-modified revisit records in web archives: an as-of join to the latest earlier full response.
 
-A capture with status 304 (or of type `revisit`) has no payload of its own. It is resolved by the latest earlier full
-response of the same canonical URL: its validators are checked, and the headers that a 304 may update replace the stored
-ones (RFC 9110, sections 13 and 15.4.5). The as-of join has two levels, so that one hot URL spreads over many tasks:
-within a time slice by a window, across slices by the last full response of each earlier slice."""
+A capture with status 304 has no payload of its own. It is resolved by the latest earlier full response of the same
+canonical URL: its validators are checked, and the headers that a 304 may update replace the stored ones (RFC 9110, sections
+13 and 15.4.5). The as-of join has two levels, so that one hot URL spreads over many tasks: captures are cut into slices of
+near equal rows in the order of URL and time; within a slice a window finds the response, and the few URLs that go on from
+one slice to the next carry their last full response along."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import interval_of
+from .common import shuffle_parts, staged
 
 # Headers that a not-modified response may update (RFC 9111, section 3.2 leaves out those of the payload).
 PERMITTED_HEADERS = ["cache-control", "date", "etag", "expires", "last-modified", "vary"]
@@ -30,40 +31,46 @@ def canonical_url(url: Column) -> Column:
     return F.when(url.isNotNull(), F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
 
-def resolve_revisits(captures: DataFrame, slice_rows: int = 50_000) -> DataFrame:
+def resolve_revisits(captures: DataFrame, slice_rows: int = 1_000_000) -> DataFrame:
     """One row for each capture: CAPTURE columns, canonical, is_revisit, refers_to, outcome, resolved_headers, resolved_digest, resolved_length.
 
-    captures: record_id (unique, orders captures of one instant), url, seen (long, e.g. epoch microseconds), status, headers
-    (map of lower-case names), digest and length of the payload (those of a revisit are what it claims, or null).
+    captures: record_id (orders captures of one instant), url, seen (long, e.g. epoch microseconds), status, headers (map of
+    lower-case names), digest and length of the payload (those of a revisit are what it claims, or null).
     outcome: `full` for a full response, `resolved`, `mismatch` when a validator (digest, etag or last-modified) that both
     sides have differs, `orphan` without an earlier full response, `other` for another status. Only `resolved` rows take the
-    payload and the merged headers.
+    payload and the merged headers. slice_rows: rows of a slice, about, on large tables; slices grow in number with the rows.
 
-    Nulls: a null url or time finds nothing (`orphan`); a validator missing on either side is not compared. Captures alike
-    in time are ordered by record_id. Repeated rows are resolved alike. An empty table gives no rows."""
+    Nulls: a null url or time finds nothing (`orphan`); a validator missing on either side is not compared; a null record_id
+    comes before others of its instant. Captures alike in time are ordered by record_id; of those alike in both, a full
+    response is not earlier than the others, and later captures refer to the one greatest by digest, length and digest of the
+    headers. Repeated rows are resolved alike. Headers are carried whole, however long. Further columns are not read. An
+    empty table gives no rows."""
     rows = captures.select(*CAPTURE).withColumns({
         "canonical": canonical_url(F.col("url")),
         "is_revisit": F.coalesce(F.col("status") == 304, F.lit(False)),
         "is_full": F.coalesce(F.col("status").between(200, 299), F.lit(False)),
     })
-    slices = min(256, max(1, -(-captures.count() // slice_rows)))
-    cuts = captures.approxQuantile("seen", [i / slices for i in range(1, slices)], 0.2 / slices) if slices > 1 else []
-    rows = rows.withColumn("slice", interval_of(F.col("seen"), sorted({int(c) for c in cuts})))
-    stored = F.when(F.col("is_full") & F.col("canonical").isNotNull() & F.col("seen").isNotNull(), F.struct("seen", "record_id", "digest", "length", "headers"))
-    key = F.struct("seen", "record_id")
     # A null url would be one hot key of rows that find nothing: they get keys of their own.
     lone = F.col("canonical").isNull() | F.col("seen").isNull()
     keyed = rows.withColumn("key", F.when(lone, F.concat(F.lit("\x00"), F.coalesce(F.col("record_id").cast("string"), F.lit("")))).otherwise(F.col("canonical")))
-    own = Window.partitionBy("key", "slice").orderBy("seen", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    within = keyed.withColumn("near", F.last(stored, ignorenulls=True).over(own))
-    if slices > 1:
-        # Every slice of a URL that holds captures, with the last full response of the slices before.
-        before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        places = keyed.filter(~lone).groupBy("key", "slice").agg(F.max_by(F.when(F.col("is_full"), stored), F.when(F.col("is_full"), key)).alias("end"))
-        carried = places.withColumn("carry", F.last("end", ignorenulls=True).over(before)).filter(F.col("carry").isNotNull()).select("key", "slice", "carry")
-        within = within.join(carried, ["key", "slice"], "left")
-    else:
-        within = within.withColumn("carry", F.lit(None).cast(dict(within.dtypes)["near"]))
+    spark, count = captures.sparkSession, captures.count()
+    slices = max(1, min(shuffle_parts(spark), -(-count // 10_000)), -(-count // slice_rows))
+    ranged = keyed.repartitionByRange(slices, "key", "seen", "record_id") if slices > 1 else keyed.coalesce(1)
+    ranged = staged(ranged.withColumn("slice", F.spark_partition_id()), "revisit-slices")
+    stored = F.when(F.col("is_full") & F.col("canonical").isNotNull() & F.col("seen").isNotNull(), F.struct("seen", "record_id", "digest", "length", "headers"))
+    turn = ["seen", "record_id", "is_full", "digest", "length", F.xxhash64(F.map_entries("headers"))]
+    own = Window.partitionBy("key", "slice").orderBy(*turn).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn("near", F.last(stored, ignorenulls=True).over(own))
+    # URLs on both sides of a cut: each is the first or last of its slices, so there are at most two for each slice.
+    edges = ranged.groupBy("slice").agg(F.array(F.min("key"), F.max("key")).alias("k")).select("slice", F.explode("k").alias("key")).distinct()
+    across = edges.groupBy("key").count().filter("count > 1").select("key")
+    before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.filter(stored.isNotNull()).join(F.broadcast(across), "key", "left_semi").groupBy("key", "slice").agg(F.max_by(stored, F.struct(*turn)).alias("end"))
+    # A slice in the middle may hold no full response, but has to hand on what comes before it.
+    places = edges.join(F.broadcast(across), "key", "left_semi").join(ends, ["key", "slice"], "left")
+    carried = places.withColumn("carry", F.last("end", ignorenulls=True).over(before)).filter(F.col("carry").isNotNull()).select("key", "slice", "carry")
+    carried = staged(carried, "revisit-carried")
+    within = within.join(F.broadcast(carried) if slices <= 10_000 else carried, ["key", "slice"], "left")
     base = F.coalesce("near", "carry")
     differs = lambda a, b: F.coalesce(a != b, F.lit(False))
     header = lambda m, k: F.try_element_at(m, F.lit(k))

@@ -214,8 +214,37 @@ def test_search_of_empty_short_and_large_vectors(spark):
     assert got[(100, 2)] == (200, 0) and got[(100, 3)] == (300, -3072 * big)
 
 
-def test_covering_radii_hold():
+def test_components_beyond_64_bits(spark):
+    rows = [(0, [1e30, 2.0]), (100, [3.0, 1e25]), (200, [-1e30, 5.0]), (300, [1.5, 0.25]), (5, [1e16, -1e16]), (7, [1e300, 1.0]), (8, [2e300, 1.0])]
+    own = cover_tree.usable(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in cover_tree.dual_tree_top_k(own, own.filter("vec_id % 100 = 0")).collect()}
+    whole = {i: [1024 * int(x) if abs(x) > 2**52 else int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    cut = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    for q in (0, 100, 200, 300):
+        scores = {i: cut(sum(a * b for a, b in zip(v, whole[q], strict=True))) for i, v in whole.items() if i != q}
+        order = sorted(scores, key=lambda i: (-scores[i], i))
+        assert {r: (i, scores[i]) for r, i in enumerate(order, 1)} == {r: got[q, r] for r in range(1, 7)}
+
+
+def test_scores_between_53_and_64_bits_are_exact(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(2**18, 2**18 + 40, size=(300, 8)).astype(np.float64)
+    frame = cover_tree.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, e array<double>"), "vec_id", "e")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in cover_tree.dual_tree_top_k(frame, frame.filter("vec_id % 100 = 0"), 10, 64, 32, 2).collect()}
+    assert got == brute_top(np.arange(300), x, {0, 100, 200}, 10)
+
+
+def test_cover_tree_invariants_hold_at_every_node():
     tree = cover_tree.CoverTree(vectors(500, 2).astype(np.float64))
+    rows = tree.centers
     for k in range(len(tree.start)):
         own = tree.points[tree.start[k] : tree.stop[k]]
-        assert np.sqrt(((own - tree.centers[k]) ** 2).sum(axis=1)).max() <= tree.radii[k] + 1e-9
+        assert np.sqrt(((own - rows[k]) ** 2).sum(axis=1)).max() <= tree.radii[k] + 1e-9
+        kids = tree.children[k]
+        if kids:
+            assert sorted((tree.start[c], tree.stop[c]) for c in kids)[0][0] == tree.start[k] and sum(tree.stop[c] - tree.start[c] for c in kids) == len(own)
+            reach = max(tree.radii[c] for c in kids)
+            gaps = [np.sqrt(((rows[a] - rows[b]) ** 2).sum()) for i, a in enumerate(kids) for b in kids[:i]]
+            assert not gaps or min(gaps) >= reach - 1e-9
+            assert any(tree.center[c] == tree.center[k] for c in kids)
+            assert len(kids) == cover_tree.FAN or reach <= tree.radii[k] / 2 + 1e-9

@@ -343,3 +343,36 @@ def test_payload_of_revisits(spark):
     bodies = spark.createDataFrame([(1, "one"), (4, "four")], "record_id long, body string")
     got = {r.record_id: r.body for r in revisits.with_payload(found, bodies).collect()}
     assert got[2] == "one" and got[5] == "four" and got[3] is None and got[1] == "one"
+
+
+def plain_revisits(rows):
+    """{(record_id, seen): (outcome, refers_to)} by looking through all earlier captures."""
+    out = {}
+    for rid, url, seen, status, headers, digest, _ in rows:
+        if status != 304:
+            out[rid, seen] = ("full" if 200 <= status < 300 else "other", None)
+            continue
+        base = max(((s, r, d or "") for r, u, s, st, _, d, _ in rows if u == url and u is not None and seen is not None and s is not None and 200 <= st < 300 and (s, r) < (seen, rid)), default=None)
+        out[rid, seen] = ("orphan", None) if base is None else ("mismatch" if digest and base[2] and digest != base[2] else "resolved", base[1])
+    return out
+
+
+def test_hot_urls_cross_slices_as_by_the_plain_rule(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(1500):
+        url = rng.choice(["https://hot.example/", "https://hot.example/", "https://hot.example/", "https://b.example/x", f"https://c.example/{rng.randrange(200)}", None])
+        rows.append((k, url, rng.randrange(400) if rng.random() < 0.98 else None, rng.choice([200, 304, 304, 304, 304, 304, 503]), None, rng.choice([None, "D1", "D2"]), 5))
+    frame = spark.createDataFrame(rows, CAPTURE)
+    canonical = [(r[0], revisits and (r[1] and r[1].split("://")[1].rstrip("/")), *r[2:]) for r in rows]
+    want = plain_revisits(canonical)
+    for slice_rows in (1_000_000, 40, 7):
+        got = {(r.record_id, r.seen): (r.outcome, r.refers_to) for r in revisits.resolve_revisits(frame, slice_rows).collect()}
+        assert got == want
+
+
+def test_captures_alike_in_time_and_id_have_a_defined_order(spark):
+    twins = [(1, "u.example", 5, 200, None, "A", 1), (1, "u.example", 5, 200, None, "B", 1), (1, "u.example", 5, 304, None, None, None), (2, "u.example", 6, 304, None, None, None), (None, "u.example", 6, 304, None, None, None)]
+    for rows in (twins, twins[::-1]):
+        got = sorted((r.record_id or 0, r.status, r.outcome, r.resolved_digest) for r in revisits.resolve_revisits(spark.createDataFrame(rows, CAPTURE)).collect())
+        assert got == [(0, 304, "resolved", "B"), (1, 200, "full", "A"), (1, 200, "full", "B"), (1, 304, "orphan", None), (2, 304, "resolved", "B")]
