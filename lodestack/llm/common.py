@@ -76,6 +76,13 @@ def release(df: DataFrame) -> None:
         dropped(df.sparkSession, path)
 
 
+def free_prefix(columns: list[str], names: list[str], prefix: str = "__") -> str:
+    """A prefix with which none of the names is one of the columns."""
+    while any(prefix + n in columns for n in names):
+        prefix += "_"
+    return prefix
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

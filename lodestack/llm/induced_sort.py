@@ -1,8 +1,10 @@
 """Suffix arrays by induced sorting (Nong, Zhang and Chan 2009) and permuted common prefixes (Kärkkäinen, Manzini and
 Puglisi 2009), in whole-array steps.
 
-A scan of the induced sort goes bucket by bucket; all entries of a bucket that are known at once induce their
-predecessors in one step. The recursion on leftmost-smaller (LMS) substrings ends in doubling of their ranks."""
+A scan of the induced sort over bytes goes bucket by bucket; all entries of a bucket that are known at once induce their
+predecessors in one step. The names of leftmost-smaller (LMS) substrings form a shorter string, which is sorted in the same
+way, recursively, until all names differ. Such a string has about as many letters as places, so its scans go place by
+place, in linear time."""
 
 from __future__ import annotations
 
@@ -97,16 +99,19 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, letters: int) ->
     return np.concatenate(out[::-1])
 
 
-def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray, separator: int | None = None) -> np.ndarray:
     """Ranks of the LMS substrings in text order, equal for equal substrings; each separator has a rank of its own."""
     size = np.append(np.diff(lms) + 1, 1)
     index = np.empty(len(s), dtype=np.int64)
     index[lms] = np.arange(len(lms))
-    heads = ordered[s[ordered] == SEPARATOR]
     ordered = ordered.copy()
-    ordered[s[ordered] == SEPARATOR] = np.sort(heads)
+    if separator is not None:
+        apart = s[ordered] == separator
+        ordered[apart] = np.sort(ordered[apart])
     length = size[index[ordered]]
-    same = np.append(False, (length[1:] == length[:-1]) & (s[ordered[1:]] == s[ordered[:-1]]) & (s[ordered[1:]] != SEPARATOR))
+    same = np.append(False, (length[1:] == length[:-1]) & (s[ordered[1:]] == s[ordered[:-1]]))
+    if separator is not None:
+        same[1:] &= s[ordered[1:]] != separator
     open_ = np.flatnonzero(same)
     k = 1
     while len(open_):
@@ -120,47 +125,63 @@ def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _doubled(rank: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of ranks, by doubling; only ranks that are still shared are compared."""
-    n, step = len(rank), 1
-    order = np.argsort(rank, kind="stable")
-    # Ranks become positions of the first member of each run, so that a run can be refined in place.
-    level = rank[order]
-    fresh = np.append(True, level[1:] != level[:-1])
-    head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = head
-    while True:
-        lone = fresh & np.append(fresh[1:], True)
-        slots = np.flatnonzero(~lone)
-        if not len(slots):
-            return order
-        own = order[slots]
-        ahead = own + step
-        next_ = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        key = head[slots] * (n + 1) + next_
-        inner = np.argsort(key)
-        order[slots] = own[inner]
-        key = key[inner]
-        split = np.append(True, key[1:] != key[:-1])
-        fresh[slots] |= split
-        head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        rank[order[slots]] = head[slots]
-        step *= 2
+def _lms(small: np.ndarray) -> np.ndarray:
+    """Places of smaller suffixes that follow a larger one."""
+    return np.flatnonzero(small[1:] & ~small[:-1]) + 1
+
+
+def _scanned(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """_induce() for a string over many letters, the last of them its least: two passes over the places of the order."""
+    n = len(s)
+    ends = np.cumsum(np.bincount(s))
+    # Letter before each place, if the suffix there is larger (smaller) than its successor; place n stands for "none yet".
+    before = np.append(-1, s[:-1])
+    larger = [*np.where(np.append(True, small[:-1]), -1, before).tolist(), -1]
+    smaller = [*np.where(np.append(False, small[:-1]), before, -1).tolist(), -1]
+    order = np.full(n, n, dtype=np.int64)
+    letters = s[lms]
+    turn = np.argsort(letters, kind="stable")
+    count = np.bincount(letters, minlength=len(ends))
+    order[np.repeat(ends - np.cumsum(count), count) + np.arange(len(lms))] = lms[turn]
+    order = order.tolist()
+    free = [0, *ends[:-1].tolist()]
+    for i in order:  # grows ahead of the pass
+        c = larger[i]
+        if c >= 0:
+            order[free[c]] = i - 1
+            free[c] += 1
+    free = ends.tolist()
+    for i in reversed(order):
+        c = smaller[i]
+        if c >= 0:
+            free[c] = at = free[c] - 1
+            order[at] = i - 1
+    return np.array(order, dtype=np.int64)
+
+
+def _order(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names 0, 1, ...; the last of them is 0 and stands nowhere else."""
+    if int(names.max()) + 1 == len(names):
+        return np.argsort(names)
+    small = _types(names)
+    lms = _lms(small)
+    first = _scanned(names, small, lms)
+    mark = np.zeros(len(names), dtype=bool)
+    mark[lms] = True
+    shorter = _names(names, lms, first[mark[first]])
+    return _scanned(names, small, lms[_order(shorter)])
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Positions of all suffixes of s (see joined()) in order."""
     letters = int(s.max()) + 1
     small = _types(s)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(lms) < 2:
-        return _induce(s, small, lms, letters)
+    lms = _lms(small)
     first = _induce(s, small, lms, letters)
     mark = np.zeros(len(s), dtype=bool)
     mark[lms] = True
-    rank = _names(s, lms, first[mark[first]])
-    return _induce(s, small, lms[_doubled(rank)], letters)
+    names = _names(s, lms, first[mark[first]], SEPARATOR)
+    return _induce(s, small, lms[_order(names)], letters)
 
 
 def permuted_lcp(s: np.ndarray, order: np.ndarray, until: np.ndarray) -> np.ndarray:

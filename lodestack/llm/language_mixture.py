@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_crc
+from .common import free_prefix, id_crc
 from .textbytes import LOWER, chunks
 
 #: Size of the trigram table; the model is languages x BINS numbers whatever the corpus.
@@ -259,8 +259,6 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     The columns stay those of docs. Nulls and repeated rows are treated as in identify()."""
     model = train(_learnable(docs))
     columns = docs.columns
-    prefix = "__"
-    while any(c.startswith(prefix) for c in columns):
-        prefix += "_"
+    prefix = free_prefix(columns, PREDICTION.names)
     found = identify(docs, model, columns, prefix=prefix).filter(F.col(f"{prefix}lang_pred") != UNKNOWN)
     return found.select(*[F.col(f"{prefix}lang_pred").alias("lang") if c == "lang" else c for c in columns])

@@ -7,6 +7,7 @@ class throughout, and components grow as pairs are verified, so a group of near
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,7 +203,7 @@ def _bucket_batch(kind: int, a: np.ndarray, b: np.ndarray, need: np.ndarray | No
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: classes of large buckets (a: token, b: class); kind 1: candidate pairs with partial counts."""
+    """kind 0: classes of large buckets (a: token, b: class, need: size of its set); kind 1: candidate pairs with partial counts."""
     blobs = [x.as_py() for batch in batches for x in batch.column("posts")]
     if not blobs:
         return
@@ -226,7 +227,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         big = post[wide]
         for k in range(0, len(big), 1 << 18):
             p = big[k : k + (1 << 18)]
-            yield _bucket_batch(0, p["token"].astype(np.uint64).view(np.int64), p["key"], None, None)
+            yield _bucket_batch(0, p["token"].astype(np.uint64).view(np.int64), p["key"], p["n"], None)
     left, right = [], []
     for back in range(1, SMALL):
         ok = (at - back >= of) & ~wide
@@ -341,28 +342,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return both.select("a", "b", "own_a", "own_b").mapInArrow(_verify, "a long, b long")
 
 
-def _bridged(large: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, block: int) -> DataFrame:
-    """Components after all links across components that large buckets still hold.
+def _bridged(large: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, block: int, weight: int) -> DataFrame:
+    """Components after all links across components that large buckets (a, key, n) still hold.
 
-    Classes that meet in such buckets form areas. The classes of an area are dealt into blocks, and any two blocks meet in one
-    cell, where the intersections of all their sets are counted at once; a cell returns only links that join components, so
-    neither pairs nor links of a group are listed, however large it is."""
+    Classes that meet in such buckets form areas. The classes of an area are dealt into steps by the size of their sets, a
+    quarter apart, so that similar ones stand in one step or in neighbouring ones, and each step into blocks of about `block`
+    classes and `weight` shingles at most. Two blocks of such steps meet in one cell, where the intersections of all their
+    sets are counted at once; a cell returns only links that join components, so neither pairs nor links of a group are
+    listed, however large it is."""
     known = large.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     open_ = known.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("first")).filter("low <> high").select("a", "first")
     open_ = staged(open_, "join-open")
     # Few buckets stay open as a rule; broadcast, they leave the rows of a hot bucket where they are.
     met = known.join(F.broadcast(open_) if open_.count() <= 1_000_000 else open_, "a")
-    meets = staged(met.select("key", "label", "first").distinct(), "join-meets")
+    meets = staged(met.select("key", "label", "n", "first").distinct(), "join-meets")
     if meets.isEmpty():
         return labels
     areas = components(meets.select(F.col("first").alias("a"), F.col("key").alias("b"))).select(F.col("node").alias("key"), F.col("label").alias("area"))
-    members = staged(meets.select("key", "label").distinct().join(areas, "key"), "join-members")
-    size = members.groupBy("area").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(size, "area").withColumn("own_block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", "label", "area", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"), F.when(F.col("own_block") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("own_block") == F.col("other")).alias("same"))
-    cells = cells.join(_fetched(members.select("key"), docs, classes), "key")
-    extra = cells.groupBy("area", "i", "j").applyInArrow(_cell, "a long, b long")
+    step = F.floor(F.log("n") / math.log(BASE / SHARE) + 1e-9).cast("int")
+    members = staged(meets.select("key", "label", "n").distinct().join(areas, "key").withColumn("step", step), "join-members", spent=(meets, open_))
+    size = staged(members.groupBy("area", "step").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.col("n").cast("long")) / weight)).cast("int").alias("blocks")), "join-steps")
+    beside = lambda by, name: size.select("area", (F.col("step") + by).alias("step"), F.col("blocks").alias(name))
+    around = size.join(beside(1, "below"), ["area", "step"], "left").join(beside(-1, "above"), ["area", "step"], "left")
+    dealt = members.join(around, ["area", "step"]).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    # A cell is named by its two blocks, the one of the smaller step (or number) first.
+    here, below, above = (F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1) for c in ("blocks", "below", "above"))
+    none = F.array().cast("array<struct<i_step:int,i:int,j_step:int,j:int,side:int>>")
+    name = lambda i_step, i, j_step, j, side: F.struct(i_step.alias("i_step"), i.alias("i"), j_step.alias("j_step"), j.alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    own, at = F.col("own"), F.col("step")
+    cells = F.concat(
+        F.transform(here, lambda o: name(at, F.least(own, o), at, F.greatest(own, o), F.when(own <= o, 0).otherwise(1))),
+        F.when(F.col("below").isNotNull(), F.transform(below, lambda o: name(at - 1, o, at, own, 1))).otherwise(none),
+        F.when(F.col("above").isNotNull(), F.transform(above, lambda o: name(at, own, at + 1, o, 0))).otherwise(none),
+    )
+    cells = dealt.select("key", "label", "area", F.explode(cells).alias("c")).select("key", "label", "area", "c.*")
+    cells = cells.withColumn("same", (F.col("i_step") == F.col("j_step")) & (F.col("i") == F.col("j"))).join(_fetched(members.select("key"), docs, classes), "key")
+    extra = cells.groupBy("area", "i_step", "i", "j_step", "j").applyInArrow(_cell, "a long, b long")
     return components(staged(links.unionByName(extra), "join-links"))
 
 
@@ -372,12 +387,12 @@ def jaccard_components(docs: DataFrame, **limits: int) -> DataFrame:
         return _components(docs, **limits).select("doc_id", "n_shingles", "component_id")
 
 
-def _components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_000, block: int = 512) -> DataFrame:
+def _components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_000, block: int = 512, weight: int = 1 << 20) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included),
     and the class and component behind it: key, check, label (null without links).
 
     docs: doc_id, text. cell: sets of one frequent shingle that meet in one task at most; rows_a_part: postings of a task;
-    block: classes of an area compared at once.
+    block, weight: classes of an area, and shingles of theirs, that one side of a comparison holds at most, about.
     A document without words (or a null text) has no shingles and is linked with nothing. Copies and repeated rows are one
     class; a null doc_id takes part in links, but names a component only if it has no other member (then null). An empty
     table gives no rows. Sets are compared by 64-bit shingle hashes, classes by 128 bits."""
@@ -410,9 +425,9 @@ def _components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_0
     classes = staged(classes, "join-classes")
     links = staged(_verified(tried, docs, classes), "join-links")
     labels = components(links)
-    large = found.filter("kind = 0").select("a", F.col("b").alias("key"))
+    large = found.filter("kind = 0").select("a", F.col("b").alias("key"), F.col("need").alias("n"))
     if not large.isEmpty():
-        labels = staged(_bridged(large, links, labels, docs, classes, block), "join-labels")
+        labels = staged(_bridged(large, links, labels, docs, classes, block, weight), "join-labels")
     named = classes.join(labels.withColumnRenamed("node", "key"), "key", "left")
     least = named.filter("label is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
     special = named.filter("members > 1 or label is not null").join(least, "label", "left").select("key", "check", "n", F.coalesce("component_id", "rep").alias("component_id"), "label")

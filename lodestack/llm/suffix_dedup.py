@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import matched, shuffle_parts, small_batches, staged
+from .common import free_prefix, matched, shuffle_parts, small_batches, staged
 from .induced_sort import joined, permuted_lcp, suffix_array
 from .textbytes import BYTE, chunks, mix, series, text_array
 
@@ -40,8 +40,10 @@ REACH = SPAN - CORE
 #: Neighbourhoods of one minimiser that are brought to one shard at most.
 HOT = 1024
 LOOSE = 128
+#: Bytes of a piece of a very long text, whose minimisers are found at once.
+PIECE = 4 << 20
 #: Text of one suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 256 << 10
 _U = np.uint64
 _MAX = np.iinfo(np.uint64).max
 _STEP = series(32, 9) | _U(1)
@@ -108,8 +110,9 @@ def minimisers(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, at - starts[row], core[at], around
 
 
-def _piecewise(buf: np.ndarray, off: np.ndarray, step: int = 4 << 20):
+def _piecewise(buf: np.ndarray, off: np.ndarray, step: int = 0):
     """minimisers(), a very long text in overlapping pieces."""
+    step = step or PIECE
     if len(off) != 2 or len(buf) <= 2 * step:
         return minimisers(buf, off)
     found = []
@@ -430,24 +433,23 @@ KEPT = T.StructType([
 _ARROW = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "spans": pa.list_(pa.list_(pa.int64())), "kept_text": pa.string()}
 
 
-def _parts(docs: DataFrame) -> int:
-    """Shuffle partitions: those of the session, or more, so that one gets the anchors of about 32 MB of input files at most."""
-    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_parts(docs.sparkSession), known >> 25 if known < 1 << 55 else 0)  # larger ones stand for "unknown"
+def _parts(docs: DataFrame, text: str) -> int:
+    """Shuffle partitions: those of the session, or more, so that one gets the anchors of about 48 MB of text at most."""
+    size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"))).first()[0] or 0
+    return max(shuffle_parts(docs.sparkSession), size // (48 << 20))
 
 
-def repeated_covers(docs: DataFrame) -> DataFrame:
+def repeated_covers(docs: DataFrame, parts: int) -> DataFrame:
     """doc, data: the packed covers of each document that has any. docs: doc (long, not null), text."""
-    parts = _parts(docs)
     met = docs.mapInArrow(_scan(parts), DEALT).repartitionById(parts, F.col("part")).mapInArrow(_met(parts), DEALT)
     met = staged(met, "dedup-met")
     asks = met.filter(F.col("kind") == IS_ASK).repartitionById(parts, F.col("part")).mapInArrow(_by_doc(ASK), "doc long, data binary")
     asks = staged(asks, "dedup-asks")
     asked = matched(docs, asks.select("doc"), "doc", "left_semi").join(asks.hint("merge"), "doc")
     near = asked.select("doc", "text", "data").mapInArrow(_answered(parts), NEAR).repartitionById(parts, F.col("part"))
-    induced = staged(near.mapInArrow(_induced(parts), DEALT), "dedup-induced")
+    induced = staged(near.mapInArrow(_induced(parts), DEALT), "dedup-induced", spent=(asks,))
     covers = met.filter(F.col("kind") == IS_COVER).unionByName(induced).repartitionById(parts, F.col("part"))
-    return staged(covers.mapInArrow(_by_doc(COVER), "doc long, data binary"), "dedup-covers")
+    return staged(covers.mapInArrow(_by_doc(COVER), "doc long, data binary"), "dedup-covers", spent=(met, induced))
 
 
 def _cut(own: bytes, data: bytes | None) -> tuple[bytes, np.ndarray]:
@@ -464,36 +466,45 @@ def _cut(own: bytes, data: bytes | None) -> tuple[bytes, np.ndarray]:
     return b"".join(kept), np.stack([low, high], axis=1)
 
 
-def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with __doc, a number ordered as the ids are (null first) that only rows alike in id and text share.
+def _identified(docs: DataFrame, doc_id: str, text: str, parts: int, name: str) -> DataFrame:
+    """docs with a column of that name, a number ordered as the ids are (null first) that only rows alike in id and text share.
 
     Where no id occurs twice it is the id itself, otherwise the rank of (id, digest of the text), counted over ranges."""
-    rows = docs.withColumn("__doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)))
-    if rows.groupBy("__doc").count().filter("count > 1").isEmpty():
+    rows = docs.withColumn(name, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)))
+    if rows.groupBy(name).count().filter("count > 1").isEmpty():
         return rows
-    marked = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__digest", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    ranged = marked.select("__id", "__digest").distinct().repartitionByRange(_parts(docs), "__id", "__digest")
-    ranged = staged(ranged.withColumn("__range", F.spark_partition_id()), "dedup-ids")
-    counts = sorted((r["__range"], r["count"]) for r in ranged.groupBy("__range").count().collect())  # a row for each partition
+    p = free_prefix(docs.columns, ["id", "digest", "i", "d"])
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    marked = docs.withColumn(f"{p}id", F.col(doc_id).cast("long")).withColumn(f"{p}digest", digest)
+    ranged = marked.select(F.col(f"{p}id").alias("i"), F.col(f"{p}digest").alias("d")).distinct().repartitionByRange(parts, "i", "d")
+    ranged = staged(ranged.withColumn("range", F.spark_partition_id()), "dedup-ids")
+    counts = sorted((r["range"], r["count"]) for r in ranged.groupBy("range").count().collect())  # a row for each partition
     before = np.cumsum([0, *[n for _, n in counts]]).tolist()
-    starts = docs.sparkSession.createDataFrame([(k, b) for (k, _), b in zip(counts, before, strict=False)], "__range int, __before long")
-    place = F.row_number().over(Window.partitionBy("__range").orderBy("__id", "__digest"))
-    ranks = ranged.withColumn("__at", place).join(F.broadcast(starts), "__range").select(F.col("__id").alias("__i"), F.col("__digest").alias("__d"), (F.col("__before") + F.col("__at") - 1).alias("__doc"))
-    named = marked.join(ranks, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d")))
-    return staged(named.select(*docs.columns, "__doc"), "dedup-rows")
+    starts = docs.sparkSession.createDataFrame([(k, b) for (k, _), b in zip(counts, before, strict=False)], "range int, before long")
+    place = F.row_number().over(Window.partitionBy("range").orderBy("i", "d"))
+    ranks = ranged.withColumn("at", place).join(F.broadcast(starts), "range").select(F.col("i").alias(f"{p}i"), F.col("d").alias(f"{p}d"), (F.col("before") + F.col("at") - 1).alias(name))
+    named = marked.join(ranks, F.col(f"{p}id").eqNullSafe(F.col(f"{p}i")) & (F.col(f"{p}digest") == F.col(f"{p}d")))
+    return staged(named.select(*docs.columns, name), "dedup-rows", spent=(ranged,))
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], want: list[str], doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
     """keep columns of docs and the wanted columns of KEPT (with prefix before their names): sizes, spans, digest and bytes left of each document.
 
-    A null text is empty; a text under SPAN bytes keeps all. A null id comes before all others. Rows alike in id and text get
-    the same result; rows of one id (or without one) and different texts are documents of their own, ordered by digest. An
-    empty table gives no rows. Texts are UTF-8 bytes throughout; what is left of a text may cut characters."""
-    docs = _identified(docs, doc_id, text)
+    A null text is empty; a text under SPAN bytes keeps all; a text of any length is read whole. A null id comes before all
+    others. Rows alike in id and text get the same result; rows of one id (or without one) and different texts are documents
+    of their own, ordered by digest. An empty table gives no rows. Columns of any name pass through, as long as the prefixed
+    new names differ from them. Texts are UTF-8 bytes throughout; what is left of a text may cut characters."""
+    clash = [prefix + c for c in want if prefix + c in keep]
+    if clash:
+        raise ValueError(f"columns {clash} of the table clash with the new ones; name a prefix")
+    p = free_prefix([*docs.columns, *[prefix + c for c in want]], ["doc", "text", "data"])
+    doc, whole, found = p + "doc", p + "text", p + "data"
+    parts = _parts(docs, text)
+    docs = _identified(docs, doc_id, text, parts, doc)
     with small_batches(docs.sparkSession):
-        covers = repeated_covers(docs.select(F.col("__doc").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    rows = docs.select(*keep, "__doc", F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    rows = rows.join(covers.select(F.col("doc").alias("__doc"), F.col("data").alias("__data")).hint("merge"), "__doc", "left")
+        covers = repeated_covers(docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")), parts)
+    rows = docs.select(*keep, doc, F.coalesce(F.col(text), F.lit("")).alias(whole))
+    rows = rows.join(covers.select(F.col("doc").alias(doc), F.col("data").alias(found)).hint("merge"), doc, "left")
     fields = [T.StructField(prefix + c, KEPT[c].dataType) for c in want]
     make = {
         "n_bytes": lambda own, kept, spans: len(own),
@@ -508,8 +519,8 @@ def remove_repeats(docs: DataFrame, keep: list[str], want: list[str], doc_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: dict[str, list] = {c: [] for c in want}
-            raw, off = text_array(batch.column("__text"))
-            data = batch.column("__data")
+            raw, off = text_array(batch.column(whole))
+            data = batch.column(found)
             for k in range(batch.num_rows):
                 own = raw[off[k] : off[k + 1]].tobytes()
                 kept, spans = _cut(own, data[k].as_py())
@@ -533,6 +544,7 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     that was cut go too. A null text becomes empty."""
     columns = docs.columns
     own = [c for c in columns if c not in ("text", "n_chars")]
-    found = remove_repeats(docs, own, ["n_removed", "kept_text"], prefix="__").filter((F.col("__n_removed") == 0) | F.col("__kept_text").rlike(r"\S"))
-    new = {"text": F.col("__kept_text"), "n_chars": F.length("__kept_text").cast("long")}
+    p = free_prefix(columns, ["n_removed", "kept_text"])
+    found = remove_repeats(docs, own, ["n_removed", "kept_text"], prefix=p).filter((F.col(f"{p}n_removed") == 0) | F.col(f"{p}kept_text").rlike(r"\S"))
+    new = {"text": F.col(f"{p}kept_text"), "n_chars": F.length(f"{p}kept_text").cast("long")}
     return found.select(*[new[c].alias(c) if c in new else c for c in columns])

@@ -41,6 +41,26 @@ def test_suffix_array_and_prefixes(texts):
         assert lcp[b] == n
 
 
+def test_recursion_on_names_of_repetitive_strings(monkeypatch):
+    depth = []
+    order_of = induced_sort._order
+    monkeypatch.setattr(induced_sort, "_order", lambda names: depth.append(len(names)) or order_of(names))
+    fib = [b"b", b"a"]
+    while len(fib[-1]) < 2000:
+        fib.append(fib[-1] + fib[-2])
+    rng = random.Random(1)
+    cases = [[fib[-1]], [b"ab" * 700, b"ab" * 500], [b"a" * 900], [b"abac" * 300 + b"abad"], [bytes(rng.choice(b"ab") for _ in range(2500))], [fib[-2], fib[-1], b"b" + fib[-3]]]
+    deepest = 0
+    for texts in cases:
+        depth.clear()
+        s = induced_sort.joined(texts)
+        plain = letters(s)
+        assert induced_sort.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: plain[i:])
+        assert all(2 * b <= a for a, b in zip(depth, depth[1:], strict=False))
+        deepest = max(deepest, len(depth))
+    assert deepest >= 4
+
+
 def repeat_cases():
     rng = random.Random(5)
     base = "".join(rng.choice("abcdefgh ") for _ in range(900))
@@ -60,11 +80,15 @@ def test_repeats_are_those_of_brute_force(spark, monkeypatch, hot, loose):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "LOOSE", loose)
     docs = repeat_cases()
-    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, kept string, __n int").repartition(3)
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame, ["doc_id", "kept"], ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"], prefix="new_").collect()}
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 20 if hot > 3 else 600)  # the latter cuts the longest of these texts
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 2000)
+    frame = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in docs], "doc_id long, text string, kept string, __doc int, __text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame, ["doc_id", "kept", "__doc", "__text"], ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"], prefix="new_").collect()}
     want = brute.repeats(docs)
     assert {k: (r.new_n_bytes, r.new_n_removed, r.new_n_spans, r.new_kept_sha256) for k, r in got.items()} == {k: (a, b, c, brute.digest(d)) for k, (a, b, c, d) in want.items()}
-    assert all(sum(b - a for a, b in r.new_spans) == r.new_n_removed for r in got.values())
+    assert all(sum(b - a for a, b in r.new_spans) == r.new_n_removed and (r["__doc"], r["__text"]) == (1, "y") for r in got.values())
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(frame, ["kept"], ["kept"])
 
 
 def test_repeats_of_repeated_rows_nulls_and_empty_tables(spark):
@@ -113,7 +137,7 @@ def join_cases():
     return docs
 
 
-@pytest.mark.parametrize("small,kw", [(32, {}), (2, {"block": 16}), (4, {"cell": 5, "block": 7})])
+@pytest.mark.parametrize("small,kw", [(32, {}), (2, {"block": 16}), (4, {"cell": 5, "block": 7}), (3, {"block": 1000, "weight": 300})])
 def test_components_are_those_of_brute_force(spark, monkeypatch, small, kw):
     monkeypatch.setattr(ngram_join, "SMALL", small)
     docs = join_cases()
@@ -122,6 +146,19 @@ def test_components_are_those_of_brute_force(spark, monkeypatch, small, kw):
     assert got == brute.components(docs)
 
 
+def test_one_line_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(90)]
+    line = " ".join(f"line{k}" for k in range(30))
+    docs = []
+    for k in range(120):  # the line is most of a text, so that all meet in its shingles
+        own = [rng.choice(words) for _ in range(rng.choice([1, 3, 6, 9, 14, 40, 41]))]
+        docs.append((k, line + " " + " ".join(own) if k % 3 else " ".join(own) + " " + line))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), block=9, weight=500).collect()}
+    assert got == brute.components(docs)
+
+
 def test_components_of_repeated_rows_null_ids_and_empty_tables(spark):
     text = "alpha beta gamma delta epsilon zeta"
     frame = spark.createDataFrame([(7, text), (7, text), (None, text), (None, "other words entirely here now"), (9, text + " " + "x " * 50)], "doc_id long, text string")
