@@ -66,7 +66,7 @@ def scene_eval(spark: SparkSession, tasks: str, runs: int, out: str) -> str:
     os.makedirs(out, exist_ok=True)
     rows.withColumn("note", F.lit("")).write.mode("overwrite").partitionBy("task_id", "rag_enabled").json(f"{out}/sessions")
     scored = sessions.score(rows)
-    text = ablation.report(scored, "fake", f"{scored.select('task_id').distinct().count()} tasks x {runs} runs/condition.")
+    text = ablation.report(scored, "demo", f"{scored.select('task_id').distinct().count()} tasks x {runs} runs/condition.")
     with open(f"{out}/report.md", "w") as f:
         f.write(text)
     with open(f"{out}/summary.json", "w") as f:

@@ -9,20 +9,20 @@ EVENT = "struct<type:string,query:string,source_type:string,top_k:int,n_hits:int
 SNAPSHOT = "struct<objects:int,meshes:int,materials:int,material_nodes:int,lights:int>"
 SESSION = f"task_id string, rag_enabled boolean, run_index int, model string, events array<{EVENT}>, final_scene {SNAPSHOT}, completed boolean, success_hints array<string>, note string"
 QUERY, EXEC = "rag_query", "code_exec"
+# Names of metrics, which way each is better (the others are neutral), and those that decide whether a task was helped.
 METRICS = ["error_rate", "clean_run", "query_before_call_rate", "gotcha_hits", "task_signal_rate", "scene_total", "completed", "code_executions", "code_errors", "rag_queries", "iterations"]
-#: Which way each metric is better; the others are neutral.
 DIRECTION = {"error_rate": -1, "clean_run": 1, "query_before_call_rate": 1, "gotcha_hits": -1, "task_signal_rate": 1, "scene_total": 1, "completed": 1, "code_errors": -1}
 KEY_METRICS = ["error_rate", "gotcha_hits", "task_signal_rate", "query_before_call_rate"]
 
-# The lint rules as (id, pattern, advice, severity). A pattern finds each use of what no longer works.
+# Ids, patterns and severities of the lint rules. A pattern finds each use of what no longer works; the third entry says what to write instead.
 RULES = [
-    ("eevee_next_engine_id", r"(?U)\bBLENDER_EEVEE_NEXT\b", "Use scene.render.engine = 'BLENDER_EEVEE'.", "raises"),
-    ("nishita_sky_removed", r"(?U)\bNISHITA\b", "Use the new Sky Texture node options (no 'NISHITA' sky_type).", "raises"),
-    ("agx_view_transform_casing", r"(?U)view_transform\s*=\s*['\"](?!AgX['\"])(?i:agx)['\"]", "Set view_transform = 'AgX' (capital A, capital X).", "raises"),
-    ("glare_type_attribute", r"(?U)\.glare_type\b", "Set the Glare values via node.inputs[...] sockets, not a .glare_type attr.", "silent"),
-    ("bgl_module_removed", r"(?U)\bimport\s+bgl\b|\bbgl\.", "Port bgl draw code to the gpu / gpu_extras modules.", "raises"),
-    ("register_module_removed", r"(?U)\b(?:un)?register_module\b", "Register classes explicitly with bpy.utils.register_class.", "raises"),
-    ("new_effect_missing_length", r"(?U)new_effect\s*\((?:[^()]|\([^()]*\))*\)", "Pass length= (and frame_start/frame_end) to strips.new_effect(...).", "raises"),
+    ("eevee_next_engine_id", r"(?U)\bBLENDER_EEVEE_NEXT\b", "The engine id is plain BLENDER_EEVEE again.", "raises"),
+    ("nishita_sky_removed", r"(?U)\bNISHITA\b", "This sky model is gone; choose another sky_type.", "raises"),
+    ("agx_view_transform_casing", r"(?U)view_transform\s*=\s*['\"](?!AgX['\"])(?i:agx)['\"]", "Spell it AgX.", "raises"),
+    ("glare_type_attribute", r"(?U)\.glare_type\b", "The glare settings are input sockets of the node now.", "silent"),
+    ("bgl_module_removed", r"(?U)\bimport\s+bgl\b|\bbgl\.", "Draw with the gpu module.", "raises"),
+    ("register_module_removed", r"(?U)\b(?:un)?register_module\b", "Register each class by itself.", "raises"),
+    ("new_effect_missing_length", r"(?U)new_effect\s*\((?:[^()]|\([^()]*\))*\)", "Name the length of the strip.", "raises"),
 ]
 
 
@@ -60,15 +60,15 @@ def task_signal_rate(events: Column, hints: Column) -> Column:
     return F.when(F.size(hints) > 0, F.size(F.filter(hints, lambda h: F.contains(code, F.lower(h)))) / F.size(hints)).otherwise(0.0)
 
 
-def score(sessions: DataFrame) -> DataFrame:
-    """task_id, rag_enabled, run_index and METRICS of each session row (SESSION)."""
+def score(sessions: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """task_id, rag_enabled, run_index and METRICS of each session row (SESSION), and the columns to keep."""
     events, hints = F.coalesce("events", F.array().cast(f"array<{EVENT}>")), F.coalesce("success_hints", F.array().cast("array<string>"))
     runs = F.filter(events, lambda e: e["type"] == EXEC)
     n, bad = F.size(runs), F.size(F.filter(runs, lambda e: ~F.coalesce(e["ok"], F.lit(False))))
     scene = [F.coalesce(F.col(f"final_scene.{c}"), F.lit(0)) for c in ("objects", "meshes", "materials", "material_nodes", "lights")]
     total = scene[0] + scene[1] + scene[2] + scene[3] + scene[4]
     return sessions.select(
-        "task_id", "rag_enabled", "run_index",
+        "task_id", "rag_enabled", "run_index", *(keep or []),
         F.when(n > 0, bad / n).otherwise(0.0).alias("error_rate"), ((n > 0) & (bad == 0)).alias("clean_run"), query_before_call_rate(events).alias("query_before_call_rate"),
         F.aggregate(runs, F.lit(0), lambda a, e: a + F.size(lint(F.coalesce(e["code"], F.lit(""))))).alias("gotcha_hits"), task_signal_rate(events, hints).alias("task_signal_rate"),
         total.alias("scene_total"), F.coalesce("completed", F.lit(False)).alias("completed"), n.alias("code_executions"), bad.alias("code_errors"),

@@ -141,32 +141,53 @@ def test_lint(spark, code, rules):
 
 
 def tasks(spark):
-    rows = [("floating_island", ["BLENDER_EEVEE", "AgX", "principled"]), ("moody_interior", ["area light", "volume", "principled"]), ("procedural_rocks", ["GeometryNodeDistributePointsOnFaces", "instance", "geometry nodes"])]
+    rows = [("harbour", ["Lighthouse", "fog"]), ("attic", ["beams", "dust", "lamp"]), ("empty_plan", None)]
     return spark.createDataFrame(rows, "id string, success_hints array<string>")
 
 
 def test_demo_report_numbers(spark):
-    scored = sessions.score(ablation.demo_sessions(spark, tasks(spark), 3))
-    lines = ablation.report(scored, "fake", "3 tasks x 3 runs/condition.").splitlines()
-    assert "RAG helped on **3/3** tasks (net of error_rate, gotcha_hits, task_signal_rate, grounding)." in lines
+    scored = sessions.score(ablation.demo_sessions(spark, tasks(spark), 3)).cache()
+    text = ablation.report(scored, "demo", "3 tasks x 3 runs.")
+    lines = text.splitlines()
+    assert lines[0] == "# Scene-eval report" and "Synthetic backend" in text and "## Summary" in lines
+    assert "RAG helped on 3/3 tasks, by error_rate, gotcha_hits, task_signal, grounding." in lines
+    # Off, in runs of 3, 4 and 3 pieces of code: 2, 3 and 2 fail, and lint finds something in each piece.
     for want in (
-        "| floating_island | -0.389 | -2.000 | +0.667 | +1.000 | ✅ |", "| error_rate | 0.389 | 0.000 | -0.389 | ✅ |", "| scene_total | 9.000 | 25.000 | +16.000 | ✅ |", "| completed | 1.000 | 1.000 | 0 | · |",
-        "| code_executions | 3.333 | 2.000 | -1.333 | · |", "| task_signal_rate | 0.333 | 1.000 | +0.667 | ✅ |", "_Pooled error_rate (sum errors / sum execs): off 0.400 → on 0.000._",
-        "_Spread (±pop. stdev): error_rate off ±0.08 / on ±0.00, gotcha_hits off ±0.00 / on ±0.00, task_signal_rate off ±0.00 / on ±0.00._",
-        "**RAG effect:** error rate -0.39, gotchas -2.00, grounding +1.00 (negative error/gotchas = better).",
+        "| harbour | -0.694 | -3.333 | +1.000 | +1.000 | ✅ |", "| empty_plan | -0.694 | -3.333 | 0 | +1.000 | ✅ |", "| metric | RAG-off | RAG-on | Δ (on−off) | |", "| error_rate | 0.694 | 0.000 | -0.694 | ✅ |",
+        "| scene_total | 3.000 | 38.000 | +35.000 | ✅ |", "| completed | 1.000 | 1.000 | 0 | · |", "| code_executions | 3.333 | 3.000 | -0.333 | · |", "| clean_run | 0.000 | 1.000 | +1.000 | ✅ |",
+        "Pooled error_rate (all errors over all runs of code): 0.700 off, 0.000 on.", "**RAG effect:** fewer failed runs (-0.69), fewer outdated calls (-3.33), more runs after a query (+1.00).",
+        "Spread (±pop. stdev), off and on: error_rate 0.04 and 0.00, gotcha_hits 0.47 and 0.00, task_signal_rate 0.00 and 0.00, query_before_call_rate 0.00 and 0.00.",
     ):
         assert want in lines, want
+    assert [x for x in lines if x.startswith("## ")] == ["## Summary", "## attic (RAG-on n=3, RAG-off n=3)", "## empty_plan (RAG-on n=3, RAG-off n=3)", "## harbour (RAG-on n=3, RAG-off n=3)"]
+    rows = [x.split(" | ")[0] for x in lines[lines.index("## attic (RAG-on n=3, RAG-off n=3)") :] if x.startswith("| ")]
+    assert rows[1 : len(sessions.METRICS) + 1] == [f"| {m}" for m in sessions.METRICS]
+    assert "directional only" not in text and "directional only" in ablation.report(scored.filter("run_index < 2"))
+
+
+def test_worse_metrics_are_marked_and_do_not_count_as_help(spark):
+    scored = sessions.score(ablation.demo_sessions(spark, tasks(spark), 1)).withColumn("rag_enabled", ~F.col("rag_enabled"))
+    text = ablation.report(scored, "live")
+    assert "RAG helped on 0/3 tasks" in text and "| error_rate | 0.000 | 0.667 | +0.667 | ⚠️ |" in text and "**RAG effect:** none that counts here." in text and "Synthetic" not in text
 
 
 def test_one_condition_has_no_delta(spark):
-    scored = sessions.score(ablation.demo_sessions(spark, tasks(spark), 1)).filter("rag_enabled")
-    assert "_Only one condition present — no delta._" in ablation.report(scored)
+    text = ablation.report(sessions.score(ablation.demo_sessions(spark, tasks(spark), 1)).filter("rag_enabled"))
+    assert text.count("Only one condition present") == 3 and "## Summary" not in text and "| metric" not in text
 
 
 def test_transcript(spark):
-    rows = ablation.demo_sessions(spark, tasks(spark), 2).filter("task_id = 'moody_interior' AND run_index = 1")
-    shown = "\n".join(ablation.show(rows))
-    assert "GOTCHA[raises] eevee_next_engine_id" in shown and "  1. SEARCH [api]: moody_interior engine setup  -> 3 hits" in shown and "EXEC [ERR AttributeError]" in shown
+    rows = ablation.demo_sessions(spark, tasks(spark), 2)
+    shown = {(r.task_id, r.rag_enabled, r.run_index): r.text.split("\n") for r in ablation.transcripts(rows).collect()}
+    assert len(shown) == 12
+    on = shown["harbour", True, 1]
+    assert on[:5] == ["## harbour (RAG-on, run 1, model demo)", "brief concepts: Lighthouse, fog", "  1. SEARCH [manual]: how to stage harbour  -> 2 hits", "  2. EXEC [OK]", "     | plan = 'Lighthouse fog'"]
+    assert on[-1] == "summary: executions 3, errors 0, error rate 0.00, queries 3, grounding 1.00, lint hits 0, task signal 1.00, completed true"
+    off = shown["empty_plan", False, 1]
+    assert off[1:5] == ["  1. EXEC [ERR ImportError]", "     | import bgl", "     error: demo ImportError", "     lint (raises) bgl_module_removed: Draw with the gpu module."]
+    assert "  4. EXEC [ERR AttributeError]" in off and not any(x.startswith("  4.") for x in shown["empty_plan", False, 0]) and not any("brief concepts" in x for x in off)
+    bare = spark.createDataFrame([("t", False, 0, None, None, None, None, None, None)], sessions.SESSION)
+    assert ablation.transcripts(bare).first()["text"].startswith("## t (RAG-off, run 0)\nsummary: executions 0")
 
 
 def test_session_rates(spark):
@@ -209,9 +230,23 @@ Deep
 
 def test_rst_becomes_markdown(spark):
     got = one(spark, sources.rst_markdown, RST)
+    assert one(spark, sources.rst_markdown, None) is None and one(spark, sources.rst_markdown, "") == "" and one(spark, sources.rst_markdown, "a\n\n") == "a\n\n"
     assert [x for x in got.split("\n") if x.strip()] == ["# Title", "Intro shown and link with `code`.", "## Sub", "**Note:** Take care", "   of this", "   y = 1", "### Deep"]
 
 
+def test_rst_blocks_of_every_kind(spark):
+    convert = lambda t: one(spark, sources.rst_markdown, t)
+    # Levels go by the turn of the rule character; a rule shorter than its title is none.
+    assert convert("A\n==\nB\n--\nC\n~~~\nLonger\n---\n=====\nD\n=====\nE\r\n~~~~\r") == "A\n==\nB\n--\n# C\nLonger\n---\n## D\n# E"
+    heads = "".join(f"{c * 3}\nT{k}\n{c * 3}\n" for k, c in enumerate("#*=-^~+:"))
+    assert convert(heads).split("\n")[:-1] == ["#" * min(k + 1, 6) + f" T{k}" for k in range(8)]
+    # A dropped block ends at the first line that is not further indented; others keep their body.
+    assert convert("  .. figure:: x\n     :w: 1\n\n    cap\n  after") == "  after"
+    assert convert(".. code-block:: py\n   :linenos:\n\n   x = 1\n.. [1] note\n..\nend") == "\n   x = 1\nend"
+    assert convert(".. Tip::\n.. WARNING:: hot ``x``") == "**Tip:**\n**Warning:** hot `x`"
+    assert convert("see `a\nb <c>`_ and :doc:`d <e>` :k:`v`") == "see `a\nb <c>`_ and d v"
+
+
 PAGE = """<html><dl class="py class"><dt id="m.C" class="sig">class <b>C</b>(x)<a>¶</a></dt><dd><p>About C.</p>
 <dl class="py method"><dt id="m.C.f">f()¶</dt><dd><p>Does f.</p></dd></dl><dl class="py attribute"><dt id="m.C.a">a</dt><dd></dd></dl></dd></dl>
 <dl class="py"><dt>no id</dt></dl></html>"""
