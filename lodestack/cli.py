@@ -1,22 +1,55 @@
-"""Command line: build and query an index, evaluate it, and compare agent sessions. `python -m lodestack.cli -h`"""
+"""Command line: build a corpus, its chunks, contexts and index, search and evaluate it, and compare agent sessions.
+
+`python -m lodestack.cli -h` lists the commands."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.config import Settings, load_settings
 from lodestack.operators import ablation, chunking, evaluation, index, retrieval, sessions
 from lodestack.session import local_session
 from lodestack.sources import documents as sources
-from lodestack.sources import jsonl
+from lodestack.sources import jsonl, registry
 
 DOCUMENT = "id string, text string, source_type string, source_url string, title string, version string, extra struct<" + ",".join(f"{k}:{t}" for k, t in sources.EXTRA.items()) + ">"
 LABELLED = "query string, type string, expect array<string>, filter struct<version:string>"
 TASK = "id string, prompt string, success_hints array<string>"
+#: The ways to search that an evaluation compares.
+CONFIGURATIONS = ("vector", "hybrid", "hybrid+symbol", "hybrid+rerank")
+
+
+def build_corpus(spark: SparkSession, settings: Settings, out: str, names: list[str] | None = None) -> DataFrame:
+    """Documents of the registered sources as JSON Lines; returns what was written."""
+    jsonl.write_jsonl(registry.read(spark, settings, names), out)
+    return spark.read.schema(DOCUMENT).json(out)
+
+
+def corpus_report(docs: DataFrame) -> DataFrame:
+    """what (type, version or all), value, docs, chars."""
+    named = docs.select(F.col("source_type").alias("type"), "version", F.length("text").alias("n"))
+    sums = named.groupingSets([["type"], ["version"], []], "type", "version").agg(F.grouping_id().alias("g"), F.count("*").alias("docs"), F.sum("n").alias("chars"))
+    what = F.when(F.col("g") == 1, "type").when(F.col("g") == 2, "version").otherwise("all")
+    return sums.select(what.alias("what"), F.coalesce("type", "version", F.lit("")).alias("value"), "docs", F.coalesce("chars", F.lit(0)).alias("chars")).orderBy("what", "value")
+
+
+def gather(spark: SparkSession, settings: Settings, out: str, names: list[str]) -> DataFrame:
+    """Each creative source as JSON Lines of its own, outside the index; source, version_status, docs."""
+    parts = []
+    for name in names:  # the sources named on the command line
+        jsonl.write_jsonl(registry.read(spark, settings, [name], registry.CREATIVE), f"{out}/{name}.jsonl")
+        rows = spark.read.schema(DOCUMENT).json(f"{out}/{name}.jsonl")
+        parts.append(rows.groupBy(F.lit(name).alias("source"), F.coalesce("extra.version_status", F.lit("?")).alias("version_status")).agg(F.count("*").alias("docs")))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.orderBy("source", "version_status")
 
 
 def build_chunks(spark: SparkSession, corpus: str, out: str) -> DataFrame:
@@ -29,78 +62,143 @@ def build_chunks(spark: SparkSession, corpus: str, out: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def build_context(spark: SparkSession, corpus: str, chunks: str, generate: Callable[[list[str], list[str]], list[str]], scope: list[str] | None = None, limit: int = 0) -> tuple[int, int]:
+    """Give the chunks contexts, in place; (chunks with a context, chunks). limit: only the first by document and place, the rest stays untouched."""
+    table = spark.read.parquet(chunks)
+    docs = spark.read.schema(DOCUMENT).json(corpus)
+    if limit:
+        head = table.select("doc_id", "chunk_index").orderBy("doc_id", "chunk_index").limit(limit)
+        done = index.with_context(table.join(F.broadcast(head), ["doc_id", "chunk_index"], "left_semi"), docs, generate, scope)
+        done = done.unionByName(table.join(F.broadcast(head), ["doc_id", "chunk_index"], "left_anti"))
+    else:
+        done = index.with_context(table, docs, generate, scope)
+    jsonl.rewrite(done, chunks)
+    return spark.read.parquet(chunks).agg(F.count_if(F.coalesce("context", F.lit("")) != ""), F.count("*")).first()
+
+
 def statistics(chunks: DataFrame) -> DataFrame:
     size = F.greatest(F.lit(1), F.floor(F.length("text") / 4))
     return chunks.groupBy("source_type").agg(F.count("*").alias("chunks"), F.min(size).alias("least"), F.floor(F.avg(size)).alias("mean"), F.max(size).alias("most")).orderBy("source_type")
 
 
-def search(spark: SparkSession, root: str, queries: DataFrame, top_k: int = 6, source_type: str | None = None, version: str | None = None, boost: bool = False, dim: int = 256) -> DataFrame:
-    """Hybrid search of a table of queries (query_id, query): the hits of each, best first."""
-    table = index.open_table(spark, root).withColumnRenamed("doc_id", "parent")
-    where = retrieval.build_where(source_type, version)
-    asked = queries.select("query_id", "query", retrieval.hashed_encoder(dim)(F.col("query")).alias("vector"))
-    dense = retrieval.knn(asked, table if where is None else table.filter(where), 40)
-    lexical = retrieval.bm25(queries, table, 40, where, doc_id="id", text="embed_text").withColumnRenamed("doc_id", "id")
-    ranked = retrieval.hybrid(dense, lexical, table if boost else None, queries if boost else None, top_k)
-    return index.hits(ranked, table)
+def build_index(spark: SparkSession, chunks: str, root: str) -> int:
+    index.build_table(spark.read.parquet(chunks).withColumnRenamed("chunk_index", "position"), retrieval.hashed_encoder(), root)
+    return index.open_table(spark, root).count()
+
 
+def search(spark: SparkSession, root: str, queries: DataFrame, top_k: int = 6, source_type: str | None = None, version: str | None = None, way: str = "hybrid", score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The hits of a table of queries (query_id, query), best first, by one of CONFIGURATIONS."""
+    mode, _, extra = way.partition("+")
+    if way not in CONFIGURATIONS or extra == "rerank" and score is None:
+        raise ValueError(f"no way to search by {way}")
+    return index.search(spark, root, queries, retrieval.hashed_encoder(), top_k, source_type, version, "symbol" if extra == "symbol" else mode, score if extra == "rerank" else None)
 
-def evaluate(spark: SparkSession, root: str, labelled: str, k: int = 5) -> DataFrame:
-    """hit@k, recall@k and MRR of a labelled query file, by type and overall; a query's version filter is obeyed."""
+
+def search_tool(spark: SparkSession, root: str, query: str, top_k: int = 6, source_type: str | None = None, version: str | None = None) -> list[dict]:
+    """The search as a tool: one question, its hits as plain dictionaries (what a server hands to an agent)."""
+    if source_type is not None and source_type not in sources.SOURCE_TYPES:
+        raise ValueError(f"unknown source type {source_type}")
+    found = search(spark, root, spark.createDataFrame([(1, query)], "query_id long, query string"), top_k, source_type, version)
+    return [{c: r[c] for c in (*retrieval.HIT_FIELDS, "score")} for r in found.orderBy("rank").collect()]  # top_k rows
+
+
+def per_query(spark: SparkSession, root: str, labelled: str, k: int, way: str, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """evaluation.query_metrics() of a labelled query file, with query and expect; a query's version filter is obeyed."""
     rows = spark.read.schema(LABELLED).json(labelled).withColumn("query_id", F.monotonically_increasing_id())
     hits = None
     for r in rows.select("filter.version").distinct().collect():  # a handful of versions
         own = rows.filter(F.col("filter.version").eqNullSafe(F.lit(r[0])))
-        found = search(spark, root, own, k, version=r[0])
+        found = search(spark, root, own, k, version=r[0], way=way, score=score)
         hits = found if hits is None else hits.unionByName(found)
     expects = rows.select("query_id", F.posexplode("expect").alias("expect_no", "e"))
     fields = [evaluation.text_of(F.col(c)) for c in evaluation.FIELDS]
     matches = hits.join(expects, "query_id").filter(evaluation.hit_matches(F.col("e"), *fields)).select("query_id", "rank", "expect_no")
     asked = rows.select("query_id", "type", F.coalesce(F.size("expect"), F.lit(0)).alias("n_expect"))
-    return evaluation.macro(evaluation.query_metrics(asked, matches, k), by_type=True).orderBy("type")
+    return evaluation.query_metrics(asked, matches, k).join(rows.select("query_id", "query", "expect"), "query_id")
+
+
+def evaluate(spark: SparkSession, root: str, labelled: str, k: int = 5, score: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(way, type, hit_at_k, recall_at_k, mrr, n) of every way to search, and the queries that each misses (way, type, query, expect).
+
+    Without a score to rerank with, that way is left out."""
+    quality, missed = None, None
+    for way in CONFIGURATIONS if score else CONFIGURATIONS[:-1]:
+        own = per_query(spark, root, labelled, k, way, score)
+        means = evaluation.macro(own, by_type=True).select(F.lit(way).alias("way"), "*")
+        gone = own.filter("hit = 0").select(F.lit(way).alias("way"), F.coalesce("type", F.lit("?")).alias("type"), "query", "expect")
+        quality, missed = (means, gone) if quality is None else (quality.unionByName(means), missed.unionByName(gone))
+    return quality.orderBy("way", "type"), missed.orderBy("way", "query")
 
 
 def scene_eval(spark: SparkSession, tasks: str, runs: int, out: str) -> str:
-    """The demo ablation: sessions as JSON files, a report, and the summaries."""
+    """The demo ablation: a JSON file for each session, a report, and the summaries."""
     rows = ablation.demo_sessions(spark, spark.read.schema(TASK).json(tasks), runs)
-    os.makedirs(out, exist_ok=True)
-    rows.withColumn("note", F.lit("")).write.mode("overwrite").partitionBy("task_id", "rag_enabled").json(f"{out}/sessions")
+    os.makedirs(f"{out}/sessions", exist_ok=True)
+    for r in rows.toLocalIterator():  # one file a session, as they are read one by one
+        own = r.asDict(recursive=True) | {"note": ""}
+        with open(f"{out}/sessions/{r.task_id}_{'on' if r.rag_enabled else 'off'}_{r.run_index}.json", "w") as f:
+            json.dump(own, f)
     scored = sessions.score(rows)
     text = ablation.report(scored, "demo", f"{scored.select('task_id').distinct().count()} tasks x {runs} runs/condition.")
     with open(f"{out}/report.md", "w") as f:
         f.write(text)
     with open(f"{out}/summary.json", "w") as f:
-        json.dump([r.asDict() for r in ablation.ablation(scored)[0].collect()], f, indent=2)
+        json.dump([r.asDict() for r in ablation.ablation(scored)[0].collect()], f, indent=2)  # a row for each task, condition and metric
     return text
 
 
+def show_session(spark: SparkSession, path: str, code_lines: int = 6) -> str:
+    """The transcripts of the session files at path."""
+    rows = spark.read.schema(sessions.SESSION).option("multiLine", True).json(path)
+    return "\n\n".join(r["text"] for r in ablation.transcripts(rows, code_lines).orderBy("task_id", "rag_enabled", "run_index").toLocalIterator())
+
+
+#: Positional arguments of the commands.
+COMMANDS = {
+    "build-corpus": ["settings"], "build-chunks": ["corpus", "chunks"], "build-index": ["chunks", "index"], "build-all": ["settings"], "gather": ["settings", "out"],
+    "search": ["index", "query"], "eval": ["index", "labelled"], "scene-eval": ["tasks", "out"], "show-session": ["session"],
+}
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lodestack", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, wants in {"build-chunks": ["corpus", "chunks"], "build-index": ["chunks", "index"], "search": ["index", "query"], "eval": ["index", "labelled"], "scene-eval": ["tasks", "out"]}.items():
+    for name, wants in COMMANDS.items():
         own = commands.add_parser(name)
         for w in wants:
             own.add_argument(w)
         own.add_argument("--k", type=int, default=5)
         own.add_argument("--runs", type=int, default=3)
+        own.add_argument("--code-lines", type=int, default=6)
+        own.add_argument("--sources", nargs="+")
         own.add_argument("--source-type")
         own.add_argument("--version")
         own.add_argument("--symbol-boost", action="store_true")
     got = parser.parse_args(args)
     spark = SparkSession.getActiveSession() or local_session()
-    if got.command == "build-chunks":
+    settings = load_settings(got.settings) if "settings" in got else None
+    if got.command in ("build-corpus", "build-all"):
+        corpus_report(build_corpus(spark, settings, str(settings.path("corpus")), got.sources)).show(truncate=False)
+    if got.command == "build-all":
+        got.corpus, got.chunks, got.index = (str(settings.path(p)) for p in ("corpus", "chunks", "index"))
+    if got.command in ("build-chunks", "build-all"):
         statistics(build_chunks(spark, got.corpus, got.chunks)).show()
-    elif got.command == "build-index":
-        index.build_table(spark.read.parquet(got.chunks).withColumnRenamed("chunk_index", "position"), retrieval.hashed_encoder(), got.index)
-        print(index.open_table(spark, got.index).count(), "records")
-    elif got.command == "search":
+    if got.command in ("build-index", "build-all"):
+        print(build_index(spark, got.chunks, got.index), "records")
+    if got.command == "gather":
+        gather(spark, settings, got.out, got.sources or list(registry.CREATIVE)).show(truncate=False)
+    if got.command == "search":
         queries = spark.createDataFrame([(1, got.query)], "query_id long, query string")
-        for r in search(spark, got.index, queries, got.k, got.source_type, got.version, got.symbol_boost).orderBy("rank").collect():
-            print(f"{r.rank}. [{r.score:.6f}] ({r.version}) {r.title}\n   {r.source_url}\n   {r.text[:180]}")
-    elif got.command == "eval":
-        evaluate(spark, got.index, got.labelled, got.k).show()
-    else:
+        for r in search(spark, got.index, queries, got.k, got.source_type, got.version, "hybrid+symbol" if got.symbol_boost else "hybrid").orderBy("rank").collect():
+            print(f"{r['rank']}. [{r.score:.6f}] ({r.version}) {r.title}\n   {r.source_url}\n   {r.text[:180]}")
+    if got.command == "eval":
+        quality, missed = evaluate(spark, got.index, got.labelled, got.k)
+        quality.show(1000, False)
+        missed.show(1000, 60)
+    if got.command == "scene-eval":
         print(scene_eval(spark, got.tasks, got.runs, got.out))
+    if got.command == "show-session":
+        print(show_session(spark, got.session, got.code_lines))
 
 
 if __name__ == "__main__":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 
 import pandas as pd
@@ -92,12 +93,37 @@ def code_windows(code: Column, max_chars: int) -> Column:
     return F.when(F.length(code) <= max_chars, F.array(code)).otherwise(folded)
 
 
+_HEADER = re.compile(r"(?:async[ \t]+)?(?:def|class)[ \t]+(\w+)")
+
+
+def _by_margin(source: str) -> list[tuple[str, str, int]]:
+    """_top_level() of a source that does not parse: a definition reaches from its header at the margin (with decorators)
+    to the next line at the margin that does not only close brackets; what is broken inside one leaves the others whole."""
+    found, rest, open_ = [], [], None
+    decorated: list[str] = []
+    for number, line in enumerate(source.split("\n"), start=1):
+        head = _HEADER.match(line)
+        if head:
+            open_ = (head[1], [*decorated, line], number - len(decorated))
+            found.append(open_)
+            decorated = []
+        elif line.startswith("@"):
+            decorated, open_ = [*decorated, line], None
+        elif open_ and (not line.strip() or line[0] in " \t)]}"):
+            open_[1].append(line)
+        else:
+            rest += [*decorated, line]
+            decorated, open_ = [], None
+    rest = [x for x in [*rest, *decorated] if x.strip()]
+    return ([("<module>", "\n".join(rest), 1)] if rest else []) + [(name, "\n".join(lines).rstrip(), at) for name, lines, at in found]
+
+
 def _top_level(source: str) -> list[tuple[str, str, int]]:
     """(name, code, line) of each top-level definition, and first all other top-level code as <module>."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return [("<module>", source, 1)] if source.strip() else []
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return _by_margin(source)
     lines = source.split("\n")
 
     def cut(node: ast.AST, line: int, col: int) -> str:
@@ -130,7 +156,7 @@ def _top_level(source: str) -> list[tuple[str, str, int]]:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("code", T.StringType()), T.StructField("line", T.IntegerType())])))
 def python_symbols(source: pd.Series) -> pd.Series:
-    """Top-level definitions of Python sources; a source that does not parse is one <module>."""
+    """Top-level definitions of Python sources; one that does not parse is cut at its margin."""
     return source.map(lambda s: [{"name": n, "code": c, "line": k} for n, c, k in _top_level(s or "")])
 
 

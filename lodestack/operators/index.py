@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import embed_text
-from lodestack.operators.retrieval import HIT_FIELDS, postings
+from lodestack.functions.text import embed_text, words
+from lodestack.operators.retrieval import HIT_FIELDS, bm25_of_postings, build_where, hybrid, knn, postings, rerank, small
 
 RECORD = ["id", "doc_id", "source_type", "source_url", "title", "version", "section", "symbol", "kind", "text", "embed_text", "vector"]
 
@@ -23,7 +23,7 @@ def records(chunks: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
 
 
 def build_table(chunks: DataFrame, encode: Callable[[Column], Column], root: str) -> None:
-    """Write records, postings, document lengths and term frequencies below root, replacing what is there.
+    """Write records, postings (sorted by term), document frequencies and statistics below root, replacing what is there.
 
     Raises ValueError without any chunk. Records are partitioned by source type; ids are not made unique."""
     if chunks.isEmpty():
@@ -34,13 +34,43 @@ def build_table(chunks: DataFrame, encode: Callable[[Column], Column], root: str
     own.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{root}/postings")
     posts = spark.read.parquet(f"{root}/postings")
     posts.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{root}/terms")
-    posts.groupBy("doc_id").agg(F.first("dl").alias("dl")).write.mode("overwrite").parquet(f"{root}/lengths")
+    lengths = spark.read.parquet(f"{root}/records").select(F.size(words(F.col("embed_text"))).alias("dl"))
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{root}/stats")
 
 
 def open_table(spark: SparkSession, root: str, name: str = "records") -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
+def lexical(spark: SparkSession, root: str, queries: DataFrame, k: int = 40, where: Column | None = None) -> DataFrame:
+    """query_id, id, score, rank by BM25 over embed_text, read from the postings of the queries' terms. where: on records."""
+    n, avgdl = open_table(spark, root, "stats").first()
+    allowed = None if where is None else open_table(spark, root).filter(where).select(F.col("id").alias("doc_id"))
+    found = bm25_of_postings(queries, open_table(spark, root, "postings"), open_table(spark, root, "terms"), n, avgdl, k, allowed)
+    return found.withColumnRenamed("doc_id", "id")
+
+
+def search(spark: SparkSession, root: str, queries: DataFrame, encode: Callable[[Column], Column], top_k: int = 6, source_type: str | None = None, version: str | None = None, mode: str = "hybrid", score: Callable[[Column, Column], Column] | None = None, candidates: int = 40) -> DataFrame:
+    """The hits of each query (query_id, query), best first. mode: vector, hybrid, or symbol (hybrid with symbol names).
+
+    score: a reranker of (query, text), applied to `candidates` hits. Of the records only ids, vectors and what the mode
+    asks for are read, whole ones only for hits."""
+    table = open_table(spark, root)
+    where = build_where(source_type, version)
+    asked = queries.select("query_id", "query")
+    dense = knn(asked.withColumn("vector", encode(F.col("query"))), (table if where is None else table.filter(where)).select("id", "vector"), candidates)
+    cut = candidates if score else top_k
+    if mode == "vector":
+        ranked = dense.filter(F.col("rank") <= cut)
+    else:
+        named = mode == "symbol"
+        ranked = hybrid(dense, lexical(spark, root, asked, candidates, where), table if named else None, asked if named else None, cut, candidates)
+    if score:
+        texts = ranked.join(table.select("id", "text"), "id").join(small(asked), "query_id")
+        ranked = rerank(texts, score(F.col("query"), F.col("text")), top_k).select("query_id", "id", F.col("rerank_score").alias("score"), F.col("new_rank").alias("rank"))
+    return hits(ranked.select("query_id", "id", "score", "rank"), table)
+
+
 def hits(ranked: DataFrame, table: DataFrame) -> DataFrame:
     """Ranked ids (query_id, id, score, rank) with the fields of a hit; the score is rounded to 6 digits."""
     return ranked.join(table.select(*HIT_FIELDS), "id").withColumn("score", F.round("score", 6))

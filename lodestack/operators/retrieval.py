@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,66 +33,91 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return tokens.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, where: Column | None = None, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text", block: int = 4096) -> DataFrame:
+def _terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
+    """query_id, w: the distinct words of each query that has any."""
+    return queries.select(F.col(query_id).alias("query_id"), F.array_distinct(words(F.coalesce(F.col(query), F.lit("")))).alias("w")).filter(F.size("w") > 0)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, where: Column | None = None, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text", block: int = 512) -> DataFrame:
     """query_id, doc_id, score, rank (from 1) of the k best documents of each query; ties to the smaller id.
 
-    Statistics are those of the whole table; `where` limits only the candidates. Common words pair nearly every document with
-    nearly every query, so pairs are never rows: the stated queries travel to the documents in blocks, an Arrow batch scores
-    its documents by one matrix product, and only its own k best for each query leave it. Document frequencies are one
-    count by term, over the queries' terms alone."""
+    For a table without an index, and many queries. Statistics are those of the whole table; `where` limits only the
+    candidates. Common words pair nearly every document with nearly every query, so pairs are never rows: the queries travel
+    to the documents, `block` of them at a time (a block's weights are its terms times its queries), words are found in the
+    JVM, an Arrow batch scores its documents by one matrix product, and only its own k best for each query leave it."""
     spark = docs.sparkSession
-    asked = queries.select(F.col(query_id).alias("q"), F.array_distinct(words(F.coalesce(F.col(query), F.lit("")))).alias("w")).toPandas()
-    asked = asked[asked["w"].map(len) > 0]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("ok"))
-    tokens = rows.select(words(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    n, avgdl = tokens.agg(F.count("*"), F.avg("dl")).first()
+    asked = _terms(queries, query_id, query)
+    parts = max(1, -(-asked.count() // block))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("ok"))
+    # One pass over the table: its size, and document frequencies over the queries' terms alone.
+    wanted = small(asked.select(F.explode("w").alias("term")).distinct())
+    seen = rows.select(F.size("w").alias("n"), F.array_distinct("w").alias("w"))
+    n, avgdl = seen.agg(F.count("*"), F.avg("n")).first()
+    df = seen.select(F.explode("w").alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.select("part", "query_id", F.explode("w").alias("term")).join(small(df.withColumn("idf", idf)), "term").select("part", "query_id", "term", "idf").toArrow()  # of the stated queries
     ids = queries.schema[query_id].dataType
     schema = T.StructType([T.StructField("query_id", ids), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
-    out = None
-    for low in range(0, len(asked), block):
-        part = asked.iloc[low : low + block]
-        vocabulary = sorted({w for own in part["w"] for w in own})
-        wanted = small(spark.createDataFrame([(w,) for w in vocabulary], "term string"))
-        df = dict(tokens.select(F.explode(F.array_distinct("w")).alias("term")).join(wanted, "term").groupBy("term").count().collect())
-        found = rows.filter("ok").mapInArrow(_scored(part, vocabulary, df, n, avgdl or 1.0, k, ids), schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    candidates = rows.filter("ok").select("doc_id", "w").filter(F.size("w") > 0)
+    own = weights.column("part").to_numpy()
+    found = [candidates.mapInArrow(_scored(weights.filter(pa.array(own == part)), avgdl or 1.0, k, ids), schema) for part in np.unique(own)]
+    return _best(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema), k)
 
 
-def _scored(asked, vocabulary: list[str], df: dict[str, int], n: int, avgdl: float, k: int, id_type: T.DataType):
-    """A batch function: the k best documents of the batch for each query (more where scores tie)."""
-    column = {w: i for i, w in enumerate(vocabulary)}
-    weight = np.zeros((len(vocabulary), len(asked)))
-    for j, own in enumerate(asked["w"]):
-        for w in own:
-            count = df.get(w, 0)
-            weight[column[w], j] = np.log(1 + (n - count + 0.5) / (count + 0.5))
-    ids, kind = asked["q"].tolist(), to_arrow_type(id_type)
+def _scored(weights: pa.Table, avgdl: float, k: int, id_type: T.DataType):
+    """A batch function: the k best documents of the batch for each query of (query_id, term, idf), more where scores tie."""
+    ids, terms = weights.column("query_id").combine_chunks().dictionary_encode(), weights.column("term").combine_chunks().dictionary_encode()
+    matrix = np.zeros((len(terms.dictionary), len(ids.dictionary)))
+    matrix[terms.indices.to_numpy(), ids.indices.to_numpy()] = weights.column("idf").to_numpy()
+    names, vocabulary, kind = ids.dictionary, terms.dictionary, to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                tf = np.zeros((part.num_rows, len(vocabulary)))
-                for i, doc in enumerate(part.column("text").to_pylist()):
-                    found = re.findall("[a-z0-9]+", doc.lower())
-                    for w, count in Counter(found).items():
-                        if w in column:
-                            tf[i, column[w]] = count * (K1 + 1) / (count + K1 * (1 - B + B * len(found) / avgdl))
-                score = (tf @ weight).T
+                column = part.column("w")
+                size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                at = pc.index_in(column.flatten(), vocabulary)
+                known = at.is_valid().to_numpy(zero_copy_only=False)
+                cell = np.repeat(np.arange(part.num_rows), size)[known] * len(vocabulary) + at.drop_null().to_numpy()
+                tf = np.bincount(cell, minlength=part.num_rows * len(vocabulary)).reshape(part.num_rows, len(vocabulary)).astype(np.float64)
+                tf *= (K1 + 1) / (tf + K1 * (1 - B + B * size[:, None] / avgdl))
+                score = (tf @ matrix).T
                 if score.shape[1] > k:
                     least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
                     q, d = np.nonzero((score >= least - 1e-9) & (score > 0))
                 else:
                     q, d = np.nonzero(score > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q], kind), part.column("doc_id").take(pa.array(d)), pa.array(score[q, d])], ["query_id", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)).cast(kind), part.column("doc_id").take(pa.array(d)), pa.array(score[q, d])], ["query_id", "doc_id", "score"])
 
     return run
 
 
+def bm25_of_postings(queries: DataFrame, posts: DataFrame, terms: DataFrame, n: int, avgdl: float, k: int = 10, allowed: DataFrame | None = None, most: int = 1000, query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """The same as bm25() from an index (see index.build_table): only the postings of the queries' terms are read.
+
+    posts: term, doc_id, tf, dl, sorted by term; terms: term, df. allowed: doc_id of the candidates, if not all. Up to `most`
+    distinct terms are handed to the scan as a filter, which skips the row groups without them."""
+    asked = _terms(queries, query_id, query).select("query_id", F.explode("w").alias("term"))
+    wanted = asked.select("term").distinct()
+    few = [r["term"] for r in wanted.limit(most + 1).collect()]
+    if len(few) <= most:
+        posts, terms = posts.filter(F.col("term").isin(few)), terms.filter(F.col("term").isin(few))
+    weight = terms.join(small(wanted), "term").select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighted = small(asked.join(small(weight), "term"))
+    if allowed is not None:
+        posts = posts.join(small(allowed), "doc_id", "left_semi")
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
+    found = posts.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * tf).alias("score"))
+    return _best(found, k)
+
+
 def knn(queries: DataFrame, table: DataFrame, k: int = 40, group: str | None = None, block: int = 4096) -> DataFrame:
     """query_id, id, score, rank of the k nearest rows by cosine; ties to the smaller id. Exact, nothing is approximated.
 
@@ -210,9 +236,7 @@ def scorer(score: Callable[[list[str], list[str]], list[float]]) -> Callable[[Co
     """A column function from a model that scores (queries, texts) batch by batch."""
 
     @F.pandas_udf("double")
-    def run(query, text):
-        import pandas as pd
-
+    def run(query: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series(score(query.tolist(), text.tolist()), dtype="float64")
 
     return run
@@ -221,11 +245,19 @@ def scorer(score: Callable[[list[str], list[str]], list[float]]) -> Callable[[Co
 def hashed_encoder(dim: int = 256) -> Callable[[Column], Column]:
     """A stand-in encoder: signed feature hashing of words, length 1. It carries no meaning beyond shared words."""
 
+    @F.pandas_udf("array<float>")
+    def summed(slots: pd.Series) -> pd.Series:
+        def one(own: np.ndarray) -> np.ndarray:
+            own = np.asarray(own, dtype=np.int64)
+            raw = np.bincount(own >> 1, np.where(own & 1, 1.0, -1.0), dim)
+            return (raw / max(np.sqrt((raw * raw).sum()), 1e-300)).astype(np.float32)
+
+        return slots.map(one)
+
     def encode(text: Column) -> Column:
-        slots = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v")))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(slots, lambda s: s["at"] == i), F.lit(0.0), lambda a, s: a + s["v"]))
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+        # A word's slot, and its sign in the lowest bit.
+        slot = lambda w: F.pmod(F.xxhash64(w), F.lit(dim)) * 2 + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))
+        return summed(F.transform(words(F.coalesce(text, F.lit(""))), slot))
 
     return encode
 

@@ -5,11 +5,14 @@ for vectors, conversations for agent sessions, events for metrics by condition."
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as tx
 from lodestack.functions.html import html_text
+from lodestack.functions.sift import sieve
 from lodestack.operators import chunking, evaluation, retrieval, sessions
 from lodestack.session import table
 
@@ -211,16 +214,38 @@ _RELEVANT = "SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents
 
 
 def _relevant(spark, sf_dir) -> DataFrame:
-    """query_id, doc_id of the documents that hold a query's text, among candidates that share its first words.
-
-    The equi-join on a run of five words replaces comparing every pair; contains() then decides."""
-    items = _queries(spark, sf_dir).withColumn("key", F.xxhash64(F.slice(tx.words(F.col("query")), 2, 4)))
-    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", tx.words(F.col("text")).alias("w")).filter(F.size("w") >= 4)
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.xxhash64(F.slice("w", i, 4)))
-    docs = docs.select("doc_id", F.explode(runs).alias("key"))
-    found = docs.select("doc_id", "key").join(retrieval.small(items.select("query_id", "key")), "key").select("query_id", "doc_id").distinct()
-    checked = found.join(retrieval.small(items.select("query_id", "query")), "query_id").join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    return checked.filter(F.contains("text", F.col("query"))).select("query_id", "doc_id")
+    """query_id, doc_id of the documents that hold a query's text.
+
+    Inside a text that holds it, all but the first and last words of a query are whole words. A run of up to four of them is
+    an equi-join key, and contains() decides on its pairs. Queries of one or two words have no such run: each document tests
+    that (stated) list in its row."""
+    hashed = lambda c: F.transform(tx.words(c), lambda w: F.xxhash64(w))
+    items = _queries(spark, sf_dir).filter("query IS NOT NULL").withColumn("w", hashed(F.col("query"))).withColumn("m", F.least(F.lit(4), F.size("w") - 2))
+    keyed = items.filter("m > 0").select("query_id", "query", "m", F.xxhash64(F.slice("w", F.lit(2), F.col("m"))).alias("key")).cache()
+    sizes, rows = sorted(r[0] for r in keyed.select("m").distinct().collect()), keyed.count()  # four sizes at most
+    held = sieve(keyed, rows, "key") or (lambda h: F.lit(True))
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", "text")
+    pairs = []
+    if sizes:
+        words = docs.select("doc_id", hashed(F.col("text")).alias("w"))
+
+        def runs_of(m: int):
+            places = F.when(F.size("w") >= m, F.sequence(F.lit(1), F.size("w") - m + 1)).otherwise(F.array().cast("array<int>"))
+            kept = F.filter(F.transform(places, lambda i: F.xxhash64(F.slice("w", i, m))), held)
+            return F.transform(F.array_distinct(kept), lambda h: F.struct(F.lit(m).alias("m"), h.alias("key")))
+
+        runs = [runs_of(m) for m in sizes]
+        met = words.select("doc_id", F.explode_outer(F.concat(*runs)).alias("x")).filter(F.col("x").isNotNull()).select("doc_id", "x.m", "x.key")
+        pairs.append(met.join(retrieval.small(keyed.drop("query")), ["m", "key"]).select("query_id", "doc_id").join(retrieval.small(keyed.select("query_id", "query")), "query_id"))
+    short = [(r["query_id"], r["query"]) for r in items.filter("m <= 0").select("query_id", "query").collect()]
+    if short:
+        stated = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(q).alias("query")) for i, q in short])
+        inside = F.filter(stated, lambda q: F.contains(F.col("text"), q["query"]))
+        pairs.append(docs.select("doc_id", F.explode(inside).alias("q")).select("q.query_id", "doc_id", "q.query"))
+    if not pairs:
+        return _queries(spark, sf_dir).select("query_id", F.col("query_id").alias("doc_id")).limit(0)
+    found = reduce(DataFrame.unionByName, [p.select("query_id", "doc_id", "query") for p in pairs])
+    return found.join(docs, "doc_id").filter(F.contains("text", F.col("query"))).select("query_id", "doc_id").distinct()
 
 
 def _per_query(spark, sf_dir, k: int = 5) -> DataFrame:

@@ -66,7 +66,10 @@ def test_python_is_cut_by_symbol(spark):
     source = 'import os\n# note\nX = 1\n\n@deco\ndef add_cube():\n    return "é"\n\nclass Panel:\n    a = 1\n'
     got = [(s["name"], s["code"], s["line"]) for s in one(spark, chunking.python_symbols, source)]
     assert got == [("<module>", "import os\n# note\nX = 1", 1), ("add_cube", '@deco\ndef add_cube():\n    return "é"', 5), ("Panel", "class Panel:\n    a = 1", 9)]
-    assert [s["name"] for s in one(spark, chunking.python_symbols, "def broken(:\n")] == ["<module>"]
+    broken = "import os\n\ndef broken(:\n    pass\n\n@deco(\n)\nasync def good(\n    a,\n):\n    return [\n        1\n    ]\n\n\nclass C:\n\tx = 1\nprint 'old'\n"
+    got = [(s["name"], s["code"], s["line"]) for s in one(spark, chunking.python_symbols, broken)]
+    assert got == [("<module>", "import os\n@deco(\n)\nprint 'old'", 1), ("broken", "def broken(:\n    pass", 3), ("good", "async def good(\n    a,\n):\n    return [\n        1\n    ]", 8), ("C", "class C:\n\tx = 1", 16)]
+    assert [s["name"] for s in one(spark, chunking.python_symbols, "print 'old'")] == ["<module>"] and one(spark, chunking.python_symbols, "  \n") == []
     docs = spark.createDataFrame([("d", "def big():\n" + "    x = 1\n" * 3000)], "doc_id string, text string")
     assert {r.symbol.split("#")[0] for r in chunking.chunk_python(docs, 1000).collect()} == {"big"}
 
