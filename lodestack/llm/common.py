@@ -2,37 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from lodestack.session import scratch
 
+#: Paths that staged() wrote since scope() was entered.
+_scopes: list[list[str]] = []
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary folder only where that is unset and all runs on this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        folder = tempfile.mkdtemp(prefix="lodestack-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own[app] = f"file://{folder}"
-    return _own[app]
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths of all tables that are staged inside."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
 
 
 def staged(df: DataFrame, name: str, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
@@ -45,6 +34,8 @@ def staged(df: DataFrame, name: str, spent: tuple[DataFrame, ...] = ()) -> DataF
     df.write.parquet(path)
     for table in spent:
         release(table)
+    for paths in _scopes:
+        paths.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._staged_at = path
     return table
@@ -113,17 +104,27 @@ def matched(rows: DataFrame, ids: DataFrame, key: str, how: str, most: int = 1_0
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): node, label (the least node reachable).
 
-    Every round takes the least label among neighbours and then jumps to the label's label, so long chains shrink by halves;
-    each round is staged, and nothing but a test for changes reaches the driver. Labels only fall, so the rounds end."""
+    Rounds of FastSV (Zhang, Azad and Buluc 2020): a node hears the least label's label among its neighbours, takes it and
+    hands it on to the node that it was labelled by, so whole trees hook onto each other and chains shrink by more than
+    halves. Each round is staged, and nothing but a test for changes reaches the driver. Labels only fall, so rounds end."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = staged(both, "cc-edges")
-    held = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "cc-labels")
+    # f: the node that labels a node; g: the one that labels f. At first every node has its least neighbour.
+    begun = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("f")).withColumn("changed", F.lit(True))
+    held = staged(_labelled_twice(begun), "cc-labels")
     while True:
-        labels = held.select("node", "label")
-        far = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        stepped = labels.join(far.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jumped = stepped.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
-        held = staged(jumped, "cc-labels", spent=(held,))
-        if held.filter("old <> label").isEmpty():
+        heard = both.join(held.select(F.col("node").alias("b"), "g"), "b").groupBy(F.col("a").alias("node")).agg(F.min("g").alias("near"))
+        told = F.array(
+            F.struct("node", F.least("f", "g", "near").alias("new"), F.col("f").alias("old")),
+            F.struct(F.col("f").alias("node"), F.col("near").alias("new"), F.lit(None).cast("long").alias("old")),
+        )
+        told = held.join(heard, "node").select(F.explode(told).alias("x")).select("x.*")
+        stepped = told.groupBy("node").agg(F.min("new").alias("f"), F.max("old").alias("old"))
+        held = staged(_labelled_twice(stepped.select("node", "f", (F.col("f") < F.col("old")).alias("changed"))), "cc-labels", spent=(held,))
+        if held.filter((F.col("changed")) | (F.col("f") != F.col("g"))).isEmpty():
             release(both)
-            return held.select("node", "label")
+            return held.select("node", F.col("f").alias("label"))
+
+
+def _labelled_twice(labels: DataFrame) -> DataFrame:
+    return labels.join(labels.select(F.col("node").alias("f"), F.col("f").alias("g")), "f").select("node", "f", "g", "changed")

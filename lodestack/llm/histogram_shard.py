@@ -1,4 +1,8 @@
-"""Sharding by histogram sort (Solomonik and Kale 2010): exact counts below candidate keys, refined probes, one exchange."""
+"""Sharding by histogram sort (Solomonik and Kale 2010): exact counts below candidate keys, refined probes, one exchange.
+
+The driver refines the few splitters between shards. Within a shard rows are exchanged in pieces, named by the leading bits of
+their key, whose number follows the bytes; their offsets come from one more histogram, so nothing is counted after the
+exchange."""
 
 from __future__ import annotations
 
@@ -26,7 +30,6 @@ class _Splitter:
     prefix: int = 0
     depth: int = 0
     bytes_below: int = 0
-    rows_below: int = 0
     hi: int = 0
     key: tuple[int, int] | None = None
 
@@ -40,19 +43,14 @@ def _signed(value: int) -> int:
     return value - (1 << 63)
 
 
-def split_points(keys: DataFrame, shards: int, pieces: int, tolerance: float, group_tolerance: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Boundaries of shards * pieces key ranges, with exact bytes and rows below each.
+def split_points(keys: DataFrame, shards: int, tolerance: float, group_tolerance: float) -> list[tuple[int, int]]:
+    """Boundaries of the shards' key ranges, in order.
 
     keys: hi, lo, size. Every round is one partially aggregated count over the open prefixes only; the driver sees at most
     4096 sums for each open splitter."""
-    total = keys.agg(F.sum("size"), F.count("*")).first()
-    total_bytes, total_rows = int(total[0] or 0), int(total[1])
-    n = shards * pieces
-    share = total_bytes / shards
-    splitters = []
-    for j in range(1, n):
-        main = j % pieces == 0
-        splitters.append(_Splitter(total_bytes * j / n, share * tolerance if main else share / pieces * 0.2, share * group_tolerance if main else share / pieces * 0.4))
+    total = int(keys.agg(F.sum("size")).first()[0] or 0)
+    share = total / shards
+    splitters = [_Splitter(total * j / shards, share * tolerance, share * group_tolerance) for j in range(1, shards)]
     while open_ := [s for s in splitters if s.key is None]:
         for word, depth in sorted({(s.word, s.depth) for s in open_}):
             now = [s for s in open_ if (s.word, s.depth) == (word, depth)]
@@ -65,36 +63,34 @@ def split_points(keys: DataFrame, shards: int, pieces: int, tolerance: float, gr
                 above = 64 - sum(_WIDTHS[:depth])
                 rows = rows.filter(F.shiftrightunsigned(_unsigned("lo" if word else "hi"), above).isin(sorted({s.prefix for s in now})))
             by = (["hi"] if word else []) + ["digit"]
-            found = rows.withColumn("digit", digit).groupBy(*by).agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("hi").alias("low"), F.max("hi").alias("high")).collect()
+            found = rows.withColumn("digit", digit).groupBy(*by).agg(F.sum("size").alias("b"), F.min("hi").alias("low"), F.max("hi").alias("high")).collect()
             bins: dict[tuple[int, int], list] = {}
             for r in found:
                 d = r["digit"] % (1 << 64)
-                bins.setdefault((r["hi"] if word else 0, d >> _WIDTHS[depth]), []).append((d, int(r["b"]), int(r["n"]), r["low"], r["high"]))
+                bins.setdefault((r["hi"] if word else 0, d >> _WIDTHS[depth]), []).append((d, int(r["b"]), r["low"], r["high"]))
             for s in now:
                 _probe(s, sorted(bins.get((_signed(s.hi) if word else 0, s.prefix), [])), shift)
-    ordered = sorted((s.key, s.bytes_below, s.rows_below) for s in splitters)
-    return [s[0] for s in ordered], [s[1] for s in ordered], [s[2] for s in ordered]
+    return sorted(s.key for s in splitters)
 
 
 def _probe(s: _Splitter, bins: list, shift: int) -> None:
     """Settle the splitter on an edge of the bin that holds its target, or go down into that bin."""
-    for d, size, rows, low, high in bins:
-        if s.bytes_below + size < s.target and (d, size) != (bins[-1][0], bins[-1][1]):
+    for d, size, low, high in bins:
+        if s.bytes_below + size < s.target and d != bins[-1][0]:
             s.bytes_below += size
-            s.rows_below += rows
             continue
-        left = (abs(s.bytes_below - s.target), s.bytes_below, s.rows_below, d << shift)
-        right = (abs(s.bytes_below + size - s.target), s.bytes_below + size, s.rows_below + rows, (d + 1) << shift)
+        left = (abs(s.bytes_below - s.target), s.bytes_below, d << shift)
+        right = (abs(s.bytes_below + size - s.target), s.bytes_below + size, (d + 1) << shift)
         best = min(left, right)
         group = s.word == 0 and low == high
         last = shift == 0
         if best[0] <= s.near or group and best[0] <= s.apart or s.word == 1 and last:
-            value = min(best[3], (1 << 64) - 1)
+            value = min(best[2], (1 << 64) - 1)
             if group:  # edges of a single group, whatever the depth
                 value = low + (1 << 63) if best is left else low + (1 << 63) + 1
-            s.bytes_below, s.rows_below = best[1], best[2]
+            s.bytes_below = best[1]
             s.key = (min(value, (1 << 64)), 0) if s.word == 0 else (s.hi, value)
-            if best is right and s.word == 1 and best[3] >= 1 << 64:
+            if best is right and s.word == 1 and best[2] >= 1 << 64:
                 s.key = (s.hi + 1, 0)
         elif group:
             s.word, s.depth, s.prefix, s.hi = 1, 0, 0, low + (1 << 63)
@@ -104,7 +100,7 @@ def _probe(s: _Splitter, bins: list, shift: int) -> None:
     s.key = (0, 0)  # no rows at all
 
 
-def _bucket(points: list[tuple[int, int]]) -> Column:
+def _bucket(points: list[tuple[int, int]], hi_: Column, lo_: Column) -> Column:
     """Number of points at or below the row's key, by a balanced tree of comparisons."""
 
     def tree(low: int, high: int) -> Column:
@@ -114,45 +110,63 @@ def _bucket(points: list[tuple[int, int]]) -> Column:
         hi, lo = points[mid]
         if hi >= 1 << 64:
             return tree(low, mid)
-        left = (F.col("__hi") < _signed(hi)) | ((F.col("__hi") == _signed(hi)) & (F.col("__lo") < _signed(lo))) if lo else F.col("__hi") < _signed(hi)
+        left = (hi_ < _signed(hi)) | ((hi_ == _signed(hi)) & (lo_ < _signed(lo))) if lo else hi_ < _signed(hi)
         return F.when(left, tree(low, mid)).otherwise(tree(mid + 1, high))
 
     return tree(0, len(points))
 
 
-def histogram_shard(
-    df: DataFrame, group: Column, row_id: str, size: Column, shards: int = 8,
-    tolerance: float = 0.001, group_tolerance: float = 0.01, piece_bytes: int = 64 << 20, max_pieces: int = 64,
-) -> DataFrame:
+PIECE = ["shard", "lead", "hot", "hot_hi", "part"]
+
+
+def _pieced(keys: DataFrame, shards: int, points: list[tuple[int, int]], bits: int, hot: DataFrame | None) -> DataFrame:
+    """Rows (hi, lo) with the columns of PIECE: the shard, the leading bits of the key, and for a hot group its key and the
+    part of its range of ids."""
+    lead = F.shiftrightunsigned(_unsigned("hi"), 64 - bits) if bits else F.lit(0).cast("long")
+    rows = keys.withColumns({"shard": _bucket(points, F.col("hi"), F.col("lo")) if points else F.lit(0), "lead": lead})
+    if hot is None:
+        return rows.withColumns({"hot": F.lit(False), "hot_hi": F.lit(0).cast("long"), "part": F.lit(0).cast("long")})
+    rows = rows.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "hi", "left")
+    share = (F.col("lo").cast("double") - F.col("first")) / (F.col("last") - F.col("first") + 1)
+    part = F.least(F.floor(share * F.col("parts")).cast("long"), F.col("parts") - 1)
+    flag = F.col("parts").isNotNull()
+    return rows.withColumns({"hot": flag, "hot_hi": F.when(flag, F.col("hi")).otherwise(0), "part": F.when(flag, part).otherwise(0)}).drop("first", "last", "parts")
+
+
+def histogram_shard(df: DataFrame, group: Column, row_id: str, size: Column, shards: int = 8, tolerance: float = 0.001, group_tolerance: float = 0.01, piece_bytes: int = 64 << 20) -> DataFrame:
     """Deal rows into `shards` of near equal bytes, in the order of (hash of group, row_id): adds shard, slot, size.
 
     group: what equal rows share; equal groups stand next to each other, so that a shard boundary cuts one only when keeping
     it whole would miss a shard's share by more than group_tolerance. A hot group is cut by row id as often as needed.
-    slot: position in the shard, gapless from 0. Every shard is sorted in up to max_pieces tasks; the offsets of the pieces
-    are known from the histogram, so nothing is counted again after the one exchange.
+    slot: position in the shard, gapless from 0, in the order of the pieces: of about piece_bytes each, by the leading bits of
+    the hash; a group of more than that comes after the others of its leading bits, in parts by row id. There are as many
+    pieces as the bytes ask for.
 
     Nulls: a null group, id or size counts as empty text, the least id and 0. Rows alike in group and id always share a
-    piece, in either order. An empty table gives an empty result. Other columns pass through; own columns named shard,
+    piece, in either order. An empty table gives an empty result. Columns of any name pass through; own columns named shard,
     slot or size are replaced."""
-    work = df.drop("shard", "slot", "size").withColumns({
-        "size": F.coalesce(size, F.lit(0)).cast("long"),
-        "__hi": F.xxhash64(F.coalesce(group, F.lit(""))),
-        "__lo": F.coalesce(F.col(row_id).cast("long"), F.lit(_LOW)),
-    })
-    keys = staged(work.select(F.col("__hi").alias("hi"), F.col("__lo").alias("lo"), "size"), "shard-keys")
-    total = keys.agg(F.sum("size")).first()[0] or 0
-    pieces = int(min(max_pieces, max(1, -(-total // (shards * piece_bytes)))))
-    points, _, below = split_points(keys, shards, pieces, tolerance, group_tolerance) if total else ([(0, 0)] * (shards * pieces - 1), [], [0] * (shards * pieces - 1))
-    starts = [0, *below]
-    base = F.element_at(F.array(*[F.lit(starts[j] - starts[j // pieces * pieces]).cast("long") for j in range(len(starts))]), F.col("__bucket") + 1)
-    order = Window.partitionBy("__bucket").orderBy("__hi", "__lo")
-    return (
-        work.withColumn("__bucket", _bucket(points))
-        .repartitionById(shards * pieces, F.col("__bucket"))
-        .withColumn("slot", F.row_number().over(order).cast("long") - 1 + base)
-        .withColumn("shard", F.floor(F.col("__bucket") / pieces).cast("int"))
-        .drop("__hi", "__lo", "__bucket")
-    )
+    work = df.drop("shard", "slot", "size").withColumn("size", F.coalesce(size, F.lit(0)).cast("long"))
+    hi, lo = F.xxhash64(F.coalesce(group, F.lit(""))), F.coalesce(F.col(row_id).cast("long"), F.lit(_LOW))
+    keys = staged(work.select(hi.alias("hi"), lo.alias("lo"), "size"), "shard-keys")
+    total = int(keys.agg(F.sum("size")).first()[0] or 0)
+    points = split_points(keys, shards, tolerance, group_tolerance) if total else [(0, 0)] * (shards - 1)
+    bits = min(40, max(0, (total // piece_bytes).bit_length()))
+    # Leading bits are even but for hot groups, so only overfull pieces are searched for those.
+    plain = _pieced(keys, shards, points, bits, None)
+    full = staged(plain.groupBy("lead").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > 2 * piece_bytes).select("lead"), "shard-full")
+    hot = None
+    if not full.isEmpty():
+        few = F.broadcast(full) if full.count() <= 1_000_000 else full
+        sums = plain.join(few, "lead", "left_semi").groupBy("hi").agg(F.sum("size").alias("bytes"), F.min("lo").cast("double").alias("first"), F.max("lo").cast("double").alias("last"))
+        hot = staged(sums.filter(F.col("bytes") > piece_bytes).select("hi", "first", "last", F.ceil(F.col("bytes") / piece_bytes).alias("parts")), "shard-hot")
+    pieces = _pieced(keys, shards, points, bits, hot).groupBy(*PIECE).agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("shard").orderBy(*PIECE[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = staged(pieces.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows"), "shard-pieces", spent=(full,))
+    rows = work.select(F.struct(*work.columns).alias("row"), hi.alias("hi"), lo.alias("lo"))
+    rows = _pieced(rows, shards, points, bits, hot).join(F.broadcast(pieces) if pieces.count() <= 1_000_000 else pieces, PIECE)
+    order = Window.partitionBy(*PIECE).orderBy("hi", "lo")
+    placed = rows.withColumn("at", F.row_number().over(order).cast("long") - 1 + F.col("base"))
+    return placed.select("row.*", F.col("shard").cast("int").alias("shard"), F.col("at").alias("slot"))
 
 
 def op8_histogram_shard(spark, sf_dir: str) -> DataFrame:

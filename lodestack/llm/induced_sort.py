@@ -160,16 +160,27 @@ def _scanned(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
 
 
 def _order(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of names 0, 1, ...; the last of them is 0 and stands nowhere else."""
-    if int(names.max()) + 1 == len(names):
+    """The order of the suffixes of a string of names 0, 1, ...; the last of them is 0 and stands nowhere else.
+
+    A suffix that begins with a name of its own is placed by it. The others are sorted recursively, in the string that is left
+    of them and of the first such name after each: there every comparison ends."""
+    shared = np.bincount(names)[names] > 1
+    if not shared.any():
         return np.argsort(names)
-    small = _types(names)
+    kept = shared.copy()
+    kept[1:] |= shared[:-1]
+    kept[-1] = True
+    at = np.flatnonzero(kept)
+    letters = np.unique(names[at], return_inverse=True)[1]
+    small = _types(letters)
     lms = _lms(small)
-    first = _scanned(names, small, lms)
-    mark = np.zeros(len(names), dtype=bool)
+    first = _scanned(letters, small, lms)
+    mark = np.zeros(len(letters), dtype=bool)
     mark[lms] = True
-    shorter = _names(names, lms, first[mark[first]])
-    return _scanned(names, small, lms[_order(shorter)])
+    shorter = _names(letters, lms, first[mark[first]])
+    turn = np.zeros(len(names), dtype=np.int64)
+    turn[at[_scanned(letters, small, lms[_order(shorter)])]] = np.arange(len(at))
+    return np.lexsort((turn, names))
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, matched, shuffle_parts, small_batches, staged
+from .common import components, matched, release, shuffle_parts, small_batches, staged
 from .textbytes import chunks, mix, sequence_hash, shingle_hashes, word_hashes
 
 WORDS = 5
@@ -293,14 +293,15 @@ def _cell_links(a: list[np.ndarray], b: list[np.ndarray], label_a: np.ndarray, l
 
 
 def _cell(table: pa.Table) -> pa.Table:
-    key, label = table.column("key").to_numpy(), table.column("label").to_numpy()
+    """Links between the components (labels) of the sets of a cell."""
+    label = table.column("label").to_numpy()
     right = table.column("side").to_numpy()
     own = [np.frombuffer(x.as_buffer(), _U) for x in table.column("own").combine_chunks()]
     both = table.column("same")[0].as_py()
     a, b = np.flatnonzero(right == 0), np.flatnonzero(right == 1)
     found = _cell_links([own[i] for i in a], [own[i] for i in b], label[a], label[b], both) if len(a) and (both or len(b)) else []
     b = a if both else b
-    return pa.table({"a": pa.array([int(key[a[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(key[b[j]]) for _, j in found], pa.int64())})
+    return pa.table({"a": pa.array([int(label[a[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(label[b[j]]) for _, j in found], pa.int64())})
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +321,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetched(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The whole sets of classes: key, own (sorted hashes)."""
-    wanted = staged(classes.join(keys, "key", "left_semi").select("rep", "key").distinct(), "join-ids")
+    wanted = staged(classes.join(keys, "key", "left_semi").select("rep", "key").distinct(), "join-ids")  # small: ids and keys
     # A class is read from the rows of its smallest id; a class of null ids only, from the rows without an id.
     own = docs.filter(F.col("doc_id").isNotNull())
     sets = matched(own, wanted.filter(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_rows, "key long, own binary")
@@ -330,20 +331,20 @@ def _fetched(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = staged(sets, "join-sets")
     # Only rows that share an id, or have none, can repeat a key. Without them the table stays as it is, so that joins with it can be split.
     n, different = sets.agg(F.count("*"), F.countDistinct("key")).first()
-    return sets if n == different else staged(sets.dropDuplicates(["key"]), "join-sets")
+    return sets if n == different else staged(sets.dropDuplicates(["key"]), "join-sets", spent=(sets,))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of classes whose whole sets are similar."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """The pairs of classes whose whole sets are similar, staged under the name."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     sets = _fetched(keys, docs, classes)
     right = pairs.join(sets.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
     both = right.join(sets.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a")
-    return both.select("a", "b", "own_a", "own_b").mapInArrow(_verify, "a long, b long")
+    return staged(both.select("a", "b", "own_a", "own_b").mapInArrow(_verify, "a long, b long"), name, spent=(sets, pairs))
 
 
-def _bridged(large: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, block: int, weight: int) -> DataFrame:
-    """Components after all links across components that large buckets (a, key, n) still hold.
+def _bridged(large: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, block: int, weight: int) -> DataFrame:
+    """Components (node, label) after all links across components that large buckets (a, key, n) still hold.
 
     Classes that meet in such buckets form areas. The classes of an area are dealt into steps by the size of their sets, a
     quarter apart, so that similar ones stand in one step or in neighbouring ones, and each step into blocks of about `block`
@@ -376,9 +377,14 @@ def _bridged(large: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFr
         F.when(F.col("above").isNotNull(), F.transform(above, lambda o: name(at, own, at + 1, o, 0))).otherwise(none),
     )
     cells = dealt.select("key", "label", "area", F.explode(cells).alias("c")).select("key", "label", "area", "c.*")
-    cells = cells.withColumn("same", (F.col("i_step") == F.col("j_step")) & (F.col("i") == F.col("j"))).join(_fetched(members.select("key"), docs, classes), "key")
-    extra = cells.groupBy("area", "i_step", "i", "j_step", "j").applyInArrow(_cell, "a long, b long")
-    return components(staged(links.unionByName(extra), "join-links"))
+    sets = _fetched(members.select("key"), docs, classes)
+    cells = cells.withColumn("same", (F.col("i_step") == F.col("j_step")) & (F.col("i") == F.col("j"))).join(sets, "key")
+    extra = staged(cells.groupBy("area", "i_step", "i", "j_step", "j").applyInArrow(_cell, "a long, b long"), "join-extra", spent=(sets, size))
+    # Only components meet now: they are joined among themselves, and classes without a link so far come along as their own.
+    joined = components(extra).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    moved = labels.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    alone = joined.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("least").alias("label"))
+    return moved.unionByName(alone)
 
 
 def jaccard_components(docs: DataFrame, **limits: int) -> DataFrame:
@@ -423,11 +429,12 @@ def _components(docs: DataFrame, cell: int = 200_000, rows_a_part: int = 1_000_0
     tried = staged(counted(found.filter("kind = 1")), "join-pairs")
     classes = own.filter("n > 0").groupBy("key", "check", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
     classes = staged(classes, "join-classes")
-    links = staged(_verified(tried, docs, classes), "join-links")
+    links = _verified(tried, docs, classes, "join-links")
     labels = components(links)
+    release(links)
     large = found.filter("kind = 0").select("a", F.col("b").alias("key"), F.col("need").alias("n"))
     if not large.isEmpty():
-        labels = staged(_bridged(large, links, labels, docs, classes, block, weight), "join-labels")
+        labels = staged(_bridged(large, labels, docs, classes, block, weight), "join-labels", spent=(found,))
     named = classes.join(labels.withColumnRenamed("node", "key"), "key", "left")
     least = named.filter("label is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
     special = named.filter("members > 1 or label is not null").join(least, "label", "left").select("key", "check", "n", F.coalesce("component_id", "rep").alias("component_id"), "label")

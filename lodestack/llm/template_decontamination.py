@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions.sift import sieve
+
 from .common import matched, staged
 
 # Placeholders are private-use characters, which no letter class holds.
@@ -68,15 +70,6 @@ def _row_key(row_id: str, text: str) -> Column:
     return F.concat(F.coalesce(F.concat(F.lit("="), F.col(row_id).cast("string")), F.lit("-")), F.lit(":"), F.md5(F.col(text).cast("binary")))
 
 
-def _flags(index: DataFrame, rows: int) -> tuple[bytes, int]:
-    """(a byte for each value of the leading bits of a hash, 1 where a window has it; number of bits)."""
-    bits = min(22, max(14, (16 * rows).bit_length()))
-    out = bytearray(1 << bits)
-    for r in index.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("k")).distinct().collect():  # at most `rows`
-        out[r["k"]] = 1
-    return bytes(out), bits
-
-
 def contaminated(
     docs: DataFrame, items: DataFrame, size: int = 8, coverage: float = 0.3, least: int = 4, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", broadcast_rows: int = 200_000,
 ) -> DataFrame:
@@ -99,15 +92,13 @@ def contaminated(
     lengths = sorted(r[0] for r in index.select("len").distinct().collect())  # at most `size` values
     if not lengths:
         return docs.sparkSession.createDataFrame([], f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}, n_windows long, n_item_windows long, coverage double, n_slots long")
-    rows = index.count()
-    few = rows <= broadcast_rows
-    flags, bits = _flags(index, rows) if few else (b"", 0)
+    held = sieve(index, index.count(), "h", broadcast_rows)
+    few = held is not None
     words = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), _row_key(doc_id, text).alias("dk"), _hashed(F.col(text)).alias("w"))
 
     def probes(n: int) -> Column:
         places = _places(F.col("w"), n, n < least)
         if few:
-            held = lambda h: F.substring(F.lit(flags), F.shiftrightunsigned(h, 64 - bits).cast("int") + 1, F.lit(1)) == F.lit(b"\1")
             places = F.filter(places, lambda i: held(_window(F.col("w"), i, n)))
         return F.transform(places, lambda i: F.struct(F.lit(n).alias("len"), i.alias("pos"), _window(F.col("w"), i, n).alias("h")))
 

@@ -1,6 +1,7 @@
 """Language mixtures, quality model and dual-tree search."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -156,6 +157,49 @@ def test_quality_on_held_out_rows(spark, tmp_path):
     assert ((got["score"] >= 0.5) == (got["predicted"] == 1)).all()
 
 
+def plain_features(text):
+    raw = text.encode()
+    words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0d]+", raw)]
+    symbols = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"()-?")
+    some, size = max(len(words), 1), max(len(raw), 1)
+    count = lambda chars: sum(c in chars for c in raw)
+    triples = list(zip(words, words[1:], words[2:], strict=False))
+    return [
+        np.log1p(len(raw)), np.log1p(len(words)), sum(map(len, words)) / some, sum(len(w) > 14 for w in words) / some, sum(len(w) < 4 for w in words) / some,
+        count(bytes(range(65, 91))) / size, count(b"0123456789") / size, count(b".,;:'\"()-!?") / size, count(symbols) / size, sum(c >= 128 for c in raw) / size,
+        sum(w[-1] in symbols for w in words) / some, sum(len(w) == 1 and w[0] in symbols for w in words) / some, count(b".?!") / some, count(b"\n") / some,
+        len(set(words)) / len(words) if words else 0, max(map(words.count, words)) / len(words) if words else 0, sum(a == b for a, b in zip(words, words[1:], strict=False)) / some, len(set(triples)) / len(triples) if triples else 0,
+    ]
+
+
+def test_features_and_scores_are_those_of_plain_python(spark):
+    texts = ["", "One", "The cat, the cat $$$ the CAT!! 12 % % %\nünï cödé supercalifragilistic end?", sample(ENGLISH, 50, 3) + " x" * 9, "a\tb\x0bc a b c a b c", "!"]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, upper string").coalesce(1)
+    feats = additive_quality.feature_table(docs)
+    got = {r.doc_id: [r[c] for c in additive_quality.FEATURES] for r in feats.collect()}
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i], plain_features(t), atol=1e-5), t
+    rng = np.random.default_rng(1)
+    x = rng.random((300, len(additive_quality.FEATURES)))
+    model = additive_quality.fit(x, (x[:, 0] + x[:, 3] * x[:, 4] > 0.8).astype(float), rounds=5, pair_rounds=3)
+    want = []
+    for row in x[:40]:
+        total = model.base + sum(table[sum(c <= v for c in cuts)] for v, cuts, table in zip(row, model.cuts, model.tables, strict=True))
+        total += sum(table[sum(c <= row[i] for c in ci), sum(c <= row[j] for c in cj)] for i, j, ci, cj, table in model.pairs)
+        want.append(1 / (1 + np.exp(-total)))
+    assert np.allclose(model.scores(x[:40]), want)
+
+
+def test_contradicting_labels_count_for_neither(spark):
+    docs = spark.createDataFrame([(i, sample(ENGLISH, 20, i) + (" $$$" * (i % 2) * 9)) for i in range(120)], "doc_id long, text string")
+    feats = additive_quality.feature_table(docs).cache()
+    good = [(i, 1 - i % 2) for i in range(100)]
+    plain = additive_quality.train(feats, spark.createDataFrame(good, "doc_id long, quality int"))
+    noisy = additive_quality.train(feats, spark.createDataFrame([*good, *good[:30], *[(i, q) for i in range(100, 120) for q in (0, 1)], (None, 1), (5, None)], "doc_id long, quality int"))
+    scores = [[r.score for r in additive_quality.score(feats, m).orderBy("doc_id").collect()] for m in (plain, noisy)]
+    assert scores[0] == scores[1]
+
+
 def test_quality_without_labels(spark):
     feats = additive_quality.feature_table(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"))
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -1,11 +1,13 @@
 """Sharding, packing, token rollups and revisits on small tables."""
 
 import base64
+import hashlib
 import random
 import zlib
 
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestack.llm import conflict_packing, histogram_shard, revisits, token_rollup
@@ -24,8 +26,10 @@ def rows():
 
 def test_shards_are_even_gapless_and_keep_columns(spark):
     docs = spark.createDataFrame(rows(), DOCS)
+    docs = docs.withColumns({"__hi": F.lit("kept"), "lead": F.lit(7), "row": F.lit("r")})
     got = histogram_shard.histogram_shard(docs, F.col("text"), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 1, shards=4, piece_bytes=4000).toPandas()
-    assert sorted(got.columns) == sorted(["doc_id", "text", "source", "hi", "bucket", "size", "shard", "slot"])
+    assert sorted(got.columns) == sorted(["doc_id", "text", "source", "hi", "bucket", "__hi", "lead", "row", "size", "shard", "slot"])
+    assert set(got["__hi"]) == {"kept"} and set(got["lead"]) == {7} and set(got["row"]) == {"r"}
     assert len(got) == len(rows()) and set(got["shard"]) == {0, 1, 2, 3}
     for _, own in got.groupby("shard"):
         assert sorted(own["slot"]) == list(range(len(own)))
@@ -41,6 +45,52 @@ def test_hot_group_is_split_by_id(spark):
     assert 4 <= copies["shard"].nunique() <= 5
 
 
+def spark_hash(text):
+    value = xxhash.xxh64_intdigest((text or "").encode(), seed=42)
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+@pytest.mark.parametrize("piece_bytes", [64 << 20, 700])
+def test_shard_query_against_a_plain_sort(spark, tmp_path, monkeypatch, piece_bytes):
+    rng = random.Random(6)
+    texts = ["hot copy of a text"] * 400 + [f"text {i} " + "y" * rng.randrange(0, 300) for i in range(700)] + [None, "", "é" * 50, "z" * 9000]
+    docs = list(enumerate(rng.sample(texts, len(texts)))) + [(None, "without an id")]
+    spark.createDataFrame([(i, t, "s") for i, t in docs], "doc_id long, text string, source string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    shard = histogram_shard.histogram_shard
+    monkeypatch.setattr(histogram_shard, "histogram_shard", lambda *a: shard(*a, piece_bytes=piece_bytes))
+    got = histogram_shard.op8_histogram_shard(spark, str(tmp_path)).collect()
+    raw = {i: (t or "").encode() for i, t in docs}
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in got} == {i: (len(b) + 1, zlib.crc32(b)) for i, b in raw.items()} and len(got) == len(docs)
+    digest = {i: spark_hash(hashlib.md5(b).hexdigest()) for i, b in raw.items()}
+    at = {r.doc_id: (r.shard, r.slot) for r in got}
+    for n in range(8):
+        assert sorted(s for k, s in at.values() if k == n) == list(range(sum(k == n for k, _ in at.values())))
+    # Shards are ranges of (digest, id); each cut is near its share, or at the edge of a group, or between two rows of a hot one.
+    order = sorted(digest, key=lambda i: (digest[i], i if i is not None else -(1 << 63)))
+    assert [at[i][0] for i in order] == sorted(at[i][0] for i in order)
+    if piece_bytes > 1 << 20:
+        assert [i for i, _ in sorted(at.items(), key=lambda x: x[1])] == order
+    size = {i: len(b) + 1 for i, b in raw.items()}
+    total, below = sum(size.values()), 0
+    share = total / 8
+    for a, b in zip(order, order[1:], strict=False):
+        below += size[a]
+        for j in range(at[a][0] + 1, at[b][0] + 1):
+            edge = digest[a] != digest[b]
+            assert abs(below - total * j / 8) <= (0.01 * share if edge else max(size[a], size[b])) or max(size[a], size[b]) > 0.01 * share
+    assert sum(at[a][0] != at[b][0] for a, b in zip(order, order[1:], strict=False) if digest[a] == digest[b]) <= 7
+
+
+def test_pieces_follow_the_bytes(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    got = histogram_shard.histogram_shard(docs, F.col("text"), "doc_id", F.lit(10), shards=2, piece_bytes=500).toPandas()
+    assert all(sorted(own["slot"]) == list(range(len(own))) for _, own in got.groupby("shard")) and len(got) == 4000
+    keys = docs.select(F.xxhash64("text").alias("hi"), F.col("doc_id").alias("lo"), F.lit(10).cast("long").alias("size"))
+    pieces = histogram_shard._pieced(keys, 2, [], 7, keys.groupBy("hi").agg(F.min("lo").cast("double").alias("first"), F.max("lo").cast("double").alias("last"), F.ceil(F.count("*") * 10 / 500).alias("parts")).filter("parts > 1"))
+    sizes = [r["count"] for r in pieces.groupBy(*histogram_shard.PIECE).count().collect()]
+    assert max(sizes) <= 60 and sum(sizes) == 4000
+
+
 def test_shards_of_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert histogram_shard.histogram_shard(docs, F.col("text"), "doc_id", F.lit(1)).count() == 0
