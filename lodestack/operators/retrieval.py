@@ -197,6 +197,15 @@ def symbol_rank(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("symbol_score", score).filter("symbol_score > 0").withColumn("symbol_rank", F.row_number().over(order))
 
 
+def routed(queries: DataFrame, symbols: DataFrame, least: int = 4) -> DataFrame:
+    """queries (query_id, query, tier) with the tier that answers them: `technical` if they name the last part of a symbol (a
+    word of at least `least` letters), else the tier that they ask for, technical without one."""
+    leaf = F.lower(F.element_at(F.split("symbol", r"\."), -1))
+    names = symbols.select(leaf.alias("w")).filter(F.length("w") >= least).distinct()
+    named = queries.select("query_id", F.explode(words(F.coalesce("query", F.lit("")))).alias("w")).distinct().join(names, "w", "left_semi").select("query_id").distinct().withColumn("named", F.lit(True))
+    return queries.join(named, "query_id", "left").withColumn("tier", F.when(F.col("named"), "technical").otherwise(F.coalesce("tier", F.lit("technical")))).drop("named")
+
+
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, id, rank from 1): query_id, id, score, rank; ties by first sight.
 

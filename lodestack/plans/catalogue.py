@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from lodestack.functions import text as tx
 from lodestack.functions.html import html_text
 from lodestack.functions.sift import sieve
-from lodestack.operators import chunking, evaluation, retrieval, sessions
-from lodestack.session import table
+from lodestack.operators import chunking, evaluation, index, retrieval, sessions
+from lodestack.session import scratch, table
+from lodestack.sources import jsonl
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -113,28 +114,34 @@ def hard_split(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(chunking.hard_split(F.col("text"), 500)).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(r"""
-WITH RECURSIVE paras AS (
-  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND length(x) <= 800) AS ps FROM documents WHERE text IS NOT NULL
-), fold AS (
-  SELECT doc_id, ps, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS cur FROM paras
+# Paragraphs of sections (doc_id, b, prefix, body, budget, overlap, least) under their budget, then filled into chunks (doc_id, b, k, chunk).
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_PACK_SQL = rf"""
+paras AS MATERIALIZED (SELECT doc_id, b, budget, unnest(ps) AS rest, generate_subscripts(ps, 1) AS n FROM (SELECT *, list_filter(list_transform(string_split_regex(body, '\n\s*\n'), lambda p: {_STRIP.format('p')}), lambda p: p <> '') AS ps FROM secs)),
+cut AS (
+  SELECT doc_id, b, n, budget, CAST(-1 AS BIGINT) AS pos, '' AS piece, rest FROM paras
   UNION ALL
-  SELECT doc_id, ps, i + 1, CASE WHEN over THEN list_append(done, cur) ELSE done END,
-    CASE WHEN over THEN (CASE WHEN ltrim(right(cur, 100), ' ' || chr(10)) <> '' THEN ltrim(right(cur, 100), ' ' || chr(10)) || chr(10) || chr(10) || ps[i + 1] ELSE ps[i + 1] END) WHEN cur = '' THEN ps[i + 1] ELSE cur || chr(10) || chr(10) || ps[i + 1] END
-  FROM (SELECT *, cur <> '' AND length(cur) + 2 + length(ps[i + 1]) > 800 AS over FROM fold WHERE i < len(ps))
-), packed AS (SELECT doc_id, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS chunks FROM fold WHERE i = len(ps))
-SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(chunks, lambda c: length(trim(c)) >= 64) AS chunks FROM packed)
-""")
-def pack_chunks(spark, sf_dir):
-    """Lines as paragraphs (those over the budget left out, so that the fold is seen alone), filled up to 800 characters."""
-    paras = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: (p != "") & (F.length(p) <= 800))
-    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.array_join(paras, "\n\n").alias("body"))
-    return docs.select("doc_id", F.posexplode(chunking.pack_section(F.array().cast("array<string>"), F.col("body"), 800, 100, 64)).alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("long"))
+  SELECT doc_id, b, n, budget, pos + 1, {_STRIP.format('substr(rest, 1, cutat)')}, {_STRIP.format('substr(rest, cutat + 1)')}
+  FROM (SELECT *, CASE WHEN length(rest) <= budget THEN length(rest) WHEN p IS NULL OR budget - p <= 0 THEN budget ELSE budget - p END AS cutat FROM (SELECT *, nullif(instr(reverse(substr(rest, 1, budget)), ' '), 0) AS p FROM cut WHERE rest <> ''))
+),
+pieces AS MATERIALIZED (SELECT doc_id, b, list(piece ORDER BY n, pos) AS ps FROM cut WHERE pos >= 0 AND piece <> '' GROUP BY doc_id, b),
+fold AS (
+  SELECT doc_id, b, ps, budget, overlap, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS cur FROM secs JOIN pieces USING (doc_id, b)
+  UNION ALL
+  SELECT doc_id, b, ps, budget, overlap, i + 1, CASE WHEN over THEN list_append(done, cur) ELSE done END,
+    CASE WHEN over THEN (CASE WHEN tail <> '' THEN tail || chr(10) || chr(10) || ps[i + 1] ELSE ps[i + 1] END) WHEN cur = '' THEN ps[i + 1] ELSE cur || chr(10) || chr(10) || ps[i + 1] END
+  FROM (SELECT *, cur <> '' AND length(cur) + 2 + length(ps[i + 1]) > budget AS over, regexp_replace(right(cur, overlap), '^\s+', '') AS tail FROM fold WHERE i < len(ps))
+),
+filled AS MATERIALIZED (SELECT doc_id, b, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS cs FROM fold WHERE i = len(ps)),
+whole AS MATERIALIZED (SELECT doc_id, b, prefix, least, CASE WHEN length(body) <= budget THEN [body] ELSE cs END AS cs FROM secs LEFT JOIN filled USING (doc_id, b)),
+chunks AS MATERIALIZED (SELECT doc_id, b, k, prefix || chunk AS chunk FROM (SELECT doc_id, b, prefix, least, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS k FROM whole) WHERE length({_STRIP.format('prefix || chunk')}) >= least)
+"""
 
 
-@query()
-def pack_texts(spark, sf_dir):
-    """All lines as paragraphs, those over the budget split, filled up to 800 characters."""
+@query(rf"""WITH RECURSIVE secs AS MATERIALIZED (SELECT doc_id, 0 AS b, '' AS prefix, 800 AS budget, 100 AS overlap, 64 AS least, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS body FROM documents WHERE text IS NOT NULL),
+{_PACK_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, chunk FROM chunks""")
+def pack_chunks(spark, sf_dir):
+    """Lines as paragraphs, those over the budget split, filled up to 800 characters."""
     paras = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: p != "")
     docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.array_join(paras, "\n\n").alias("body"))
     return docs.select("doc_id", F.posexplode(chunking.pack_section(F.array().cast("array<string>"), F.col("body"), 800, 100, 64)).alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("long"))
@@ -156,27 +163,51 @@ def code_windows(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(chunking.code_windows(F.col("text"), 300)).alias("pos", "part")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(r"""SELECT doc_id, 0 AS chunk_index, substr(sha256(concat(CAST(doc_id AS VARCHAR), chr(31), '0', chr(31), regexp_replace(text, '^\s+|\s+$', '', 'g'))), 1, 16) AS id
-FROM documents WHERE length(text) <= 2048 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 64 AND NOT regexp_matches(text, '(^|\n)#{1,6}\s') AND NOT contains(text, '#')""")
-def chunk_ids(spark, sf_dir):
-    """Ids of the chunks of documents that fit one chunk."""
-    docs = _docs(spark, sf_dir).filter((F.length("text") <= 2048) & ~F.contains("text", F.lit("#")))
-    return chunking.chunk_markdown(docs.select("doc_id", "text")).select("doc_id", "chunk_index", "id")
+# Sections with their heading trails, as Markdown has them.
+_SECTIONS_SQL = rf"""
+marked AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM (
+  SELECT doc_id, n, line, length(regexp_extract(line, '^(#{{1,6}})[^\S\n]', 1)) AS level, {_STRIP.format(r"regexp_extract(line, '^#{1,6}[^\S\n]+(.*)', 1)")} AS title FROM (
+    SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM documents WHERE text IS NOT NULL)))),
+blocks AS (SELECT doc_id, CAST(b AS BIGINT) AS b, max(level) AS level, max(title) AS title, {_STRIP.format("coalesce(string_agg(CASE WHEN level = 0 THEN line END, chr(10) ORDER BY n), '')")} AS body FROM marked GROUP BY doc_id, b),
+heads AS (SELECT doc_id, list(level ORDER BY b) AS lv, list(title ORDER BY b) AS ts FROM blocks WHERE b > 0 GROUP BY doc_id),
+trails AS (SELECT doc_id, b, body, CASE WHEN b = 0 THEN '' ELSE array_to_string(list_transform(list_filter(range(1, b + 1), lambda i: i = b OR lv[i] < list_min(lv[i + 1:b])), lambda i: ts[i]), ' > ') END AS trail FROM blocks LEFT JOIN heads USING (doc_id) WHERE body <> ''),
+prefixed AS (SELECT *, CASE WHEN trail <> '' THEN trail || chr(10) || chr(10) ELSE '' END AS prefix FROM trails)
+"""
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_SECTIONS_SQL}, secs AS MATERIALIZED (SELECT doc_id, b, body, prefix, greatest(1, 2048 - length(prefix)) AS budget, 256 AS overlap, 64 AS least FROM prefixed), {_PACK_SQL},
+numbered AS (SELECT doc_id, b, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY b, k) - 1 AS chunk_index FROM chunks)
+SELECT doc_id, chunk_index, trail AS section, chunk AS text, substr(sha256(concat(CAST(doc_id AS VARCHAR), chr(31), CAST(chunk_index AS VARCHAR), chr(31), chunk)), 1, 16) AS id FROM numbered JOIN trails USING (doc_id, b)""")
 def chunk_rows(spark, sf_dir):
     """Every chunk of every document as Markdown."""
     return chunking.chunk_markdown(_docs(spark, sf_dir).select("doc_id", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query(r"""SELECT lang AS kind, CAST(count(*) AS BIGINT) AS docs FROM documents WHERE lang IN ('de', 'fr', 'en', 'es') AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 64 GROUP BY lang""")
+@query(rf"""WITH RECURSIVE {_SECTIONS_SQL}, secs AS MATERIALIZED (
+  SELECT doc_id, b, body, prefix, greatest(1, 2048 - length(prefix)) AS budget, 256 AS overlap, 64 AS least FROM prefixed JOIN (SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'fr') USING (doc_id)
+  UNION ALL SELECT doc_id, 0, text, '', 2048, 256, 0 FROM documents WHERE lang = 'fr' AND text IS NOT NULL), {_PACK_SQL}
+SELECT doc_id, CASE WHEN lang = 'fr' THEN 'api' ELSE 'manual' END AS kind, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS chars, min(md5(chunk)) AS least FROM chunks JOIN documents USING (doc_id) GROUP BY ALL""")
 def routed_chunks(spark, sf_dir):
-    """Documents with at least one chunk, by kind: German as code, French as API pages, the rest as prose."""
-    kind = F.when(F.col("lang") == "de", "code").when(F.col("lang") == "fr", "api").otherwise("manual")
-    docs = _docs(spark, sf_dir).filter(F.col("lang").isin("de", "fr", "en", "es") & (F.length(tx.strip(F.col("text"))) >= 64)).select("doc_id", "lang", "text", kind.alias("source_type"))
-    chunked = chunking.chunk_corpus(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return docs.join(chunked, "doc_id").groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("docs"))
+    """Chunks of every document by its kind: French as API entries, the rest as prose."""
+    kind = F.when(F.col("lang") == "fr", "api").otherwise("manual")
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", "text", kind.alias("source_type"))
+    chunked = chunking.chunk_corpus(docs).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.min(F.md5(F.col("text").cast("binary"))).alias("least"))
+    return chunked.join(docs.select("doc_id", F.col("source_type").alias("kind")), "doc_id").select("doc_id", "kind", "chunks", "chars", "least")
+
+
+# What is RST for the converter: a title, a figure that goes, the text behind a word, a heading of another rule, a note, a table of contents that goes.
+_CLEAN_SQL = r"replace(regexp_replace(regexp_replace({}, '`([^`<]+?)\s*<[^>]*>`_+', '\1', 'g'), ':[a-zA-Z][\w:+-]*:`([^`<]+?)(?:\s*<[^>]*>)?`', '\1', 'g'), '``', '`')"
+_EACH_LINE_SQL = f"array_to_string(list_transform(string_split({{}}, chr(10)), lambda l: {_CLEAN_SQL.format('l')}), chr(10))"
+
+
+@query(rf"""SELECT doc_id, concat('# ', source, e'\n\n', {_EACH_LINE_SQL.format("'see x ' || replace(text, chr(10), chr(10) || 'x ')")}, e'\n\n## ', source, e' again\n**Note:** with `', lang, e'`\n   kept') AS markdown FROM documents WHERE text IS NOT NULL""")
+def rst_pages(spark, sf_dir):
+    """Documents as RST pages, and those as Markdown."""
+    from lodestack.sources.documents import rst_markdown
+
+    part = [F.col("source"), "\n=======\n\n.. figure:: f.png\n   :align: center\n\n   a caption\n\nsee :ref:`x <target>` ", F.replace("text", F.lit("\n"), F.lit("\nx ")), "\n\n", F.col("source"), " again\n-------------\n.. note:: with ``", F.col("lang"), "``\n   kept\n.. toctree::\n   :maxdepth: 2\n\n   a"]
+    raw = F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in part])
+    return _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", rst_markdown(raw).alias("markdown"))
 
 
 # Search -----------------------------------------------------------------------------------------------------------------
@@ -210,6 +241,16 @@ def where_filter(spark, sf_dir):
     return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")
+def indexed_bm25(spark, sf_dir):
+    """bm25_top10 from an index that is built first: records, postings, terms and statistics are written, and only the queries' postings read."""
+    root = scratch(spark, "index")
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "doc_id", F.coalesce("lang", F.lit("")).alias("source_type"), F.coalesce("text", F.lit("")).alias("text"))
+    index.build_table(rows, lambda text: F.array(F.length(text).cast("float")), root)
+    found = index.lexical(spark, root, _queries(spark, sf_dir), 10)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _RELEVANT = "SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
 
 
@@ -291,14 +332,17 @@ def miss_list(spark, sf_dir):
     return evaluation.misses(_per_query(spark, sf_dir))
 
 
-@query("""SELECT i.item_id AS query_id, d.doc_id FROM documents d, benchmark i WHERE contains(lower(concat_ws(' ', coalesce(lang, 'None'), coalesce(source, 'None'))), 'src' || (i.item_id % 20))""")
+@query(f"""WITH {_BM25_SQL}, hits AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10),
+expects AS (SELECT item_id AS query_id, unnest(['SRC' || (item_id % 20), 'src1', 'en']) AS expect, unnest([0, 1, 2]) AS expect_no FROM benchmark)
+SELECT query_id, doc_id, CAST(expect_no AS BIGINT) AS expect_no FROM hits JOIN documents d USING (doc_id) JOIN expects e USING (query_id) WHERE contains(lower(concat_ws(' ', coalesce(d.lang, 'None'), coalesce(d.source, 'None'))), lower(expect))""")
 def expectation_matches(spark, sf_dir):
-    """Substring expectations over joined fields. The expected text is a whole field or its start, so words of the fields are joined by prefix."""
-    want = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("expect"))
-    docs = _docs(spark, sf_dir).select("doc_id", F.lower(F.concat_ws(" ", evaluation.text_of(F.col("lang")), evaluation.text_of(F.col("source")))).alias("hay"))
-    # Few distinct haystacks: expectations are matched against those, documents join by equality.
-    kinds = docs.select("hay").distinct().withColumn("g", F.lit(0)).join(want.select("expect").distinct().withColumn("g", F.lit(0)), "g").filter(F.contains("hay", F.lower(F.col("expect")))).select("hay", "expect")
-    return docs.join(kinds, "hay").join(want, "expect").select("query_id", "doc_id")
+    """The hits of each query against its expectations, by text in the joined fields."""
+    expects = F.array(F.concat(F.lit("SRC"), (F.col("item_id") % 20).cast("string")), F.lit("src1"), F.lit("en"))
+    want = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(expects).alias("expect_no", "expect"))
+    hits = retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 10).select("query_id", "doc_id")
+    fields = [evaluation.text_of(F.col(c)) for c in ("lang", "source")]
+    met = hits.join(_docs(spark, sf_dir).select("doc_id", "lang", "source"), "doc_id").join(want, "query_id").filter(evaluation.hit_matches(F.col("expect"), *fields))
+    return met.select("query_id", "doc_id", F.col("expect_no").cast("long").alias("expect_no"))
 
 
 _KNN_SQL = """
@@ -362,7 +406,7 @@ def hybrid(spark, sf_dir):
 
 
 _SYMBOL_SQL = f"""{_LISTS_SQL},
-rows AS (SELECT doc_id AS id, 'lib.' || replace(substr(text, 1, 20), ' ', '_') AS symbol FROM documents),
+rows AS (SELECT doc_id AS id, 'lib.' || replace(regexp_extract(text, '^[^\n]*'), ' ', '_') AS symbol FROM documents),
 leaf AS (SELECT f.query_id, f.id, first_seen, list_distinct(regexp_extract_all(lower(replace(string_split(symbol, '.')[-1], '_', ' ')), '[a-z0-9]+')) AS l, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS q
   FROM fused f JOIN rows USING (id) JOIN benchmark b ON b.item_id = f.query_id),
 symbols AS (SELECT query_id, id, score AS symbol_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM
@@ -372,7 +416,7 @@ boosted AS (SELECT f.query_id, f.id, f.score + coalesce(CAST(1.0 AS DOUBLE) / (6
 
 
 def _symbols(spark, sf_dir) -> DataFrame:
-    return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat(F.lit("lib."), F.replace(F.substring("text", 1, 20), F.lit(" "), F.lit("_"))).alias("symbol"), F.lit("").alias("title"))
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat(F.lit("lib."), F.replace(F.regexp_extract("text", r"^[^\n]*", 0), F.lit(" "), F.lit("_"))).alias("symbol"), F.lit("").alias("title"))
 
 
 @query(f"WITH {_SYMBOL_SQL} SELECT query_id, id, round(symbol_score, 6) AS symbol_score, rank AS symbol_rank FROM symbols")
@@ -444,11 +488,13 @@ def license_build_filter(spark, sf_dir):
     return docs.join(F.broadcast(classes), "license").filter("tier = 'technical' OR build = 'open'").groupBy("build").agg(F.count("*").alias("docs"))
 
 
-@query("""SELECT item_id AS query_id, CASE WHEN regexp_matches(text, '^(The|Is|To)\\b') THEN 'technical' WHEN item_id % 5 = 0 THEN 'creative' ELSE 'technical' END AS tier FROM benchmark""".replace("\\\\", "\\"))
+@query("""WITH symbols AS (SELECT DISTINCT regexp_extract_all(lower(text), '[a-z0-9]+')[-1] AS leaf FROM documents WHERE text IS NOT NULL), named AS (SELECT DISTINCT item_id FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) JOIN symbols ON w = leaf AND length(leaf) >= 8)
+SELECT item_id AS query_id, CASE WHEN item_id IN (SELECT item_id FROM named) THEN 'technical' WHEN item_id % 5 = 0 THEN 'creative' ELSE 'technical' END AS tier FROM benchmark""")
 def tier_routing(spark, sf_dir):
-    """Queries that name a symbol are technical, others follow their wish, technical without one."""
-    names = F.col("text").rlike(r"^(The|Is|To)\b")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(names, "technical").when(F.col("item_id") % 5 == 0, "creative").otherwise("technical").alias("tier"))
+    """Queries that name a symbol (here the last words of documents) are technical, others follow their wish, technical without one."""
+    symbols = _docs(spark, sf_dir).filter("text IS NOT NULL").select(F.concat(F.lit("lib."), F.element_at(F.filter(F.concat(F.array(F.lit("")), tx.words(F.col("text"))), lambda w: w.isNotNull()), -1)).alias("symbol"))
+    wish = F.when(F.col("query_id") % 5 == 0, "creative")
+    return retrieval.routed(_queries(spark, sf_dir).withColumn("tier", wish), symbols, 8).select("query_id", "tier")
 
 
 # Sessions ---------------------------------------------------------------------------------------------------------------
@@ -587,15 +633,20 @@ def qa_pairing(spark, sf_dir):
 @query(_POSTS_SQL + " SELECT a.id, coalesce(q.title, 'untitled') AS title FROM posts a LEFT JOIN posts q ON q.is_question AND q.id = a.parent AND q.pos < a.pos WHERE NOT a.is_question")
 def qa_pairing_asof(spark, sf_dir):
     """As qa_pairing, but an answer sees only questions that stand before it."""
-    posts = _posts(spark, sf_dir)
-    asked = posts.filter("is_question").select(F.col("id").alias("parent"), F.col("title").alias("q_title"), F.col("pos").alias("q_pos"))
-    joined = posts.filter("NOT is_question").join(asked, "parent", "left")
-    return joined.select("id", F.coalesce(F.when(F.col("q_pos") < F.col("pos"), F.col("q_title")), F.lit("untitled")).alias("title"))
+    from lodestack.sources.documents import answers
+
+    posts = _posts(spark, sf_dir).select(
+        "pos", F.col("id").cast("string").alias("Id"), F.when(F.col("is_question"), "1").otherwise("2").alias("PostTypeId"), F.when(~F.col("is_question"), F.col("parent").cast("string")).alias("ParentId"), F.lit("9").alias("Score"),
+        F.lit("u").alias("OwnerUserId"), F.lit("2024-01-01").alias("CreationDate"), F.lit("<p>body</p>").alias("Body"), F.when(F.col("is_question"), F.col("title")).alias("Title"), F.lit("<a>").alias("Tags"),
+    )
+    made = answers(posts, "http://x/a", "untitled", in_order=True)
+    return made.select(F.element_at(F.split("source_url", "/"), -1).cast("long").alias("id"), "title")
 
 
-@query("""SELECT event_id, CASE WHEN y >= 2024 THEN 'current' WHEN y >= 2021 THEN 'dated_valid' ELSE 'stale' END AS answer, CASE WHEN y >= 2024 THEN 'current' ELSE 'dated_valid' END AS post FROM (SELECT event_id, 2017 + event_id % 10 AS y FROM events)""")
+@query("""SELECT event_id, CASE WHEN y >= 2024 THEN 'current' WHEN y >= 2021 THEN 'dated_valid' ELSE 'stale' END AS answer, CASE WHEN y >= 2024 THEN 'current' ELSE 'dated_valid' END AS post FROM (SELECT event_id, year(ts + to_days(CAST(event_id % 4000 AS INTEGER)) - to_days(2000)) AS y FROM events)""")
 def version_status(spark, sf_dir):
-    y = tx.year_of(F.concat((2017 + F.col("event_id") % 10).cast("string"), F.lit("-05-01")))
+    """Dates of events, up to some years earlier or later."""
+    y = tx.year_of(F.date_add(F.to_date("ts"), (F.col("event_id") % 4000).cast("int") - 2000).cast("string"))
     return table(spark, sf_dir, "events").select("event_id", tx.answer_status(y).alias("answer"), tx.post_status(y).alias("post"))
 
 
@@ -604,28 +655,41 @@ def license_year(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tx.license_of_year(F.year("ts")).alias("license"))
 
 
-@query("""SELECT l.doc_id, CASE WHEN l.quality = 1 THEN coalesce(substr(d.text, 1, 40), 'none') || chr(10) || chr(10) || 'chunk' ELSE 'chunk' END AS embedded FROM labels l LEFT JOIN documents d USING (doc_id)""")
+@query("""SELECT l.doc_id, md5(CASE WHEN l.quality = 1 THEN coalesce(d.text, 'part ' || l.doc_id) || chr(10) || chr(10) || 'part ' || l.doc_id ELSE 'part ' || l.doc_id END) AS embedded FROM labels l LEFT JOIN documents d USING (doc_id) WHERE length(trim(coalesce(d.text, 'x'))) > 0""")
 def context_join(spark, sf_dir):
-    """Chunks with the context of their parent document, where the scope asks for one."""
-    joined = table(spark, sf_dir, "labels").join(_docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 40).alias("head")), "doc_id", "left")
-    context = F.when(F.col("quality") == 1, F.coalesce("head", F.lit("none")))
-    return joined.select("doc_id", F.when(context.isNotNull(), F.concat(context, F.lit("\n\nchunk"))).otherwise("chunk").alias("embedded"))
+    """Chunks with a context made of their whole parent document, where the scope asks for one; a chunk without a parent is its own."""
+    from lodestack.operators.index import with_context
+
+    part = F.concat(F.lit("part "), F.col("doc_id").cast("string"))
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    blank = docs.filter(F.length(F.trim("text")) == 0).select(F.col("id").alias("doc_id"))
+    chunks = table(spark, sf_dir, "labels").join(blank, "doc_id", "left_anti").select("doc_id", F.when(F.col("quality") == 1, "in").otherwise("out").alias("source_type"), part.alias("text"), F.lit("").alias("context"))
+    made = with_context(chunks, docs, lambda whole, own: whole, ["in"])
+    return made.select("doc_id", F.md5(tx.embed_text(F.col("context"), F.col("text")).cast("binary")).alias("embedded"))
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
+@query("SELECT doc_id, lang, source, n_chars, text FROM documents")
 def json_roundtrip(spark, sf_dir):
     """Rows through JSON text and back."""
-    schema = "doc_id long, lang string, source string, n_chars long"
-    lines = _docs(spark, sf_dir).select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("j"))
-    return lines.select(F.from_json("j", schema).alias("r")).select("r.*")
+    columns = ["doc_id", "lang", "source", "n_chars", "text"]
+    lines = _docs(spark, sf_dir).select(F.to_json(F.struct(*columns)).alias("j"))
+    return lines.select(F.from_json("j", "doc_id long, lang string, source string, n_chars long, text string").alias("r")).select("r.*")
+
+
+@query("SELECT doc_id, lang, source, n_chars, text FROM documents")
+def jsonl_files(spark, sf_dir):
+    """Documents written as JSON Lines, and read again with the check of every line."""
+    path = scratch(spark, "jsonl")
+    jsonl.write_jsonl(_docs(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", "text"), path)
+    return jsonl.read_jsonl(spark, path, "doc_id long, lang string, source string, n_chars long, text string", ["doc_id"])
 
 
 # Further expressions of the inventory -----------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, coalesce(nullif(trim(regexp_extract('# ' || replace(substr(text, 1, 30), chr(10), ' ') || chr(10) || 'x', '^# (.*)', 1)), ''), source) AS title FROM documents WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id, CASE WHEN h <> '' THEN regexp_replace(h, '^\s+|\s+$', '', 'g') ELSE upper(source[1]) || source[2:] END AS title FROM (SELECT doc_id, source, regexp_extract('intro' || chr(10) || '# ' || text, '(?m)^#[^\S\n]+([^\n]+?)[^\S\n]*$', 1) AS h FROM documents WHERE text IS NOT NULL)""")
 def markdown_titles(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").withColumn("md", F.concat(F.lit("# "), F.replace(F.substring("text", 1, 30), F.lit("\n"), F.lit(" ")), F.lit("\nx")))
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").withColumn("md", F.concat(F.lit("intro\n# "), F.col("text")))
     return docs.select("doc_id", tx.markdown_title(F.col("md"), F.col("source")).alias("title"))
 
 
@@ -634,17 +698,18 @@ def tag_clean(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.clean_tags(F.concat(F.lit("<"), F.col("lang"), F.lit("><"), F.col("source"), F.lit(">"))).alias("tags"))
 
 
-@query(r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'see link x and `code`' WHEN 1 THEN 'shown text' ELSE 'plain' END AS clean FROM documents""")
+@query(rf"""SELECT doc_id, {_CLEAN_SQL.format("concat('see `', source, ' <http://y>`__ and ``', text, '`` in :ref:`', lang, ' <target>`')")} AS clean FROM documents WHERE text IS NOT NULL""")
 def inline_clean(spark, sf_dir):
-    raw = F.when(F.col("doc_id") % 3 == 0, "see `link x <http://y>`__ and ``code``").when(F.col("doc_id") % 3 == 1, ":ref:`shown text <target>`").otherwise("plain")
-    return _docs(spark, sf_dir).select("doc_id", tx.clean_rst_inline(raw).alias("clean"))
+    """Whole texts between a link and a role."""
+    raw = F.concat(F.lit("see `"), F.coalesce("source", F.lit("")), F.lit(" <http://y>`__ and ``"), F.col("text"), F.lit("`` in :ref:`"), F.coalesce("lang", F.lit("")), F.lit(" <target>`"))
+    return _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", tx.clean_rst_inline(raw).alias("clean"))
 
 
-@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'x = 1 ' WHEN 1 THEN 's = ''#a'' ' ELSE 'no comment' END || chr(10) || 'y' AS code FROM conversations""")
+@query(r"""SELECT doc_id, regexp_replace(text || chr(10) || 's = "#a" # ' || source, '(?m)^((?:[^''"#\n]|''[^''\n]*''|"[^"\n]*")*)#.*$', '\1', 'g') AS code FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
 def comment_strip(spark, sf_dir):
-    turn = F.col("turn")
-    raw = F.when(turn % 3 == 0, "x = 1 # NISHITA").when(turn % 3 == 1, "s = '#a' # b").otherwise("no comment")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sessions.strip_comments(F.concat(raw, F.lit("\ny"))).alias("code"))
+    """Whole texts as code."""
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL AND source IS NOT NULL")
+    return docs.select("doc_id", sessions.strip_comments(F.concat("text", F.lit('\ns = "#a" # '), "source")).alias("code"))
 
 
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'KeyError' ELSE 'RuntimeError' END AS error_type, event_id % 3 = 1 AS ok FROM events""")
@@ -662,9 +727,10 @@ def scene_snapshots(spark, sf_dir):
     return rows.select("event_id", "s.objects", "s.meshes", "s.materials")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(2000 + event_id % 30 AS INTEGER) ELSE 0 END AS year FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE CAST(year(ts) AS INTEGER) END AS year FROM events""")
 def feed_years(spark, sf_dir):
-    when = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Wed, 14 May "), (2000 + F.col("event_id") % 30).cast("string"), F.lit(" 10:00:00 +0000"))).otherwise("14 May 25")
+    """Times of events as a feed writes them; one in seven has a year of two digits, which is none."""
+    when = F.when(F.col("event_id") % 7 == 0, F.date_format("ts", "dd MMM yy")).otherwise(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss '+0000'"))
     return table(spark, sf_dir, "events").select("event_id", tx.feed_year(when).alias("year"))
 
 
@@ -673,10 +739,10 @@ def embed_texts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.embed_text(F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("source")).alias("embed_text"))
 
 
-@query("""SELECT doc_id, '<document>' || chr(10) || substr(text, 1, 6000) || chr(10) || '</document>' || chr(10) || chr(10) || 'Here is a chunk taken from the document above:' || chr(10) || '<chunk>' || chr(10) || substr(text, 1, 20) || chr(10) || '</chunk>' || chr(10) || chr(10) || 'Write ONE short sentence that situates this chunk within the document to improve' || chr(10) || 'search retrieval. Answer with only the sentence, no preamble.' AS prompt FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, '<document>' || chr(10) || substr(text, 1, 6000) || chr(10) || '</document>' || chr(10) || chr(10) || 'Here is a chunk taken from the document above:' || chr(10) || '<chunk>' || chr(10) || source || chr(10) || '</chunk>' || chr(10) || chr(10) || 'Write ONE short sentence that situates this chunk within the document to improve' || chr(10) || 'search retrieval. Answer with only the sentence, no preamble.' AS prompt FROM documents WHERE text IS NOT NULL""")
 def context_prompts(spark, sf_dir):
     docs = _docs(spark, sf_dir).filter("text IS NOT NULL")
-    return docs.select("doc_id", tx.context_prompt(F.col("text"), F.substring("text", 1, 20)).alias("prompt"))
+    return docs.select("doc_id", tx.context_prompt(F.col("text"), F.col("source")).alias("prompt"))
 
 
 @query("""SELECT doc_id, 'repo/' || (doc_id % 7) || '/blob/main/src' AS base FROM documents""")

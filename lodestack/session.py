@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +39,26 @@ def local_session(cpus: int | None = None, app: str = "lodestack", **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables. Goes through Spark's reader, so any filesystem will do."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_own: dict[str, str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; a temporary folder only where that is unset and all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        folder = tempfile.mkdtemp(prefix="lodestack-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = f"file://{folder}"
+    return _own[app]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{scratch_root(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
