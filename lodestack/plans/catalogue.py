@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import text as tx
 from lodestack.functions.html import html_text
 from lodestack.functions.sift import sieve
-from lodestack.operators import chunking, evaluation, index, retrieval, sessions
+from lodestack.operators import ablation, chunking, evaluation, index, retrieval, sessions
 from lodestack.session import scratch, table
 from lodestack.sources import jsonl
 
@@ -798,3 +798,51 @@ def answer_documents(spark, sf_dir):
     )
     made = answers(posts, "http://x/a", "An answer")
     return made.select(F.element_at(F.split("source_url", "/"), -1).cast("long").alias("doc_id"), "id", F.col("extra.version_status").alias("status"), F.col("extra.score").alias("score"))
+
+
+def _demo(spark, sf_dir) -> DataFrame:
+    """Demo sessions with the benchmark's items as tasks."""
+    name = F.col("item_id").cast("string")
+    tasks = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item"), name).alias("id"), F.array(F.concat(F.lit("hint"), name)).alias("success_hints"))
+    return ablation.demo_sessions(spark, tasks, 3)
+
+
+_DEMO_SQL = "WITH demo AS (SELECT item_id AS i, 'item' || item_id AS task_id, CAST(r AS INTEGER) AS run_index, c AS rag_enabled, CASE WHEN c THEN 3 ELSE 3 + r % 2 END AS n, CASE WHEN c THEN 0 ELSE 2 + r % 2 END AS bad, CASE WHEN c THEN 0 ELSE 3 + r % 2 END AS lints FROM benchmark, range(3) runs(r), (SELECT unnest([true, false]) AS c)) "
+
+
+@query(_DEMO_SQL + """SELECT task_id, run_index, rag_enabled, round(bad / n, 9) AS error_rate, CAST(lints AS INTEGER) AS gotcha_hits, CAST(n AS INTEGER) AS code_executions, CASE WHEN rag_enabled THEN 3 ELSE 0 END AS rag_queries,
+  CASE WHEN rag_enabled THEN 1.0 ELSE 0.0 END::DOUBLE AS query_before_call_rate, CASE WHEN rag_enabled THEN 1.0 ELSE 0.0 END::DOUBLE AS task_signal_rate, CASE WHEN rag_enabled THEN 38 ELSE 3 END AS scene_total FROM demo""")
+def demo_scores(spark, sf_dir):
+    """Scores of the demo sessions, whose story is known."""
+    columns = ["task_id", "run_index", "rag_enabled", "gotcha_hits", "code_executions", "rag_queries", "query_before_call_rate", "task_signal_rate", "scene_total"]
+    return sessions.score(_demo(spark, sf_dir)).select(*columns, F.round("error_rate", 9).alias("error_rate"))
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _linted(rule: str) -> str:
+    _, _, fix, severity = next(r for r in sessions.RULES if r[0] == rule)
+    return f"     lint ({severity}) {rule}: {fix}\n"
+
+
+def _failed(n: int, code: str, error: str, rule: str) -> str:
+    return f"  {n}. EXEC [ERR {error}]\n     | {code}\n     error: demo {error}\n{_linted(rule)}"
+
+
+_ON = (
+    _sql("  1. SEARCH [manual]: how to stage ") + " || task_id || " + _sql("  -> 2 hits\n  2. EXEC [OK]\n     | plan = 'hint") + " || i || "
+    + _sql("'\n  3. SEARCH [api]: colour management  -> 2 hits\n  4. EXEC [OK]\n     | view.view_transform = 'AgX'\n  5. SEARCH [gotchas]: registering classes  -> 2 hits\n  6. EXEC [OK]\n     | register_class(Panel)\n")
+)
+_OFF = _failed(1, "import bgl", "ImportError", "bgl_module_removed") + _failed(2, "register_module(name)", "AttributeError", "register_module_removed") + "  3. EXEC [OK]\n     | view.view_transform = 'agx'\n" + _linted("agx_view_transform_casing")
+_ODD = _failed(4, "glow.glare_type = 'BLOOM'", "AttributeError", "glare_type_attribute")
+
+
+@query(_DEMO_SQL + f"""SELECT task_id, run_index, rag_enabled, '## ' || task_id || CASE WHEN rag_enabled THEN ' (RAG-on' ELSE ' (RAG-off' END || ', run ' || run_index || ', model demo)' || chr(10) || 'brief concepts: hint' || i || chr(10) ||
+  CASE WHEN rag_enabled THEN {_ON} ELSE {_sql(_OFF)} || CASE WHEN run_index % 2 = 1 THEN {_sql(_ODD)} ELSE '' END END ||
+  'summary: executions ' || n || ', errors ' || bad || ', error rate ' || CASE WHEN rag_enabled THEN '0.00' WHEN run_index % 2 = 1 THEN '0.75' ELSE '0.67' END || CASE WHEN rag_enabled THEN ', queries 3, grounding 1.00' ELSE ', queries 0, grounding 0.00' END || ', lint hits ' || lints ||
+  CASE WHEN rag_enabled THEN ', task signal 1.00' ELSE ', task signal 0.00' END || ', completed true' AS text FROM demo""")
+def transcript_texts(spark, sf_dir):
+    """Transcripts of the demo sessions."""
+    return ablation.transcripts(_demo(spark, sf_dir))
