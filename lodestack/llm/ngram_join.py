@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, matched, release, shuffle_parts, small_batches, staged
+from .common import components, free_prefix, matched, release, shuffle_parts, small_batches, staged
 from .textbytes import chunks, mix, sequence_hash, shingle_hashes, word_hashes
 
 WORDS = 5
@@ -447,17 +447,23 @@ def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [class_key(own) for own in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, "__key", "__check"])
+def _keyed(key: str, check: str):
+    """Rows with the key of the set of their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [class_key(own) for own in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, key, check])
+
+    return run
 
 
 def near_copy_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, the one with the smallest id; the columns stay those of docs.
 
     Rows that share an id are told apart by their sets: those of other components stay, of one component one row does (the
-    least by set and text). A row without an id goes if its component has a document with one; all others without stay."""
+    least by set and text). A row without an id goes if its component has a document with one; all others without stay. Columns
+    of any name pass through; an empty table stays empty."""
     with small_batches(spark):
         found = staged(_components(docs.select("doc_id", "text")), "join-components")
         gone = staged(found.filter("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
@@ -467,10 +473,12 @@ def near_copy_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         known = docs.filter("doc_id is not null")
         kept = matched(known, gone.unionByName(again).distinct(), "doc_id", "left_anti")
         apart = matched(known, again, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
-        schema = T.StructType([*apart.schema.fields, T.StructField("__key", T.LongType()), T.StructField("__check", T.LongType())])
-        heads = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("check").alias("__c"), F.col("label").alias("__label")).distinct()
-        rows = apart.mapInArrow(_keyed, schema).join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")) & (F.col("__check") == F.col("__c")))
+        p = free_prefix(docs.columns, ["key", "check", "id", "k", "c", "label", "group", "row"])
+        key, check, id_, k, c, label, group, row = (p + n for n in ("key", "check", "id", "k", "c", "label", "group", "row"))
+        schema = T.StructType([*apart.schema.fields, T.StructField(key, T.LongType()), T.StructField(check, T.LongType())])
+        heads = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(id_), F.col("key").alias(k), F.col("check").alias(c), F.col("label").alias(label)).distinct()
+        rows = apart.mapInArrow(_keyed(key, check), schema).join(heads, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(k)) & (F.col(check) == F.col(c)))
         rows = staged(rows, "join-apart")
-        group = [F.col("doc_id").alias("__id"), F.coalesce("__label", "__key").alias("__g"), F.when(F.col("__label").isNull(), F.col("__check")).alias("__c")]
-        one = rows.filter("doc_id is not null").groupBy(*group).agg(F.min_by(F.struct(*docs.columns), F.struct("__key", "__check", "text")).alias("__row")).select("__row.*")
+        by = [F.col("doc_id").alias(id_), F.coalesce(label, key).alias(group), F.when(F.col(label).isNull(), F.col(check)).alias(c)]
+        one = rows.filter("doc_id is not null").groupBy(*by).agg(F.min_by(F.struct(*docs.columns), F.struct(key, check, "text")).alias(row)).select(f"{row}.*")
         return kept.select(*docs.columns).unionByName(one).unionByName(rows.filter("doc_id is null").select(*docs.columns))

@@ -178,7 +178,10 @@ def test_near_copy_stage_tells_rows_of_one_id_and_without_one_apart(spark):
     named = {(r.text, r.component_id) for r in frame.join(ngram_join.jaccard_components(frame), "doc_id").filter("doc_id = 5").collect()}
     assert named == {(text(base), 5)}
     assert sorted(r.n for r in ngram_join.jaccard_components(frame).filter("doc_id is null").groupBy("component_id").agg(F.count("*").alias("n")).collect()) == [2, 2]
-    got = sorted((r.doc_id or -1, r.text) for r in ngram_join.near_copy_stage(spark, frame, "").collect())
+    named = frame.withColumns({n: F.lit(7) for n in ("__key", "__check", "__id", "key", "label")})
+    kept = ngram_join.near_copy_stage(spark, named, "")
+    assert kept.columns == named.columns
+    got = sorted((r.doc_id or -1, r.text) for r in kept.filter("__key = 7 AND label = 7").collect())
     assert got == sorted([(5, text(base)), (7, text(other[0])), (8, text(other[1])), (8, text(other[2])), (-1, text(other[3])), (-1, text(other[4]))])
 
 
