@@ -122,15 +122,14 @@ def knn(queries: DataFrame, table: DataFrame, k: int = 40, group: str | None = N
     """query_id, id, score, rank of the k nearest rows by cosine; ties to the smaller id. Exact, nothing is approximated.
 
     queries: query_id, vector (and group); table: id, vector (and group). With a group column only rows of the query's group
-    are candidates (a pre-filter; a null group of a query means all). The stated queries travel to the table in blocks; each
-    Arrow batch returns its own k best by matrix product, so the table itself is never shuffled. Zero vectors score 0."""
-    table = table.select("id", "vector", *([group] if group else []))
-    asked = queries.select("query_id", "vector", *([group] if group else [])).toPandas()
-    out = None
-    for low in range(0, max(1, len(asked)), block):
-        part = asked.iloc[low : low + block]
-        found = _nearest(part, table, k, group)
-        out = found if out is None else out.unionByName(found)
+    are candidates (a pre-filter; a null group of a query means all). The stated queries travel to the table, `block` of them
+    at a time; each Arrow batch returns its own k best by matrix product, so the table itself is never shuffled. Zero vectors
+    score 0, null ones are left out."""
+    table = table.select("id", "vector", *([group] if group else [])).filter(F.col("vector").isNotNull())
+    asked = queries.select("query_id", "vector", *([group] if group else [])).filter(F.col("vector").isNotNull()).toArrow()  # the stated queries
+    schema = T.StructType([queries.schema["query_id"], T.StructField("id", table.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    found = [table.mapInArrow(_nearest(asked.slice(low, block).combine_chunks(), k, group, to_arrow_type(queries.schema["query_id"].dataType)), schema) for low in range(0, asked.num_rows, block)]
+    out = reduce(DataFrame.unionByName, found) if found else table.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("id"))
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -140,35 +139,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _nearest(asked, table: DataFrame, k: int, group: str | None) -> DataFrame:
-    q = _unit(np.array(asked["vector"].tolist(), dtype=np.float64)) if len(asked) else np.zeros((0, 1))
-    ids = asked["query_id"].tolist()
-    wanted = asked[group].tolist() if group else None
-    query_type = pa.array(ids).type if ids else pa.int64()
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length 1."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+
+
+def _nearest(asked: pa.Table, k: int, group: str | None, id_type: pa.DataType):
+    """A batch function: the k nearest rows of the batch for each query, more where scores tie."""
+    q, ids = _matrix(asked.column("vector")), pa.array(asked.column("query_id").to_pylist(), id_type)
+    wanted = asked.column(group).combine_chunks().dictionary_encode() if group else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("vector")
-            sound = column.is_valid().to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(sound))
-            if not batch.num_rows or not len(q):
+            if not batch.num_rows:
                 continue
-            x = _unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
-            score = q @ x.T
-            if group:
-                own = np.array(batch.column(group).to_pylist(), dtype=object)
-                for i, g in enumerate(wanted):
-                    if g is not None and g == g:
-                        score[i, own != g] = -np.inf
+            score = q @ _matrix(batch.column("vector")).T
+            if wanted is not None:
+                own = pc.fill_null(pc.index_in(batch.column(group).cast(wanted.dictionary.type), wanted.dictionary), -1).to_numpy(zero_copy_only=False)
+                mine = pc.fill_null(wanted.indices, -1).to_numpy(zero_copy_only=False)
+                score[(mine[:, None] >= 0) & (mine[:, None] != own[None, :])] = -np.inf
             if score.shape[1] > k:  # all that tie with the kth stay
                 least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
                 i, j = np.nonzero((score >= least - 1e-9) & np.isfinite(score))
             else:
                 i, j = np.nonzero(np.isfinite(score))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in i], query_type), batch.column("id").take(pa.array(j)), pa.array(score[i, j])], ["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), batch.column("id").take(pa.array(j)), pa.array(score[i, j])], ["query_id", "id", "score"])
 
-    kind = "string" if query_type == pa.string() else "long"
-    return table.mapInArrow(run, f"query_id {kind}, id {table.schema['id'].dataType.simpleString()}, score double")
+    return run
 
 
 def build_where(source_type: str | None = None, version: str | None = None) -> Column | None:

@@ -117,7 +117,13 @@ def test_bm25_and_knn_edge_cases(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0])], "id long, vector array<double>")
     asked = spark.createDataFrame([(9, [0.0, 1.0])], "query_id long, vector array<double>")
     assert [(r.id, r.score) for r in retrieval.knn(asked, rows, 2).orderBy("rank").collect()] == [(2, 1.0), (1, 0.0)]
-    assert retrieval.knn(asked, rows.limit(0), 2).count() == 0
+    assert retrieval.knn(asked, rows.limit(0), 2).count() == 0 and retrieval.knn(asked.limit(0), rows, 2).count() == 0
+    named = spark.createDataFrame([(i, [float(i % 4), 1.0], g) for i, g in enumerate(["a", "b", None, "a", "c", "b", "a"])], "id long, vector array<double>, g string")
+    asked = spark.createDataFrame([("x", [0.0, 1.0], "a"), ("y", [0.0, 1.0], None), ("z", [1.0, 1.0], "gone"), ("w", None, "a")], "query_id string, vector array<double>, g string")
+    got = {}
+    for r in retrieval.knn(asked, named, 10, group="g", block=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {"x": [0, 6, 3], "y": [0, 4, 1, 5, 2, 6, 3]}
 
 
 def test_metrics_are_those_by_hand(spark):
