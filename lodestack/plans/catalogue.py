@@ -608,10 +608,13 @@ def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
 
 
-@query()
+_ENTITIES = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+
+
+@query(rf"""SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'g'), '(?s)<!--.*?-->|<[^>]*>'), lambda p: {_STRIP.format(_ENTITIES.format('p'))}), lambda p: p <> ''), chr(10)) AS text FROM pages WHERE html IS NOT NULL""")
 def html_texts(spark, sf_dir):
-    """The text of every page, by the HTML parser; SQL has none."""
-    return table(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
+    """The text of every page, by the HTML parser."""
+    return table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", html_text("html").alias("text"))
 
 
 def _posts(spark, sf_dir) -> DataFrame:
@@ -846,3 +849,26 @@ _ODD = _failed(4, "glow.glare_type = 'BLOOM'", "AttributeError", "glare_type_att
 def transcript_texts(spark, sf_dir):
     """Transcripts of the demo sessions."""
     return ablation.transcripts(_demo(spark, sf_dir))
+
+
+@query(r"""WITH found AS (SELECT doc_id, n_chars, lang, unnest(range(CASE WHEN doc_id % 5 = 0 THEN 4 ELSE 3 END)) AS k FROM documents),
+named AS (SELECT doc_id, k AS chunk_index, CASE k WHEN 0 THEN '<module>' WHEN 1 THEN 'make_' || doc_id WHEN 2 THEN 'Item' || doc_id ELSE 'broken' END AS symbol, CAST(CASE k WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 9 ELSE 12 END AS INTEGER) AS line,
+  CASE k WHEN 0 THEN 'import os' || chr(10) || '# ' || lang WHEN 1 THEN '@cached' || chr(10) || 'def make_' || doc_id || '():' || chr(10) || '    return ' || n_chars WHEN 2 THEN 'class Item' || doc_id || ':' || chr(10) || '    lang = "' || lang || '"' ELSE 'def broken(:' || chr(10) || '    pass' END AS text FROM found)
+SELECT *, substr(sha256(concat(CAST(doc_id AS VARCHAR), chr(31), CAST(chunk_index AS VARCHAR), chr(31), text)), 1, 16) AS id FROM named""")
+def code_chunks(spark, sf_dir):
+    """A Python source for each document, cut by symbol; one in five does not parse."""
+    part = ["import os\n# ", F.col("lang"), "\n\n@cached\ndef make_", F.col("doc_id"), "():\n    return ", F.col("n_chars"), "\n\n\nclass Item", F.col("doc_id"), ':\n    lang = "', F.col("lang"), '"\n', F.when(F.col("doc_id") % 5 == 0, "\ndef broken(:\n    pass\n").otherwise("")]
+    source = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in part])
+    return chunking.chunk_python(_docs(spark, sf_dir).select("doc_id", source.alias("text"))).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+@query(r"""SELECT doc_id, 'Shader node graph: ' || source || chr(10) || chr(10) || 'Nodes:' || chr(10) || '  - Value ''' || lang || '''  (Count=' || n_chars || ', At=(' || doc_id || ', 2, 3), Many=[5 values])' || chr(10) || '  - Out ''End''' || chr(10) || chr(10) || 'Links:' || chr(10) || '  - ' || lang || '.Fac -> End.In' AS text FROM documents""")
+def node_graph_texts(spark, sf_dir):
+    """A small node graph for each document, as JSON and then as text."""
+    nodes = F.array(
+        F.struct(F.col("lang").alias("name"), F.lit("Value").alias("type"), F.struct(F.col("n_chars").alias("Count"), F.array(F.col("doc_id"), F.lit(2), F.lit(3)).alias("At"), F.array(*[F.lit(i) for i in range(5)]).alias("Many")).alias("inputs")),
+        F.struct(F.lit("End").alias("name"), F.lit("Out").alias("type"), F.lit(None).cast("struct<Count:bigint,At:array<bigint>,Many:array<int>>").alias("inputs")),
+    )
+    links = F.array(F.struct(F.col("lang").alias("from_node"), F.lit("Fac").alias("from_socket"), F.lit("End").alias("to_node"), F.lit("In").alias("to_socket")))
+    graphs = _docs(spark, sf_dir).select("doc_id", F.to_json(F.struct(F.col("source").alias("name"), F.lit("shader").alias("kind"), nodes.alias("nodes"), links.alias("links"))).alias("graph"))
+    return index.node_graphs(graphs).select("doc_id", "text")
