@@ -15,6 +15,7 @@ from lodestack.functions.html import html_text
 from lodestack.functions.sift import sieve
 from lodestack.operators import ablation, chunking, evaluation, index, retrieval, sessions
 from lodestack.session import scratch, table
+from lodestack.sources import documents as sources
 from lodestack.sources import jsonl
 
 QUERIES: dict = {}
@@ -203,11 +204,9 @@ _EACH_LINE_SQL = f"array_to_string(list_transform(string_split({{}}, chr(10)), l
 @query(rf"""SELECT doc_id, concat('# ', source, e'\n\n', {_EACH_LINE_SQL.format("'see x ' || replace(text, chr(10), chr(10) || 'x ')")}, e'\n\n## ', source, e' again\n**Note:** with `', lang, e'`\n   kept') AS markdown FROM documents WHERE text IS NOT NULL""")
 def rst_pages(spark, sf_dir):
     """Documents as RST pages, and those as Markdown."""
-    from lodestack.sources.documents import rst_markdown
-
     part = [F.col("source"), "\n=======\n\n.. figure:: f.png\n   :align: center\n\n   a caption\n\nsee :ref:`x <target>` ", F.replace("text", F.lit("\n"), F.lit("\nx ")), "\n\n", F.col("source"), " again\n-------------\n.. note:: with ``", F.col("lang"), "``\n   kept\n.. toctree::\n   :maxdepth: 2\n\n   a"]
     raw = F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in part])
-    return _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", rst_markdown(raw).alias("markdown"))
+    return _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", sources.rst_markdown(raw).alias("markdown"))
 
 
 # Search -----------------------------------------------------------------------------------------------------------------
@@ -623,27 +622,30 @@ def _posts(spark, sf_dir) -> DataFrame:
     return _docs(spark, sf_dir).select(d.alias("pos"), d.alias("id"), (d % 4 == 0).alias("is_question"), (F.floor(d * 37 / 40) * 4 % 1000).alias("parent"), F.col("source").alias("title"))
 
 
+def _paired(spark, sf_dir, in_order: bool) -> DataFrame:
+    """Posts as the rows of a dump, through the source for such dumps."""
+    asked = F.col("is_question")
+    posts = _posts(spark, sf_dir).select(
+        "pos", F.col("id").cast("string").alias("Id"), F.when(asked, "1").otherwise("2").alias("PostTypeId"), F.when(~asked, F.col("parent").cast("string")).alias("ParentId"), F.lit("9").alias("Score"),
+        F.lit("u").alias("OwnerUserId"), F.lit("2024-01-01").alias("CreationDate"), F.lit("<p>body</p>").alias("Body"), F.when(asked, F.col("title")).alias("Title"), F.lit("<a>").alias("Tags"),
+    )
+    made = sources.answers(posts, "http://x/a", "untitled", in_order=in_order)
+    return made.select(F.element_at(F.split("source_url", "/"), -1).cast("long").alias("id"), "title")
+
+
 _POSTS_SQL = "WITH posts AS (SELECT doc_id AS pos, doc_id AS id, doc_id % 4 = 0 AS is_question, CAST(floor(doc_id * 37 / 40) AS BIGINT) * 4 % 1000 AS parent, source AS title FROM documents)"
 
 
 @query(_POSTS_SQL + " SELECT a.id, coalesce(q.title, 'untitled') AS title FROM posts a LEFT JOIN posts q ON q.is_question AND q.id = a.parent WHERE NOT a.is_question")
 def qa_pairing(spark, sf_dir):
-    posts = _posts(spark, sf_dir)
-    asked = posts.filter("is_question").select(F.col("id").alias("parent"), F.col("title").alias("q_title"))
-    return posts.filter("NOT is_question").join(asked, "parent", "left").select("id", F.coalesce("q_title", F.lit("untitled")).alias("title"))
+    """Answers with the titles of their questions."""
+    return _paired(spark, sf_dir, in_order=False)
 
 
 @query(_POSTS_SQL + " SELECT a.id, coalesce(q.title, 'untitled') AS title FROM posts a LEFT JOIN posts q ON q.is_question AND q.id = a.parent AND q.pos < a.pos WHERE NOT a.is_question")
 def qa_pairing_asof(spark, sf_dir):
     """As qa_pairing, but an answer sees only questions that stand before it."""
-    from lodestack.sources.documents import answers
-
-    posts = _posts(spark, sf_dir).select(
-        "pos", F.col("id").cast("string").alias("Id"), F.when(F.col("is_question"), "1").otherwise("2").alias("PostTypeId"), F.when(~F.col("is_question"), F.col("parent").cast("string")).alias("ParentId"), F.lit("9").alias("Score"),
-        F.lit("u").alias("OwnerUserId"), F.lit("2024-01-01").alias("CreationDate"), F.lit("<p>body</p>").alias("Body"), F.when(F.col("is_question"), F.col("title")).alias("Title"), F.lit("<a>").alias("Tags"),
-    )
-    made = answers(posts, "http://x/a", "untitled", in_order=True)
-    return made.select(F.element_at(F.split("source_url", "/"), -1).cast("long").alias("id"), "title")
+    return _paired(spark, sf_dir, in_order=True)
 
 
 @query("""SELECT event_id, CASE WHEN y >= 2024 THEN 'current' WHEN y >= 2021 THEN 'dated_valid' ELSE 'stale' END AS answer, CASE WHEN y >= 2024 THEN 'current' ELSE 'dated_valid' END AS post FROM (SELECT event_id, year(ts + to_days(CAST(event_id % 4000 AS INTEGER)) - to_days(2000)) AS y FROM events)""")
@@ -661,13 +663,11 @@ def license_year(spark, sf_dir):
 @query("""SELECT l.doc_id, md5(CASE WHEN l.quality = 1 THEN coalesce(d.text, 'part ' || l.doc_id) || chr(10) || chr(10) || 'part ' || l.doc_id ELSE 'part ' || l.doc_id END) AS embedded FROM labels l LEFT JOIN documents d USING (doc_id) WHERE length(trim(coalesce(d.text, 'x'))) > 0""")
 def context_join(spark, sf_dir):
     """Chunks with a context made of their whole parent document, where the scope asks for one; a chunk without a parent is its own."""
-    from lodestack.operators.index import with_context
-
     part = F.concat(F.lit("part "), F.col("doc_id").cast("string"))
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     blank = docs.filter(F.length(F.trim("text")) == 0).select(F.col("id").alias("doc_id"))
     chunks = table(spark, sf_dir, "labels").join(blank, "doc_id", "left_anti").select("doc_id", F.when(F.col("quality") == 1, "in").otherwise("out").alias("source_type"), part.alias("text"), F.lit("").alias("context"))
-    made = with_context(chunks, docs, lambda whole, own: whole, ["in"])
+    made = index.with_context(chunks, docs, lambda whole, own: whole, ["in"])
     return made.select("doc_id", F.md5(tx.embed_text(F.col("context"), F.col("text")).cast("binary")).alias("embedded"))
 
 
@@ -791,15 +791,13 @@ def transcript_numbers(spark, sf_dir):
 FROM (SELECT doc_id, doc_id - doc_id % 4 AS parent, 2018 + doc_id % 8 AS y FROM documents WHERE doc_id % 4 <> 0) WHERE doc_id % 9 >= 3 AND y >= 2019""")
 def answer_documents(spark, sf_dir):
     """Documents as a question-and-answer dump: every fourth is a question, those not divisible by 8 have no title."""
-    from lodestack.sources.documents import answers
-
     d, parent = F.col("doc_id"), F.col("doc_id") - F.col("doc_id") % 4
     asked = d % 4 == 0
     posts = _docs(spark, sf_dir).select(
         d.cast("string").alias("Id"), F.when(asked, "1").otherwise("2").alias("PostTypeId"), F.when(~asked, parent.cast("string")).alias("ParentId"), (d % 9).cast("string").alias("Score"), F.lit("u").alias("OwnerUserId"),
         F.concat((2018 + d % 8).cast("string"), F.lit("-03-01T00:00")).alias("CreationDate"), F.lit("<p>body</p>").alias("Body"), F.when(asked & (d % 8 == 0), F.concat(F.lit("Question "), d.cast("string"))).alias("Title"), F.lit("<a>").alias("Tags"),
     )
-    made = answers(posts, "http://x/a", "An answer")
+    made = sources.answers(posts, "http://x/a", "An answer")
     return made.select(F.element_at(F.split("source_url", "/"), -1).cast("long").alias("doc_id"), "id", F.col("extra.version_status").alias("status"), F.col("extra.score").alias("score"))
 
 

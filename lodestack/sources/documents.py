@@ -6,6 +6,7 @@ import re
 import tomllib
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain, takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -187,17 +188,14 @@ def paged(fetch: Callable[[int, int], tuple[int, list[dict]]], per_page: int = 1
     """Pages of an injected fetcher (page, per_page) -> (status, rows), until one fails, is empty or is short.
 
     A failure of the first page raises."""
-    for page in range(1, most + 1):
-        status, rows = fetch(page, per_page)
-        if status != 200:
-            if page == 1:
-                raise RuntimeError(f"the first page gave status {status}")
-            return
-        if not rows:
-            return
+    pages = (fetch(page, per_page) for page in range(1, most + 1))
+    status, rows = next(pages, (200, []))
+    if status != 200:
+        raise RuntimeError(f"the first page gave status {status}")
+    for status, rows in takewhile(lambda got: got[0] == 200 and got[1], chain([(status, rows)], pages)):
         yield rows
         if len(rows) < per_page:
-            return
+            break
 
 
 def combined(parts: list[DataFrame]) -> DataFrame:
