@@ -53,7 +53,7 @@ _NULL_ID = -(1 << 63)
 ANCHOR = np.dtype([("core", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 COVER = np.dtype([("doc", "<i8"), ("low", "<u4"), ("high", "<u4")])
 ASK = np.dtype([("doc", "<i8"), ("core", "<u8"), ("at", "<u4"), ("hot", "u1")])
-STRING = np.dtype([("around", "<u8"), ("doc", "<i8"), ("at", "<u4")])
+STRING = np.dtype([("core", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 
 
 def _doubled(h: np.ndarray, step: int, k: int) -> np.ndarray:
@@ -179,14 +179,17 @@ def merged(covers: np.ndarray) -> np.ndarray:
 
 
 def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the first row of each neighbourhood, repeats that start elsewhere), from rows in any order."""
+    """(the first row of each neighbourhood, repeats that start elsewhere), from rows in any order.
+
+    Neighbourhoods are the same if both their hash and their minimiser's are, so only those of one minimiser can be confused,
+    with a chance of 2^-64 a pair."""
     order = np.argsort(rows["around"])
     rows = rows[order]
     fresh = np.append(True, rows["around"][1:] != rows["around"][:-1])
     lone = fresh & np.append(fresh[1:], True)
     shared = rows[~lone]
-    shared = shared[np.lexsort((shared["at"], shared["doc"], shared["around"]))]
-    fresh = np.append(True, shared["around"][1:] != shared["around"][:-1]) if len(shared) else np.zeros(0, bool)
+    shared = shared[np.lexsort((shared["at"], shared["doc"], shared["core"], shared["around"]))]
+    fresh = np.append(True, (shared["around"][1:] != shared["around"][:-1]) | (shared["core"][1:] != shared["core"][:-1])) if len(shared) else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(fresh, np.arange(len(shared)), 0)) if len(shared) else np.zeros(0, np.int64)
     later = (shared["doc"] != shared["doc"][head]) | (shared["at"] != shared["at"][head])
     return np.concatenate([rows[lone], shared[fresh]]), shared[later]
@@ -292,12 +295,12 @@ def _by_doc(kind: np.dtype):
     return run
 
 
-def _strings(own: bytes, at: np.ndarray, doc: int) -> np.ndarray:
-    """The strings of SPAN bytes around minimisers of one text, by hash and place."""
+def _strings(own: bytes, at: np.ndarray, core: np.ndarray, doc: int) -> np.ndarray:
+    """The strings of SPAN bytes around minimisers of one text, by minimiser, hash and place."""
     buf = np.frombuffer(own, dtype=np.uint8)
     low, high = np.maximum(at.astype(np.int64) - REACH, 0), np.minimum(at.astype(np.int64) + SPAN, len(buf))
     out = []
-    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+    for a, b, least in zip(low.tolist(), high.tolist(), core, strict=True):
         hs = [BYTE[buf[a:b]]]
         for k in range(5):
             hs.append(_doubled(hs[-1], 1 << k, k))
@@ -306,7 +309,7 @@ def _strings(own: bytes, at: np.ndarray, doc: int) -> np.ndarray:
         for k in range(3):
             h = mix(h * _STEP[21] + hs[5][32 * k : 32 * k + n])
         one = np.empty(n, dtype=STRING)
-        one["around"], one["doc"], one["at"] = mix(h * _STEP[21] + hs[2][96 : 96 + n]), doc, a + np.arange(n)
+        one["core"], one["around"], one["doc"], one["at"] = least, mix(h * _STEP[21] + hs[2][96 : 96 + n]), doc, a + np.arange(n)
         out.append(one)
     return np.concatenate(out)
 
@@ -343,7 +346,8 @@ def _answered(parts: int, most: int = 1 << 18):
                 asks = _unpacked(batch.column("data")[k].as_py(), ASK)
                 own = raw[off[k] : off[k + 1]].tobytes()
                 if asks["hot"].any():
-                    held.append(_strings(own, asks["at"][asks["hot"] == 1], int(ids[k])))
+                    hot = asks[asks["hot"] == 1]
+                    held.append(_strings(own, hot["at"], hot["core"], int(ids[k])))
                     count += len(held[-1])
                     asks = asks[asks["hot"] == 0]
                 if len(asks):
