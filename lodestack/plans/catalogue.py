@@ -6,6 +6,7 @@ for vectors, conversations for agent sessions, events for metrics by condition."
 from __future__ import annotations
 
 from functools import reduce
+from html import escape as html_escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from lodestack.operators import ablation, chunking, evaluation, index, retrieval
 from lodestack.session import scratch, table
 from lodestack.sources import documents as sources
 from lodestack.sources import jsonl
+from lodestack.sources.paged import paged_source
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -870,3 +872,49 @@ def node_graph_texts(spark, sf_dir):
     links = F.array(F.struct(F.col("lang").alias("from_node"), F.lit("Fac").alias("from_socket"), F.lit("End").alias("to_node"), F.lit("In").alias("to_socket")))
     graphs = _docs(spark, sf_dir).select("doc_id", F.to_json(F.struct(F.col("source").alias("name"), F.lit("shader").alias("kind"), nodes.alias("nodes"), links.alias("links"))).alias("graph"))
     return index.node_graphs(graphs).select("doc_id", "text")
+
+
+def _written(spark, root: str, texts: dict[str, str]) -> None:
+    """Small files below root, through Spark's filesystems."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, text in texts.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        stream = path.getFileSystem(conf).create(path, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+
+@query(rf"""WITH items AS (SELECT item_id AS i, {_STRIP.format('text')} AS body FROM benchmark),
+made AS (
+  SELECT 'dev_docs' AS source_type, 'http://h/part' || (i % 3) || '/item' || i || '/' AS source_url, 'Item ' || i AS title, '# Item ' || i || chr(10) || chr(10) || body AS text FROM items
+  UNION ALL SELECT 'manual', 'http://m/item' || i || '.html', 'Item ' || i, '# Item ' || i || chr(10) || chr(10) || {_EACH_LINE_SQL.format('body')} FROM items
+  UNION ALL SELECT 'code', 'http://c/lib/f' || i || '.py', 'lib/f' || i || '.py', 'def f' || i || '():' || chr(10) || '    return ' || i || chr(10) FROM items
+  UNION ALL SELECT 'gotchas', 'http://g/own_note' || i || '.md', 'Own Note' || i, 'no heading' || chr(10) || body FROM items
+  UNION ALL SELECT 'release_notes', 'http://r/5.' || (i % 2) || '/n' || i || '/', 'Thing 5.' || (i % 2) || ' Release Notes — News ' || i, '# News ' || i || chr(10) || body FROM items)
+SELECT substr(sha256(concat(source_type, chr(31), source_url, chr(31), title)), 1, 16) AS id, source_type, source_url, title, text FROM made WHERE length(text) >= 120 OR source_type IN ('code', 'gotchas', 'release_notes')""")
+def source_trees(spark, sf_dir):
+    """The benchmark's items as files of five kinds of trees, and the documents that their sources make of those."""
+    root, texts = scratch(spark, "trees"), {}
+    for r in table(spark, sf_dir, "benchmark").collect():  # the stated items, a few hundred
+        i, body = r["item_id"], r["text"]
+        texts |= {f"h/part{i % 3}/item{i}.md": f"# Item {i}\n\n{body}\n", f"m/item{i}.rst": f"Item {i}\n==========\n\n{body}\n", f"c/lib/f{i}.py": f"def f{i}():\n    return {i}\n", f"g/own_note{i}.md": f"no heading\n{body}", f"r/5.{i % 2}/n{i}.md": f"# News {i}\n{body}\n"}
+    _written(spark, root, texts | {"h/short.md": "# Short", "c/lib/blank.py": "\n", "g/empty.md": " "})
+    parts = [
+        sources.handbook(spark, f"{root}/h", "http://h"), sources.manual(spark, f"{root}/m", "http://m"), sources.python_tree(spark, f"{root}/c", "http://c"), sources.curated(spark, f"{root}/g", "http://g"),
+        sources.release_notes(spark, {v: f"{root}/r/{v}" for v in ("5.0", "5.1")}, "http://r", product="Thing"),
+    ]
+    return sources.combined(parts).select("id", "source_type", "source_url", "title", "text")
+
+
+@query(rf"""WITH items AS (SELECT item_id AS i, {_STRIP.format('text')} AS body FROM benchmark)
+SELECT substr(sha256(concat('dev_blog', chr(31), 'http://b/' || i, chr(31), 'Post ' || i)), 1, 16) AS id, 'http://b/' || i AS source_url, 'Post ' || i || chr(10) || chr(10) || 'Post & ' || i || chr(10) || body AS text, CASE WHEN 2019 + i % 8 >= 2024 THEN 'current' ELSE 'dated_valid' END AS status, (2019 + i % 8) || '-02-03' AS source_date FROM items""")
+def blog_archive(spark, sf_dir):
+    """The benchmark's items as pages of a blog's REST archive, read page by page from a fetcher."""
+    posts = [{"title": {"rendered": f"Post {r['item_id']}"}, "link": f"http://b/{r['item_id']}", "date": f"{2019 + r['item_id'] % 8}-02-03T10:00", "content": {"rendered": f"<h2>Post &amp; {r['item_id']}</h2><p>{html_escape(r['text'])}</p>"}} for r in table(spark, sf_dir, "benchmark").collect()]
+    posts.append({"title": {"rendered": "Empty"}, "link": "", "date": "", "content": {"rendered": " "}})
+    spark.dataSource.register(paged_source(lambda page, size: (200, posts[(page - 1) * size : page * size]), "catalogue_blog"))
+    rows = spark.read.format("catalogue_blog").option("per_page", "7").option("max_pages", "10000").load()
+    post = F.from_json("json", "title struct<rendered:string>, link string, date string, content struct<rendered:string>")
+    items = rows.select(post.alias("p")).select(F.col("p.title.rendered").alias("title"), "p.link", F.col("p.date").alias("pub"), F.col("p.content.rendered").alias("html"))
+    made = sources.blog_posts(items, "http://b", rest=True)
+    return made.select("id", "source_url", "text", F.col("extra.version_status").alias("status"), F.col("extra.source_date").alias("source_date"))
