@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Children of a node at most, and points of a leaf.
-FAN, LEAF = 8, 48
+FAN, LEAF = 8, 128
 #: First and second pivots at most; beyond that many blocks, a cell is split by hashed id (which costs pruning, not results).
 PIVOTS = 256
 
