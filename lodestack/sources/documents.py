@@ -215,8 +215,8 @@ LABELLED = ["admonition", "hint", "important", "note", "seealso", "tip", "warnin
 _H = r"[^\S\n]*"
 _RULE = rf"{_H}([{re.escape(RULE_CHARS)}])\%d{{2,}}{_H}"
 _GRAMMAR = [(kind, re.compile(form, re.MULTILINE)) for kind, form in (
-    ("overlined", rf"{_RULE % 1}\n(?P<title>.*\S.*)\n{_H}\1{{3,}}{_H}$"),
-    ("underlined", rf"(?!{_RULE % 1}$)(?P<title>.*\S.*)\n(?P<rule>{_RULE % 4})$"),
+    ("overlined", rf"{_RULE % 1}\n(?={_H}\S)(?P<title>.*)\n{_H}\1{{3,}}{_H}$"),
+    ("underlined", rf"(?!{_RULE % 1}$)(?={_H}\S)(?P<title>.*)\n(?P<rule>{_RULE % 4})$"),
     ("dropped", rf"({_H})\.\.[^\S\n]+(?:{'|'.join(DROPPED)})::.*(?:\n(?:{_H}$|\1[^\S\n].*))*"),
     ("labelled", rf"{_H}\.\.[^\S\n]+(?P<name>(?i:{'|'.join(LABELLED)}))::(?P<title>.*)"),
     ("directive", rf"{_H}\.\.[^\S\n]+[a-zA-Z-]+::.*"),
