@@ -51,23 +51,26 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, where: Column | None
     to the documents, `block` of them at a time (a block's weights are its terms times its queries), words are found in the
     JVM, an Arrow batch scores its documents by one matrix product, and only its own k best for each query leave it."""
     spark = docs.sparkSession
-    asked = _terms(queries, query_id, query)
-    parts = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    asked = _terms(queries, query_id, query).select("query_id", F.explode("w").alias("term")).toArrow()  # the stated queries
     rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("ok"))
-    # One pass over the table: its size, and document frequencies over the queries' terms alone.
-    wanted = small(asked.select(F.explode("w").alias("term")).distinct())
-    seen = rows.select(F.size("w").alias("n"), F.array_distinct("w").alias("w"))
-    n, avgdl = seen.agg(F.count("*"), F.avg("n")).first()
-    df = seen.select(F.explode("w").alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.select("part", "query_id", F.explode("w").alias("term")).join(small(df.withColumn("idf", idf)), "term").select("part", "query_id", "term", "idf").toArrow()  # of the stated queries
+    # One pass over the table: document frequencies of the queries' terms, and under the empty term its rows and words.
+    vocabulary = pa.array(["", *pc.unique(asked.column("term")).to_pylist()], pa.string())
+    wanted = small(spark.createDataFrame(pa.table({"term": vocabulary})))
+    seen = rows.select(F.size("w").alias("n"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("term"))
+    found = seen.join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("n"))).alias("words")).toArrow()
+    whole = found.filter(pc.equal(found.column("term"), "")).to_pylist()
+    n, total = (whole[0]["df"], whole[0]["words"]) if whole else (0, 0)
+    at = pc.index_in(asked.column("term"), found.column("term").combine_chunks())
+    known = asked.filter(at.is_valid())
+    df = found.column("df").take(at.drop_null()).to_numpy().astype(np.float64)
+    known = known.append_column("idf", pa.array(np.log(1 + (n - df + 0.5) / (df + 0.5))))
     ids = queries.schema[query_id].dataType
     schema = T.StructType([T.StructField("query_id", ids), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
     candidates = rows.filter("ok").select("doc_id", "w").filter(F.size("w") > 0)
-    own = weights.column("part").to_numpy()
-    found = [candidates.mapInArrow(_scored(weights.filter(pa.array(own == part)), avgdl or 1.0, k, ids), schema) for part in np.unique(own)]
-    return _best(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema), k)
+    order = known.column("query_id").combine_chunks().dictionary_encode()
+    part = order.indices.to_numpy() // block
+    scored = [candidates.mapInArrow(_scored(known.filter(pa.array(part == p)), total / n or 1.0, k, ids), schema) for p in np.unique(part)]
+    return _best(reduce(DataFrame.unionByName, scored) if scored else spark.createDataFrame([], schema), k)
 
 
 def _scored(weights: pa.Table, avgdl: float, k: int, id_type: T.DataType):

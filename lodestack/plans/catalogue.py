@@ -15,7 +15,7 @@ from lodestack.functions import text as tx
 from lodestack.functions.html import html_text
 from lodestack.functions.sift import sieve
 from lodestack.operators import ablation, chunking, evaluation, index, retrieval, sessions
-from lodestack.session import scratch, table
+from lodestack.session import scratch, spread, table
 from lodestack.sources import documents as sources
 from lodestack.sources import jsonl
 from lodestack.sources.paged import paged_source
@@ -40,6 +40,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is heavy on each text."""
+    return spread(_docs(spark, sf_dir), f"{sf_dir.rstrip('/')}/documents.parquet")
+
+
 # Identity and statistics -----------------------------------------------------------------------------------------------
 
 
@@ -95,7 +100,7 @@ _LINES_SQL = r"""SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS lin
 @query(rf"""SELECT doc_id, CASE WHEN n = 1 THEN lang ELSE lang || ' > part' END AS trail, regexp_replace(line, '^\s+|\s+$', '', 'g') AS body, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos
 FROM ({_LINES_SQL}) WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''""")
 def sections(spark, sf_dir):
-    rows = _marked(_docs(spark, sf_dir)).select("doc_id", F.posexplode(chunking.sections(F.col("text"))).alias("pos", "s"))
+    rows = _marked(_texts(spark, sf_dir)).select("doc_id", F.posexplode(chunking.sections(F.col("text"))).alias("pos", "s"))
     return rows.select("doc_id", F.array_join("s.path", " > ").alias("trail"), F.col("s.body").alias("body"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -113,7 +118,7 @@ SELECT doc_id, pos, piece FROM cut WHERE pos >= 0 AND piece <> ''
 
 @query(_HARD_SQL.format(b=500, ws="' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"))
 def hard_split(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter("text IS NOT NULL")
+    docs = _texts(spark, sf_dir).filter("text IS NOT NULL")
     return docs.select("doc_id", F.posexplode(chunking.hard_split(F.col("text"), 500)).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -146,7 +151,7 @@ chunks AS MATERIALIZED (SELECT doc_id, b, k, prefix || chunk AS chunk FROM (SELE
 def pack_chunks(spark, sf_dir):
     """Lines as paragraphs, those over the budget split, filled up to 800 characters."""
     paras = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: p != "")
-    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.array_join(paras, "\n\n").alias("body"))
+    docs = _texts(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.array_join(paras, "\n\n").alias("body"))
     return docs.select("doc_id", F.posexplode(chunking.pack_section(F.array().cast("array<string>"), F.col("body"), 800, 100, 64)).alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -162,7 +167,7 @@ WITH RECURSIVE fold AS (
 SELECT doc_id, unnest(ws) AS part, generate_subscripts(ws, 1) - 1 AS pos FROM cut
 """)
 def code_windows(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter("text IS NOT NULL")
+    docs = _texts(spark, sf_dir).filter("text IS NOT NULL")
     return docs.select("doc_id", F.posexplode(chunking.code_windows(F.col("text"), 300)).alias("pos", "part")).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -183,7 +188,7 @@ numbered AS (SELECT doc_id, b, chunk, row_number() OVER (PARTITION BY doc_id ORD
 SELECT doc_id, chunk_index, trail AS section, chunk AS text, substr(sha256(concat(CAST(doc_id AS VARCHAR), chr(31), CAST(chunk_index AS VARCHAR), chr(31), chunk)), 1, 16) AS id FROM numbered JOIN trails USING (doc_id, b)""")
 def chunk_rows(spark, sf_dir):
     """Every chunk of every document as Markdown."""
-    return chunking.chunk_markdown(_docs(spark, sf_dir).select("doc_id", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    return chunking.chunk_markdown(_texts(spark, sf_dir).select("doc_id", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 @query(rf"""WITH RECURSIVE {_SECTIONS_SQL}, secs AS MATERIALIZED (
@@ -193,7 +198,7 @@ SELECT doc_id, CASE WHEN lang = 'fr' THEN 'api' ELSE 'manual' END AS kind, count
 def routed_chunks(spark, sf_dir):
     """Chunks of every document by its kind: French as API entries, the rest as prose."""
     kind = F.when(F.col("lang") == "fr", "api").otherwise("manual")
-    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", "text", kind.alias("source_type"))
+    docs = _texts(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", "text", kind.alias("source_type"))
     chunked = chunking.chunk_corpus(docs).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.min(F.md5(F.col("text").cast("binary"))).alias("least"))
     return chunked.join(docs.select("doc_id", F.col("source_type").alias("kind")), "doc_id").select("doc_id", "kind", "chunks", "chars", "least")
 
@@ -208,7 +213,7 @@ def rst_pages(spark, sf_dir):
     """Documents as RST pages, and those as Markdown."""
     part = [F.col("source"), "\n=======\n\n.. figure:: f.png\n   :align: center\n\n   a caption\n\nsee :ref:`x <target>` ", F.replace("text", F.lit("\n"), F.lit("\nx ")), "\n\n", F.col("source"), " again\n-------------\n.. note:: with ``", F.col("lang"), "``\n   kept\n.. toctree::\n   :maxdepth: 2\n\n   a"]
     raw = F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in part])
-    return _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", sources.rst_markdown(raw).alias("markdown"))
+    return _texts(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", sources.rst_markdown(raw).alias("markdown"))
 
 
 # Search -----------------------------------------------------------------------------------------------------------------
@@ -231,14 +236,14 @@ def _queries(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")
 def bm25_top10(spark, sf_dir):
-    found = retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 10)
+    found = retrieval.bm25(_queries(spark, sf_dir), _texts(spark, sf_dir), 10)
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_BM25_SQL} SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE lang = 'en') WHERE rank <= 5")
 def where_filter(spark, sf_dir):
     """The filter comes before the cut, the statistics stay those of the whole table."""
-    found = retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 5, where=F.col("lang") == "en")
+    found = retrieval.bm25(_queries(spark, sf_dir), _texts(spark, sf_dir), 5, where=F.col("lang") == "en")
     return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -246,7 +251,7 @@ def where_filter(spark, sf_dir):
 def indexed_bm25(spark, sf_dir):
     """bm25_top10 from an index that is built first: records, postings, terms and statistics are written, and only the queries' postings read."""
     root = scratch(spark, "index")
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "doc_id", F.coalesce("lang", F.lit("")).alias("source_type"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "doc_id", F.coalesce("lang", F.lit("")).alias("source_type"), F.coalesce("text", F.lit("")).alias("text"))
     index.build_table(rows, lambda text: F.array(F.length(text).cast("float")), root)
     found = index.lexical(spark, root, _queries(spark, sf_dir), 10)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -266,7 +271,7 @@ def _relevant(spark, sf_dir) -> DataFrame:
     keyed = items.filter("m > 0").select("query_id", "query", "m", F.xxhash64(F.slice("w", F.lit(2), F.col("m"))).alias("key")).cache()
     sizes, rows = sorted(r[0] for r in keyed.select("m").distinct().collect()), keyed.count()  # four sizes at most
     held = sieve(keyed, rows, "key") or (lambda h: F.lit(True))
-    docs = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", "text")
+    docs = _texts(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", "text")
     pairs = []
     if sizes:
         words = docs.select("doc_id", hashed(F.col("text")).alias("w"))
@@ -292,7 +297,7 @@ def _relevant(spark, sf_dir) -> DataFrame:
 
 def _per_query(spark, sf_dir, k: int = 5) -> DataFrame:
     relevant = _relevant(spark, sf_dir)
-    hits = retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 10)
+    hits = retrieval.bm25(_queries(spark, sf_dir), _texts(spark, sf_dir), 10)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, "a").when(F.col("item_id") % 3 == 1, "b").alias("type"))
     expects = relevant.groupBy("query_id").agg(F.count("*").alias("n_expect"))
     asked = asked.join(expects, "query_id", "left").withColumn("n_expect", F.coalesce("n_expect", F.lit(0)))
@@ -340,9 +345,9 @@ def expectation_matches(spark, sf_dir):
     """The hits of each query against its expectations, by text in the joined fields."""
     expects = F.array(F.concat(F.lit("SRC"), (F.col("item_id") % 20).cast("string")), F.lit("src1"), F.lit("en"))
     want = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(expects).alias("expect_no", "expect"))
-    hits = retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 10).select("query_id", "doc_id")
+    hits = retrieval.bm25(_queries(spark, sf_dir), _texts(spark, sf_dir), 10).select("query_id", "doc_id")
     fields = [evaluation.text_of(F.col(c)) for c in ("lang", "source")]
-    met = hits.join(_docs(spark, sf_dir).select("doc_id", "lang", "source"), "doc_id").join(want, "query_id").filter(evaluation.hit_matches(F.col("expect"), *fields))
+    met = hits.join(_texts(spark, sf_dir).select("doc_id", "lang", "source"), "doc_id").join(want, "query_id").filter(evaluation.hit_matches(F.col("expect"), *fields))
     return met.select("query_id", "doc_id", F.col("expect_no").cast("long").alias("expect_no"))
 
 
@@ -387,10 +392,10 @@ fused AS (SELECT *, 0.0 + coalesce(CAST(1.0 AS DOUBLE) / (60 + rd), 0.0) + coale
 
 
 def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    lexical = retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 40).select("query_id", F.col("doc_id").alias("id"), "rank")
+    lexical = retrieval.bm25(_queries(spark, sf_dir), _texts(spark, sf_dir), 40).select("query_id", F.col("doc_id").alias("id"), "rank")
     angle = lambda c: F.length(c) % 997 * F.pi() / 997
     plane = lambda c: F.array(F.cos(angle(c)), F.sin(angle(c)))
-    rows = _docs(spark, sf_dir).filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), plane("text").alias("vector"))
+    rows = _texts(spark, sf_dir).filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), plane("text").alias("vector"))
     dense = retrieval.knn(_queries(spark, sf_dir).select("query_id", plane("query").alias("vector")), rows, 40).select("query_id", "id", "rank")
     return dense, lexical
 

@@ -41,6 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """df, dealt over the session's tasks if its files at path are smaller than one partition of a scan.
+
+    Such a table is often a single row group, which one task reads whatever it is asked to do with the rows; larger tables
+    are left as they are scanned."""
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < 128 << 20 else df
+
+
 _own: dict[str, str] = {}
 
 
