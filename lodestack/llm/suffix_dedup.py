@@ -41,7 +41,7 @@ REACH = SPAN - CORE
 HOT = 1024
 LOOSE = 128
 #: Bytes of a piece of a very long text, whose minimisers are found at once.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Text of one suffix array.
 SHARD_BYTES = 256 << 10
 _U = np.uint64
@@ -216,7 +216,7 @@ def _scan(parts: int, most: int = 1 << 19):
 
         for batch in batches:
             ids = batch.column("doc").to_numpy()
-            for i, j, buf, off in chunks(batch.column("text"), 1 << 19):
+            for i, j, buf, off in chunks(batch.column("text"), 1 << 18):
                 row, at, core, around = _piecewise(buf, off)
                 own = np.empty(len(row), dtype=ANCHOR)
                 own["core"], own["around"], own["doc"], own["at"] = core, around, ids[i:j][row], at
