@@ -9,6 +9,7 @@ from .histogram_shard import op8_histogram_shard
 from .language_mixture import op6_language_mixture
 from .ngram_join import op4_ngram_join
 from .revisits import OP7_SQL, op7_revisit_resolution
+from .simhash_dedup import op13_simhash
 from .suffix_dedup import op2_suffix_dedup
 from .template_decontamination import op3_template_decontamination
 from .token_rollup import op1_token_rollup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_histogram_shard": op8_histogram_shard,
     "op9_conflict_packing": op9_conflict_packing,
     "op10_cover_tree": op10_cover_tree,
+    "op13_simhash": op13_simhash,
 }
 
 _SHINGLES = r"""CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END"""
