@@ -13,6 +13,7 @@ from .simhash_dedup import op13_simhash
 from .suffix_dedup import op2_suffix_dedup
 from .template_decontamination import op3_template_decontamination
 from .token_rollup import op1_token_rollup
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_histogram_shard": op8_histogram_shard,
     "op9_conflict_packing": op9_conflict_packing,
     "op10_cover_tree": op10_cover_tree,
+    "op12_whitening": op12_whitening,
     "op13_simhash": op13_simhash,
 }
 
