@@ -5,6 +5,7 @@ from __future__ import annotations
 from .additive_quality import op5_additive_quality
 from .conflict_packing import op9_conflict_packing
 from .cover_tree import op10_cover_tree
+from .divergence import OP11_SQL, op11_source_divergence
 from .histogram_shard import op8_histogram_shard
 from .language_mixture import op6_language_mixture
 from .ngram_join import op4_ngram_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_histogram_shard": op8_histogram_shard,
     "op9_conflict_packing": op9_conflict_packing,
     "op10_cover_tree": op10_cover_tree,
+    "op11_source_divergence": op11_source_divergence,
     "op12_whitening": op12_whitening,
     "op13_simhash": op13_simhash,
 }
@@ -56,4 +58,5 @@ ORACLES: dict[str, str] = {
     "op4_ngram_join": OP4_SQL,
     "op7_revisit_resolution": OP7_SQL,
     "op10_cover_tree": OP10_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
