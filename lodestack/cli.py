@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +16,7 @@ from lodestack.operators import ablation, chunking, evaluation, index, retrieval
 from lodestack.session import local_session
 from lodestack.sources import documents as sources
 from lodestack.sources import jsonl, registry
+from lodestack.sources.file_sink import write_files
 
 DOCUMENT = "id string, text string, source_type string, source_url string, title string, version string, extra struct<" + ",".join(f"{k}:{t}" for k, t in sources.EXTRA.items()) + ">"
 LABELLED = "query string, type string, expect array<string>, filter struct<version:string>"
@@ -133,17 +133,13 @@ def evaluate(spark: SparkSession, root: str, labelled: str, k: int = 5, score: C
 def scene_eval(spark: SparkSession, tasks: str, runs: int, out: str) -> str:
     """The demo ablation: a JSON file for each session, a report, and the summaries."""
     rows = ablation.demo_sessions(spark, spark.read.schema(TASK).json(tasks), runs)
-    os.makedirs(f"{out}/sessions", exist_ok=True)
-    for r in rows.toLocalIterator():  # one file a session, as they are read one by one
-        own = r.asDict(recursive=True) | {"note": ""}
-        with open(f"{out}/sessions/{r.task_id}_{'on' if r.rag_enabled else 'off'}_{r.run_index}.json", "w") as f:
-            json.dump(own, f)
+    name = F.concat_ws("_", "task_id", F.when(F.col("rag_enabled"), "on").otherwise("off"), F.concat(F.col("run_index").cast("string"), F.lit(".json")))
+    logs = rows.withColumn("note", F.lit("")).select(name.alias("name"), F.to_json(F.struct(*rows.columns, "note"), {"ignoreNullFields": "false"}).alias("text"))
+    write_files(logs, f"{out}/sessions")
     scored = sessions.score(rows)
     text = ablation.report(scored, "demo", f"{scored.select('task_id').distinct().count()} tasks x {runs} runs/condition.")
-    with open(f"{out}/report.md", "w") as f:
-        f.write(text)
-    with open(f"{out}/summary.json", "w") as f:
-        json.dump([r.asDict() for r in ablation.ablation(scored)[0].collect()], f, indent=2)  # a row for each task, condition and metric
+    summary = json.dumps([r.asDict() for r in ablation.ablation(scored)[0].collect()], indent=2)  # a row for each task, condition and metric
+    write_files(spark.createDataFrame([("report.md", text), ("summary.json", summary)], "name string, text string"), out)
     return text
 
 

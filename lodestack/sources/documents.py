@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from lodestack.functions.html import html_text
 from lodestack.functions.text import answer_status, clean_rst_inline, clean_tags, feed_year, license_of_year, markdown_title, post_status, stable_id, strip, year_of
+from lodestack.sources.records import tagged
 
 SOURCE_TYPES = ("manual", "api", "release_notes", "dev_docs", "code", "blendermcp", "gotchas", "stackexchange", "dev_blog")
 EXTRA = {
@@ -136,15 +137,16 @@ def answers(posts: DataFrame, url_base: str, default_title: str, least_score: in
 
     posts: Id, PostTypeId, ParentId, Score, OwnerUserId, CreationDate, Body, Title, Tags (strings) and, for in_order, pos. A
     missing or empty title falls back to default_title, which also enters the id. Of questions with one id the last counts;
-    in_order sees only questions that stand before the answer."""
+    in_order sees only questions that stand before the answer (pos must tell posts apart, as that of posts_xml() does)."""
     asked = posts.filter("PostTypeId = '1'")
     order = F.col("pos") if "pos" in posts.columns else F.lit(0)
     given = posts.filter("PostTypeId = '2'").withColumn("score", F.coalesce(F.expr("try_cast(coalesce(Score, '0') as int)"), F.lit(0))).withColumn("year", year_of(F.coalesce("CreationDate", F.lit(""))))
     given = given.filter((F.col("score") >= least_score) & (F.col("year") >= since)).withColumn("body", html_text("Body", "\n")).filter("body <> ''")
     questions = asked.select(F.col("Id").alias("q_id"), order.alias("q_pos"), F.struct(F.coalesce("Title", F.lit("")).alias("title"), clean_tags(F.coalesce("Tags", F.lit(""))).alias("tags")).alias("q"))
     if in_order:
-        near = given.select("Id", "ParentId", "pos").join(questions, (F.col("ParentId") == F.col("q_id")) & (F.col("q_pos") < F.col("pos"))).groupBy("Id", "pos").agg(F.max_by("q", "q_pos").alias("q"))
-        joined = given.join(near, ["Id", "pos"], "left")
+        # Bodies stay out of the join that looks for the latest question before an answer, and out of its shuffles.
+        near = given.select("pos", "ParentId").join(questions, (F.col("ParentId") == F.col("q_id")) & (F.col("q_pos") < F.col("pos"))).groupBy("pos").agg(F.max_by("q", "q_pos").alias("q"))
+        joined = given.join(near, "pos", "left")
     else:
         joined = given.join(questions.groupBy("q_id").agg(F.max_by("q", "q_pos").alias("q")), F.col("ParentId") == F.col("q_id"), "left")
     title = F.when(F.coalesce(F.col("q.title"), F.lit("")) != "", F.col("q.title")).otherwise(F.lit(default_title))
@@ -155,12 +157,12 @@ def answers(posts: DataFrame, url_base: str, default_title: str, least_score: in
     )
 
 
+POST = ["Id", "PostTypeId", "ParentId", "Score", "OwnerUserId", "CreationDate", "Body", "Title", "Tags"]
+
+
 def posts_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a Posts.xml dump; the XML source splits large files."""
-    names = ["Id", "PostTypeId", "ParentId", "Score", "OwnerUserId", "CreationDate", "Body", "Title", "Tags"]
-    schema = ", ".join(f"_{n} string" for n in names)
-    rows = spark.read.format("xml").option("rowTag", "row").schema(schema).load(path)
-    return rows.select(*[F.col(f"_{n}").alias(n) for n in names])
+    """Rows of a Posts.xml dump (or a folder of its parts) with their place pos in it; large files are split."""
+    return tagged(spark, path, "row", POST)
 
 
 def feed_items(spark: SparkSession, path: str) -> DataFrame:

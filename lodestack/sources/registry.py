@@ -81,6 +81,12 @@ def _code(spark, settings, root):
     return sources.python_tree(spark, root, _option(settings, "code", "base_url"), version=_version(settings))
 
 
+@source("blendermcp")
+def _bridge(spark, settings, root):
+    """Every Python file of the add-on that an agent drives the program through."""
+    return sources.python_tree(spark, root, _option(settings, "blendermcp", "base_url"), "blendermcp", _version(settings))
+
+
 @source("gotchas")
 def _gotchas(spark, settings, root):
     return sources.curated(spark, root, _option(settings, "gotchas", "base_url"), version=_version(settings))
@@ -88,8 +94,13 @@ def _gotchas(spark, settings, root):
 
 @source("stackexchange", CREATIVE)
 def _answers(spark, settings, root):
+    """Answers in the order of the dump, each with the question that stands before it."""
     own = lambda key, default: _option(settings, "stackexchange", key, default)
-    return sources.answers(sources.posts_xml(spark, f"{root}/Posts.xml"), own("base_url", ""), own("default_title", "Answer"), int(own("min_score", 5)), int(own("since_year", 2019)))
+    dump = own("posts_xml", None) or (f"{root}/Posts.xml" if own("dir", None) else None)
+    if not dump:
+        raise RuntimeError("sources.stackexchange.posts_xml is not set; it names an extracted Posts.xml")
+    dump = dump if "://" in dump else str(settings.folder / dump)
+    return sources.answers(sources.posts_xml(spark, dump), own("base_url", ""), own("default_title", "Answer"), int(own("min_score", 3)), int(own("since_year", 2019)), in_order=True)
 
 
 @source("dev_blog", CREATIVE)

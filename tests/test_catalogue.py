@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from lodestack.plans.catalogue import ORACLES, QUERIES
+from lodestack.plans.every import ORACLES, QUERIES
 from tests import oracle
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.SF), reason="no tables here")
