@@ -207,8 +207,7 @@ def divergence(docs: DataFrame, ranks: int = RANKS, tile: int = 128, postings: i
     spark = docs.sparkSession
     text = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     with small_batches(spark):
-        partial = staged(text.mapInArrow(_counts, COUNTS), "div-counts")
-    counts = staged(partial.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "div-terms", spent=(partial,))
+        counts = staged(text.mapInArrow(_counts, COUNTS).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "div-terms")
     by_lang = counts.filter("term <> ''").groupBy("lang", "term").agg(F.sum("count").alias("all"), F.sum("docs").alias("docs"), F.count("*").alias("used"))
     terms = staged(by_lang.filter(F.col("docs") >= LEAST).drop("docs"), "div-kept")
     kept = staged(counts.filter("term <> ''").select("lang", "source", "term", "count").join(terms, ["lang", "term"]), "div-used")
