@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.config import Settings, load_settings
-from lodestack.operators import ablation, chunking, evaluation, index, retrieval, sessions
+from lodestack.operators import ablation, chunking, contexts, evaluation, index, retrieval, sessions
 from lodestack.session import local_session
 from lodestack.sources import documents as sources
-from lodestack.sources import jsonl, registry
+from lodestack.sources import jsonl, registry, versions
 from lodestack.sources.file_sink import write_files
 
 DOCUMENT = "id string, text string, source_type string, source_url string, title string, version string, extra struct<" + ",".join(f"{k}:{t}" for k, t in sources.EXTRA.items()) + ">"
@@ -62,18 +62,26 @@ def build_chunks(spark: SparkSession, corpus: str, out: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def build_context(spark: SparkSession, corpus: str, chunks: str, generate: Callable[[list[str], list[str]], list[str]], scope: list[str] | None = None, limit: int = 0) -> tuple[int, int]:
-    """Give the chunks contexts, in place; (chunks with a context, chunks). limit: only the first by document and place, the rest stays untouched."""
-    table = spark.read.parquet(chunks)
+def build_context(spark: SparkSession, corpus: str, chunks: str, generate: Callable[[list[str], list[str]], list[str]], scope: list[str] | None = None, limit: int = 0, store: str = "", batches: int = 16, versioned: bool = False) -> tuple[int, int]:
+    """Give the chunks contexts; (chunks with a context, chunks).
+
+    limit: only the first by document and place, the rest stays untouched. store: where finished batches are kept (beside the
+    chunks by default), so that a run that was cut off goes on where it ended. The table is replaced in place, which any
+    Parquet reader sees, or (versioned) gets a new version that appears in one step, for readers of sources.versions."""
+    table = versions.read(spark, chunks)
     docs = spark.read.schema(DOCUMENT).json(corpus)
+    todo = table
     if limit:
         head = table.select("doc_id", "chunk_index").orderBy("doc_id", "chunk_index").limit(limit)
-        done = index.with_context(table.join(F.broadcast(head), ["doc_id", "chunk_index"], "left_semi"), docs, generate, scope)
-        done = done.unionByName(table.join(F.broadcast(head), ["doc_id", "chunk_index"], "left_anti"))
+        todo = table.join(F.broadcast(head), ["doc_id", "chunk_index"], "left_semi")
+    done = contexts.generate(todo, docs, generate, store or f"{chunks.rstrip('/')}.contexts", batches, scope)
+    if limit:
+        done = done.select(*table.columns).unionByName(table.join(F.broadcast(head), ["doc_id", "chunk_index"], "left_anti").select(*table.columns))
+    if versioned:
+        versions.publish(done, chunks)
     else:
-        done = index.with_context(table, docs, generate, scope)
-    jsonl.rewrite(done, chunks)
-    return spark.read.parquet(chunks).agg(F.count_if(F.coalesce("context", F.lit("")) != ""), F.count("*")).first()
+        jsonl.rewrite(done, chunks)
+    return versions.read(spark, chunks).agg(F.count_if(F.coalesce("context", F.lit("")) != ""), F.count("*")).first()
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
@@ -82,7 +90,7 @@ def statistics(chunks: DataFrame) -> DataFrame:
 
 
 def build_index(spark: SparkSession, chunks: str, root: str) -> int:
-    index.build_table(spark.read.parquet(chunks).withColumnRenamed("chunk_index", "position"), retrieval.hashed_encoder(), root)
+    index.build_table(versions.read(spark, chunks).withColumnRenamed("chunk_index", "position"), retrieval.hashed_encoder(), root)
     return index.open_table(spark, root).count()
 
 

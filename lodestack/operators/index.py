@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import embed_text, words
+from lodestack.operators import blockmax
 from lodestack.operators.retrieval import HIT_FIELDS, bm25_of_postings, build_where, hybrid, knn, postings, rerank, small
 
 RECORD = ["id", "doc_id", "source_type", "source_url", "title", "version", "section", "symbol", "kind", "text", "embed_text", "vector"]
@@ -23,7 +24,8 @@ def records(chunks: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
 
 
 def build_table(chunks: DataFrame, encode: Callable[[Column], Column], root: str) -> None:
-    """Write records, postings (sorted by term), document frequencies and statistics below root, replacing what is there.
+    """Write records, postings (sorted by term), document frequencies, statistics and postings in blocks below root, replacing
+    what is there.
 
     Raises ValueError without any chunk. Records are partitioned by source type; ids are not made unique."""
     if chunks.isEmpty():
@@ -31,21 +33,27 @@ def build_table(chunks: DataFrame, encode: Callable[[Column], Column], root: str
     records(chunks, encode).write.mode("overwrite").partitionBy("source_type").parquet(f"{root}/records")
     spark = chunks.sparkSession
     own = postings(spark.read.parquet(f"{root}/records"), "id", "embed_text")
-    own.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{root}/postings")
+    own.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{root}/postings")
     posts = spark.read.parquet(f"{root}/postings")
     posts.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{root}/terms")
     lengths = spark.read.parquet(f"{root}/records").select(F.size(words(F.col("embed_text"))).alias("dl"))
     lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{root}/stats")
+    blockmax.write_blocks(spark.read.parquet(f"{root}/records"), spark.read.parquet(f"{root}/stats").first()["avgdl"], f"{root}/blocks")
 
 
 def open_table(spark: SparkSession, root: str, name: str = "records") -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
-def lexical(spark: SparkSession, root: str, queries: DataFrame, k: int = 40, where: Column | None = None) -> DataFrame:
-    """query_id, id, score, rank by BM25 over embed_text, read from the postings of the queries' terms. where: on records."""
+def lexical(spark: SparkSession, root: str, queries: DataFrame, k: int = 40, where: Column | None = None, pruned: bool = False) -> DataFrame:
+    """query_id, id, score, rank by BM25 over embed_text, read from the postings of the queries' terms. where: on records.
+
+    pruned: by blocks, of which only those are decoded that can hold a result; it pays where k is small against the table."""
     n, avgdl = open_table(spark, root, "stats").first()
     allowed = None if where is None else open_table(spark, root).filter(where).select(F.col("id").alias("doc_id"))
+    if pruned:
+        found = blockmax.Search(queries, open_table(spark, root, "blocks"), open_table(spark, root, "terms"), n, avgdl, k, allowed).results()
+        return found.withColumnRenamed("doc_id", "id")
     found = bm25_of_postings(queries, open_table(spark, root, "postings"), open_table(spark, root, "terms"), n, avgdl, k, allowed)
     return found.withColumnRenamed("doc_id", "id")
 

@@ -33,12 +33,14 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return tokens.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def _terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
-    """query_id, w: the distinct words of each query that has any."""
+def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """query_id, w: the distinct words of each query that has any; queries without an id are left out."""
+    queries = queries.filter(F.col(query_id).isNotNull())
     return queries.select(F.col(query_id).alias("query_id"), F.array_distinct(words(F.coalesce(F.col(query), F.lit("")))).alias("w")).filter(F.size("w") > 0)
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows (query_id, doc_id, score) of each query with their rank; ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -51,7 +53,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, where: Column | None
     to the documents, `block` of them at a time (a block's weights are its terms times its queries), words are found in the
     JVM, an Arrow batch scores its documents by one matrix product, and only its own k best for each query leave it."""
     spark = docs.sparkSession
-    asked = _terms(queries, query_id, query).select("query_id", F.explode("w").alias("term")).toArrow()  # the stated queries
+    asked = query_terms(queries, query_id, query).select("query_id", F.explode("w").alias("term")).toArrow()  # the stated queries
     rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("ok"))
     # One pass over the table: document frequencies of the queries' terms, and under the empty term its rows and words.
     vocabulary = pa.array(["", *pc.unique(asked.column("term")).to_pylist()], pa.string())
@@ -70,7 +72,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, where: Column | None
     order = known.column("query_id").combine_chunks().dictionary_encode()
     part = order.indices.to_numpy() // block
     scored = [candidates.mapInArrow(_scored(known.filter(pa.array(part == p)), total / n or 1.0, k, ids), schema) for p in np.unique(part)]
-    return _best(reduce(DataFrame.unionByName, scored) if scored else spark.createDataFrame([], schema), k)
+    return best(reduce(DataFrame.unionByName, scored) if scored else spark.createDataFrame([], schema), k)
 
 
 def _scored(weights: pa.Table, avgdl: float, k: int, id_type: T.DataType):
@@ -107,7 +109,7 @@ def bm25_of_postings(queries: DataFrame, posts: DataFrame, terms: DataFrame, n:
 
     posts: term, doc_id, tf, dl, sorted by term; terms: term, df. allowed: doc_id of the candidates, if not all. Up to `most`
     distinct terms are handed to the scan as a filter, which skips the row groups without them."""
-    asked = _terms(queries, query_id, query).select("query_id", F.explode("w").alias("term"))
+    asked = query_terms(queries, query_id, query).select("query_id", F.explode("w").alias("term"))
     wanted = asked.select("term").distinct()
     few = [r["term"] for r in wanted.limit(most + 1).collect()]
     if len(few) <= most:
@@ -118,7 +120,7 @@ def bm25_of_postings(queries: DataFrame, posts: DataFrame, terms: DataFrame, n:
         posts = posts.join(small(allowed), "doc_id", "left_semi")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
     found = posts.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * tf).alias("score"))
-    return _best(found, k)
+    return best(found, k)
 
 
 def knn(queries: DataFrame, table: DataFrame, k: int = 40, group: str | None = None, block: int = 4096) -> DataFrame:
@@ -127,16 +129,27 @@ def knn(queries: DataFrame, table: DataFrame, k: int = 40, group: str | None = N
     queries: query_id, vector (and group); table: id, vector (and group). With a group column only rows of the query's group
     are candidates (a pre-filter; a null group of a query means all). The stated queries travel to the table, `block` of them
     at a time; each Arrow batch returns its own k best by matrix product, so the table itself is never shuffled. Zero vectors
-    score 0, null ones are left out."""
-    table = table.select("id", "vector", *([group] if group else [])).filter(F.col("vector").isNotNull())
-    asked = queries.select("query_id", "vector", *([group] if group else [])).filter(F.col("vector").isNotNull()).toArrow()  # the stated queries
+    score 0. Null vectors, vectors with a null component and queries without an id are left out. A query meets the rows whose
+    vectors have its length."""
+    sound = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
+    table = table.select("id", "vector", *([group] if group else [])).filter(sound)
+    asked = queries.select("query_id", "vector", *([group] if group else [])).filter(sound & F.col("query_id").isNotNull()).toArrow()  # the stated queries
     schema = T.StructType([queries.schema["query_id"], T.StructField("id", table.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    found = [table.mapInArrow(_nearest(asked.slice(low, block).combine_chunks(), k, group, to_arrow_type(queries.schema["query_id"].dataType)), schema) for low in range(0, asked.num_rows, block)]
+    found = [table.mapInArrow(_nearest(part, k, group, to_arrow_type(queries.schema["query_id"].dataType)), schema) for part in _blocks(asked, block)]
     out = reduce(DataFrame.unionByName, found) if found else table.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("id"))
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _blocks(asked: pa.Table, block: int) -> Iterator[pa.Table]:
+    """Queries in runs of at most `block`, of one vector length each."""
+    size = pc.list_value_length(asked.column("vector"))
+    for n in pc.unique(size).to_pylist():
+        own = asked.filter(pc.equal(size, n))
+        for low in range(0, own.num_rows, block):
+            yield own.slice(low, block).combine_chunks()
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
@@ -156,6 +169,7 @@ def _nearest(asked: pa.Table, k: int, group: str | None, id_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.equal(batch.column("vector").value_lengths(), q.shape[1]))
             if not batch.num_rows:
                 continue
             score = q @ _matrix(batch.column("vector")).T

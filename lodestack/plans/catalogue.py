@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import text as tx
 from lodestack.functions.html import html_text
 from lodestack.functions.sift import sieve
-from lodestack.operators import ablation, chunking, evaluation, index, retrieval, sessions
+from lodestack.operators import ablation, chunking, evaluation, index, retrieval, sessions, sqltool
 from lodestack.session import scratch, spread, table
 from lodestack.sources import documents as sources
 from lodestack.sources import jsonl
@@ -247,16 +247,37 @@ def where_filter(spark, sf_dir):
     return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {_BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")
-def indexed_bm25(spark, sf_dir):
-    """bm25_top10 from an index that is built first: records, postings, terms and statistics are written, and only the queries' postings read."""
+def _indexed(spark, sf_dir) -> str:
+    """The folder of an index of all documents, by language."""
     root = scratch(spark, "index")
     rows = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "doc_id", F.coalesce("lang", F.lit("")).alias("source_type"), F.coalesce("text", F.lit("")).alias("text"))
     index.build_table(rows, lambda text: F.array(F.length(text).cast("float")), root)
+    return root
+
+
+@query(ORACLES["bm25_top10"])
+def indexed_bm25(spark, sf_dir):
+    """bm25_top10 from an index that is built first: records, postings, terms and statistics are written, and only the queries' postings read."""
+    root = _indexed(spark, sf_dir)
     found = index.lexical(spark, root, _queries(spark, sf_dir), 10)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(ORACLES["bm25_top10"])
+def pruned_bm25(spark, sf_dir):
+    """The same from postings in blocks: those whose bound is below the query's threshold are not decoded."""
+    found = index.lexical(spark, _indexed(spark, sf_dir), _queries(spark, sf_dir), 10, pruned=True)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(ORACLES["where_filter"])
+def sql_search(spark, sf_dir):
+    """where_filter as SQL: each benchmark item asks the table function of the search for its five best English documents."""
+    sqltool.register(spark, _indexed(spark, sf_dir), name="lodestack_lexical", mode="lexical")
+    _queries(spark, sf_dir).createOrReplaceTempView("lodestack_items")
+    return spark.sql("SELECT q.query_id, CAST(s.id AS BIGINT) AS doc_id, CAST(s.rank AS BIGINT) AS rank FROM lodestack_items q, LATERAL lodestack_lexical(q.query, top_k => 5, source_type => 'en') s")
+
+
 _RELEVANT = "SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
 
 

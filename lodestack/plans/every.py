@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.plans import ingestion  # noqa: F401
+from lodestack.plans import ingestion, timing  # noqa: F401
 from lodestack.plans.catalogue import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

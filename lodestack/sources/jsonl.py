@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_jsonl(df: DataFrame, path: str, single: bool = False) -> int:
-    """Write one JSON object a line (nulls included) and return the number of rows."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
-    return df.sparkSession.read.text(path).count()
+def write_jsonl(df: DataFrame, path: str, single: bool = False, **metrics: Column) -> int | dict:
+    """Write one JSON object a line (nulls included) and return the number of rows; with metrics (aggregates by name), a dict
+    of them and `rows`. They are taken while the rows are written, in the same job."""
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return seen.get if metrics else seen.get["rows"]
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, required: list[str] | None = None, name: str = "row") -> DataFrame:
