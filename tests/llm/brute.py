@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import unicodedata
 import re
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -47,37 +48,60 @@ def digest(raw):
     return hashlib.sha256(raw).hexdigest()
 
 
-def template_words(text):
-    """[(template word, value)] of a text; a word that is no placeholder is its own value."""
-    import regex
-
+def template_words(text, names=True):
+    """[(template word, value)] of a text, read character by character; a word that is no placeholder is its own value."""
     from lodestack.llm import template_decontamination as t
 
-    num = r"[0-9](?:[0-9.,]*[0-9])?"
-    units = "|".join(sorted(t.UNITS, key=lambda u: -len(u)))
-    text = regex.sub(f"[{t.NUMBER}{t.UNIT}{t.NAME}]", " ", text)
-    names = regex.findall(r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+", text)
-    plain = regex.sub(r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+", f" {t.NAME} ", text)
-    held = {t.NAME: names, t.NUMBER: [], t.UNIT: []}
+    text = "".join(" " if c in t.NUMBER + t.UNIT + t.NAME else c for c in text)
+    units, out, at = set(t.UNITS), [], 0
+    letter = lambda k: 0 <= k < len(text) and unicodedata.category(text[k])[0] == "L"
+    number = lambda k: 0 <= k < len(text) and unicodedata.category(text[k])[0] == "N"
+    digit = lambda k: 0 <= k < len(text) and text[k] in "0123456789"
+    while at < len(text):
+        if digit(at):
+            stop = at
+            while digit(stop) or stop < len(text) and text[stop] in ".,":
+                stop += 1
+            while not digit(stop - 1):
+                stop -= 1
+            out.append((t.NUMBER, text[at:stop]))
+            gaps = [0, 1] if text[stop : stop + 1] == "-" else [k for k in range(5) if text[stop : stop + k].isspace() or not k]
+            for gap in reversed(gaps):
+                end = stop + gap
+                while letter(end):
+                    end += 1
+                if text[stop + gap : end].lower() in units and not number(end):
+                    out.append((t.UNIT, text[stop + gap : end].lower()))
+                    stop = end
+                    break
+            at = stop
+        elif letter(at):
+            stop = at
+            while letter(stop):
+                stop += 1
+            word = text[at:stop]
+            kinds = [unicodedata.category(c) for c in word]
+            alone = not number(at - 1) and not number(stop)
+            name = names and alone and len(word) > 1 and kinds[0] == "Lu" and set(kinds[1:]) == {"Ll"}
+            out.append((t.NAME if name else word.lower(), word.lower()))
+            at = stop
+        else:
+            at += 1
+    return out
 
-    def mark(m):
-        held[t.NUMBER].append(m[1] or m[3])
-        if m[1]:
-            held[t.UNIT].append(m[2])
-        return f" {t.NUMBER} {t.UNIT} " if m[1] else f" {t.NUMBER} "
 
-    plain = regex.sub(rf"({num})[ -]?((?i:{units}))(?![\p{{L}}\p{{N}}])|({num})", mark, plain)
-    words = [w for w in regex.split(rf"[^\p{{L}}{t.NUMBER}{t.UNIT}{t.NAME}]+", plain.lower()) if w]
-    left = {k: iter(v) for k, v in held.items()}
-    return [(w, next(left[w]).lower() if w in left else w) for w in words]
+def holds(doc, item, size=8, coverage=0.3, least=4):
+    """Whether a document holds an item of a benchmark in one of its readings: enough windows, and a sound alignment."""
+    plain, named = template_words(item or "", False), template_words(item or "")
+    if 0 < len(plain) < least:
+        own = template_words(doc or "", False)
+        return len(own) == len(plain) and reads(own, plain, size, coverage)
+    d = template_words(doc or "")
+    return bool(plain) and (reads(d, plain, size, coverage) or named != plain and reads(d, named, size, coverage))
 
 
-def holds(doc, item, size=8, coverage=0.3, least=4):
-    """Whether a document holds an item of a benchmark: enough windows, and an alignment without a torn slot."""
-    d, q = template_words(doc or ""), template_words(item or "")
+def reads(d, q, size, coverage):
     n = min(size, len(q))
-    if not n or n < least and len(d) != n:
-        return False
     at = {}
     for k in range(len(d) - n + 1):
         at.setdefault(tuple(w for w, _ in d[k : k + n]), []).append(k)
@@ -89,14 +113,18 @@ def holds(doc, item, size=8, coverage=0.3, least=4):
             met.setdefault(place - k, []).append(k)
     if len({own[k] for ks in met.values() for k in ks}) / total < coverage:
         return False
-    if all(w == v for w, v in q):
+    mark = lambda x: ord(x[0][0]) >= 0xE000 and len(x[0]) == 1
+    if not any(mark(x) for x in q):
         return True
     enough = [s for s, ks in met.items() if len({own[k] for k in ks}) / total >= coverage] or list(met)
     for shift in enough:
+        inside = sorted({k + j for k in met[shift] for j in range(n)})
         values = {}
-        for k in {k + j for k in met[shift] for j in range(n)}:
-            if q[k][0] != q[k][1] or ord(q[k][0][0]) >= 0xE000:
+        for k in inside:
+            if mark(q[k]):
                 values.setdefault(q[k], set()).add(d[k + shift][1])
-        if all(len(v) == 1 for v in values.values()):
+        marks = sum(mark(q[k]) for k in inside)
+        same = all(v == {q_[1]} for q_, v in values.items())
+        if all(len(v) == 1 for v in values.values()) and (same or len(inside) - marks >= marks):
             return True
     return False

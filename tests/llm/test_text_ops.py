@@ -214,6 +214,25 @@ def test_reparameterised_questions_are_found(spark):
     assert template_decontamination.contaminated(frame.limit(0), bench).count() == 0
 
 
+def test_questions_are_found_in_any_case_and_layout(spark):
+    """Verbatim items re-wrapped, with doubled blanks, in capitals or small letters; other names at the start of sentences."""
+    item = "Maria has 12 apples and lives in Rome with Otto. Peter gives Maria 7 apples, which weigh 2 kg, before he leaves Rome."
+    wrapped = item.replace(" Rome", "\nRome").replace(" 7 ", "  7\t").replace("2 kg", "2\r\n kg")
+    renamed = item.replace("Maria", "Clara").replace("12", "30").replace("Rome", "Oslo").replace("Otto", "Hugo").replace("Peter", "Franz")
+    docs = {0: item, 1: wrapped, 2: item.upper(), 3: item.lower(), 4: renamed, 5: renamed.replace(" ", "\n"), 6: "Intro. " + wrapped.upper() + " End.", 7: renamed.replace("before he leaves Oslo", "before he leaves Rome")}
+    clean = {20: "Maria has a garden and lives in Rome.", 21: "Clara Franz Hugo Oslo Paul Rita Nina Karl Emil Anton", 22: "30 apples, 7 kg"}
+    titles = "Red Harbour Night Market Opens Again After Long Winter Storms"
+    docs[8] = f"see {titles}"
+    clean[23] = "see Old Mountain Train Station Closes Early Before Short Summer Rains"
+    frame = spark.createDataFrame(list((docs | clean).items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, titles), (3, "Blue Whale")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in template_decontamination.contaminated(frame, bench).collect()}
+    want = {(i, j) for i, t in (docs | clean).items() for j, q in ((1, item), (2, titles), (3, "Blue Whale")) if brute.holds(t, q)}
+    assert got == want and {i for i, _ in got} >= set(range(7)) | {8} and not {i for i, _ in got} & set(clean)
+    short = spark.createDataFrame([(1, "blue\nWHALE!"), (2, "Red Fox"), (3, "a Blue Whale")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in template_decontamination.contaminated(short, bench).collect()] == [(1, 3)]
+
+
 def test_a_question_is_found_on_any_consistent_alignment(spark):
     bakery = "The baker sells 12 loaves and 30 rolls each morning before the shop opens, says the old man at the door."
     torn = QUESTION.replace("Anna", "Bertha").replace("for 12", "for 17")
