@@ -121,16 +121,32 @@ PIECE = ["shard", "lead", "hot", "hot_hi", "part"]
 
 def _pieced(keys: DataFrame, shards: int, points: list[tuple[int, int]], bits: int, hot: DataFrame | None) -> DataFrame:
     """Rows (hi, lo) with the columns of PIECE: the shard, the leading bits of the key, and for a hot group its key and the
-    part of its range of ids."""
+    part of its ids."""
     lead = F.shiftrightunsigned(_unsigned("hi"), 64 - bits) if bits else F.lit(0).cast("long")
     rows = keys.withColumns({"shard": _bucket(points, F.col("hi"), F.col("lo")) if points else F.lit(0), "lead": lead})
     if hot is None:
         return rows.withColumns({"hot": F.lit(False), "hot_hi": F.lit(0).cast("long"), "part": F.lit(0).cast("long")})
     rows = rows.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "hi", "left")
-    share = (F.col("lo").cast("double") - F.col("first")) / (F.col("last") - F.col("first") + 1)
-    part = F.least(F.floor(share * F.col("parts")).cast("long"), F.col("parts") - 1)
-    flag = F.col("parts").isNotNull()
-    return rows.withColumns({"hot": flag, "hot_hi": F.when(flag, F.col("hi")).otherwise(0), "part": F.when(flag, part).otherwise(0)}).drop("first", "last", "parts")
+    # The number of cuts at or below the id; between two cuts a very large group is cut on, evenly.
+    at = F.size(F.filter("cuts", lambda c: c <= F.col("lo")))
+    low, high = F.coalesce(F.get("cuts", at - 1), F.col("first")).cast("double"), F.coalesce(F.get("cuts", at), F.col("last")).cast("double")
+    inner = F.greatest(F.lit(0), F.least(F.floor((F.col("lo").cast("double") - low) / (high - low + 1) * F.col("inner")).cast("long"), F.col("inner") - 1))
+    flag = F.col("cuts").isNotNull()
+    return rows.withColumns({"hot": flag, "hot_hi": F.when(flag, F.col("hi")).otherwise(0), "part": F.when(flag, at * F.col("inner") + inner).otherwise(0)}).drop("first", "last", "cuts", "inner")
+
+
+#: Quantiles of the ids of a hot group that its parts are cut at.
+KNOTS = 256
+
+
+def _hot(rows: DataFrame, piece_bytes: int) -> DataFrame:
+    """hi, first, last, cuts, inner of groups (hi) beyond piece_bytes: parts follow quantiles of the ids, so neither a stray id
+    nor a null one (the least) takes the others into one part."""
+    quantiles = F.percentile_approx("lo", [k / KNOTS for k in range(1, KNOTS)], 10_000)
+    sums = rows.groupBy("hi").agg(F.sum("size").alias("bytes"), F.min("lo").alias("first"), F.max("lo").alias("last"), quantiles.alias("q"))
+    sums = sums.filter(F.col("bytes") > piece_bytes).withColumn("parts", F.ceil(F.col("bytes") / piece_bytes)).withColumn("knots", F.least(F.col("parts"), F.lit(KNOTS)).cast("int"))
+    cuts = F.transform(F.sequence(F.lit(1), F.col("knots") - 1), lambda k: F.get("q", F.floor(k * KNOTS / F.col("knots")).cast("int") - 1))
+    return sums.select("hi", "first", "last", F.array_distinct(cuts).alias("cuts"), F.ceil(F.col("parts") / F.col("knots")).alias("inner"))
 
 
 def histogram_shard(df: DataFrame, group: Column, row_id: str, size: Column, shards: int = 8, tolerance: float = 0.001, group_tolerance: float = 0.01, piece_bytes: int = 64 << 20) -> DataFrame:
@@ -157,8 +173,7 @@ def histogram_shard(df: DataFrame, group: Column, row_id: str, size: Column, sha
     hot = None
     if not full.isEmpty():
         few = F.broadcast(full) if full.count() <= 1_000_000 else full
-        sums = plain.join(few, "lead", "left_semi").groupBy("hi").agg(F.sum("size").alias("bytes"), F.min("lo").cast("double").alias("first"), F.max("lo").cast("double").alias("last"))
-        hot = staged(sums.filter(F.col("bytes") > piece_bytes).select("hi", "first", "last", F.ceil(F.col("bytes") / piece_bytes).alias("parts")), "shard-hot")
+        hot = staged(_hot(plain.join(few, "lead", "left_semi"), piece_bytes), "shard-hot")
     pieces = _pieced(keys, shards, points, bits, hot).groupBy(*PIECE).agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy(*PIECE[1:]).rowsBetween(Window.unboundedPreceding, -1)
     pieces = staged(pieces.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows"), "shard-pieces", spent=(full,))

@@ -86,7 +86,7 @@ def test_pieces_follow_the_bytes(spark):
     got = histogram_shard.histogram_shard(docs, F.col("text"), "doc_id", F.lit(10), shards=2, piece_bytes=500).toPandas()
     assert all(sorted(own["slot"]) == list(range(len(own))) for _, own in got.groupby("shard")) and len(got) == 4000
     keys = docs.select(F.xxhash64("text").alias("hi"), F.col("doc_id").alias("lo"), F.lit(10).cast("long").alias("size"))
-    pieces = histogram_shard._pieced(keys, 2, [], 7, keys.groupBy("hi").agg(F.min("lo").cast("double").alias("first"), F.max("lo").cast("double").alias("last"), F.ceil(F.count("*") * 10 / 500).alias("parts")).filter("parts > 1"))
+    pieces = histogram_shard._pieced(keys, 2, [], 7, histogram_shard._hot(keys, 500))
     sizes = [r["count"] for r in pieces.groupBy(*histogram_shard.PIECE).count().collect()]
     assert max(sizes) <= 60 and sum(sizes) == 4000
 
@@ -426,3 +426,20 @@ def test_captures_alike_in_time_and_id_have_a_defined_order(spark):
     for rows in (twins, twins[::-1]):
         got = sorted((r.record_id or 0, r.status, r.outcome, r.resolved_digest) for r in revisits.resolve_revisits(spark.createDataFrame(rows, CAPTURE)).collect())
         assert got == [(0, 304, "resolved", "B"), (1, 200, "full", "A"), (1, 200, "full", "B"), (1, 304, "orphan", None), (2, 304, "resolved", "B")]
+
+
+@pytest.mark.parametrize("odd", [[], [None], [None, -(1 << 62), 1 << 62], [10**15 + 7 * k for k in range(1500)]])
+def test_parts_of_a_hot_group_follow_its_ids(spark, odd):
+    """A null, a stray or a skewed id leaves the parts of a hot group even, and slots gapless."""
+    ids = [*range(4000), *odd]
+    frame = spark.createDataFrame([(i, "same text" * 10) for i in ids] + [(100_000 + k, f"other {k}") for k in range(300)], "doc_id long, text string")
+    rows = histogram_shard.histogram_shard(frame, F.col("text"), "doc_id", F.octet_length("text") + 1, piece_bytes=8000).collect()
+    assert len(rows) == len(ids) + 300
+    for shard in range(8):
+        own = [r.slot for r in rows if r.shard == shard]
+        assert sorted(own) == list(range(len(own)))
+    keys = frame.select(F.xxhash64("text").alias("hi"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("lo"), (F.octet_length("text") + 1).cast("long").alias("size"))
+    hot = histogram_shard._hot(keys, 8000)
+    parts = histogram_shard._pieced(keys, 8, [], 0, hot).filter("hot").groupBy("part").agg(F.sum("size").alias("b")).collect()
+    assert len(parts) >= 0.8 * 91 * len(ids) / 8000 and max(r.b for r in parts) <= 3 * 8000
+    assert hot.count() == 1 and histogram_shard._hot(keys, 1 << 30).count() == 0
