@@ -51,7 +51,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, where: Column | None
     For a table without an index, and many queries. Statistics are those of the whole table; `where` limits only the
     candidates. Common words pair nearly every document with nearly every query, so pairs are never rows: the queries travel
     to the documents, `block` of them at a time (a block's weights are its terms times its queries), words are found in the
-    JVM, an Arrow batch scores its documents by one matrix product, and only its own k best for each query leave it."""
+    JVM, runs of documents are scored by one matrix product, and a task hands on only its own k best for each query."""
     spark = docs.sparkSession
     asked = query_terms(queries, query_id, query).select("query_id", F.explode("w").alias("term")).toArrow()  # the stated queries
     rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("ok"))
@@ -75,14 +75,62 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, where: Column | None
     return best(reduce(DataFrame.unionByName, scored) if scored else spark.createDataFrame([], schema), k)
 
 
+class _Best:
+    """The k best (query, document, score) of each query so far, of those that tie with the kth the k smallest ids.
+
+    A task hands on what is left at its end, so rows that go to the sort are queries times k for each task, not for each
+    batch."""
+
+    #: Scores this near to each other count as equal here; the final order decides among them.
+    TIE = 1e-10
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.rows, self.full = 0, max(100_000, 4 * k * queries)
+
+    def add(self, score: np.ndarray, docs: pa.Array, usable: np.ndarray) -> None:
+        """Scores of all queries (rows) against documents (columns), where usable."""
+        usable &= score >= self.floor[:, None] - self.TIE
+        if score.shape[1] > self.k:
+            least = -np.partition(-np.where(usable, score, -np.inf), self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            usable &= score >= least - self.TIE
+        q, d = np.nonzero(usable)
+        if len(q):
+            self.held.append((q, docs.take(pa.array(d)), score[q, d]))
+            self.rows += len(q)
+        if self.rows > self.full:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, pa.Array, np.ndarray] | None:
+        """What is left, by query."""
+        if not self.held:
+            return None
+        q, score = np.concatenate([h[0] for h in self.held]), np.concatenate([h[2] for h in self.held])
+        docs = pa.concat_arrays([h[1] for h in self.held])
+        order = np.lexsort((-score, q))
+        place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        at = order[place == self.k - 1]
+        self.floor[q[at]] = score[at]
+        apart = score - self.floor[q]
+        near = np.flatnonzero(np.abs(apart) <= self.TIE)
+        rank = pc.rank(docs.take(pa.array(near)), sort_keys="ascending", tiebreaker="dense").to_numpy() if len(near) else near
+        near = near[np.lexsort((rank, q[near]))]
+        near = near[np.arange(len(near)) - np.searchsorted(q[near], q[near]) < self.k]
+        keep = np.concatenate([np.flatnonzero(apart > self.TIE), near])
+        self.held, self.rows = [(q[keep], docs.take(pa.array(keep)), score[keep])], len(keep)
+        return self.held[0]
+
+
 def _scored(weights: pa.Table, avgdl: float, k: int, id_type: T.DataType):
-    """A batch function: the k best documents of the batch for each query of (query_id, term, idf), more where scores tie."""
+    """A task's function: its k best documents for each query of (query_id, term, idf)."""
     ids, terms = weights.column("query_id").combine_chunks().dictionary_encode(), weights.column("term").combine_chunks().dictionary_encode()
     matrix = np.zeros((len(terms.dictionary), len(ids.dictionary)))
     matrix[terms.indices.to_numpy(), ids.indices.to_numpy()] = weights.column("idf").to_numpy()
     names, vocabulary, kind = ids.dictionary, terms.dictionary, to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Best(len(names), k)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
@@ -94,12 +142,10 @@ def _scored(weights: pa.Table, avgdl: float, k: int, id_type: T.DataType):
                 tf = np.bincount(cell, minlength=part.num_rows * len(vocabulary)).reshape(part.num_rows, len(vocabulary)).astype(np.float64)
                 tf *= (K1 + 1) / (tf + K1 * (1 - B + B * size[:, None] / avgdl))
                 score = (tf @ matrix).T
-                if score.shape[1] > k:
-                    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-                    q, d = np.nonzero((score >= least - 1e-9) & (score > 0))
-                else:
-                    q, d = np.nonzero(score > 0)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)).cast(kind), part.column("doc_id").take(pa.array(d)), pa.array(score[q, d])], ["query_id", "doc_id", "score"])
+                found.add(score, part.column("doc_id"), score > 0)
+        left = found.settle()
+        if left:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(left[0])).cast(kind), left[1], pa.array(left[2])], ["query_id", "doc_id", "score"])
 
     return run
 
@@ -128,7 +174,7 @@ def knn(queries: DataFrame, table: DataFrame, k: int = 40, group: str | None = N
 
     queries: query_id, vector (and group); table: id, vector (and group). With a group column only rows of the query's group
     are candidates (a pre-filter; a null group of a query means all). The stated queries travel to the table, `block` of them
-    at a time; each Arrow batch returns its own k best by matrix product, so the table itself is never shuffled. Zero vectors
+    at a time; each task returns its own k best by matrix products, so the table itself is never shuffled. Zero vectors
     score 0. Null vectors, vectors with a null component and queries without an id are left out. A query meets the rows whose
     vectors have its length."""
     sound = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
@@ -163,26 +209,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _nearest(asked: pa.Table, k: int, group: str | None, id_type: pa.DataType):
-    """A batch function: the k nearest rows of the batch for each query, more where scores tie."""
+    """A task's function: its k nearest rows for each query."""
     q, ids = _matrix(asked.column("vector")), pa.array(asked.column("query_id").to_pylist(), id_type)
     wanted = asked.column(group).combine_chunks().dictionary_encode() if group else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Best(len(q), k)
         for batch in batches:
             batch = batch.filter(pc.equal(batch.column("vector").value_lengths(), q.shape[1]))
-            if not batch.num_rows:
-                continue
-            score = q @ _matrix(batch.column("vector")).T
-            if wanted is not None:
-                own = pc.fill_null(pc.index_in(batch.column(group).cast(wanted.dictionary.type), wanted.dictionary), -1).to_numpy(zero_copy_only=False)
-                mine = pc.fill_null(wanted.indices, -1).to_numpy(zero_copy_only=False)
-                score[(mine[:, None] >= 0) & (mine[:, None] != own[None, :])] = -np.inf
-            if score.shape[1] > k:  # all that tie with the kth stay
-                least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-                i, j = np.nonzero((score >= least - 1e-9) & np.isfinite(score))
-            else:
-                i, j = np.nonzero(np.isfinite(score))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), batch.column("id").take(pa.array(j)), pa.array(score[i, j])], ["query_id", "id", "score"])
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                score = q @ _matrix(part.column("vector")).T
+                usable = np.isfinite(score)
+                if wanted is not None:
+                    own = pc.fill_null(pc.index_in(part.column(group).cast(wanted.dictionary.type), wanted.dictionary), -1).to_numpy(zero_copy_only=False)
+                    mine = pc.fill_null(wanted.indices, -1).to_numpy(zero_copy_only=False)
+                    usable &= (mine[:, None] < 0) | (mine[:, None] == own[None, :])
+                found.add(score, part.column("id"), usable)
+        left = found.settle()
+        if left:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(left[0])), left[1], pa.array(left[2])], ["query_id", "id", "score"])
 
     return run
 

@@ -54,3 +54,18 @@ def test_searches_with_odd_rows(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0, 0.0]), (3, [None, 1.0]), (None, [1.0, 0.0]), (4, None)], "query_id long, vector array<double>")
     got = sorted((r.query_id, r.id, round(r.score, 6), r["rank"]) for r in retrieval.knn(queries, table, 3).collect())
     assert got == [(1, 1, 1.0, 1), (1, 5, 0.707107, 2), (2, 2, 1.0, 1)]
+
+
+def test_a_task_keeps_the_best_across_its_batches(spark):
+    """Ties beyond k, many small batches and several tasks give what one sort over everything gives."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcd") for _ in range(rng.choice([2, 2, 3, 6])))) for i in rng.sample(range(5000), 3000)], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "a"), (2, "a b"), (3, "d c a"), (4, "zz")], "query_id long, query string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        few = retrieval.bm25(queries, docs, 15).collect()
+        every = retrieval.bm25(queries, docs, 5000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    key = lambda r: (r.query_id, r["rank"], r.doc_id, round(r.score, 9))
+    assert sorted(map(key, few)) == sorted(key(r) for r in every if r["rank"] <= 15) and len(few) == 45
