@@ -5,6 +5,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 from collections.abc import Callable
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.config import Settings, load_settings
-from lodestack.operators import ablation, chunking, contexts, evaluation, index, retrieval, sessions
+from lodestack.operators import ablation, chunking, contexts, evaluation, index, retrieval, sessions, sqltool
 from lodestack.session import local_session
 from lodestack.sources import documents as sources
 from lodestack.sources import jsonl, registry, versions
@@ -157,10 +158,37 @@ def show_session(spark: SparkSession, path: str, code_lines: int = 6) -> str:
     return "\n\n".join(r["text"] for r in ablation.transcripts(rows, code_lines).orderBy("task_id", "rag_enabled", "run_index").toLocalIterator())
 
 
+def verify(spark: SparkSession, root: str, query: str, top_k: int = 3) -> str:
+    """Ask the search tool and the search function of SQL the same question; a report, or ValueError where they differ."""
+    tool = search_tool(spark, root, query, top_k)
+    sqltool.register(spark, root)
+    rows = spark.sql("SELECT * FROM lodestack_search(:query, top_k => :top_k)", {"query": query, "top_k": top_k}).orderBy("rank").collect()
+    if [(h["id"], h["score"]) for h in tool] != [(r["id"], r["score"]) for r in rows]:
+        raise ValueError("the search tool and lodestack_search() do not agree")
+    return "\n".join([f"{len(tool)} hits, tool and SQL agree", *[f"  - {h['title']} | v{h['version']} | {h['source_type']}" for h in tool]])
+
+
+def named(place: str) -> Callable:
+    """The function that `module:name` names."""
+    module, _, name = place.partition(":")
+    if not name:
+        raise ValueError(f"{place!r} is no module:name")
+    return getattr(importlib.import_module(module), name)
+
+
+def contextualise(spark: SparkSession, settings: Settings, generate: Callable[[list[str], list[str]], list[str]], limit: int = 0) -> str:
+    """build_context() over the settings' corpus and chunks, in their scope; nothing unless `contextual.enabled` is set."""
+    if not settings.section("contextual", "enabled", default=False):
+        return "contextual.enabled is not set; nothing was done"
+    done, total = build_context(spark, str(settings.path("corpus")), str(settings.path("chunks")), generate, settings.section("contextual", "scope"), limit)
+    return f"{done} of {total} chunks have a context"
+
+
 #: Positional arguments of the commands.
 COMMANDS = {
     "build-corpus": ["settings"], "build-chunks": ["corpus", "chunks"], "build-index": ["chunks", "index"], "build-all": ["settings"], "gather": ["settings", "out"],
     "search": ["index", "query"], "eval": ["index", "labelled"], "scene-eval": ["tasks", "out"], "show-session": ["session"],
+    "build-context": ["settings", "generator"], "verify": ["index", "query"],
 }
 
 
@@ -178,6 +206,8 @@ def main(args: list[str] | None = None) -> None:
         own.add_argument("--source-type")
         own.add_argument("--version")
         own.add_argument("--symbol-boost", action="store_true")
+        own.add_argument("--limit", type=int, default=0, help="chunks to give a context at most (0: all)")
+        own.add_argument("--reranker", help="module:name of a model that scores (queries, texts)")
     got = parser.parse_args(args)
     spark = SparkSession.getActiveSession() or local_session()
     settings = load_settings(got.settings) if "settings" in got else None
@@ -196,9 +226,13 @@ def main(args: list[str] | None = None) -> None:
         for r in search(spark, got.index, queries, got.k, got.source_type, got.version, "hybrid+symbol" if got.symbol_boost else "hybrid").orderBy("rank").collect():
             print(f"{r['rank']}. [{r.score:.6f}] ({r.version}) {r.title}\n   {r.source_url}\n   {r.text[:180]}")
     if got.command == "eval":
-        quality, missed = evaluate(spark, got.index, got.labelled, got.k)
+        quality, missed = evaluate(spark, got.index, got.labelled, got.k, retrieval.scorer(named(got.reranker)) if got.reranker else None)
         quality.show(1000, False)
         missed.show(1000, 60)
+    if got.command == "build-context":
+        print(contextualise(spark, settings, named(got.generator), got.limit))
+    if got.command == "verify":
+        print(verify(spark, got.index, got.query))
     if got.command == "scene-eval":
         print(scene_eval(spark, got.tasks, got.runs, got.out))
     if got.command == "show-session":

@@ -38,7 +38,7 @@ def demo_sessions(spark: SparkSession, tasks: DataFrame, runs: int) -> DataFrame
     asks = F.col("type") == sessions.QUERY
     event = F.struct(
         "turn", "type", F.when(asks, words).alias("query"), "source_type", F.when(asks, 5).alias("top_k"), F.when(asks, 2).alias("n_hits"), F.when(~asks, words).alias("code"),
-        F.when(~asks, F.col("error_type").isNull()).alias("ok"), "error_type", F.when(F.col("error_type").isNotNull(), F.concat(F.lit("demo "), F.col("error_type"))).alias("error_message"),
+        F.when(~asks, F.col("error_type").isNull()).alias("ok"), "error_type", F.when(F.col("error_type").isNotNull(), F.concat(F.lit("demo "), F.col("error_type"))).alias("error_message"), F.lit(None).alias("hits"),
     )
     events = F.transform(F.sort_array(F.collect_list(event)), lambda e: e.dropFields("turn")).cast(f"array<{sessions.EVENT}>")
     told = told.groupBy("task_id", "rag_enabled", "run_index").agg(events.alias("events"), F.first("completed").alias("completed"), F.first("success_hints").alias("success_hints"))
@@ -141,7 +141,7 @@ def transcripts(rows: DataFrame, code_lines: int = 6) -> DataFrame:
     their errors and what lint finds in them, and a line of scores."""
     shown = sessions.score(rows, keep=["model", "success_hints", "events"])
     none = F.array().cast("array<string>")
-    events, hints = F.coalesce("events", F.array().cast(f"array<{sessions.EVENT}>")), F.coalesce("success_hints", none)
+    events, hints = F.coalesce("events", F.array().cast(rows.schema["events"].dataType)), F.coalesce("success_hints", none)
     part = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("")) for x in c])
 
     def told(e: Column, at: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EVENT = "struct<type:string,query:string,source_type:string,top_k:int,n_hits:int,code:string,ok:boolean,error_type:string,error_message:string>"
+EVENT = "struct<type:string,query:string,source_type:string,top_k:int,n_hits:int,code:string,ok:boolean,error_type:string,error_message:string,hits:array<struct<title:string,source_url:string,source_type:string,text:string>>>"
 SNAPSHOT = "struct<objects:int,meshes:int,materials:int,material_nodes:int,lights:int>"
 SESSION = f"task_id string, rag_enabled boolean, run_index int, model string, events array<{EVENT}>, final_scene {SNAPSHOT}, completed boolean, success_hints array<string>, note string"
 QUERY, EXEC = "rag_query", "code_exec"
@@ -62,7 +62,7 @@ def task_signal_rate(events: Column, hints: Column) -> Column:
 
 def score(sessions: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """task_id, rag_enabled, run_index and METRICS of each session row (SESSION), and the columns to keep."""
-    events, hints = F.coalesce("events", F.array().cast(f"array<{EVENT}>")), F.coalesce("success_hints", F.array().cast("array<string>"))
+    events, hints = F.coalesce("events", F.array().cast(sessions.schema["events"].dataType)), F.coalesce("success_hints", F.array().cast("array<string>"))
     runs = F.filter(events, lambda e: e["type"] == EXEC)
     n, bad = F.size(runs), F.size(F.filter(runs, lambda e: ~F.coalesce(e["ok"], F.lit(False))))
     scene = [F.coalesce(F.col(f"final_scene.{c}"), F.lit(0)) for c in ("objects", "meshes", "materials", "material_nodes", "lights")]

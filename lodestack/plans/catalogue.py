@@ -795,10 +795,10 @@ def hit_rows(spark, sf_dir):
     return found.join(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.substring("text", 1, 600).alias("text")), "id").select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "title", "text")
 
 
-@query("""SELECT 'task' || t.range AS task_id, r.range AS run_index, c AS rag_enabled FROM range(3) t, range(4) r, (SELECT unnest([true, false]) AS c)""")
+@query("""SELECT 'item' || item_id AS task_id, r.range AS run_index, c AS rag_enabled FROM benchmark, range(4) r, (SELECT unnest([true, false]) AS c) WHERE item_id IS NOT NULL""")
 def task_grid(spark, sf_dir):
-    """Every task, condition and run of an ablation."""
-    tasks = spark.range(3).select(F.concat(F.lit("task"), F.col("id").cast("string")).alias("task_id"))
+    """Every item of the benchmark as a task, in each condition and run of an ablation."""
+    tasks = table(spark, sf_dir, "benchmark").filter("item_id IS NOT NULL").select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("task_id"))
     return tasks.withColumn("run_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn("rag_enabled", F.explode(F.array(F.lit(True), F.lit(False))))
 
 

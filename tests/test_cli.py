@@ -108,3 +108,34 @@ def test_scene_eval_writes_its_files(spark, tmp_path, capsys):
     shown = capsys.readouterr().out
     assert shown.startswith("## t (RAG-off, run 1, model demo)\nbrief concepts: AgX\n") and "glare_type_attribute" in shown
     assert cli.show_session(spark, str(tmp_path / "out" / "sessions")).count("summary: ") == 4
+
+
+def overlap(queries, texts):
+    return [float(len(set(q.lower().split()) & set(t.lower().split()))) for q, t in zip(queries, texts, strict=True)]
+
+
+def about(documents, chunks):
+    return [f"of {len(d)}" for d in documents]
+
+
+def test_commands_with_models_by_name(spark, tmp_path, capsys):
+    texts = ["# Render\n\nengine samples and light " * 12, "# Animate\n\nkeyframes and curves " * 12]
+    docs = [{"id": f"d{i}", "text": t, "source_type": "manual", "source_url": f"u{i}", "title": f"Page {i}", "version": "5.1", "extra": None} for i, t in enumerate(texts)]
+    (tmp_path / "corpus.jsonl").write_text("\n".join(map(json.dumps, docs)))
+    (tmp_path / "q.jsonl").write_text(json.dumps({"query": "keyframes curves", "type": "manual", "expect": ["Page 1"]}))
+    settings = {"paths": {"corpus": "corpus.jsonl", "chunks": "chunks", "index": "index"}, "contextual": {"enabled": False, "scope": ["manual"]}}
+    for name, flag in (("off", False), ("on", True)):
+        (tmp_path / f"{name}.yaml").write_text(json.dumps(settings | {"contextual": {"enabled": flag, "scope": ["manual"]}}))
+    cli.main(["build-chunks", str(tmp_path / "corpus.jsonl"), str(tmp_path / "chunks")])
+    cli.main(["build-context", str(tmp_path / "off.yaml"), "tests.test_cli:about"])
+    assert spark.read.parquet(str(tmp_path / "chunks")).filter("context <> ''").count() == 0
+    cli.main(["build-context", str(tmp_path / "on.yaml"), "tests.test_cli:about"])
+    rows = spark.read.parquet(str(tmp_path / "chunks")).collect()
+    assert rows and {r.context for r in rows} == {f"of {len(t)}" for t in texts}
+    cli.main(["build-index", str(tmp_path / "chunks"), str(tmp_path / "index")])
+    cli.main(["eval", str(tmp_path / "index"), str(tmp_path / "q.jsonl"), "--reranker", "tests.test_cli:overlap"])
+    cli.main(["verify", str(tmp_path / "index"), "keyframes and curves"])
+    out = capsys.readouterr().out
+    assert "nothing was done" in out and "chunks have a context" in out and "hybrid+rerank" in out and "tool and SQL agree" in out
+    with pytest.raises(ValueError, match="module:name"):
+        cli.named("nothing")

@@ -39,6 +39,18 @@ def test_sessions_are_recorded_and_scored(spark):
     assert (got[True].error_rate, got[True].query_before_call_rate, got[True].task_signal_rate, got[True].scene_total) == (0.5, 0.5, 1.0, 4)
 
 
+def test_conditions_hits_and_unknown_actions():
+    ask, odd, end = runner.Action("query", query="q", top_k=2), runner.Action("dance"), runner.Action("done")
+    got = runner.run_session("t", "p", Script(odd, ask, odd, end), Machine(), Library())
+    assert got["completed"] and [e["n_hits"] for e in got["events"]] == [2] and [len(h["text"]) for h in got["events"][0]["hits"]] == [runner.HIT_TEXT] * 2
+    off = runner.run_session("t", "p", Script(ask), Machine(), Library(), rag_enabled=False)
+    assert not off["rag_enabled"] and off["events"][0]["n_hits"] == 0 and off["events"][0]["hits"] == []
+    bare = runner.run_session("t", "p", Script(ask), Machine(), None, rag_enabled=True)
+    assert bare["rag_enabled"] and bare["events"][0]["n_hits"] == 0
+    lost = runner.run_session("t", "p", Script(*[odd] * 9), Machine(), None, most=5)
+    assert not lost["completed"] and lost["events"] == []
+
+
 def test_tools():
     assert runner.tool_text([]) == "No results." and runner.tool_text(runner.Outcome(True)) == "Executed OK."
     assert runner.tool_text(runner.Outcome(False, "E", "m")) == "ERROR E: m"
