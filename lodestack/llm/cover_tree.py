@@ -90,9 +90,13 @@ class CoverTree:
         return len(self.start) - 1
 
 
-def dual_search(q: CoverTree, q_ids: np.ndarray, d: CoverTree, d_ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dual_search(q: CoverTree, q_ids: np.ndarray, d: CoverTree, d_ids: np.ndarray, k: int, floor: np.ndarray, scored: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best k of d for each query of q, in q's order: (query row, data row, score) triples.
 
+    Pairs of nodes are pruned by both covering radii until the query side is a leaf; from there on each query of the leaf goes
+    down the data tree with a bound of its own, which has no radius on the query side. scored: gets the number of pairs of
+    vectors that were scored.
+
     floor: scores that a result must reach (from blocks searched before). Equal scores prefer the smaller id; a row never
     meets its own id. Scores are exact: integers below 2**53 in floating point, then 64-bit integers, then Python's; what does
     not fit into 64 bits is reported as the nearest number that does."""
@@ -112,13 +116,26 @@ def dual_search(q: CoverTree, q_ids: np.ndarray, d: CoverTree, d_ids: np.ndarray
             value = q.centers[a] @ d.centers[b].T + ra * d.norms[b][None, :] + rb * q.norms[a][:, None] + ra * rb
             return np.nan_to_num(value + 1 + 1e-9 * np.abs(value), nan=np.inf, posinf=np.inf)
 
+    qf = floats(q.points)
+    q_norms = np.sqrt((qf * qf).sum(axis=1))
+
+    def near(a: int, b: list[int]) -> np.ndarray:
+        """Whether each query of a leaf (rows) can still find something in each data node (columns)."""
+        s = slice(q.start[a], q.stop[a])
+        with np.errstate(all="ignore"):
+            value = qf[s] @ d.centers[b].T + q_norms[s][:, None] * d.radii[b][None, :]
+            value = np.nan_to_num(value + 1 + 1e-9 * np.abs(value), nan=np.inf, posinf=np.inf)
+        return value >= kth[s][:, None]
+
     def base(a: int, b: int) -> None:
-        s, t = slice(q.start[a], q.stop[a]), slice(d.start[b], d.stop[b])
-        score = qx[s] @ dx[t].T
-        ok = (score >= kth[s][:, None]).astype(bool) & (q_ids[s][:, None] != d_ids[t][None, :])
+        own, t = q.start[a] + np.flatnonzero(near(a, [b])[:, 0]), slice(d.start[b], d.stop[b])
+        score = qx[own] @ dx[t].T
+        if scored is not None:
+            scored.append(score.size)
+        ok = (score >= kth[own][:, None]).astype(bool) & (q_ids[own][:, None] != d_ids[t][None, :])
         for i in np.flatnonzero(ok.any(axis=1)):
             cols = np.flatnonzero(ok[i])
-            r = q.start[a] + int(i)
+            r = int(own[i])
             value, at = np.concatenate([best[r], score[i][cols]]), np.concatenate([row[r], d.start[b] + cols])
             if kind is object:
                 keep = np.array(sorted(range(len(at)), key=lambda j: (-value[j], ranks[at[j]]))[:k])
@@ -137,6 +154,10 @@ def dual_search(q: CoverTree, q_ids: np.ndarray, d: CoverTree, d_ids: np.ndarray
             base(a, b)
             continue
         left, right = q.children[a] or [a], d.children[b] or [b]
+        if not q.children[a]:
+            right = [c for c, live in zip(right, near(a, right).any(axis=0).tolist(), strict=True) if live]
+            if not right:
+                continue
         value = bounds(left, right)
         for i in np.argsort(value, axis=None):  # the most promising pair comes off the stack first
             stack.append((left[i // len(right)], right[i % len(right)], float(value.flat[i])))

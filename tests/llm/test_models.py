@@ -292,3 +292,22 @@ def test_cover_tree_invariants_hold_at_every_node():
             assert not gaps or min(gaps) >= reach - 1e-9
             assert any(tree.center[c] == tree.center[k] for c in kids)
             assert len(kids) == cover_tree.FAN or reach <= tree.radii[k] / 2 + 1e-9
+
+
+@pytest.mark.parametrize("kind, most", [("clustered", 0.25), ("spread", 1.0)])
+def test_share_of_scored_pairs(kind, most):
+    """Clusters are pruned to a small share of all pairs; directions without any structure in 64 dimensions cannot be."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 64)) * 300 if kind == "clustered" else np.zeros((40, 64))
+    x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 64)) * (20 if kind == "clustered" else 128)).astype(np.int64)
+    ids = np.arange(4000)
+    asked = ids[ids % 100 == 0]
+    q, d = cover_tree.CoverTree(x[asked]), cover_tree.CoverTree(x)
+    scored = []
+    a, b, score = cover_tree.dual_search(q, asked[q.order], d, ids[d.order], 10, np.full(len(asked), -np.inf), scored)
+    share = sum(scored) / (len(asked) * 4000)
+    print(f"{kind}: {share:.3f} of all pairs are scored")
+    assert share <= most
+    got = {(int(asked[q.order][i]), int(s)) for i, s in zip(a, score, strict=True)}
+    want = {(int(i), int(s)) for i in asked for s in sorted((x @ x[i])[ids != i])[-10:]}
+    assert got == want
