@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small tables."""
 
+import functools
 import hashlib
 import unicodedata
 import re
@@ -48,6 +49,7 @@ def digest(raw):
     return hashlib.sha256(raw).hexdigest()
 
 
+@functools.lru_cache(maxsize=4096)
 def template_words(text, names=True):
     """[(template word, value)] of a text, read character by character; a word that is no placeholder is its own value."""
     from lodestack.llm import template_decontamination as t
