@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import words
 from lodestack.operators.retrieval import K1, B, best, query_terms, small
+from lodestack.session import scratch
 
 #: Documents of a segment are 2 to the power of this.
 SEGMENT_BITS = 5
@@ -45,9 +46,16 @@ def write_blocks(rows: DataFrame, avgdl: float, path: str, bits: int = SEGMENT_B
     blocks(rows, avgdl, bits).repartitionByRange("term", "seg").sortWithinPartitions("term", "seg").write.mode("overwrite").parquet(path)
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder: the steps of a search read it several times."""
+    path = scratch(df.sparkSession, f"blockmax-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _decoded(wanted: DataFrame, held: DataFrame, weighted: DataFrame, avgdl: float, allowed: DataFrame | None) -> DataFrame:
     """query_id, doc_id, score of all documents of segments (query_id, seg)."""
-    asked = small(weighted.join(wanted, "query_id"), 1_000_000)  # query_id, term, idf, seg: 40 bytes a row
+    asked = small(_kept(weighted.join(wanted, "query_id"), "asked"), 1_000_000)  # query_id, term, idf, seg: 40 bytes a row
     found = held.join(asked, ["term", "seg"]).select("query_id", "idf", F.explode("docs").alias("d"))
     found = found.select("query_id", F.col("d.id").alias("doc_id"), (F.col("idf") * weight(F.col("d.tf"), F.col("d.dl"), avgdl)).alias("part"))
     if allowed is not None:
@@ -71,12 +79,13 @@ class Search:
             held, terms = held.filter(F.col("term").isin(few)), terms.filter(F.col("term").isin(few))
         self.held = held
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-        self.weighted = small(asked.join(small(terms.join(small(wanted), "term").select("term", idf)), "term"))
+        self.weighted = small(_kept(asked.join(small(terms.join(small(wanted), "term").select("term", idf)), "term"), "weights"))
         # Bounds read term, segment and impact only; the postings stay in their column.
-        self.bounds = held.select("term", "seg", "impact").join(self.weighted, "term").groupBy("query_id", "seg").agg(F.sum(F.col("idf") * F.col("impact")).alias("bound"), F.count("*").alias("blocks"))
+        bounds = held.select("term", "seg", "impact").join(self.weighted, "term").groupBy("query_id", "seg").agg(F.sum(F.col("idf") * F.col("impact")).alias("bound"), F.count("*").alias("blocks"))
+        self.bounds = _kept(bounds, "bounds")
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), F.asc("seg"))
         self.first = self.bounds.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= probe * k).select("query_id", "seg", "blocks")
-        self.probed = _decoded(self.first.drop("blocks"), held, self.weighted, avgdl, allowed)
+        self.probed = _kept(_decoded(self.first.drop("blocks"), held, self.weighted, avgdl, allowed), "probed")
         kth = best(self.probed, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
         reach = self.bounds.join(small(kth), "query_id", "left").filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - EPS))
         self.open = reach.join(self.first.drop("blocks"), ["query_id", "seg"], "left_anti").select("query_id", "seg", "blocks")
