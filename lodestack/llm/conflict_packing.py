@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, staged
+from .common import shuffle_parts, small_batches, staged
 from .ngram_join import class_key, shingle_sets
 from .token_rollup import PATTERN, VOCABULARY, encoding_of, token_ids, vocabulary_bytes
 
@@ -69,9 +69,10 @@ def pack(docs: DataFrame, row_id: str, size: Column, source: Column, cluster: Co
 
     A document longer than capacity is cut: its full pieces fill bins of their own, the rest is an item. No bin holds two
     documents of a cluster, nor more than per_source of one source. section: rows packed together, about; more rows mean more
-    sections, never larger ones. A row's section follows from its place in the table that the items are staged in, so that a
-    hot source, cluster, id or size, and any number of equal rows, spread over all sections. Within a section items stand by
-    falling size, then by id as text (none first), source and cluster, so ties do not depend on the order of rows.
+    sections, never larger ones. A row's section is a hash of its id, size, source and cluster, and of its number among rows
+    equal in these, so that a hot source, cluster, id or size, and any number of equal rows, spread over all sections. Within
+    a section items stand by falling size, then by id as text (none first), source and cluster. Bins thus follow from the
+    rows alone, not from their order or files.
 
     Nulls: a null id is kept; a null size counts as 0, and an item of size 0 takes a place, but no room. A null source is a
     source of its own; a null cluster conflicts with nothing. Repeated rows are items of their own. Other columns are not
@@ -80,26 +81,42 @@ def pack(docs: DataFrame, row_id: str, size: Column, source: Column, cluster: Co
     items = docs.select(F.col(row_id).alias("_id"), F.greatest(F.coalesce(size.cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long")).alias("_size"), F.coalesce(F.xxhash64(source), F.lit(0)).alias("_source"), F.when(cluster.isNotNull(), F.xxhash64(cluster)).alias("_cluster"))
     whole = F.when(F.col("_size") > 0, F.floor((F.col("_size") - 1) / capacity_)).otherwise(0).cast("long")
     items = items.withColumn("_whole", whole).select("_id", "_source", "_cluster", "_whole", (F.col("_whole") * capacity_).alias("_start"), (F.col("_size") - F.col("_whole") * capacity_).alias("_rest"))
-    items = staged(items, "pack-items")
-    rows = items.count()
+    # Equal rows are interchangeable: they travel as one row and their count.
+    items = staged(items.groupBy(*items.columns).agg(F.count("*").alias("_n")), "pack-items")
+    rows, most = items.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     parts = max(1, -(-rows // section))
-    first = _sections(items, 0, parts, capacity, per_source)
+    first = _sections(_numbered(items, most), 0, parts, capacity, per_source)
     named = lambda p: p.select(F.col("_id").alias(row_id), *PIECE.names)
     if parts == 1:
         return named(first)
     first = staged(first, "pack-first", spent=(items,))
     loose = F.col("residual") * 2 > capacity
-    again = staged(first.filter(loose).select("_id", "_source", "_cluster", F.lit(0).cast("long").alias("_whole"), F.col("start").alias("_start"), F.col("length").alias("_rest")), "pack-loose")
+    again = staged(first.filter(loose).select("_id", "_source", "_cluster", "_place", F.lit(0).cast("long").alias("_whole"), F.col("start").alias("_start"), F.col("length").alias("_rest")), "pack-loose")
     second = _sections(again, parts, max(1, -(-again.count() // section)), capacity, per_source)
     return named(first.filter(~loose)).unionByName(named(second))
 
 
+def _numbered(items: DataFrame, most: int, run: int = 65536) -> DataFrame:
+    """Each item of a table of items and counts (_n, at most `most`) as a row of its own, with `_place`: a hash of the row and
+    its number among its equals. More than `run` equals are dealt over tasks in runs of so many, before they become rows."""
+    own = [c for c in items.columns if c != "_n"]
+    place = F.xxhash64(*own, "_nth").alias("_place")
+
+    def rows(counts: DataFrame, begin: Column, count: Column) -> DataFrame:
+        return counts.select(*own, F.explode(F.sequence(begin, begin + count - 1)).alias("_nth")).select(*own, place)
+
+    zero = F.lit(0).cast("long")
+    if most <= run:
+        return rows(items, zero, F.col("_n"))
+    runs = items.filter(F.col("_n") > run).select("*", F.explode(F.sequence(zero, F.col("_n") - 1, F.lit(run).cast("long"))).alias("_begin"))
+    runs = runs.repartition(shuffle_parts(items.sparkSession), *own, "_begin")
+    return rows(items.filter(F.col("_n") <= run), zero, F.col("_n")).unionByName(rows(runs, F.col("_begin"), F.least(F.lit(run).cast("long"), F.col("_n") - F.col("_begin"))))
+
+
 def _sections(items: DataFrame, base: int, parts: int, capacity: int, per_source: int) -> DataFrame:
-    """Pieces of a staged table of items, section by section; sections are numbered from base."""
-    # Part number and row number in the part's file name a row; they do not change once the table is written.
-    place = [F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1), F.col("_metadata.row_index")]
-    keyed = items.select("*", (F.pmod(F.xxhash64(*place), F.lit(parts)) + base).cast("long").alias("_section"))
-    kind = T.StructType([items.schema["_id"], items.schema["_source"], items.schema["_cluster"], *PIECE.fields])
+    """Pieces of items, section by section; sections are numbered from base, which deals them anew as well."""
+    keyed = items.select("*", (F.pmod(F.xxhash64("_place", F.lit(base)), F.lit(parts)) + base).cast("long").alias("_section"))
+    kind = T.StructType([items.schema["_id"], items.schema["_source"], items.schema["_cluster"], items.schema["_place"], *PIECE.fields])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -113,7 +130,7 @@ def _sections(items: DataFrame, base: int, parts: int, capacity: int, per_source
         renumber = np.cumsum(count > 1) - 1
         cluster[known] = np.where(count[label] > 1, renumber[label], -1)
         text = np.array(["" if x is None else f"={x}" for x in table.column("_id").to_pylist()])
-        falling = np.lexsort((start, digest, table.column("_source").to_numpy(), text, -rest))
+        falling = np.lexsort((table.column("_place").to_numpy(), start, digest, table.column("_source").to_numpy(), text, -rest))
         bins, room = best_fit(rest[falling], source[falling], cluster[falling], capacity, per_source)
         row, number = falling, bins
         by_bin = np.argsort(bins, kind="stable")
@@ -121,16 +138,17 @@ def _sections(items: DataFrame, base: int, parts: int, capacity: int, per_source
         position = np.empty(len(row), dtype=np.int64)
         position[by_bin] = np.arange(len(bins)) - np.repeat(first, np.diff(np.append(first, len(bins))))
         start, length, left = start[row], rest[row], room[bins]
-        full = np.repeat(np.arange(len(rest)), whole)
+        many = whole[falling]
+        full = np.repeat(falling, many)
         if len(full):
-            nth = np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole)
+            nth = np.arange(len(full)) - np.repeat(np.cumsum(many) - many, many)
             row, number = np.concatenate([row, full]), np.concatenate([number, len(room) + np.arange(len(full))])
             position = np.concatenate([position, np.zeros(len(full), np.int64)])
             start, length = np.concatenate([start, nth * capacity]), np.concatenate([length, np.full(len(full), capacity)])
             left = np.concatenate([left, np.zeros(len(full), np.int64)])
         section = table.column("_section")[0].as_py()
-        kept = [table.column(c).take(pa.array(row)) for c in ("_id", "_source", "_cluster")]
-        return pa.table([*kept, pa.array(section * (1 << 32) + number, pa.int64()), pa.array(position, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(left, pa.int64())], names=["_id", "_source", "_cluster", *PIECE.names])
+        kept = [table.column(c).take(pa.array(row)) for c in ("_id", "_source", "_cluster", "_place")]
+        return pa.table([*kept, pa.array(section * (1 << 32) + number, pa.int64()), pa.array(position, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(left, pa.int64())], names=["_id", "_source", "_cluster", "_place", *PIECE.names])
 
     return keyed.groupBy("_section").applyInArrow(run, kind)
 

@@ -160,6 +160,38 @@ def test_one_section_is_packed_as_by_the_plain_rule(spark):
         frame = frame.orderBy("n")
 
 
+def test_bins_do_not_depend_on_the_layout_of_the_rows(spark):
+    data = [(k, f"s{k % 3}", "c" if k % 5 == 0 else None, k * 37 % 700) for k in range(300)] + [(7, "s0", None, 90)] * 150 + [(None, None, None, 40)] * 60
+    frame = spark.createDataFrame(data, "doc_id long, s string, c string, n long")
+    seen = []
+    for f in (frame.coalesce(1), frame.repartition(7), frame.orderBy(F.col("n").desc(), "doc_id").repartition(3, "s")):
+        got = conflict_packing.pack(f, "doc_id", F.col("n"), F.col("s"), F.col("c"), capacity=256, per_source=3, section=40).collect()
+        seen.append(sorted(map(str, got)))
+    assert len(seen[0]) >= len(data) and seen[0] == seen[1] == seen[2]
+
+
+@pytest.mark.parametrize("run", [7, 65536])
+def test_equal_rows_are_numbered_whatever_the_run(spark, run):
+    counts = spark.createDataFrame([(1, "a", 1), (2, "a", 7), (3, None, 8), (None, None, 50)], "_id long, _source string, _n long")
+    got = conflict_packing._numbered(counts, 50, run).groupBy("_id", "_source").agg(F.count("*"), F.countDistinct("_place")).collect()
+    assert {(r[0], r[1]): (r[2], r[3]) for r in got} == {(1, "a"): (1, 1), (2, "a"): (7, 7), (3, None): (8, 8), (None, None): (50, 50)}
+
+
+def test_each_of_several_sections_is_packed_as_by_the_plain_rule(spark):
+    rng = random.Random(9)
+    data = [(k, f"s{rng.randrange(3)}", rng.choice([None, None, "a", "b"]), rng.randrange(1, 256)) for k in range(400)]
+    frame = spark.createDataFrame(data, "doc_id long, s string, c string, n long")
+    numbered = frame.select(F.col("doc_id").alias("_id"), F.xxhash64("s").alias("_source"), F.when(F.col("c").isNotNull(), F.xxhash64("c")).alias("_cluster"), F.xxhash64("doc_id").alias("_place"), F.lit(0).cast("long").alias("_whole"), F.lit(0).cast("long").alias("_start"), F.col("n").alias("_rest"))
+    got = conflict_packing._sections(numbered, 0, 5, 256, 2).collect()
+    item = {k: (k, s, c, n) for k, s, c, n in data}
+    by = {}
+    for r in got:
+        by.setdefault(r.bin_id >> 32, []).append((r["_id"], r.bin_id))
+    assert len(by) == 5
+    for own in by.values():
+        assert grouped(own) == grouped(plain_packing([item[i] for i, _ in own], 256, 2))
+
+
 def test_equal_rows_spread_over_sections(spark):
     frame = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(100).alias("n"), F.lit("s").alias("s"))
     got = conflict_packing.pack(frame, "doc_id", F.col("n"), F.col("s"), F.lit(None).cast("string"), capacity=256, per_source=4, section=1000).toPandas()
