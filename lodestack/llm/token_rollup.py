@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, scratch
+from .common import dropped, scratch, shuffle_parts
 
 #: Where the public vocabularies lie on the driver, unless a caller names another place.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -90,14 +90,23 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
 
 
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
 class RollupStore:
-    """A folder on a shared filesystem: log/<number> (one small file a batch), ledger/attempt=<id>, delta/attempt=<id>.
+    """A folder on a shared filesystem: log/<number> (one small file a batch), ledger/attempt=<id>/bucket=<n>,
+    delta/attempt=<id>.
+
+    Ledger rows lie in `buckets` folders by hash of their key, and a log entry names the buckets that its batch wrote: a
+    batch reads earlier rows of its own keys' buckets only. More buckets suit larger ledgers; entries say by how many they
+    were dealt, so writers may differ in this.
 
     A log entry appears whole and only if its number is free: through a hard link on local filesystems, elsewhere through a
     rename, which must not replace a file (as in HDFS). Data of attempts that no entry names are never read."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._entries: list[dict] = []
 
     def _path(self, place: str):
@@ -151,18 +160,28 @@ class RollupStore:
         last = max((k for k, e in enumerate(log) if e["batch"] is None), default=0)
         return log[last:]
 
-    def _read(self, kind: str, schema: T.StructType, log: list[dict]) -> DataFrame:
-        """Rows of the batches since the last compaction, with their turn `at`; one scan, however many batches there are."""
+    def _read(self, kind: str, schema: T.StructType, log: list[dict], near: dict[int, set[int]] | None = None) -> DataFrame:
+        """Rows of the batches since the last compaction, with their turn `at`; one scan, however many batches there are.
+        near: the buckets to read, by the number that a batch was dealt by."""
         own = self._since_base(log)
-        if not own:
+        places = []
+        for e in own:
+            whole = f"{self.root}/{kind}/attempt={e[kind]}"
+            held = None if near is None else e["held"]
+            places += [whole] if held is None else [f"{whole}/bucket={n}" for n in held if n in near[e["buckets"]]]
+        if not places:
             return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("at", T.IntegerType())]))
-        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("attempt", T.StringType())])).option("basePath", f"{self.root}/{kind}").parquet(*[f"{self.root}/{kind}/attempt={e[kind]}" for e in own])
+        parts = [T.StructField("attempt", T.StringType()), *([T.StructField("bucket", T.IntegerType())] if kind == "ledger" else [])]
+        rows = self.spark.read.schema(T.StructType([*schema.fields, *parts])).option("basePath", f"{self.root}/{kind}").parquet(*places)
         turns = self.spark.createDataFrame([(e[kind], k) for k, e in enumerate(own)], "attempt string, at int")  # a row for each batch since the last compaction
-        return rows.join(F.broadcast(turns), "attempt").drop("attempt")
+        return rows.join(F.broadcast(turns), "attempt").select(*schema.names, "at")
 
     def _current(self, log: list[dict], touched: DataFrame | None = None) -> DataFrame:
         """The latest ledger row of each document and tokenizer, or of the touched ones (k, t)."""
-        rows = self._read("ledger", LEDGER, log)
+        near = None
+        if touched is not None:  # at most `buckets` numbers
+            near = {n: {r[0] for r in touched.select(bucket_of("k", n)).distinct().collect()} for n in {e["buckets"] for e in self._since_base(log)}}
+        rows = self._read("ledger", LEDGER, log, near)
         if touched is not None:
             rows = rows.join(touched, rows["doc_key"].eqNullSafe(touched["k"]) & rows["tokenizer"].eqNullSafe(touched["t"]), "left_semi")
         own = [c for c in LEDGER.names if c not in ("doc_key", "tokenizer")]
@@ -172,11 +191,23 @@ class RollupStore:
     def current(self) -> DataFrame:
         return self._current(self._log())
 
-    def _write(self, kind: str, rows: DataFrame, schema: T.StructType) -> str:
+    def _write_delta(self, rows: DataFrame) -> str:
         attempt = uuid.uuid4().hex
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(f"{self.root}/{kind}/attempt={attempt}")
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in DELTA.fields]).write.parquet(f"{self.root}/delta/attempt={attempt}")
         return attempt
 
+    def _write_ledger(self, rows: DataFrame) -> dict:
+        """Rows by bucket; what a log entry says of them. A bucket of a large batch is dealt over several tasks, so that
+        tasks stay as small as the session's shuffles are and each writes few files."""
+        attempt, parts = uuid.uuid4().hex, shuffle_parts(self.spark)
+        path = f"{self.root}/ledger/attempt={attempt}"
+        slot = F.pmod(F.xxhash64("doc_key", "tokenizer"), F.lit(max(1, parts // self.buckets)))
+        dealt = rows.select(*[F.col(f.name).cast(f.dataType) for f in LEDGER.fields], bucket_of("doc_key", self.buckets).alias("bucket"))
+        dealt.repartition(parts, "bucket", slot).write.partitionBy("bucket").parquet(path)
+        # The names of at most `buckets` folders.
+        held = self.spark.read.schema(T.StructType([*LEDGER.fields, T.StructField("bucket", T.IntegerType())])).parquet(path).select("bucket").distinct().collect()
+        return {"ledger": attempt, "buckets": self.buckets, "held": sorted(r[0] for r in held)}
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch of LEDGER rows (live false: a deletion); False if it was committed before.
 
@@ -191,30 +222,31 @@ class RollupStore:
             changes = changes.withColumn("doc_key", F.col("doc_id").cast("string"))
         ranked = F.struct(F.coalesce("live", F.lit(True)).alias("live"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source", "lang", F.col("doc_id").cast("long").alias("doc_id"))
         latest = changes.groupBy("doc_key", "tokenizer").agg(F.max(ranked).alias("x")).select("doc_key", "tokenizer", "x.*")
-        ledger = self._write("ledger", latest, LEDGER)
-        new = self.spark.read.schema(LEDGER).parquet(f"{self.root}/ledger/attempt={ledger}")
+        written = self._write_ledger(latest)
+        path = f"{self.root}/ledger/attempt={written['ledger']}"
+        new = self.spark.read.schema(LEDGER).parquet(path)
         while True:
             log = self._log()
             if any(e["batch"] == batch for e in log):
-                dropped(self.spark, f"{self.root}/ledger/attempt={ledger}")
+                dropped(self.spark, path)
                 return False
             signed = new.filter("live").select(*KEYS, F.lit(1).alias("sign"), "tokens")
             if log:
                 old = self._current(log, new.select(F.col("doc_key").alias("k"), F.col("tokenizer").alias("t"))).filter("live")
                 signed = signed.unionByName(old.select(*KEYS, F.lit(-1).alias("sign"), "tokens"))
             sums = signed.groupBy(*KEYS).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
-            delta = self._write("delta", sums, DELTA)
-            if self._publish(len(log), {"batch": batch, "ledger": ledger, "delta": delta}):
+            delta = self._write_delta(sums)
+            if self._publish(len(log), {"batch": batch, **written, "delta": delta}):
                 return True
             dropped(self.spark, f"{self.root}/delta/attempt={delta}")
 
     def compact(self) -> None:
         """Publish the present state as one entry, from which reading begins; totals and names of batches stay as they are."""
         while log := self._log():
-            ledger, delta = self._write("ledger", self._current(log).filter("live"), LEDGER), self._write("delta", self._sums(log), DELTA)
-            if self._publish(len(log), {"batch": None, "ledger": ledger, "delta": delta}):
+            written, delta = self._write_ledger(self._current(log).filter("live")), self._write_delta(self._sums(log))
+            if self._publish(len(log), {"batch": None, **written, "delta": delta}):
                 return
-            dropped(self.spark, f"{self.root}/ledger/attempt={ledger}")
+            dropped(self.spark, f"{self.root}/ledger/attempt={written['ledger']}")
             dropped(self.spark, f"{self.root}/delta/attempt={delta}")
 
     def _sums(self, log: list[dict]) -> DataFrame:

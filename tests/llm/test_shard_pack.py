@@ -318,6 +318,25 @@ def test_two_writers_of_one_state_do_not_count_a_document_twice(spark, monkeypat
     assert not publish(0, {"batch": "x", "ledger": "x", "delta": "x"})
 
 
+def test_small_batch_reads_the_buckets_of_its_own_keys(spark):
+    schema = "doc_id long, source string, lang string, tokenizer string, tokens long, live boolean"
+    store = token_rollup.RollupStore(spark, scratch(spark, "rollup-test"), buckets=16)
+    store.commit("a", spark.createDataFrame([(i, "s", "en", "t", 1, True) for i in range(500)], schema))
+    other = token_rollup.RollupStore(spark, store.root, buckets=5)
+    other.commit("b", spark.createDataFrame([(3, "s", "en", "t", 5, True), (None, "s", "en", "t", 7, True)], schema))
+    log = store._log()
+    assert [(e["buckets"], len(e["held"])) for e in log] == [(16, 16), (5, len(log[1]["held"]))]
+    touched = spark.createDataFrame([("3", "t"), (None, "t"), ("none", "t")], "k string, t string")
+    found = store._current(log, touched)
+    assert {(r.doc_key, r.tokens) for r in found.collect()} == {("3", 5), (None, 7)}
+    near = {n: {r[0] for r in touched.select(token_rollup.bucket_of("k", n)).collect()} for n in (16, 5)}
+    read = {(f.split("attempt=")[1].split("/")[0], int(f.split("bucket=")[1].split("/")[0])) for f in found.inputFiles()}
+    assert read == {(e["ledger"], b) for e in log for b in near[e["buckets"]] & set(e["held"])} and len(read) <= 6
+    other.commit("c", spark.createDataFrame([(3, "s", "en", "t", 0, False)], schema))
+    store.compact()
+    assert [tuple(r) for r in token_rollup.RollupStore(spark, store.root).totals().collect()] == [("s", "en", "t", 500, 506)]
+
+
 def test_half_written_batch_is_written_anew(spark, monkeypatch):
     store = token_rollup.RollupStore(spark, scratch(spark, "rollup-test"))
     row = spark.createDataFrame([(1, "a", "en", "v1", 10, True)], LEDGER)
