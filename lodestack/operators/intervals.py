@@ -26,7 +26,8 @@ def stab_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
 
     Times are whole numbers (cast them to microseconds first). An interval stands in the one or two buckets that it touches on
     the level of its length, a point in one bucket of each level that occurs (62 at most), so a pair meets exactly once, and
-    neither a long interval nor a long span of time makes rows grow. Nulls in keys, times or bounds, and empty intervals, meet
+    neither a long interval nor a long span of time makes rows grow. All joins here shuffle: sizes of files say nothing about rows
+    that are repeated by level, so such a side must not be broadcast. Nulls in keys, times or bounds, and empty intervals, meet
     nothing. All columns are kept; names that both sides have, other than keys, are an error."""
     clash = (set(points.columns) & set(intervals.columns)) - set(keys)
     if clash or how not in ("inner", "left"):
@@ -37,11 +38,11 @@ def stab_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
     placed = sound.withColumn("_bucket", F.explode(F.sequence(first, last)))
     near = points.withColumn("_level", F.explode_outer(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumn("_bucket", _shift(F.col(at), F.col("_level")))
     inside = (F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))
-    met = near.join(placed, [*keys, "_level", "_bucket"]).filter(inside).drop("_level", "_bucket")
+    met = near.join(placed.hint("merge"), [*keys, "_level", "_bucket"]).filter(inside).drop("_level", "_bucket")
     if how == "inner":
         return met.select(*points.columns, *[c for c in intervals.columns if c not in keys])
     # Points are matched by all of their columns: repeated points get the same intervals.
-    lone = points.join(met.select(*points.columns).distinct(), [points[c].eqNullSafe(met[c]) for c in points.columns], "left_anti")
+    lone = points.join(met.select(*points.columns).distinct().hint("merge"), [points[c].eqNullSafe(met[c]) for c in points.columns], "left_anti")
     return met.select(*points.columns, *[c for c in intervals.columns if c not in keys]).unionByName(lone, allowMissingColumns=True)
 
 
