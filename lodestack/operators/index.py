@@ -23,22 +23,24 @@ def records(chunks: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
     return out.withColumn("vector", encode(F.col("embed_text"))).select(*[F.col(c) if c in ("vector", "embed_text", "text", "id", "doc_id") else pick(c).alias(c) for c in RECORD])
 
 
-def build_table(chunks: DataFrame, encode: Callable[[Column], Column], root: str) -> None:
+def build_table(chunks: DataFrame, encode: Callable[[Column], Column], root: str, forms: tuple[str, ...] = ("postings", "blocks")) -> None:
     """Write records, postings (sorted by term), document frequencies, statistics and postings in blocks below root, replacing
-    what is there.
+    what is there. forms: which of the two forms of postings are written; lexical() reads one of them.
 
     Raises ValueError without any chunk. Records are partitioned by source type; ids are not made unique."""
     if chunks.isEmpty():
         raise ValueError("no chunks to index")
     records(chunks, encode).write.mode("overwrite").partitionBy("source_type").parquet(f"{root}/records")
     spark = chunks.sparkSession
-    own = postings(spark.read.parquet(f"{root}/records"), "id", "embed_text")
-    own.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{root}/postings")
-    posts = spark.read.parquet(f"{root}/postings")
-    posts.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{root}/terms")
     lengths = spark.read.parquet(f"{root}/records").select(F.size(words(F.col("embed_text"))).alias("dl"))
     lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{root}/stats")
-    blockmax.write_blocks(spark.read.parquet(f"{root}/records"), spark.read.parquet(f"{root}/stats").first()["avgdl"], f"{root}/blocks")
+    if "postings" in forms:
+        own = postings(spark.read.parquet(f"{root}/records"), "id", "embed_text")
+        own.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{root}/postings")
+    if "blocks" in forms:
+        blockmax.write_blocks(spark.read.parquet(f"{root}/records"), spark.read.parquet(f"{root}/stats").first()["avgdl"], f"{root}/blocks")
+    held = spark.read.parquet(f"{root}/{forms[0]}")
+    held.groupBy("term").agg((F.count("*") if forms[0] == "postings" else F.sum("n")).alias("df")).write.mode("overwrite").parquet(f"{root}/terms")
 
 
 def open_table(spark: SparkSession, root: str, name: str = "records") -> DataFrame:
@@ -85,7 +87,7 @@ def hits(ranked: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def with_context(chunks: DataFrame, docs: DataFrame, generate: Callable[[list[str], list[str]], list[str]], scope: list[str] | None = None) -> DataFrame:
-    """Chunks with a context from a generator of (document texts, chunk texts), batch by batch.
+    """Chunks with a context from a generator of (document texts, chunk texts), at most 64 at a time.
 
     Chunks that have one, or whose source type is out of scope (none: all are in), stay as they are. A chunk without its
     document is given its own text instead; of documents with one id the last by text counts."""

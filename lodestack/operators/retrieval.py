@@ -29,8 +29,22 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, term, tf, dl: the term counts of a text index, with each document's length in words."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    return tokens.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("dl", T.IntegerType())])
+    counted = tokens.mapInArrow(_counted, schema)  # where the texts are read: words never travel
+    rows, different = docs.agg(F.count("*"), F.count_distinct(doc_id)).first()
+    return counted if rows == different else counted.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 512):
+            part = batch.slice(low, 512)
+            size = part.column("w").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            terms = part.column("w").flatten().dictionary_encode()
+            cell, tf = np.unique(np.repeat(np.arange(len(size)), size) * len(terms.dictionary) + terms.indices.to_numpy(), return_counts=True)
+            row = cell // len(terms.dictionary)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), terms.dictionary.take(pa.array(cell % len(terms.dictionary))), pa.array(tf, pa.int64()), pa.array(size[row], pa.int32())], ["doc_id", "term", "tf", "dl"])
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
@@ -161,12 +175,56 @@ def bm25_of_postings(queries: DataFrame, posts: DataFrame, terms: DataFrame, n:
     if len(few) <= most:
         posts, terms = posts.filter(F.col("term").isin(few)), terms.filter(F.col("term").isin(few))
     weight = terms.join(small(wanted), "term").select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = small(asked.join(small(weight), "term"))
+    weights = asked.join(small(weight), "term").select("query_id", "term", "idf").toArrow()  # the stated queries
+    ids, doc = queries.schema[query_id].dataType, posts.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("query_id", ids), T.StructField("doc_id", doc), T.StructField("score", T.DoubleType())])
+    if not weights.num_rows:
+        return best(posts.sparkSession.createDataFrame([], schema), k)
     if allowed is not None:
         posts = posts.join(small(allowed), "doc_id", "left_semi")
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    found = posts.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * tf).alias("score"))
-    return best(found, k)
+    # Common words pair nearly every document with nearly every query: a document's postings meet, and pairs are never rows.
+    names = weights.column("term").combine_chunks().dictionary_encode()
+    codes = pa.table({"term": names.dictionary, "code": pa.array(range(len(names.dictionary)), pa.int32())})
+    coded = posts.join(small(posts.sparkSession.createDataFrame(codes)), "term").select("doc_id", "code", F.col("tf").cast("int").alias("tf"), "dl")
+    counts = coded.groupBy("doc_id").agg(F.max("dl").cast("long").alias("dl"), F.collect_list(F.struct("code", "tf")).alias("w"))
+    own = weights.set_column(1, "term", names.indices)
+    return best(counts.select("doc_id", "dl", F.col("w.code").alias("code"), F.col("w.tf").alias("tf")).mapInArrow(_scored_counts(own, avgdl or 1.0, k, ids), schema), k)
+
+
+def _scored_counts(weights: pa.Table, avgdl: float, k: int, id_type: T.DataType, block: int = 512):
+    """A task's function over counted documents (doc_id, dl, code, tf): its k best for each query of (query_id, code, idf)."""
+    ids = weights.column("query_id").combine_chunks().dictionary_encode()
+    order, term, idf, kind = ids.indices.to_numpy(), weights.column("term").to_numpy(), weights.column("idf").to_numpy(), to_arrow_type(id_type)
+    parts = []  # queries, their terms' codes, and idf by both
+    for low in range(0, len(ids.dictionary), block):
+        mine = (order >= low) & (order < low + block)
+        held = np.unique(term[mine])
+        matrix = np.zeros((len(held), min(block, len(ids.dictionary) - low)))
+        matrix[np.searchsorted(held, term[mine]), order[mine] - low] = idf[mine]
+        parts.append((ids.dictionary.slice(low, block), held, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [_Best(len(names), k) for names, _, _ in parts]
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                column = part.column("code")
+                row = np.repeat(np.arange(part.num_rows), column.value_lengths().to_numpy(zero_copy_only=False))
+                code, count = column.flatten().to_numpy(zero_copy_only=False), part.column("tf").flatten().to_numpy(zero_copy_only=False)
+                dl = part.column("dl").to_numpy(zero_copy_only=False)
+                for best_, (_, held, matrix) in zip(found, parts, strict=True):
+                    at = np.minimum(np.searchsorted(held, code), len(held) - 1)
+                    own = held[at] == code
+                    tf = np.bincount(row[own] * len(held) + at[own], count[own], part.num_rows * len(held)).reshape(part.num_rows, len(held))
+                    tf *= (K1 + 1) / (tf + K1 * (1 - B + B * dl[:, None] / avgdl))
+                    score = (tf @ matrix).T
+                    best_.add(score, part.column("doc_id"), score > 0)
+        for best_, (names, _, _) in zip(found, parts, strict=True):
+            left = best_.settle()
+            if left:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(left[0])).cast(kind), left[1], pa.array(left[2])], ["query_id", "doc_id", "score"])
+
+    return run
 
 
 def knn(queries: DataFrame, table: DataFrame, k: int = 40, group: str | None = None, block: int = 4096) -> DataFrame:
