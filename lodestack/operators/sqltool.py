@@ -36,9 +36,11 @@ def register(spark: SparkSession, root: str, dim: int = 256, name: str = "lodest
     allowed = f"({name}.source_type IS NULL OR r.source_type = {name}.source_type) AND ({name}.version IS NULL OR r.version = {name}.version)"
     asked = f"SELECT explode(array_distinct({_WORDS.format(f"coalesce({name}.query, '')")})) AS term"
     place = "ROW_NUMBER() OVER (ORDER BY round(score, 9) DESC, id)"
+    # Postings are dealt by document, so the pairs of queries and documents are added up where they arise and never travel.
     lexical = f"""SELECT id, {place} AS rank, score FROM (
-        SELECT p.doc_id AS id, sum(ln(1 + ({n} - t.df + 0.5D) / (t.df + 0.5D)) * p.tf * {K1 + 1}D / (p.tf + {K1}D * ({1 - B}D + {B}D * p.dl / {avgdl or 1.0}D))) AS score
-        FROM ({asked}) w JOIN {name}_terms t ON t.term = w.term JOIN {name}_postings p ON p.term = t.term JOIN {name}_records r ON r.id = p.doc_id
+        SELECT /*+ BROADCAST(a) */ p.doc_id AS id, sum(ln(1 + ({n} - a.df + 0.5D) / (a.df + 0.5D)) * p.tf * {K1 + 1}D / (p.tf + {K1}D * ({1 - B}D + {B}D * p.dl / {avgdl or 1.0}D))) AS score
+        FROM (SELECT /*+ REPARTITION(doc_id) */ doc_id, term, tf, dl FROM {name}_postings) p JOIN (SELECT id, source_type, version FROM {name}_records) r ON r.id = p.doc_id
+        JOIN (SELECT w.term, t.df FROM ({asked}) w JOIN {name}_terms t ON t.term = w.term) a ON a.term = p.term
         WHERE {allowed} GROUP BY p.doc_id)"""
     unit = "aggregate(r.vector, 0D, (a, x) -> a + CAST(x AS DOUBLE) * x)"
     dot = "aggregate(zip_with(r.vector, q.v, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (a, x) -> a + x)"
