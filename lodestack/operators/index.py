@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,16 +97,20 @@ def with_context(chunks: DataFrame, docs: DataFrame, generate: Callable[[list[st
     wanted = F.coalesce(F.col("context"), F.lit("")) == ""
     if scope:
         wanted = wanted & F.col("source_type").isin(scope)
-    rows = rows.withColumn("_wanted", wanted)
+    rows = rows.withColumn("_wanted", F.coalesce(wanted, F.lit(False))).withColumn("_document", F.when(F.col("_wanted"), F.col("_document")))
     columns = chunks.columns
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            ask = part["_wanted"].astype(bool)
-            part.loc[ask, "context"] = generate(part.loc[ask, "_document"].tolist(), part.loc[ask, "text"].tolist())
-            yield part[columns]
-
-    return rows.select(*columns, "_document", "_wanted").mapInPandas(run, chunks.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of a batch few documents at a time become Python strings.
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                asked = part.filter(part.column("_wanted"))
+                made = iter(generate(asked.column("_document").to_pylist(), asked.column("text").to_pylist()) if asked.num_rows else ())
+                context = [next(made) if ask else own for ask, own in zip(part.column("_wanted").to_pylist(), part.column("context").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(context, pa.string()) if c == "context" else part.column(c) for c in columns], columns)
+
+    return rows.select(*columns, "_document", "_wanted").mapInArrow(run, chunks.schema)
 
 
 def node_graph_text(graph: dict) -> str:
