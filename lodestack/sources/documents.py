@@ -11,9 +11,8 @@ from itertools import chain, takewhile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestack.functions.html import html_text
+from lodestack.functions.html import each_text, html_text
 from lodestack.functions.text import answer_status, clean_rst_inline, clean_tags, feed_year, license_of_year, markdown_title, post_status, stable_id, strip, year_of
 from lodestack.sources.records import tagged
 
@@ -256,12 +255,7 @@ def _rendered(text: str) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def _rst_blocks(texts: pd.Series) -> pd.Series:
-    return texts.map(_rendered, na_action="ignore")
-
-
 def rst_markdown(text: Column | str) -> Column:
     """RST as Markdown: headings by rule character, noisy directives dropped with their blocks, admonitions as bold labels,
     links and roles as their visible text (line by line)."""
-    return F.array_join(F.transform(F.split(_rst_blocks(text), "\n"), clean_rst_inline), "\n")
+    return F.array_join(F.transform(F.split(each_text(lambda t: None if t is None else _rendered(t), text), "\n"), clean_rst_inline), "\n")
