@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestack.plans.catalogue import _STRIP, query
-from lodestack.session import scratch, table
+from lodestack.session import scratch, size_of, table
 from lodestack.sources import documents as sources
 from lodestack.sources.file_sink import write_files
 from lodestack.sources.paged import paged_source
@@ -34,8 +34,9 @@ def _dump(spark, sf_dir: str) -> str:
     attributes = F.concat(F.lit(' Body="'), _escaped(body, True), F.lit('"'), F.when(asked, F.concat(F.lit('\n    Title="'), _escaped(F.concat(F.lit("About <"), "source", F.lit(">")), True), F.lit('"'))).otherwise(F.concat(F.lit(' ParentId="'), parent.cast("string"), F.lit('" Score="7" CreationDate="2024-05-06T07:08"'))))
     line = F.concat(F.lit('  <row Id="'), d.cast("string"), F.lit('" PostTypeId="'), F.when(asked, "1").otherwise("2"), F.lit('"'), attributes, F.lit(" />"))
     path = scratch(spark, "dump")
-    # Sorted ranges become files whose names are in the order of the ranges.
-    table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
+    # Sorted ranges become files whose names are in the order of the ranges; there are more of them for larger tables.
+    parts = max(4, size_of(spark, f"{sf_dir.rstrip('/')}/documents.parquet") >> 24)
+    table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
     return path
 
 

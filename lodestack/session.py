@@ -47,9 +47,13 @@ def spread(df: DataFrame, path: str) -> DataFrame:
     Such a table is often a single row group, which one task reads whatever it is asked to do with the rows; larger tables
     are left as they are scanned."""
     spark = df.sparkSession
+    return df.repartition(spark.sparkContext.defaultParallelism) if size_of(spark, path) < 128 << 20 else df
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files at path."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
-    return df.repartition(spark.sparkContext.defaultParallelism) if size < 128 << 20 else df
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
 
 _own: dict[str, str] = {}
