@@ -31,7 +31,7 @@ def build_table(chunks: DataFrame, encode: Callable[[Column], Column], root: str
     Raises ValueError without any chunk. Records are partitioned by source type; ids are not made unique."""
     if chunks.isEmpty():
         raise ValueError("no chunks to index")
-    records(chunks, encode).write.mode("overwrite").partitionBy("source_type").parquet(f"{root}/records")
+    records(chunks, encode).write.mode("overwrite").option("compression", "zstd").partitionBy("source_type").parquet(f"{root}/records")
     spark = chunks.sparkSession
     lengths = spark.read.parquet(f"{root}/records").select(F.size(words(F.col("embed_text"))).alias("dl"))
     lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{root}/stats")

@@ -89,7 +89,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, where: Column | None
     return best(reduce(DataFrame.unionByName, scored) if scored else spark.createDataFrame([], schema), k)
 
 
-class _Best:
+class Best:
     """The k best (query, document, score) of each query so far, of those that tie with the kth the k smallest ids.
 
     A task hands on what is left at its end, so rows that go to the sort are queries times k for each task, not for each
@@ -144,7 +144,7 @@ def _scored(weights: pa.Table, avgdl: float, k: int, id_type: T.DataType):
     names, vocabulary, kind = ids.dictionary, terms.dictionary, to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Best(len(names), k)
+        found = Best(len(names), k)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
@@ -164,18 +164,31 @@ def _scored(weights: pa.Table, avgdl: float, k: int, id_type: T.DataType):
     return run
 
 
-def bm25_of_postings(queries: DataFrame, posts: DataFrame, terms: DataFrame, n: int, avgdl: float, k: int = 10, allowed: DataFrame | None = None, most: int = 1000, query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """The same as bm25() from an index (see index.build_table): only the postings of the queries' terms are read.
-
-    posts: term, doc_id, tf, dl, sorted by term; terms: term, df. allowed: doc_id of the candidates, if not all. Up to `most`
-    distinct terms are handed to the scan as a filter, which skips the row groups without them."""
+def known_terms(queries: DataFrame, terms: DataFrame, n: int, most: int = 1000, query_id: str = "query_id", query: str = "query") -> tuple[pa.Table, list[str] | None]:
+    """query_id, term, idf of the stated queries' known terms; and their distinct terms, unless these are more than `most`."""
     asked = query_terms(queries, query_id, query).select("query_id", F.explode("w").alias("term"))
     wanted = asked.select("term").distinct()
     few = [r["term"] for r in wanted.limit(most + 1).collect()]
     if len(few) <= most:
-        posts, terms = posts.filter(F.col("term").isin(few)), terms.filter(F.col("term").isin(few))
+        terms = terms.filter(F.col("term").isin(few))
     weight = terms.join(small(wanted), "term").select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weights = asked.join(small(weight), "term").select("query_id", "term", "idf").toArrow()  # the stated queries
+    return asked.join(small(weight), "term").select("query_id", "term", "idf").toArrow(), few if len(few) <= most else None
+
+
+def by_code(held: DataFrame, names: pa.DictionaryArray) -> DataFrame:
+    """Rows of the terms in names, with the term's place in it as `code`."""
+    codes = pa.table({"term": names.dictionary, "code": pa.array(range(len(names.dictionary)), pa.int32())})
+    return held.join(small(held.sparkSession.createDataFrame(codes)), "term")
+
+
+def bm25_of_postings(queries: DataFrame, posts: DataFrame, terms: DataFrame, n: int, avgdl: float, k: int = 10, allowed: DataFrame | None = None, most: int = 1000, query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """The same as bm25() from an index (see index.build_table): only the postings of the queries' terms are read.
+
+    posts: term, doc_id, tf, dl, sorted by term; terms: term, df. allowed: doc_id of the candidates, if not all. Up to `most`
+    distinct terms are handed to the scan as a filter, which skips the row groups without them."""
+    weights, few = known_terms(queries, terms, n, most, query_id, query)
+    if few is not None:
+        posts = posts.filter(F.col("term").isin(few))
     ids, doc = queries.schema[query_id].dataType, posts.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("query_id", ids), T.StructField("doc_id", doc), T.StructField("score", T.DoubleType())])
     if not weights.num_rows:
@@ -184,27 +197,32 @@ def bm25_of_postings(queries: DataFrame, posts: DataFrame, terms: DataFrame, n:
         posts = posts.join(small(allowed), "doc_id", "left_semi")
     # Common words pair nearly every document with nearly every query: a document's postings meet, and pairs are never rows.
     names = weights.column("term").combine_chunks().dictionary_encode()
-    codes = pa.table({"term": names.dictionary, "code": pa.array(range(len(names.dictionary)), pa.int32())})
-    coded = posts.join(small(posts.sparkSession.createDataFrame(codes)), "term").select("doc_id", "code", F.col("tf").cast("int").alias("tf"), "dl")
+    coded = by_code(posts, names).select("doc_id", "code", F.col("tf").cast("int").alias("tf"), "dl")
     counts = coded.groupBy("doc_id").agg(F.max("dl").cast("long").alias("dl"), F.collect_list(F.struct("code", "tf")).alias("w"))
     own = weights.set_column(1, "term", names.indices)
     return best(counts.select("doc_id", "dl", F.col("w.code").alias("code"), F.col("w.tf").alias("tf")).mapInArrow(_scored_counts(own, avgdl or 1.0, k, ids), schema), k)
 
 
-def _scored_counts(weights: pa.Table, avgdl: float, k: int, id_type: T.DataType, block: int = 512):
-    """A task's function over counted documents (doc_id, dl, code, tf): its k best for each query of (query_id, code, idf)."""
+def query_matrices(weights: pa.Table, block: int = 512) -> list[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Of (query_id, code, idf) `block` queries at a time: their ids, their terms' codes, and idf by both."""
     ids = weights.column("query_id").combine_chunks().dictionary_encode()
-    order, term, idf, kind = ids.indices.to_numpy(), weights.column("term").to_numpy(), weights.column("idf").to_numpy(), to_arrow_type(id_type)
-    parts = []  # queries, their terms' codes, and idf by both
+    order, term, idf = ids.indices.to_numpy(), weights.column("term").to_numpy(), weights.column("idf").to_numpy()
+    parts = []
     for low in range(0, len(ids.dictionary), block):
         mine = (order >= low) & (order < low + block)
         held = np.unique(term[mine])
         matrix = np.zeros((len(held), min(block, len(ids.dictionary) - low)))
         matrix[np.searchsorted(held, term[mine]), order[mine] - low] = idf[mine]
         parts.append((ids.dictionary.slice(low, block), held, matrix))
+    return parts
+
+
+def _scored_counts(weights: pa.Table, avgdl: float, k: int, id_type: T.DataType, block: int = 512):
+    """A task's function over counted documents (doc_id, dl, code, tf): its k best for each query of (query_id, code, idf)."""
+    kind, parts = to_arrow_type(id_type), query_matrices(weights, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [_Best(len(names), k) for names, _, _ in parts]
+        found = [Best(len(names), k) for names, _, _ in parts]
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
@@ -272,7 +290,7 @@ def _nearest(asked: pa.Table, k: int, group: str | None, id_type: pa.DataType):
     wanted = asked.column(group).combine_chunks().dictionary_encode() if group else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Best(len(q), k)
+        found = Best(len(q), k)
         for batch in batches:
             batch = batch.filter(pc.equal(batch.column("vector").value_lengths(), q.shape[1]))
             for low in range(0, batch.num_rows, 1024):
