@@ -69,7 +69,7 @@ def stream_pairs(spark, sf_dir):
     root = scratch(spark, "pairs")
     end = events.agg(F.lit("").alias("key"), F.lit(-1).cast("long").alias("id"), (F.max("at") + F.expr("INTERVAL 30 DAYS")).alias("at"), F.lit(True).alias("is_question"), F.lit("").alias("title"))
     events.unionByName(end).write.parquet(f"{root}/in")
-    stream = pairing.pair_by_time(spark.readStream.schema(events.schema).parquet(f"{root}/in"), keep_seconds=6 * 3600)
+    stream = pairing.pair_by_time(spark.readStream.schema(events.schema).parquet(f"{root}/in"), keep_seconds=6 * 3600, buckets=max(pairing.BUCKETS, events.count() >> 14))
     pairing.started(stream, f"{root}/out", f"{root}/log").awaitTermination()
     return spark.read.schema(pairing.PAIRED).parquet(f"{root}/out").select("id", "key", "title")
 
